@@ -1,3 +1,28 @@
 """DuckDB SQL of the queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+u AS (SELECT k, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT k, i, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, word, b, c) AS n FROM g WHERE c IS NOT NULL) WHERE n > 1),
+p AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY k),
+f AS (SELECT w.k, doc_id, words, lines, len(words)::BIGINT AS n_words,
+             coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(p.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN p ON p.k = w.k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND 10 * n_symbols <= n_words
+         AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+         AND 2 * n_dup_lines <= len(lines)
+         AND 10 * len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x))) <= 3 * n_words
+         AND 10 * len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) >= 8 * n_words AS kept
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1}

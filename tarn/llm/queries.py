@@ -19,6 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.quality_rules import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents")).drop("failed_rule")
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.bpe_codec import encode
 
@@ -38,6 +44,13 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.simhash import near_duplicates
+
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.packing import pack, token_pieces
 
@@ -47,7 +60,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_bpe_codec": op3_bpe_codec,
     "op5_token_count": op5_token_count,
     "op8_packing": op8_packing,
+    "op10_simhash": op10_simhash,
 }
