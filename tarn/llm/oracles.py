@@ -25,4 +25,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1}
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+x AS (SELECT k, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+y AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+r AS (SELECT key, min(doc_id) AS first FROM y WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+z AS (SELECT y.*, r.key IS NOT NULL AND y.doc_id <> r.first AS gone FROM y LEFT JOIN r ON r.key = y.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM z GROUP BY k, doc_id
+"""
+
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT k, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35),
+h AS (SELECT k, i, md5(array_to_string(list_slice(words, i, i + 34), ' ')) AS h FROM s),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+u AS (SELECT k, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM d),
+m AS (SELECT u.k, u.doc_id, u.word, u.j, max(r.i) OVER (PARTITION BY u.k ORDER BY u.j) AS last
+      FROM u LEFT JOIN r ON r.k = u.k AND r.i = u.j),
+f AS (SELECT *, last IS NOT NULL AND j - last < 35 AS gone FROM m),
+g AS (SELECT k, count(*)::BIGINT AS n_words, count(*) FILTER (WHERE gone)::BIGINT AS n_removed,
+             string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY k)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.k = d.k
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op6_line_dedup": OP6, "op7_substring_dedup": OP7}
