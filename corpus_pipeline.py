@@ -1,11 +1,74 @@
-"""A corpus pipeline over the documents table; see STAGES."""
+"""A corpus pipeline over the documents table.
 
-STAGES = []
+Five stages, each calling one operator of ``tarn.llm``; each works on all that
+its predecessor kept. Between stages the documents are written as Parquet to the
+shared checkpoint folder and read again, so a lost executor costs one task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.llm import line_dedup as lines
+from tarn.llm import packing, quality_cnn, simhash
+from tarn.llm import substring_dedup as substrings
+from tarn.llm.common import table
+from tarn.llm.queries import read, vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _renewed(docs: DataFrame) -> DataFrame:
+    """The columns of documents after a stage that has changed texts."""
+    return docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.3 or more stay."""
+    network = quality_cnn.fit(docs, read(spark, sf_dir, "labels"))
+    scored = quality_cnn.score(docs, network, carry=("text", "lang", "source", "n_chars"))
+    return scored.where(F.col("score") >= 0.3).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a document before holds too go; all documents stay."""
+    return _renewed(lines.line_dedup(docs, carry=("lang", "source")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies stays."""
+    marked = simhash.near_duplicates(docs.select("doc_id", "text"))
+    gone = marked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in repeated windows go; all documents stay."""
+    return _renewed(substrings.substring_dedup(docs, carry=("lang", "source")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    pieces = packing.token_pieces(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("best-fit packing", pack),
+]
+
+#: The classifier has no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the whole pipeline makes of the documents table."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

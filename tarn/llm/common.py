@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,18 +35,24 @@ def cut(df: DataFrame) -> DataFrame:
     where that is unset (tests on one machine) a temporary folder is used.
     Checkpoint files outlive executors, so a lost executor costs no recompute.
     """
+    _shared_folder(df)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder of the session, set from its configuration if need be."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def map_batches(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` under a name of its own, to keep the operators short."""
-    return df.mapInArrow(fn, schema)
+def table(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared checkpoint folder and reads it again."""
+    path = f"{_shared_folder(df)}/tarn-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -53,14 +60,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def document_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Only the two columns an operator reads, under fixed internal names.
 
-    Extra columns, whatever their names, never reach the operator.
+    Columns in ``carry`` come along as ``_c0``, ``_c1`` and so on; other columns,
+    whatever their names, never reach the operator.
     """
-    return df.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")
-    )
+    own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
+    return df.select(*own, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
+
+
+def carried(df: DataFrame, carry: tuple[str, ...]) -> tuple[list[str], str]:
+    """Internal names of carried columns, and their part of a schema under their own names."""
+    names = [f"_c{i}" for i in range(len(carry))]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return names, "".join(f", `{c}` {types[n]}" for c, n in zip(carry, names, strict=True))
+
+
+def slices(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.RecordBatch]:
+    """A few rows of a batch at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def emit(rows, schema: pa.Schema, weight: Callable[[tuple], int] = lambda row: 64, limit: int = 8_000_000):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.bloom import bits_for, pair_filter
-from tarn.llm.common import cut, document_columns, emit, pairs
+from tarn.llm.common import carried, cut, document_columns, emit, pairs, slices
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _NO_ID = (1 << 63) - 1
@@ -89,37 +89,38 @@ def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
 
 
-def line_dedup(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_lines, n_dropped, text``, one row per input row; text: the kept lines.
+def line_dedup(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, text`` and ``carry``, one row per input row; text: the kept lines.
 
     Keys of at least ``least`` code points found in two documents or more lose
     all their lines but those of the smallest doc_id. Null and empty texts are
     one empty line and stay (as an empty text). Rows of one doc_id are one
-    document. Rows without an id count as one document after all others. Extra
+    document. Rows without an id count as one document after all others. Other
     columns are ignored; an empty table stays empty.
     """
-    own = document_columns(docs, id_col, text_col)
-    keyed = own.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
-    lost = repeated_lines(keyed, least)
-    joined = keyed.join(lost, "doc_id", "left")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("text", pa.string())])
+    own = document_columns(docs, id_col, text_col, carry)
+    names, more = carried(own, carry)
+    own = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    joined = own.join(repeated_lines(own.select("doc_id", "text"), least), "doc_id", "left")
+
+    def kept(text, drop):
+        text = text or ""
+        if not drop:
+            return text.count("\n") + 1, 0, text
+        drop = set(drop)
+        lines = text.encode().split(b"\n")
+        left = [x for x in lines if (k := line_key(x, least)) is None or _digest(k) not in drop]
+        return len(lines), len(lines) - len(left), b"\n".join(left).decode()
 
     def keep(batches):
-        def rows():
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    for doc_id, text, drop in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "drop")), strict=True):
-                        doc_id = None if doc_id == _NO_ID else doc_id
-                        text = text or ""
-                        if not drop:
-                            yield doc_id, text.count("\n") + 1, 0, text
-                            continue
-                        drop = set(drop)
-                        lines = text.encode().split(b"\n")
-                        kept = [x for x in lines if (k := line_key(x, least)) is None or _digest(k) not in drop]
-                        yield doc_id, len(lines), len(lines) - len(kept), b"\n".join(kept).decode()
-
-        yield from emit(rows(), schema, lambda r: 64 + len(r[3]))
-
-    return joined.select("doc_id", "text", "drop").mapInArrow(keep, "doc_id long, n_lines long, n_dropped long, text string")
+        for part in slices(batches):
+            ids = [None if i == _NO_ID else i for i in part.column("doc_id").to_pylist()]
+            rows = [kept(*x) for x in zip(part.column("text").to_pylist(), part.column("drop").to_pylist(), strict=True)]
+            n_lines, n_dropped, texts = zip(*rows, strict=True)
+            arrays = [pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(
+                [*arrays, *[part.column(c) for c in names]], names=["doc_id", "n_lines", "n_dropped", "text", *carry]
+            )
+
+    schema = "doc_id long, n_lines long, n_dropped long, text string" + more
+    return joined.select("doc_id", "text", "drop", *names).mapInArrow(keep, schema)

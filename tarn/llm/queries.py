@@ -25,6 +25,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.topk import quantised, top_k
+
+    vectors = quantised(read(spark, sf_dir, "embeddings"), 256.0)
+    return top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.bpe_codec import encode
 
@@ -37,6 +44,16 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.quality_cnn import fit, fold, score
+
+    docs = read(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.token_count import count_tokens
 
@@ -44,6 +61,25 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.warc import derivatives, responses
+
+    made = derivatives(responses(read(spark, sf_dir, "pages")))
+    return made.select(
+        "page_id",
+        "response_id",
+        "target_uri",
+        "metadata_id",
+        "conversion_id",
+        "refers_to",
+        "response_digest",
+        "conversion_digest",
+        F.octet_length("conversion_block").cast("long").alias("text_bytes"),
+        F.sha2("metadata_record", 256).alias("metadata_sha256"),
+        F.sha2("conversion_record", 256).alias("conversion_sha256"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.simhash import near_duplicates
 
@@ -75,10 +111,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_topk": op2_topk,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_quality_cnn": op4_quality_cnn,
     "op5_token_count": op5_token_count,
     "op6_line_dedup": op6_line_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.bloom import bits_for, mix, pair_filter
 from tarn.llm.bpe import Bounded
-from tarn.llm.common import document_columns, emit
+from tarn.llm.common import carried, document_columns, emit, slices
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -216,42 +216,47 @@ def _runs(ids, docs, places, hashes, keys):
         yield int(signed[a]), doc_id, row_key, int(p[a]), h[a:b].tobytes(), m[a:b].tobytes(), None
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, text, spans``, one row per input row.
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_words, n_removed, text, spans`` and ``carry``, one row per input row.
 
     Words (split at ASCII white space) that a window of ``window`` words covers
     whose words also start anywhere else, in the same text or another, are
     removed; windows are judged on the input. ``text``: kept words joined by one
     space; ``spans``: removed stretches as pairs (first word, words) of int32.
     Null and empty texts have no words; texts of under ``window`` words keep all;
-    repeated rows repeat each other's windows. Extra columns are ignored.
+    repeated rows repeat each other's windows. Other columns are ignored.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
-    own = document_columns(docs, id_col, text_col).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(own, window).groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("found"))
+    own = document_columns(docs, id_col, text_col, carry)
+    names, more = carried(own, carry)
+    own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(own.select("doc_id", "row_key", "text"), window)
+    spans = spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("found"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "found")
     joined = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string()), ("spans", pa.binary())])
+
+    def kept(text, found):
+        words = text.encode().split() if text else []
+        if not found:
+            return len(words), 0, b" ".join(words).decode(), b""
+        runs = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)
+        edges = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edges, runs[:, 0], 1)
+        np.add.at(edges, runs[:, 0] + runs[:, 1] + window - 1, -1)
+        gone = np.cumsum(edges[:-1]) > 0
+        left = [words[i] for i in np.flatnonzero(~gone)]
+        return len(words), int(gone.sum()), b" ".join(left).decode(), _spans(np.flatnonzero(gone))
 
     def keep(batches):
-        def rows():
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    for doc_id, text, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "found")), strict=True):
-                        words = text.encode().split() if text else []
-                        if not found:
-                            yield doc_id, len(words), 0, b" ".join(words).decode(), b""
-                            continue
-                        pairs = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)
-                        edges = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edges, pairs[:, 0], 1)
-                        np.add.at(edges, pairs[:, 0] + pairs[:, 1] + window - 1, -1)
-                        gone = np.cumsum(edges[:-1]) > 0
-                        kept = [words[i] for i in np.flatnonzero(~gone)]
-                        yield doc_id, len(words), int(gone.sum()), b" ".join(kept).decode(), _spans(np.flatnonzero(gone))
-
-        yield from emit(rows(), schema, lambda r: 64 + len(r[3]) + len(r[4]))
-
-    return joined.select("doc_id", "text", "found").mapInArrow(keep, "doc_id long, n_words long, n_removed long, text string, spans binary")
+        for part in slices(batches):
+            rows = [kept(*x) for x in zip(part.column("text").to_pylist(), part.column("found").to_pylist(), strict=True)]
+            n_words, n_removed, texts, runs = zip(*rows, strict=True)
+            arrays = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), pa.array(runs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), *arrays, *[part.column(c) for c in names]],
+                names=["doc_id", "n_words", "n_removed", "text", "spans", *carry],
+            )
+
+    schema = "doc_id long, n_words long, n_removed long, text string, spans binary" + more
+    return joined.select("doc_id", "text", "found", *names).mapInArrow(keep, schema)
