@@ -83,9 +83,17 @@ def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
         yield from emit(rows(), schema)
 
     found = cut(docs.mapInArrow(suspects, "doc_id long, digest binary"))
-    ends = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    repeats = ends.where(F.col("first") < F.col("last")).select("digest", "first")
-    lost = found.join(repeats, "digest").where(F.col("doc_id") > F.col("first"))
+    ends = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    repeats = cut(ends.where(F.col("first") < F.col("last")).select("digest", "first", "n"))
+    # A digest with a thousandth of all suspects or more is common; there are a thousand
+    # at most, so they may be broadcast and their rows needn't meet in one task.
+    limit = max(1000, found.count() // 1000)
+    common = F.broadcast(repeats.where(F.col("n") >= limit).select("digest", "first"))
+    rest = repeats.where(F.col("n") < limit).select("digest", "first")
+    after = F.col("doc_id") > F.col("first")
+    lost = found.join(common, "digest").where(after).unionByName(
+        found.join(common.select("digest"), "digest", "left_anti").join(rest, "digest").where(after)
+    )
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
 
 
