@@ -68,17 +68,25 @@ def unsplit_pieces(pattern_fast, pattern_full, text: str) -> list[str]:
 
 
 class Bounded(dict):
-    """A cache of ``make(key)`` that starts anew beyond ``limit`` entries."""
+    """A cache of ``make(key)`` in two generations of ``limit`` entries.
 
-    def __init__(self, make, limit: int = 400_000):
+    A full generation becomes the old one; keys found there move to the new one,
+    so frequent keys stay. An executor may hold several idle workers, each with
+    its caches, so they are kept to some tens of megabytes.
+    """
+
+    def __init__(self, make, limit: int = 150_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
 
@@ -168,12 +176,10 @@ class WordEndCodec:
         self.leaf_chars, self.leaf_word = max(8, leaf_chars), max(4, leaf_word)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.suffix: str = spec["model"]["end_of_word_suffix"]
-        inner = json.loads(json.dumps(spec))
-        inner["model"]["end_of_word_suffix"] = None
-        self._tokenizer, self._inner_tokenizer = Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(inner))
+        self._path, self._tokenizer = path, Tokenizer.from_file(path)
         splitter = spec["pre_tokenizer"]["pretokenizers"][0]
         self._split = pre_tokenizers.Split(Regex(splitter["pattern"]["Regex"]), splitter["behavior"].lower(), splitter["invert"])
-        self._end, self._inner = self._tokenizer.model, self._inner_tokenizer.model
+        self._end = self._tokenizer.model
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})")
         top = max([*self.vocab.values(), *self.special.values()]) + 1
@@ -239,6 +245,16 @@ class WordEndCodec:
 
     # tokens of one word --------------------------------------------------
 
+    @functools.cached_property
+    def _inner(self):
+        """The merges without word ends, for pieces inside a word; few texts need them."""
+        from tokenizers import Tokenizer
+
+        spec = read_vocabulary(self._path)
+        spec["model"]["end_of_word_suffix"] = None
+        self._inner_tokenizer = Tokenizer.from_str(json.dumps(spec))
+        return self._inner_tokenizer.model
+
     def _direct(self, word: str, last: bool) -> list[int]:
         return [t.id for t in (self._end if last else self._inner).tokenize(mapped(word))]
 
@@ -288,9 +304,8 @@ class WordEndCodec:
                 return left[:i] + window + right[j:]
             size *= 2
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        ids = self.word_ids(word)
-        return np.asarray(ids, "<u4").tobytes(), " ".join([self.strings[i] for i in ids])
+    def _word(self, word: str) -> bytes:
+        return np.asarray(self.word_ids(word), "<u4").tobytes()
 
     # texts ---------------------------------------------------------------
 
@@ -316,7 +331,7 @@ class WordEndCodec:
             if special is not None:
                 out.append(np.asarray([self.special[special]], "<u4").tobytes())
             else:
-                out.extend([get(w)[0] for w in words])
+                out.extend(map(get, words))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -34,7 +34,7 @@ _CHUNK_WORDS = 500_000
 
 
 def _word_cache() -> Bounded:
-    return Bounded(xxhash.xxh3_64_intdigest, 1_000_000)
+    return Bounded(xxhash.xxh3_64_intdigest)
 
 
 def powers(base: int, n: int) -> np.ndarray:
