@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
-#: ASCII white space, for stripping.
-SPACES = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -63,9 +64,14 @@ def shuffle_width(spark: SparkSession) -> int:
 def document_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Only the two columns an operator reads, under fixed internal names.
 
+    Texts can be long, so Arrow batches of the session are held to
+    ``BATCH_ROWS`` rows: executors keep two batches a task outside their heap.
     Columns in ``carry`` come along as ``_c0``, ``_c1`` and so on; other columns,
     whatever their names, never reach the operator.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
     own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
     return df.select(*own, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
 
