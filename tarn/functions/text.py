@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarn.functions.lazy import pandas_udf
+
 #: A term is a run of letters, digits and underscores.
 TERM = r"([\p{L}\p{N}_]+)"
 TOKENIZER = "nfc-casefold-word-v1"
@@ -28,7 +30,7 @@ def python_terms(text: str) -> list[str]:
     return re.findall(r"\w+", unicodedata.normalize("NFC", text).casefold())
 
 
-@F.pandas_udf("array<string>")
+@pandas_udf("array<string>")
 def exact_terms(text: pd.Series) -> pd.Series:
     """Terms of any text, whatever its normal form and its script."""
     return text.fillna("").map(python_terms)

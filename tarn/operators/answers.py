@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.functions.lazy import pandas_udf
 from tarn.operators.agent import KNOWLEDGE_TOOLS
 
 #: ASCII punctuation, which answers are compared without.
@@ -64,7 +65,7 @@ def pair_joint(rows: DataFrame) -> DataFrame:
     return pairs.select("id", F.when(F.col("good"), F.col("f1")).otherwise(zero).alias("answer"), F.when(F.col("good"), F.col("support")).otherwise(zero).alias("support"))
 
 
-@F.pandas_udf("struct<answer:string, answerable:boolean, support:array<int>, error:string>")
+@pandas_udf("struct<answer:string, answerable:boolean, support:array<int>, error:string>")
 def parsed_prediction(raw: pd.Series) -> pd.DataFrame:
     """Answer, answerability and supports of a prediction; one code fence is allowed.
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.functions.lazy import pandas_udf
 from tarn.operators.evidence import merged_evidence
 
 KEYS = ["query_id", "index_version", "doc_id", "document_revision"]
@@ -56,7 +57,7 @@ def pack(hits: DataFrame, budget: int, tokens: Callable[[str], int] = len, overh
     and kept. A query's hits are a bounded list (its top-k), so it is one group.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, rows = [], []
         for row in pdf.sort_values("rank").itertuples():
             trial = [*taken, row]
@@ -162,7 +163,7 @@ def parse_answer(raw: str) -> dict:
     return {"status": _text(top["status"]), "claims": claims, "missing_information": [_text(m) for m in _list(top["missing_information"])]}
 
 
-@F.pandas_udf(f"struct<answer:{ANSWER}, error:string>")
+@pandas_udf(f"struct<answer:{ANSWER}, error:string>")
 def parsed_answer(raw: pd.Series) -> pd.DataFrame:
     """Answer or error of each raw response; null responses are errors."""
     rows = []
@@ -265,7 +266,8 @@ def rendered_claims(claims: DataFrame) -> DataFrame:
     refs = claims.select("answer_id", "claim_index", F.posexplode_outer("source_ids").alias("pos", "source_id")).join(numbers, ["answer_id", "source_id"], "left")
     marks = refs.groupBy("answer_id", "claim_index").agg(F.sort_array(F.collect_list(F.struct("pos", "number"))).alias("_m"))
     rows = claims.join(marks, ["answer_id", "claim_index"], "left")
-    mark = F.concat_ws("", F.transform(F.coalesce("_m", F.array()), lambda m: F.format_string("[%d]", m["number"])))
+    numbers_of = F.filter("_m", lambda m: m["number"].isNotNull())
+    mark = F.concat_ws("", F.transform(numbers_of, lambda m: F.format_string("[%d]", m["number"])))
     lines = F.sort_array(F.collect_list(F.struct("claim_index", F.concat(inert(F.col("text")), F.lit(" "), mark).alias("line"))))
     return rows.groupBy("answer_id").agg(F.concat_ws("\n\n", F.transform(lines, lambda x: x["line"])).alias("body"))
 

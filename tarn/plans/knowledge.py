@@ -1 +1,167 @@
-"""Queries."""
+"""Queries of the corpus as a store: changes, conflicts, chunks, context, citations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tarn.operators import chunking, context, lifecycle
+from tarn.plans.registry import query, table
+
+# Before and after: some documents are new, some gone, some edited.
+BEFORE = "b AS (SELECT doc_id, md5(text) AS r FROM documents WHERE doc_id % 10 <> 1)"
+AFTER = "a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN md5(text || '!') ELSE md5(text) END AS r FROM documents WHERE doc_id % 10 <> 2)"
+
+
+def _before(spark, sf):
+    return table(spark, sf, "documents").where("doc_id % 10 <> 1").select("doc_id", F.md5(F.col("text").cast("binary")).alias("revision"))
+
+
+def _after(spark, sf):
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return table(spark, sf, "documents").where("doc_id % 10 <> 2").select("doc_id", F.md5(text.cast("binary")).alias("revision"))
+
+
+@query(f"""WITH {BEFORE}, {AFTER} SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'deleted' WHEN a.r = b.r THEN 'unchanged' ELSE 'modified' END AS change
+FROM b FULL JOIN a ON a.doc_id = b.doc_id""")
+def corpus_diff(spark, sf):
+    return lifecycle.changes(_before(spark, sf), _after(spark, sf), "doc_id", "revision")
+
+
+@query(f"WITH {BEFORE}, {AFTER} SELECT DISTINCT r AS revision FROM a WHERE r NOT IN (SELECT r FROM b)")
+def missing_embeddings(spark, sf):
+    """Distinct texts that the cache has no vector for."""
+    return lifecycle.missing_embeddings(_after(spark, sf), _before(spark, sf), "revision").select("revision")
+
+
+@query(f"WITH {BEFORE}, {AFTER} SELECT doc_id, count(DISTINCT r)::BIGINT AS revisions FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id HAVING count(DISTINCT r) > 1")
+def revision_conflicts(spark, sf):
+    both = _before(spark, sf).unionByName(_after(spark, sf)).withColumnRenamed("revision", "document_revision")
+    return lifecycle.revision_conflicts(both)
+
+
+@query("SELECT md5(text) AS revision, count(*)::BIGINT AS n, min(doc_id) AS first FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def duplicate_docs(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("revision"))
+    return rows.groupBy("revision").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 9 <> 0), s AS (SELECT vec_id, CASE WHEN vec_id % 8 = 0 THEN list_transform(embedding, lambda x: x + 0.5::FLOAT) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 11 <> 0)
+SELECT coalesce(e.vec_id, s.vec_id) AS vec_id, CASE WHEN s.vec_id IS NULL THEN 'missing' WHEN e.vec_id IS NULL THEN 'foreign' ELSE 'different' END AS problem
+FROM e FULL JOIN s ON e.vec_id = s.vec_id WHERE s.vec_id IS NULL OR e.vec_id IS NULL OR e.vec_id % 8 = 0
+""")
+def snapshot_verify(spark, sf):
+    """Stored vectors against those expected."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = F.when(F.col("vec_id") % 8 == 0, F.transform("embedding", lambda x: x + 0.5)).otherwise(F.col("embedding"))
+    return lifecycle.verify_vectors(v.where("vec_id % 11 <> 0").withColumn("embedding", moved), v.where("vec_id % 9 <> 0"), "vec_id")
+
+
+def _notes(spark, sf):
+    docs = table(spark, sf, "documents")
+    body = F.concat(F.lit("## "), F.col("source"), F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n### part\n\n")))
+    return docs.select(F.concat(F.col("doc_id"), F.lit(".md")).alias("source"), F.col("lang").alias("title"), body.alias("content"))
+
+
+@query()
+def chunk_markdown(spark, sf):
+    """Sections and packed chunks of every document as a note."""
+    found = chunking.chunk_notes(_notes(spark, sf), size=512, overlap=64)
+    return found.select("source", "chunk_index", "start_char", "end_char", "occurrence", F.concat_ws(" / ", "heading_path").alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT doc_id || '.md' AS source, 0::BIGINT AS gaps, 0::BIGINT AS wrong FROM documents")
+def chunk_lossless(spark, sf):
+    """No chunk differs from its slice, and no character is lost."""
+    notes = _notes(spark, sf)
+    return chunking.lossless(chunking.chunk_notes(notes, size=300, overlap=40), notes)
+
+
+@query("SELECT doc_id, 0::INT AS chunk_index, 0::INT AS start_char, length(text)::INT AS end_char FROM documents")
+def chunk_whole(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("lang").alias("title"), F.col("text").alias("content"))
+    out = chunking.whole_notes(docs)
+    return out.select(F.col("source").cast("long").alias("doc_id"), "chunk_index", "start_char", "end_char")
+
+
+def _hits(spark, sf):
+    """Four hits a query: overlapping windows of two documents, one blank, one repeated."""
+    docs = table(spark, sf, "documents").where("n_chars >= 200").select("doc_id", "text")
+    at = F.array(F.lit(0), F.lit(60), F.lit(60), F.lit(150))
+    rows = docs.select("doc_id", "text", F.posexplode(at).alias("pos", "start_char"))
+    start = F.col("start_char")
+    return rows.select(
+        (F.col("doc_id") % 50).alias("query_id"), F.lit("v1").alias("index_version"), "doc_id", F.lit("r").alias("document_revision"),
+        F.concat_ws("-", "doc_id", "start_char").alias("chunk_id"), start.cast("int").alias("start_char"), F.least(start + 100, F.length("text")).cast("int").alias("end_char"),
+        F.substring(F.col("text"), start + 1, F.lit(100)).alias("content"), (F.col("doc_id") * 4 + F.col("pos")).cast("int").alias("rank"),
+    )
+
+
+@query("""
+WITH h AS (SELECT doc_id % 50 AS query_id, doc_id, unnest([0, 1, 2, 3]) AS pos, unnest([0, 60, 60, 150]) AS s FROM documents WHERE n_chars >= 200)
+SELECT query_id, (doc_id * 4 + pos)::INT AS rank, CASE WHEN pos = 2 THEN 'duplicate' ELSE 'kept' END AS action FROM h
+""")
+def evidence_prepared(spark, sf):
+    """Blank and repeated evidence is left out, with the reason."""
+    return context.prepared(_hits(spark, sf)).select("query_id", "rank", "action")
+
+
+@query("""
+WITH d AS (SELECT doc_id, text FROM documents WHERE n_chars >= 200)
+SELECT doc_id % 50 AS query_id, doc_id, 0::INT AS start_char, least(250, length(text))::INT AS end_char, sha256(substr(text, 1, 250)) AS sha256, 3::BIGINT AS parts FROM d
+""")
+def evidence_merged(spark, sf):
+    """Overlapping windows of one document as one span of its text."""
+    hits = context.prepared(_hits(spark, sf)).where("action = 'kept'")
+    return context.merged(hits).select("query_id", "doc_id", "start_char", "end_char", F.sha2("content", 256).alias("sha256"), "parts")
+
+
+@query()
+def pack_budget(spark, sf):
+    """Greedy packing of evidence under a budget."""
+    hits = context.prepared(_hits(spark, sf)).where("action = 'kept'")
+    return context.pack(hits, budget=600)
+
+
+# Answers: each document claims its own first words, and some cite what they should not.
+def _claims(spark, sf):
+    docs = table(spark, sf, "documents").where("n_chars >= 60")
+    d = F.col("doc_id")
+    quote = F.struct(F.lit("S1").alias("source_id"), F.when(d % 6 == 0, "no such words").otherwise(F.substring("text", 1, 40)).alias("text"))
+    ids = F.when(d % 4 == 0, F.array().cast("array<string>")).when(d % 4 == 1, F.array(F.lit("S1"), F.lit("S9"))).otherwise(F.array(F.lit("S1")))
+    text = F.when(d % 9 == 0, "as [S1] says").otherwise("as it says")
+    claims = docs.select(d.alias("answer_id"), F.lit(0).alias("claim_index"), text.alias("text"), ids.alias("source_ids"), F.array(quote).alias("quotes"))
+    sources = docs.select(d.alias("answer_id"), F.lit("S1").alias("source_id"), F.col("text").alias("content"), F.lit(0).alias("start_char"))
+    return claims, sources
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 6 = 0 THEN 'no such words' ELSE substr(text, 1, 40) END AS q FROM documents WHERE n_chars >= 60),
+i AS (SELECT doc_id, 'missing_reference' AS code, NULL AS source_id FROM d WHERE doc_id % 4 = 0
+ UNION ALL SELECT doc_id, 'unknown_source', 'S9' FROM d WHERE doc_id % 4 = 1
+ UNION ALL SELECT doc_id, 'inline_reference', NULL FROM d WHERE doc_id % 9 = 0
+ UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'quote_not_referenced' WHEN NOT contains(text, q) THEN 'quote_not_found' ELSE 'ambiguous_quote' END, 'S1' FROM d
+   WHERE doc_id % 4 = 0 OR NOT contains(text, q) OR contains(substr(text, instr(text, q) + 1), q))
+SELECT doc_id AS answer_id, 0::INT AS claim_index, code, source_id FROM i
+""")
+def citation_validate(spark, sf):
+    """What is wrong with each claim's references and quotes."""
+    return context.issues(*_claims(spark, sf))
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 6 = 0 THEN 'no such words' ELSE substr(text, 1, 40) END AS q FROM documents WHERE n_chars >= 60 AND doc_id % 4 <> 0)
+SELECT doc_id AS answer_id, (instr(text, q) - 1)::INT AS start_char, (instr(text, q) - 1 + length(q))::INT AS end_char FROM d WHERE contains(text, q) AND NOT contains(substr(text, instr(text, q) + 1), q)
+""")
+def quote_spans(spark, sf):
+    """Places of quotes that occur once."""
+    return context.quote_places(*_claims(spark, sf)).where("start_char IS NOT NULL").select("answer_id", "start_char", "end_char")
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN '[1][2]' ELSE '[1]' END AS m, CASE WHEN doc_id % 9 = 0 THEN 'as \\[S1\\] says' ELSE 'as it says' END AS t FROM documents WHERE n_chars >= 60)
+SELECT doc_id AS answer_id, t || ' ' || m AS body FROM d
+""")
+def rendered_claims(spark, sf):
+    """Claims as inert Markdown with numbered sources."""
+    return context.rendered_claims(_claims(spark, sf)[0])

@@ -1 +1,222 @@
-"""Queries."""
+"""Queries of statistics and experiment design over labels and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tarn.operators import answers, irmetrics, stats
+from tarn.plans.registry import query, table
+
+Z = "1.959963984540054"
+
+
+def _six(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _wilson(s, n):
+    mid = f"({s}/{n}::DOUBLE + {Z}*{Z}/(2*{n}))/(1+{Z}*{Z}/{n})"
+    half = f"{Z}*sqrt({s}/{n}::DOUBLE*(1-{s}/{n}::DOUBLE)/{n} + {Z}*{Z}/(4.0::DOUBLE*{n}*{n}))/(1+{Z}*{Z}/{n})"
+    return f"CASE WHEN {n} > 0 THEN round(greatest(0, {mid} - {half}), 6) END", f"CASE WHEN {n} > 0 THEN round(least(1, {mid} + {half}), 6) END"
+
+
+_LOW, _HIGH = _wilson("s", "n")
+
+
+@query(f"WITH g AS (SELECT source, count(*) FILTER (WHERE quality = 1)::DOUBLE AS s, count(quality)::DOUBLE AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source) SELECT source, n::BIGINT AS n, {_LOW} AS low, {_HIGH} AS high FROM g")
+def wilson(spark, sf):
+    """Interval of the share of good documents, by source; null without labels."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    g = rows.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("s"), F.count("quality").alias("n"))
+    low, high = stats.wilson(F.col("s"), F.col("n"))
+    return g.select("source", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+# Two reviewers of a document: grades from its labels and from its id.
+@query("""
+WITH p AS (SELECT (quality * 2 + toxic)::INT AS a, ((quality * 2 + toxic + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END) % 4)::INT AS b FROM labels),
+n AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS exact, avg(pow((a - b) / 3.0::DOUBLE, 2)) AS o FROM p),
+e AS (SELECT sum(x * y * pow((a - b) / 3.0::DOUBLE, 2)) AS e FROM (SELECT a, count(*) AS x FROM p GROUP BY a), (SELECT b, count(*) AS y FROM p GROUP BY b))
+SELECT n::BIGINT AS pairs, round(exact, 6) AS exact, round(1 - o / (e / (n * n)), 6) AS kappa FROM n, e
+""")
+def kappa(spark, sf):
+    """Agreement of two reviewers with quadratic weights."""
+    first = (F.col("quality") * 2 + F.col("toxic")).cast("int")
+    pairs = table(spark, sf, "labels").select(first.alias("first"), ((first + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)) % 4).alias("second"))
+    return _six(stats.weighted_kappa(pairs), "exact", "kappa")
+
+
+# A judge that passes short documents, and knows nothing about some.
+CALIBRATION = "c AS (SELECT quality = 1 AS human, CASE WHEN doc_id % 10 = 3 THEN NULL ELSE n_chars < 3000 END AS judge, lang FROM documents JOIN labels USING (doc_id))"
+_FLOW, _FHIGH = _wilson("fp", "(fp+tn)")
+
+
+@query(f"""WITH {CALIBRATION}, m AS (SELECT lang, count(*) FILTER (WHERE judge AND human) AS tp, count(*) FILTER (WHERE judge AND NOT human) AS fp, count(*) FILTER (WHERE NOT judge AND NOT human) AS tn,
+count(*) FILTER (WHERE NOT judge AND human) AS fn, count(*) FILTER (WHERE judge IS NULL) AS missing, count(*) AS cases FROM c GROUP BY lang)
+SELECT lang, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, missing::BIGINT AS missing, cases::BIGINT AS cases, round((cases - missing) / cases::DOUBLE, 6) AS coverage,
+round(fp / nullif(fp + tn, 0)::DOUBLE, 6) AS false_accept, {_FLOW} AS false_accept_low, {_FHIGH} AS false_accept_high, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall FROM m""")
+def confusion(spark, sf):
+    """A judge against people, by language."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    rows = rows.select("lang", (F.col("quality") == 1).alias("human"), F.when(F.col("doc_id") % 10 == 3, F.lit(None)).otherwise(F.col("n_chars") < 3000).alias("judge"))
+    return _six(stats.confusion(rows, "human", "judge", ["lang"]), "coverage", "false_accept", "false_accept_low", "false_accept_high", "recall")
+
+
+# Families: users; cases: hours; arms: views and clicks.
+def _trials(spark, sf):
+    e = table(spark, sf, "events").where("event_type IN ('view', 'click') AND value IS NOT NULL")
+    arm = F.when(F.col("event_type") == "view", "left").otherwise("right")
+    rows = e.select(F.col("user_id").alias("family_id"), (F.col("event_id") % 3).alias("case_id"), arm.alias("arm"), "value")
+    whole = rows.groupBy("family_id", "case_id").agg(F.count_distinct("arm").alias("n")).where("n = 2")
+    return rows.join(whole.select("family_id", "case_id"), ["family_id", "case_id"], "left_semi")
+
+
+FAMILIES = """c AS (SELECT user_id AS family_id, event_id % 3 AS case_id, avg(value) FILTER (WHERE event_type = 'view') AS l, avg(value) FILTER (WHERE event_type = 'click') AS r
+FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL GROUP BY ALL HAVING l IS NOT NULL AND r IS NOT NULL),
+f AS (SELECT family_id, avg(l) AS left_mean, avg(r) AS right_mean FROM c GROUP BY family_id)"""
+
+
+@query(f"WITH {FAMILIES} SELECT family_id, round(left_mean, 6) AS left_mean, round(right_mean, 6) AS right_mean, round(right_mean - left_mean, 6) AS delta FROM f")
+def family_means(spark, sf):
+    return _six(stats.family_means(_trials(spark, sf)), "left_mean", "right_mean", "delta")
+
+
+@query(f"""WITH {FAMILIES} SELECT count(*)::BIGINT AS families, round(avg(left_mean), 6) AS left_mean, round(avg(right_mean), 6) AS right_mean, round(avg(right_mean - left_mean), 6) AS delta,
+count(*) FILTER (WHERE right_mean > left_mean)::BIGINT AS wins, count(*) FILTER (WHERE right_mean = left_mean)::BIGINT AS ties, count(*) FILTER (WHERE right_mean < left_mean)::BIGINT AS losses FROM f""")
+def paired_summary(spark, sf):
+    return _six(stats.paired_summary(stats.family_means(_trials(spark, sf))), "left_mean", "right_mean", "delta")
+
+
+@query()
+def bootstrap_ci(spark, sf):
+    """Percentile interval over resampled families."""
+    return _six(stats.bootstrap(stats.family_means(_trials(spark, sf)), resamples=1000), "delta", "low", "high")
+
+
+@query("SELECT id FROM (SELECT DISTINCT doc_id AS id FROM documents) ORDER BY sha256('7:' || id) LIMIT 25")
+def hash_sample(spark, sf):
+    """A sample that doesn't depend on the order of rows."""
+    return stats.sampled_ids(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), 7, 25)
+
+
+@query("""SELECT event_type, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY event_type""")
+def latency_percentiles(spark, sf):
+    return irmetrics.latency(table(spark, sf, "events"), "value", ["event_type"])
+
+
+# Trials: a user's purchases; a trial passes if it is over 50.
+TRIALS = "t AS (SELECT user_id AS case_id, value > 50 AS success, event_type AS model FROM events WHERE event_type IN ('view', 'click', 'purchase'))"
+KIND = "CASE WHEN count(*) < 3 THEN 'incomplete' WHEN count(*) FILTER (WHERE success) = count(*) THEN 'always_pass' WHEN count(*) FILTER (WHERE success) = 0 THEN 'always_fail' ELSE 'flaky' END"
+
+
+def _runs(spark, sf):
+    e = table(spark, sf, "events").where("event_type IN ('view', 'click', 'purchase')")
+    return e.select(F.col("user_id").alias("case_id"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("success"), F.col("event_type").alias("model"))
+
+
+@query(f"WITH {TRIALS} SELECT model, case_id, count(*)::BIGINT AS trials, count(*) FILTER (WHERE success)::BIGINT AS passes, {KIND} AS stability FROM t GROUP BY model, case_id")
+def case_stability(spark, sf):
+    """Cases that always pass, never pass, or waver."""
+    return answers.stability(_runs(spark, sf), 3, ["model"])
+
+
+@query(f"""WITH {TRIALS}, r AS (SELECT case_id, model, CASE model WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS size, count(*) FILTER (WHERE success) / count(*)::DOUBLE AS rate FROM t GROUP BY ALL),
+b AS (SELECT *, lag(rate) OVER (PARTITION BY case_id ORDER BY size) AS before FROM r)
+SELECT model, count(*)::BIGINT AS cases, count(*) FILTER (WHERE rate > before)::BIGINT AS wins, count(*) FILTER (WHERE rate < before)::BIGINT AS regressions FROM b GROUP BY model""")
+def model_changes(spark, sf):
+    """Wins and regressions of each model against the one before it in size."""
+    size = F.when(F.col("model") == "view", 1).when(F.col("model") == "click", 2).otherwise(3)
+    rates = _runs(spark, sf).groupBy("case_id", "model").agg((F.count_if("success") / F.count("*")).alias("rate")).withColumn("size", size)
+    found = answers.model_changes(rates)
+    n = lambda v: F.count_if(F.col("change") == v)
+    return found.groupBy("model").agg(F.count("*").alias("cases"), n("win").alias("wins"), n("regression").alias("regressions"))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0), f AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 9 = 0)
+SELECT doc_id, 'missing' AS problem FROM e WHERE doc_id NOT IN (SELECT doc_id FROM f)
+UNION ALL SELECT DISTINCT doc_id, 'extra' FROM f WHERE doc_id NOT IN (SELECT doc_id FROM e)
+UNION ALL SELECT doc_id, 'duplicate' FROM f GROUP BY doc_id HAVING count(*) > 1
+""")
+def completion_gate(spark, sf):
+    """Rows that a run lacks, has too many of, or has twice."""
+    expected = table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id").distinct()
+    labels = table(spark, sf, "labels").select("doc_id")
+    return stats.gate(expected, labels.unionByName(labels.where("doc_id % 9 = 0")), ["doc_id"])
+
+
+@query("SELECT lang, source, count(*)::BIGINT AS n FROM documents GROUP BY lang, source")
+def dataset_profile(spark, sf):
+    return stats.profile(table(spark, sf, "documents"), ["lang", "source"])
+
+
+@query(r"""SELECT sha256(regexp_replace(trim(lower(text)), '\s+', ' ', 'g')) AS fingerprint, list_sort(list(doc_id))::VARCHAR AS ids, count(*)::BIGINT AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def query_dedup(spark, sf):
+    """Texts that differ in case and white space only."""
+    from tarn.functions.text import query_fingerprint
+
+    found = stats.duplicates(table(spark, sf, "documents"), query_fingerprint(F.col("text")), "doc_id")
+    return found.withColumn("ids", F.concat(F.lit("["), F.concat_ws(", ", F.col("ids").cast("array<string>")), F.lit("]")))
+
+
+@query("""
+WITH j AS (SELECT doc_id, 'g' || (doc_id % 5) AS q FROM documents), l AS (SELECT doc_id, quality FROM labels)
+SELECT count(*)::BIGINT AS expected, count(quality)::BIGINT AS judged, (count(*) - count(quality))::BIGINT AS pending, round(count(quality) / count(*)::DOUBLE, 6) AS coverage,
+count(*) FILTER (WHERE quality IS NOT NULL AND doc_id % 2 = 0)::BIGINT AS timed, round(avg(CASE WHEN quality IS NOT NULL AND doc_id % 2 = 0 THEN doc_id + 1.0 END), 6) AS mean_ms FROM j LEFT JOIN l USING (doc_id)
+""")
+def review_progress(spark, sf):
+    """How far a review has come."""
+    key = F.concat(F.lit("g"), F.col("doc_id") % 5)
+    expected = table(spark, sf, "documents").select(key.alias("query_id"), F.col("doc_id").alias("source"))
+    done = table(spark, sf, "labels").where("quality IS NOT NULL").select(
+        key.alias("query_id"), F.col("doc_id").alias("source"), F.col("quality").alias("grade"), F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") + 1).cast("double")).alias("duration_ms")
+    )
+    return _six(stats.review_progress(expected, done), "coverage", "mean_ms")
+
+
+@query("SELECT doc_id, (doc_id % 4)::BIGINT AS method, ((doc_id % 4) + doc_id) % 4 AS place FROM documents")
+def rotated_order(spark, sf):
+    """Run order that starts one step later for each case."""
+    d = F.col("doc_id")
+    return table(spark, sf, "documents").select("doc_id", (d % 4).alias("method"), stats.rotated(d % 4, d, 4).alias("place"))
+
+
+@query("""
+WITH q AS (SELECT item_id AS query_id, (item_id % 7) AS family_id, CASE WHEN item_id % 5 = 0 THEN 'test' ELSE 'dev' END AS split, item_id AS span_id FROM benchmark),
+e AS (SELECT doc_id AS span_id, source, lang FROM documents WHERE doc_id % 3 <> 0),
+p AS (SELECT 'unknown_span' AS problem, span_id::VARCHAR AS key FROM q WHERE span_id NOT IN (SELECT span_id FROM e)
+ UNION SELECT 'split_leak', family_id::VARCHAR FROM q GROUP BY family_id HAVING count(DISTINCT split) > 1
+ UNION SELECT 'unknown_query', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT query_id FROM q)
+ UNION SELECT 'wrong_revision', span_id::VARCHAR FROM e WHERE lang <> 'en')
+SELECT problem, key FROM p
+""")
+def dataset_integrity(spark, sf):
+    """Broken references, split leaks and wrong revisions of a dataset."""
+    item = F.col("item_id")
+    queries = table(spark, sf, "benchmark").select(
+        item.alias("query_id"), (item % 7).alias("family_id"), F.when(item % 5 == 0, "test").otherwise("dev").alias("split"), F.array(item).alias("span_ids")
+    )
+    docs = table(spark, sf, "documents")
+    spans = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("span_id"), "source", F.col("lang").alias("document_revision"))
+    corpus = docs.select("source").distinct().withColumn("document_revision", F.lit("en"))
+    qrels = table(spark, sf, "labels").select(F.col("doc_id").alias("query_id")).withColumn("source", F.lit("src1"))
+    return stats.integrity(queries, spans, qrels, corpus)
+
+
+@query("""
+SELECT s.doc_id AS query_id, s.doc_id AS doc_id, 'two_aspects' AS problem FROM labels s WHERE quality = 1 AND toxic = 1
+UNION ALL SELECT d.doc_id, d.doc_id, 'no_aspect' FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 2 = 0 AND coalesce(quality, 0) = 0 AND coalesce(toxic, 0) = 0
+""")
+def aspect_problems(spark, sf):
+    """Relevant documents under no aspect, and any under two."""
+    labels = table(spark, sf, "labels")
+    one = lambda c: labels.where(F.col(c) == 1).select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(c).alias("aspect_id"))
+    qrels = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("grade"))
+    return stats.aspect_problems(one("quality").unionByName(one("toxic")), qrels)
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS n, count(v)::BIGINT AS known, round(sum(v), 6) AS total, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(max(v), 6) AS most
+FROM (SELECT event_type, CASE WHEN event_id % 11 <> 0 THEN value END AS v FROM events) GROUP BY event_type""")
+def cost_distribution(spark, sf):
+    rows = table(spark, sf, "events").select("event_type", F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("v"))
+    return answers.costs(rows, "v", ["event_type"])

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.functions.lazy import pandas_udf
+
 
 def _pairs(items):
     found = dict(items)
@@ -23,7 +25,7 @@ def _constant(name):
     raise ValueError(f"{name} is not JSON")
 
 
-@F.pandas_udf("struct<json:string, error:string>")
+@pandas_udf("struct<json:string, error:string>")
 def strict_json(lines: pd.Series) -> pd.DataFrame:
     """Canonical JSON of each line, or what is wrong with it (repeated keys and NaN included)."""
     rows = []

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions.lazy import pandas_udf
+
 
 def note_files(spark: SparkSession, folder: str) -> DataFrame:
     """``source, raw, size, modified`` of the ``*.md`` files right in a folder, by name.
@@ -17,7 +19,7 @@ def note_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source"), F.col("content").alias("raw"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-@F.pandas_udf("struct<title:string, content:string>")
+@pandas_udf("struct<title:string, content:string>")
 def parsed_note(source: pd.Series, raw: pd.Series) -> pd.DataFrame:
     """Title and body: the first ``# `` line is the title and leaves the body, else the file's stem.
 
