@@ -102,11 +102,11 @@ def _batched(batches):
                 yield pd.DataFrame({"_ids": [part["_id"].tolist()], "_xs": [np.array(part["_x"].tolist(), dtype=np.float64).tobytes()], "_dim": [dim]})
 
 
-def partitioned_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int, probes: int, id_col: str = "vec_id", vector: str = "embedding", seed: int = 7, sample: int = 4096) -> DataFrame:
+def partitioned_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int, probes: int, spill: int = 2, id_col: str = "vec_id", vector: str = "embedding", seed: int = 7, sample: int = 4096) -> DataFrame:
     """Approximate cosine search: inverted lists of unit vectors, exact ranks within.
 
-    Centres are fitted on at most ``sample`` rows; every row is indexed. Each
-    query looks into its ``probes`` nearest cells.
+    Centres are fitted on at most ``sample`` rows; every row is indexed, in its
+    ``spill`` nearest cells. Each query looks into its ``probes`` nearest cells.
     """
     spark = vectors.sparkSession
     rows = vectors.select(unit(F.col(vector)).alias("u")).where("u IS NOT NULL").limit(sample).collect()
@@ -128,10 +128,10 @@ def partitioned_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int
 
         return cell
 
-    indexed = vectors.select(id_col, unit(F.col(vector)).alias("u")).where("u IS NOT NULL").withColumn("cell", nearest(1)("u")[0])
+    indexed = vectors.select(id_col, unit(F.col(vector)).alias("u")).where("u IS NOT NULL").withColumn("cell", F.explode(nearest(spill)("u")))
     asked = queries.select("query_id", unit(F.col("query_vector")).alias("q")).where("q IS NOT NULL")
     asked = asked.withColumn("cell", F.explode(nearest(probes)("q")))
-    scored = asked.join(indexed, "cell").select("query_id", id_col, F.round(dot(F.col("q"), F.col("u")), 6).alias("score"))
+    scored = asked.join(indexed, "cell").select("query_id", id_col, F.round(dot(F.col("q"), F.col("u")), 6).alias("score")).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

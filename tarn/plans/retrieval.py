@@ -186,7 +186,7 @@ def vector_validate(spark, sf):
 def ann_recall(spark, sf):
     """Recall of the inverted-list search against the exact one, by query."""
     exact_ = vector.cosine_top_k(_vector_queries(spark, sf), _vectors(spark, sf), 10)
-    near = vector.partitioned_top_k(_vector_queries(spark, sf), _vectors(spark, sf), 10, cells=16, probes=8)
+    near = vector.partitioned_top_k(_vector_queries(spark, sf), _vectors(spark, sf), 10, cells=16, probes=8, spill=3)
     return irmetrics.neighbour_recall(exact_, near, 10)
 
 

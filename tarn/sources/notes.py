@@ -12,11 +12,22 @@ from tarn.functions.lazy import pandas_udf
 def note_files(spark: SparkSession, folder: str) -> DataFrame:
     """``source, raw, size, modified`` of the ``*.md`` files right in a folder, by name.
 
-    The suffix is matched as written; subfolders aren't entered.
+    The suffix is matched as written; subfolders aren't entered. Spark's readers
+    leave out files without bytes, so those are listed by the file system.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "false").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source"), F.col("content").alias("raw"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    decoded = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    read = files.select(decoded.alias("source"), F.col("content").alias("raw"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    empty = spark.createDataFrame(_empty_files(spark, folder), "source string, raw binary, size long, modified long")
+    return read.unionByName(empty.withColumn("modified", F.timestamp_millis("modified")))
+
+
+def _empty_files(spark: SparkSession, folder: str) -> list[tuple]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    named = ((f.getPath().getName(), f) for f in found if f.isFile() and f.getLen() == 0)
+    return [(name, b"", 0, f.getModificationTime()) for name, f in named if name.endswith(".md")]
 
 
 @pandas_udf("struct<title:string, content:string>")
