@@ -159,7 +159,8 @@ def near_duplicates(
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     keys = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    reached = connected_components(links(keys.select("fp"), max_distance)).withColumnRenamed("node", "fp")
+    found = links(keys.select("fp"), max_distance)
+    reached = connected_components(found, contracted=True).withColumnRenamed("node", "fp")
     rooted = keys.join(reached, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
