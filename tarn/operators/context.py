@@ -41,6 +41,19 @@ def prepared(hits: DataFrame) -> DataFrame:
     return hits.withColumn("action", F.when(blank, "empty").when(nth > 1, "duplicate").otherwise("kept"))
 
 
+def verified(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """Hits that are snapshot records as stored; any other raises before it can be cited.
+
+    Both: ``index_version, chunk_id, doc_id, document_revision, start_char,
+    end_char, content``.
+    """
+    facts = ["index_version", "chunk_id", "doc_id", "document_revision", "start_char", "end_char", "content"]
+    odd = hits.join(records.select(*facts).distinct(), facts, "left_anti").select("chunk_id").limit(1).collect()
+    if odd:
+        raise ValueError(f"not a record of the snapshot: {odd[0]['chunk_id']}")
+    return hits
+
+
 def merged(hits: DataFrame) -> DataFrame:
     """Overlapping spans of one document revision as one; raises if they disagree."""
     out = merged_evidence(hits, KEYS)
@@ -275,7 +288,7 @@ def rendered_claims(claims: DataFrame) -> DataFrame:
 def single_json_block(text: Column) -> Column:
     """The one fenced JSON block of a text; null if there are none or several."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?[ \t]*\n(.*?)```"), F.lit(1))
-    return F.when(F.size(found) == 1, F.trim(found[0]))
+    return F.when(F.size(found) == 1, F.regexp_replace(found[0], r"^\s+|\s+$", ""))
 
 
 def citation_summary(found: DataFrame, claims: DataFrame) -> DataFrame:

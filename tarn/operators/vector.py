@@ -2,12 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import asdict, dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class EmbeddingSpec:
+    """What vectors must share to be compared."""
+
+    model: str
+    dimensions: int
+    revision: str = ""
+    template: str = "title-and-body"
+    provider: str = "local"
+    normalization: str = "l2"
+    dtype: str = "float64"
+
+    def __post_init__(self):
+        if not self.model.strip() or type(self.dimensions) is not int or self.dimensions < 1:
+            raise ValueError("a model and its positive number of dimensions are needed")
+        if self.normalization not in ("none", "l2") or self.dtype not in ("float32", "float64"):
+            raise ValueError("unknown normalization or type")
+
+    @property
+    def fingerprint(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+
+    def require(self, other: EmbeddingSpec) -> None:
+        """Raises if queries and index were embedded in different ways."""
+        if self.fingerprint != other.fingerprint:
+            raise ValueError(f"vectors differ in kind: {self} and {other}")
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.operators import evidence, irmetrics
+from tarn.operators import evidence, irmetrics, runs
 from tarn.plans.registry import query, table
 from tarn.plans.retrieval import BM25, COSINE, COSINE_RANKED, LEGS, RANKED, _bm25, _cosine, _lists
 
@@ -243,3 +243,47 @@ SELECT doc_id, chars::BIGINT AS chars, union_chars::BIGINT AS union_chars, round
 def context_report(spark, sf):
     """How much evidence overlaps, and how much of it packing kept."""
     return _six(evidence.context_report(_spans(spark, sf), F.col("span") < 3, ["doc_id"]), "duplicate_fraction", "retained")
+
+
+@query("""
+WITH v AS (SELECT doc_id, source AS family_id, CASE WHEN quality IS NOT NULL THEN quality + toxic / 2.0::DOUBLE END AS v FROM documents LEFT JOIN labels USING (doc_id)),
+f AS (SELECT family_id, avg(v) AS m FROM v GROUP BY family_id)
+SELECT (SELECT count(*) FROM v)::BIGINT AS cases, (SELECT count(v) FROM v)::BIGINT AS defined, round((SELECT avg(v) FROM v), 6) AS case_mean, count(m)::BIGINT AS families, round(avg(m), 6) AS family_mean FROM f
+""")
+def pilot_summary(spark, sf):
+    """A mean over cases beside a mean over families of cases."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    values = rows.select(F.col("source").alias("family_id"), (F.col("quality") + F.col("toxic") / 2.0).alias("v"))
+    return _six(runs.case_and_family_means(values, "v"), "case_mean", "family_mean")
+
+
+@query("SELECT user_id AS case_id FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING count(DISTINCT CASE WHEN value > 60 THEN event_type END) < 2")
+def undefined_cases(spark, sf):
+    """Cases that a comparison leaves out, as an arm has no value."""
+    e = table(spark, sf, "events").where("event_type IN ('view', 'click')")
+    values = e.groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("arm")).agg(F.max(F.when(F.col("value") > 60, F.col("value"))).alias("v"))
+    return runs.comparable(values, "v", 2)[1]
+
+
+@query("""
+WITH b AS (SELECT doc_id, md5(text) AS r FROM documents WHERE doc_id % 10 <> 1), a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN md5(text || '!') ELSE md5(text) END AS r FROM documents WHERE doc_id % 10 <> 2)
+SELECT (count(*) FILTER (WHERE a.r = b.r))::BIGINT AS fresh, (count(*) FILTER (WHERE a.r <> b.r))::BIGINT AS stale, (count(*) FILTER (WHERE b.r IS NULL))::BIGINT AS absent FROM a LEFT JOIN b USING (doc_id)
+""")
+def snapshot_freshness(spark, sf):
+    """Live documents that a snapshot has as they are, has outdated, or lacks."""
+    from tarn.plans.knowledge import _after, _before
+
+    return runs.freshness(_after(spark, sf), _before(spark, sf), "doc_id", "revision")
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN trim('{"k": ' || doc_id || '}') END AS block FROM documents
+""")
+def json_block(spark, sf):
+    """The one fenced JSON block of a text, or null: none or two are not repaired."""
+    from tarn.operators.context import single_json_block
+
+    one = F.concat(F.lit("```json\n{\"k\": "), F.col("doc_id"), F.lit("}\n```\n"))
+    kind = F.col("doc_id") % 3
+    text = F.when(kind == 1, F.concat(F.lit("see\n"), one)).when(kind == 2, F.concat(one, one)).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", single_json_block(text).alias("block"))
