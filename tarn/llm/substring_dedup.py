@@ -11,8 +11,8 @@ seen twice.
 Hits are then extended to maximal exact repeats: all windows that hold a hit are
 confirmed by 64-bit hashes of the window and of its least stretch (which also
 says where a window is sent, so neighbours travel together). Windows that a
-task's chunk holds twice are confirmed there and sent once, so a passage that
-many documents share costs a row for each chunk, not for each pair or document.
+task holds twice are confirmed there and sent once, so a passage that
+many documents share costs a few rows for each task, not for each pair or document.
 Runs of confirmed windows are the maximal repeats.
 """
 
@@ -30,7 +30,7 @@ from tarn.llm.common import carried, document_columns, emit, slices
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK_WORDS = 500_000
+CHUNK_WORDS = 500_000
 
 
 def _word_cache() -> Bounded:
@@ -62,8 +62,8 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - width)], x[size - width :]) if size > width else x
 
 
-def _chunks(batches, columns, cache, least):
-    """(rows, starts, word hashes) of some documents at a time; ``rows``: other columns.
+def _chunks(batches, columns, cache, least, most):
+    """Other columns and word hashes of some documents at a time, about ``most`` words.
 
     Documents of under ``least`` words are left out.
     """
@@ -78,14 +78,14 @@ def _chunks(batches, columns, cache, least):
                 rows.append(rest)
                 parts.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
                 size += len(words)
-                if size >= _CHUNK_WORDS:
+                if size >= most:
                     yield rows, parts
                     rows, parts, size = [], [], 0
     if rows:
         yield rows, parts
 
 
-def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 35, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``doc_id, row_key, spans``: first word and number of repeated windows, as int32 pairs.
 
     ``docs``: columns ``doc_id, row_key, text``.
@@ -96,7 +96,7 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
 
     def blocks(batches):
         cache = _word_cache()
-        for _, parts in _chunks(batches, (), cache, block):
+        for _, parts in _chunks(batches, (), cache, block, chunk_words):
             yield np.concatenate([rolling(p, block)[::block] for p in parts])
 
     seen = docs.sparkSession.sparkContext.broadcast(pair_filter(docs.select("text"), blocks, bits))  # MAX_BITS at most
@@ -106,13 +106,13 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     ddl = "key long, doc_id long, row_key long, start int, hashes binary, many binary, spans binary"
 
     def probe(batches):
-        cache, filters = _word_cache(), seen.value
+        cache, filters, known = _word_cache(), seen.value, Confirmed()
 
         def rows():
-            for ids, parts in _chunks(batches, ("doc_id", "row_key"), cache, window):
+            for ids, parts in _chunks(batches, ("doc_id", "row_key"), cache, window, chunk_words):
                 found = _candidates(parts, filters, window, block)
                 if found is not None:
-                    yield from _runs(ids, *found)
+                    yield from _runs(ids, known, *found)
 
         yield from emit(rows(), schema, lambda r: 80 + len(r[4] or b"") + len(r[6] or b""))
 
@@ -190,7 +190,30 @@ def _candidates(parts, filters, window, block):
     return tuple(map(np.concatenate, (docs, places, hashes, keys)))
 
 
-def _runs(ids, docs, places, hashes, keys):
+class Confirmed:
+    """Windows that a task has confirmed and sent, at most ``limit`` of them.
+
+    They needn't be sent again; forgetting some costs rows, not results.
+    """
+
+    def __init__(self, limit: int = 1_000_000):
+        self.limit = limit
+        self.hashes, self.keys = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def has(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return (self.hashes[at] == hashes) & (self.keys[at] == keys)
+
+    def add(self, hashes: np.ndarray, keys: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) <= self.limit:
+            hashes, keys = np.concatenate([self.hashes, hashes]), np.concatenate([self.keys, keys])
+        order = np.argsort(hashes, kind="stable")[: self.limit]
+        self.hashes, self.keys = hashes[order], keys[order]
+
+
+def _runs(ids, known, docs, places, hashes, keys):
     """Rows of a chunk: spans confirmed in it, then runs of windows to be confirmed."""
     order = np.lexsort((np.arange(len(hashes)), keys, hashes))
     h, k = hashes[order], keys[order]
@@ -200,6 +223,10 @@ def _runs(ids, docs, places, hashes, keys):
     many[order] = np.repeat(n > 1, n)
     first = np.zeros(len(h), bool)
     first[order[new]] = True
+    sent = known.has(hashes, keys)
+    many |= sent
+    first &= ~sent
+    known.add(hashes[many & first], keys[many & first])
 
     at = np.flatnonzero(many)
     cuts = np.flatnonzero(np.diff(docs[at])) + 1
@@ -216,7 +243,7 @@ def _runs(ids, docs, places, hashes, keys):
         yield int(signed[a]), doc_id, row_key, int(p[a]), h[a:b].tobytes(), m[a:b].tobytes(), None
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``doc_id, n_words, n_removed, text, spans`` and ``carry``, one row per input row.
 
     Words (split at ASCII white space) that a window of ``window`` words covers
@@ -224,14 +251,15 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     removed; windows are judged on the input. ``text``: kept words joined by one
     space; ``spans``: removed stretches as pairs (first word, words) of int32.
     Null and empty texts have no words; texts of under ``window`` words keep all;
-    repeated rows repeat each other's windows. Other columns are ignored.
+    repeated rows repeat each other's windows. Other columns are ignored. A task
+    looks at about ``chunk_words`` words at a time; that changes no result.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
     own = document_columns(docs, id_col, text_col, carry)
     names, more = carried(own, carry)
     own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(own.select("doc_id", "row_key", "text"), window)
+    spans = repeated_spans(own.select("doc_id", "row_key", "text"), window, chunk_words)
     spans = spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("found"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "found")
     joined = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")

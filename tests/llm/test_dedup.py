@@ -10,7 +10,7 @@ from tarn.llm.common import words_of
 from tarn.llm.components import connected_components, local_components
 from tarn.llm.line_dedup import line_dedup
 from tarn.llm.simhash import bands_of, fingerprint, links, near_duplicates
-from tarn.llm.substring_dedup import rolling, sliding_min, substring_dedup
+from tarn.llm.substring_dedup import Confirmed, rolling, sliding_min, substring_dedup
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -80,8 +80,8 @@ def brute_substrings(rows, window):
 
 def test_substrings(spark):
     rows = list(enumerate(texts(150, 2))) + [(None, "w1 " * 40), (3, "w1 " * 40), (900, "one two three four five six seven eight")]
-    for window in (2, 5, 8, 35):
-        got = [tuple(r) for r in substring_dedup(frame(spark, rows), window).select("doc_id", "n_words", "n_removed", "text").collect()]
+    for window, chunk in ((2, 500_000), (5, 60), (8, 200), (35, 90), (35, 500_000)):
+        got = [tuple(r) for r in substring_dedup(frame(spark, rows), window, chunk_words=chunk).select("doc_id", "n_words", "n_removed", "text").collect()]
         assert by_text(got) == by_text(brute_substrings(rows, window)), window
     assert substring_dedup(frame(spark, []).limit(0)).collect() == []
 
@@ -92,6 +92,14 @@ def test_a_passage_found_at_any_offset(spark):
     assert {r["n_removed"] for r in substring_dedup(frame(spark, rows)).collect()} == {36}
 
 
+def test_confirmed_windows_may_be_forgotten():
+    known = Confirmed(limit=3)
+    known.add(np.array([5, 1], np.uint64), np.array([50, 10], np.uint64))
+    assert known.has(np.array([1, 5, 5, 7], np.uint64), np.array([10, 50, 51, 70], np.uint64)).tolist() == [True, True, False, False]
+    known.add(np.array([9, 8, 7, 6], np.uint64), np.array([90, 80, 70, 60], np.uint64))
+    assert len(known.hashes) == 3 and known.has(np.array([6], np.uint64), np.array([60], np.uint64)).all()
+
+
 def test_rolling_depends_on_content_alone():
     a = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert (rolling(a, 7)[20:] == rolling(a[20:], 7)).all() and len(rolling(a[:6], 7)) == 0
