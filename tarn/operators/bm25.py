@@ -1,7 +1,7 @@
 """BM25 over many queries in one plan.
 
 The postings are pruned to the queries' terms before they are grouped, so the
-shuffle carries only terms that can score. Statistics (documents, document
+shuffle carries only terms that can score, by document. Statistics (documents, document
 frequencies, average length) are those of the whole corpus, whatever the filter.
 Every ranking is total: score, then document id.
 """
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from tarn.functions.text import terms
 
 
+#: Distinct (query, term) rows up to which the queries' side is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Bm25:
     k1: float = 1.2
@@ -66,21 +70,24 @@ def scores(
     ``keep``: a filter on documents, applied after the statistics are taken.
     """
     params = params or Bm25()
-    wanted = asked.select("term").distinct()
+    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    bounded = F.broadcast if small else lambda df: df
     kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
-    # tf is counted in each row; no shuffle carries a term that no query has
-    exploded = tokens.select(id_col, "length", kept.alias("kept"), F.explode("terms").alias("term"))
-    found = exploded.join(wanted, "term", "left_semi").groupBy("term", id_col, "length", "kept").agg(F.count("*").alias("tf"))
+    # No shuffle carries a term that no query has. Terms are dealt out by document, which
+    # serves the counts and the sums alike: votes are never shuffled. (An inner explode
+    # would have the optimiser tokenise twice, for a filter on empty lists.)
+    exploded = tokens.select(id_col, "length", kept.alias("kept"), F.explode_outer("terms").alias("term"))
+    dealt = exploded.join(bounded(asked.select("term").distinct()), "term", "left_semi").repartition(id_col)
+    found = dealt.groupBy("term", id_col, "length", "kept").agg(F.count("*").alias("tf"))
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     stats = F.broadcast(corpus_stats(tokens))  # one row
-    weighted = frequency.crossJoin(stats).select(
-        "term", "avg_length", F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
+    idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = frequency.crossJoin(stats).select("term", "avg_length", idf.alias("idf"))
     tf, b, k1 = F.col("tf"), params.b, params.k1
     norm = k1 * (1 - b + b * F.col("length") / F.col("avg_length"))
     part = F.col("idf") * tf * (k1 + 1) / (tf + norm)
-    votes = found.where("kept").join(weighted, "term").select("term", id_col, part.alias("part"))
-    return votes.join(asked, "term").groupBy(query_id, id_col).agg(F.sum("part").alias("score"))
+    votes = found.where("kept").join(bounded(asked.join(weights, "term")), "term")
+    return votes.groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.operators import agent, answers
-from tarn.plans.registry import query, table
+from tarn.plans.base import query, table
 
 
 @query("""

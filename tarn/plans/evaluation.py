@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.operators import evidence, irmetrics, runs
-from tarn.plans.registry import query, table
+from tarn.plans.base import query, table
 from tarn.plans.retrieval import BM25, COSINE, COSINE_RANKED, LEGS, RANKED, _bm25, _cosine, _lists
 
 # A ranking of vectors, judged by labels: 3 for the query's label, 1 for the next label.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.operators import chunking, context, lifecycle
-from tarn.plans.registry import query, table
+from tarn.plans.base import query, spread, table
 
 # Before and after: some documents are new, some gone, some edited.
 BEFORE = "b AS (SELECT doc_id, md5(text) AS r FROM documents WHERE doc_id % 10 <> 1)"
@@ -58,7 +58,7 @@ def snapshot_verify(spark, sf):
 
 
 def _notes(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
     body = F.concat(F.lit("## "), F.col("source"), F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n### part\n\n")))
     return docs.select(F.concat(F.col("doc_id"), F.lit(".md")).alias("source"), F.col("lang").alias("title"), body.alias("content"))
 

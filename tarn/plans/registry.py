@@ -1,33 +1,8 @@
-"""All registered queries of the engine and their SQL.
-
-Each takes (spark, sf_dir). Doubles are rounded to six digits on both sides, and
-rankings end in an integer key, so that both engines give the same rows.
-"""
+"""All registered queries of the engine and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its own name, with its SQL."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from tarn.plans import agents, evaluation, knowledge, relational, retrieval, statistics  # noqa: F401  they register
+from tarn.plans.base import ORACLES, QUERIES
 
-from tarn.plans import agents, evaluation, knowledge, relational, retrieval, statistics  # noqa: E402, F401  they register
+__all__ = ["ORACLES", "QUERIES"]

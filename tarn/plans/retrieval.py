@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.text import terms
 from tarn.operators import bm25, exact, fusion, irmetrics, vector
-from tarn.plans.registry import query, table
+from tarn.plans.base import query, spread, table
 
 TOKENS = r"""
 tok AS (SELECT doc_id, source, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS terms FROM documents),
@@ -30,7 +30,8 @@ RANKED = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 
 
 def _tokens(spark, sf):
-    return bm25.tokenised(table(spark, sf, "documents").select("doc_id", "source", "text"), F.col("text")).drop("text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return bm25.tokenised(docs, F.col("text")).drop("text")
 
 
 def _asked(spark, sf):
