@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.sources.tables import spread, table
+
 
 def vocabulary(name: str) -> str:
     """Place of a public vocabulary file."""
@@ -15,8 +17,9 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; a small one is dealt out to all cores."""
+    return spread(table(spark, sf_dir, name))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
