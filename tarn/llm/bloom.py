@@ -5,9 +5,9 @@ have seen once, the whole may have seen twice. So every task fills filters of it
 own, and segments of the bit arrays, not keys, are shuffled to be merged. The
 filters never miss a key; a false hit only sends it to an exact check.
 
-The bit arrays have a fixed bound (``MAX_BITS``), so they may be broadcast at any
-size of the input. Far beyond ``MAX_BITS / 16`` distinct keys they fill up, all
-keys become suspects, and the exact check that follows carries the whole load:
+The bit arrays have a stated bound (``MAX_BITS`` unless the caller gives another),
+so they may be broadcast at any size of the input. Far beyond a sixteenth of it in
+distinct keys they fill up, all keys become suspects, and the exact check that follows carries the whole load:
 slower, with the same results.
 """
 
@@ -31,9 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bits_for(keys: int, per_key: int = 16) -> int:
-    """Bits of a filter for so many keys: a power of two, one segment at least."""
-    return min(MAX_BITS, max(_SEGMENT, 1 << max(0, keys * per_key - 1).bit_length()))
+def bits_for(keys: int, per_key: int = 16, max_bits: int = MAX_BITS) -> int:
+    """Bits of a filter for so many keys: a power of two, one segment unless ``max_bits`` is less."""
+    if max_bits < 8 or max_bits & (max_bits - 1):
+        raise ValueError("max_bits is a power of two, 8 at least")
+    return min(max_bits, max(_SEGMENT, 1 << max(0, keys * per_key - 1).bit_length()))
 
 
 class PairFilter:
@@ -78,9 +80,13 @@ class PairFilter:
         self._set(self.twice, keys[again])
         self._set(self.once, keys)
 
+    @property
+    def segment_bytes(self) -> int:
+        return min(_SEGMENT, self.bits) // 8
+
     def segments(self) -> Iterator[tuple[int, bytes, bytes]]:
-        size = _SEGMENT // 8
-        for k in range(self.bits // _SEGMENT):
+        size = self.segment_bytes
+        for k in range(len(self.once) // size):
             once, twice = self.once[k * size : (k + 1) * size], self.twice[k * size : (k + 1) * size]
             if once.any():
                 yield k, _packed(once), _packed(twice)
@@ -94,17 +100,19 @@ def _packed(bits: np.ndarray) -> bytes:
     return b"d" + bits.tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes, size: int) -> np.ndarray:
     if data[:1] == b"d":
         return np.frombuffer(data, np.uint8, offset=1)
     n = (len(data) - 1) // 3
-    out = np.zeros(_SEGMENT // 8, np.uint8)
+    out = np.zeros(size, np.uint8)
     out[np.frombuffer(data, "<u2", n, 1)] = np.frombuffer(data, np.uint8, n, 1 + 2 * n)
     return out
 
 
 def pair_filter(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, probes: int = 5) -> PairFilter:
     """The filters over all keys that ``keys_of`` makes of the batches of ``df``."""
+    whole = PairFilter(bits, probes)
+    size = whole.segment_bytes
     schema = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
     ddl = "segment int, once binary, twice binary"
 
@@ -122,7 +130,7 @@ def pair_filter(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Ite
         held: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for k, once, twice in zip(*(b.column(c).to_pylist() for c in ("segment", "once", "twice")), strict=True):
-                once, twice = _unpacked(once), _unpacked(twice)
+                once, twice = _unpacked(once, size), _unpacked(twice, size)
                 if k in held:
                     first = held[k]
                     first[1] |= twice | (first[0] & once)
@@ -132,10 +140,8 @@ def pair_filter(df: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Ite
         for k, (once, twice) in held.items():
             yield batch([(k, _packed(once), _packed(twice))])
 
-    whole = PairFilter(bits, probes)
-    size = _SEGMENT // 8
     merged = df.mapInArrow(fill, ddl).repartition("segment").mapInArrow(merge, ddl)
     for k, once, twice in merged.toLocalIterator():  # at most 2 * MAX_BITS bits in all
-        whole.once[k * size : (k + 1) * size] = _unpacked(bytes(once))
-        whole.twice[k * size : (k + 1) * size] = _unpacked(bytes(twice))
+        whole.once[k * size : (k + 1) * size] = _unpacked(bytes(once), size)
+        whole.twice[k * size : (k + 1) * size] = _unpacked(bytes(twice), size)
     return whole

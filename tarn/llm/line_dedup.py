@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.bloom import bits_for, pair_filter
+from tarn.llm.bloom import MAX_BITS, bits_for, pair_filter
 from tarn.llm.common import carried, cut, document_columns, emit, pairs, slices
 
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -43,14 +43,14 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = 10, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, drop`` (digests): keys that a smaller doc_id holds too.
 
     ``docs``: columns ``doc_id, text``, ids not null.
     """
     text = F.col("text")
     n_lines = F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    bits = bits_for(int(docs.agg(n_lines).first()[0] or 0))
+    bits = bits_for(int(docs.agg(n_lines).first()[0] or 0), max_bits=max_bits)
 
     def hashes(batches):
         held, size = [], 0
@@ -65,7 +65,7 @@ def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
         if held:
             yield np.array(held, np.uint64)
 
-    seen = docs.sparkSession.sparkContext.broadcast(pair_filter(docs, hashes, bits))  # MAX_BITS at most
+    seen = docs.sparkSession.sparkContext.broadcast(pair_filter(docs, hashes, bits))  # max_bits at most
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
 
     def suspects(batches):
@@ -97,19 +97,20 @@ def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("drop"))
 
 
-def line_dedup(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text`` and ``carry``, one row per input row; text: the kept lines.
 
     Keys of at least ``least`` code points found in two documents or more lose
     all their lines but those of the smallest doc_id. Null and empty texts are
     one empty line and stay (as an empty text). Rows of one doc_id are one
     document. Rows without an id count as one document after all others. Other
-    columns are ignored; an empty table stays empty.
+    columns are ignored; an empty table stays empty. ``max_bits`` bounds a filter;
+    it changes no result.
     """
     own = document_columns(docs, id_col, text_col, carry)
     names, more = carried(own, carry)
     own = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    joined = own.join(repeated_lines(own.select("doc_id", "text"), least), "doc_id", "left")
+    joined = own.join(repeated_lines(own.select("doc_id", "text"), least, max_bits), "doc_id", "left")
 
     def kept(text, drop):
         text = text or ""

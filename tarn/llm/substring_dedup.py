@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.bloom import bits_for, mix, pair_filter
+from tarn.llm.bloom import MAX_BITS, bits_for, mix, pair_filter
 from tarn.llm.bpe import Bounded
 from tarn.llm.common import carried, document_columns, emit, slices
 
@@ -85,21 +85,21 @@ def _chunks(batches, columns, cache, least, most):
         yield rows, parts
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 35, chunk_words: int = CHUNK_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, row_key, spans``: first word and number of repeated windows, as int32 pairs.
 
     ``docs``: columns ``doc_id, row_key, text``.
     """
     block = (window + 1) // 2
     n_bytes = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bits = bits_for(n_bytes // (6 * block) + 1)
+    bits = bits_for(n_bytes // (6 * block) + 1, max_bits=max_bits)
 
     def blocks(batches):
         cache = _word_cache()
         for _, parts in _chunks(batches, (), cache, block, chunk_words):
             yield np.concatenate([rolling(p, block)[::block] for p in parts])
 
-    seen = docs.sparkSession.sparkContext.broadcast(pair_filter(docs.select("text"), blocks, bits))  # MAX_BITS at most
+    seen = docs.sparkSession.sparkContext.broadcast(pair_filter(docs.select("text"), blocks, bits))  # max_bits at most
     schema = pa.schema(
         [("key", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary()), ("many", pa.binary()), ("spans", pa.binary())]
     )
@@ -243,7 +243,7 @@ def _runs(ids, known, docs, places, hashes, keys):
         yield int(signed[a]), doc_id, row_key, int(p[a]), h[a:b].tobytes(), m[a:b].tobytes(), None
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_words: int = CHUNK_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, n_words, n_removed, text, spans`` and ``carry``, one row per input row.
 
     Words (split at ASCII white space) that a window of ``window`` words covers
@@ -252,14 +252,15 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     space; ``spans``: removed stretches as pairs (first word, words) of int32.
     Null and empty texts have no words; texts of under ``window`` words keep all;
     repeated rows repeat each other's windows. Other columns are ignored. A task
-    looks at about ``chunk_words`` words at a time; that changes no result.
+    looks at about ``chunk_words`` words at a time and ``max_bits`` bounds a filter;
+    neither changes a result.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
     own = document_columns(docs, id_col, text_col, carry)
     names, more = carried(own, carry)
     own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(own.select("doc_id", "row_key", "text"), window, chunk_words)
+    spans = repeated_spans(own.select("doc_id", "row_key", "text"), window, chunk_words, max_bits)
     spans = spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("found"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "found")
     joined = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")

@@ -58,6 +58,14 @@ def test_lines(spark):
     assert any(r[2] for r in got)
 
 
+def test_full_filters_change_no_result(spark):
+    rows = list(enumerate(texts(60, 6)))
+    got = [tuple(r) for r in line_dedup(frame(spark, rows), max_bits=64).select("doc_id", "n_lines", "n_dropped", "text").collect()]
+    assert by_text(got) == by_text(brute_lines(rows))
+    got = [tuple(r) for r in substring_dedup(frame(spark, rows), 6, max_bits=64).select("doc_id", "n_words", "n_removed", "text").collect()]
+    assert by_text(got) == by_text(brute_substrings(rows, 6))
+
+
 def test_lines_of_an_empty_table_and_carried_columns(spark):
     assert line_dedup(frame(spark, []).limit(0)).collect() == []
     out = line_dedup(frame(spark, [(1, "x" * 10), (2, "x" * 10)]), carry=("digest", "drop"))
