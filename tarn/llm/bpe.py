@@ -4,10 +4,10 @@ Two public vocabularies are supported, both read from the path that the caller
 gives: a byte-level one (``ByteLevelCounter``) and a lower-casing one with word
 ends (``WordEndCodec``).
 
-``WordEndCodec`` encodes long unsplit text by tree concatenation: halves are
-encoded on their own (all leaves of a text in one parallel call), then windows
-around each join are encoded again and grown until they agree with the tokens
-of both sides. Agreement is exact, not a guess:
+``WordEndCodec`` encodes long unsplit text by tree concatenation: halves of halves
+are encoded on their own, by threads side by side, then windows around each join
+are encoded again and grown until they agree with the tokens of both sides.
+Agreement is exact, not a guess:
 
 * between words, the splitting pattern has no look-behind, so a scan is
   memoryless at the start of a match; once the window's scan and the right
@@ -24,6 +24,7 @@ import heapq
 import json
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import regex
@@ -167,9 +168,10 @@ class WordEndCodec:
 
     ``leaf_chars``: the longest text that is split into words at one go.
     ``leaf_word``: the longest word that is merged at one go.
+    ``threads``: leaves of one text that are encoded at a time.
     """
 
-    def __init__(self, path: str, leaf_chars: int = 32_768, leaf_word: int = 2_048):
+    def __init__(self, path: str, leaf_chars: int = 32_768, leaf_word: int = 2_048, threads: int = 2):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         spec = read_vocabulary(path)
@@ -187,6 +189,15 @@ class WordEndCodec:
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.strings[i] = token
         self.cache = Bounded(self._word)
+        self.threads = threads
+
+    @functools.cached_property
+    def _pool(self) -> ThreadPoolExecutor:
+        return ThreadPoolExecutor(self.threads)
+
+    def _leaves(self, encode, *parts) -> list:
+        """Encodings of the leaves of one text, side by side."""
+        return list((self._pool.map if self.threads > 1 else map)(encode, *parts))
 
     # words ---------------------------------------------------------------
 
@@ -205,7 +216,7 @@ class WordEndCodec:
         """Spans of the words of a normalised text, by tree concatenation."""
         n = len(text)
         bounds = list(range(0, n, self.leaf_chars)) + [n]
-        parts = [self._scan(text, a, b, fast) for a, b in zip(bounds, bounds[1:], strict=False)]
+        parts = self._leaves(lambda a, b: self._scan(text, a, b, fast), bounds[:-1], bounds[1:])
         edges = list(zip(bounds, bounds[1:], strict=False))
         while len(parts) > 1:  # neighbours join pair by pair
             joined, spans = [], []
@@ -269,7 +280,8 @@ class WordEndCodec:
             return self._direct(word, last)
         parts = [word[i : i + self.leaf_word] for i in range(0, len(word), self.leaf_word)]
         raw = [p.encode() for p in parts]
-        ids = [self._direct(p, last and i == len(parts) - 1) for i, p in enumerate(parts)]
+        _ = self._inner  # made before the threads need it
+        ids = self._leaves(self._direct, parts, [False] * (len(parts) - 1) + [last])
         while len(ids) > 1:
             joined, data = [], []
             for k in range(0, len(ids) - 1, 2):
