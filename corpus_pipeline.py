@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import line_dedup as lines
-from tarn.llm import packing, quality_cnn, simhash
+from tarn.llm import near, packing, quality_cnn
 from tarn.llm import substring_dedup as substrings
 from tarn.llm.common import table
 from tarn.llm.queries import read, vocabulary
@@ -37,8 +37,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays."""
-    marked = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """The document with the smallest id of each group of near copies stays.
+
+    Near copies have a Jaccard similarity of 0.8 or more over five-word shingles.
+    """
+    marked = near.near_copies(docs.select("doc_id", "text"))
     gone = marked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -57,7 +60,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup at similarity 0.8", near_dedup),
     ("substring dedup", substring_dedup),
     ("best-fit packing", pack),
 ]
