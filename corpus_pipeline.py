@@ -37,13 +37,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays.
+    """One row of each group of near copies stays, that of the smallest id, null ids last.
 
     Near copies have a Jaccard similarity of 0.8 or more over five-word shingles.
+    Rows decide, not ids: copies without an id leave one row, repeated rows of an
+    id leave one, and a text that is like no other stays whatever shares its id.
     """
-    marked = near.near_copies(docs.select("doc_id", "text"))
-    gone = marked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return near.representatives(docs, carry=("lang", "source", "n_chars")).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

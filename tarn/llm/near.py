@@ -16,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.bloom import bits_for, pair_filter
-from tarn.llm.common import cut, document_columns, emit, pairs
+from tarn.llm.common import carried, cut, document_columns, emit, pairs, slices
 from tarn.llm.components import connected_components, local_components
 
 _EMPTY = np.zeros(0, np.uint64)
@@ -179,7 +179,7 @@ def near_copies(
     def sets(batches):
         def rows_of():
             for batch in batches:
-                for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                for part in slices([batch], 256):
                     words = [_words(t) for t in part.column("text").to_pylist()]
                     keys = [_key(w) for w in words]
                     for k, w, hit in zip(keys, words, seen.value.seen_once(np.array(keys, np.int64).view(np.uint64)), strict=True):
@@ -195,3 +195,34 @@ def near_copies(
     named = cut(named)
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "key").join(named.join(component, "root").select("key", "root", "component_id"), "key")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """``doc_id, text``, carried columns and ``_key`` of every row."""
+    own = document_columns(docs, id_col, text_col, carry)
+    _, ddl = carried(own, carry)
+
+    def run(batches):
+        for part in slices(batches, 256):
+            keys = pa.array([key(t) for t in part.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, keys], names=["doc_id", "text", *carry, "_key"])
+
+    return own.mapInArrow(run, f"doc_id long, text string{ddl}, _key long")
+
+
+def representatives(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``doc_id, text`` and the carried columns: one row of each component of near copies.
+
+    The row of the smallest id stays, null ids last; of several rows of that id in
+    the component the one of the smallest key, and of rows whose words are equal
+    too the one of the smallest text and carried columns. So copies that all lack
+    an id leave one row, a repeated row stays once, and a text stays if it is like
+    no other, whatever other texts have its id. ``more``: see ``near_copies``.
+    """
+    marked = near_copies(docs, id_col=id_col, text_col=text_col, **more)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    chosen = marked.groupBy("root").agg(first.alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_chosen"))
+    rows = _keyed(docs, id_col, text_col, carry)
+    kept = rows.join(chosen, (F.col("_key") == F.col("_chosen")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    order = Window.partitionBy("_key").orderBy(*(F.asc_nulls_last(c) for c in ("text", *carry)))
+    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", "text", *carry)

@@ -60,3 +60,12 @@ def test_the_stage_keeps_one_of_each_similar_group(spark):
     texts = copies(4)
     kept = corpus_pipeline.near_dedup(spark, frame(spark, list(enumerate(texts))), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_similar(texts)))
+
+
+def test_the_stage_decides_by_row(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    rows = [(None, x), (None, x), (None, x.upper()), (5, x), (None, y), (None, y), (7, z), (7, z), (9, z), (9, "a text of its own, like no other"), (9, "and one more of that id")]
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
+    want = [(5, x), (None, y), (7, z), (9, "a text of its own, like no other"), (9, "and one more of that id")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(want, key=str)
+    assert all((r["lang"], r["source"], r["n_chars"]) == ("en", "s", len(r["text"])) for r in kept)
