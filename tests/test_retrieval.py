@@ -125,3 +125,10 @@ def test_scorer_must_be_finite(spark):
     assert df.select(fusion.scorer(lambda q, t: [2.5])("q", "t")).first()[0] == 2.5
     with pytest.raises(Exception, match="finite"):
         df.select(fusion.scorer(lambda q, t: [float("nan")])("q", "t")).collect()
+
+
+def test_recall_asks_every_id_divisible_by_twenty(spark, sf):
+    from tarn.plans.retrieval import ann_recall
+
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert {r["query_id"] for r in ann_recall(spark, sf).collect()} == ids
