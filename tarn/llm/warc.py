@@ -4,8 +4,8 @@ Each response record gives two derivatives that refer to it: a metadata record
 (``application/warc-fields``: title, language, link and text counts, outlinks)
 and a conversion record (``text/plain``: the page's visible text). Both carry the
 response's target URI, date, warcinfo id and identified payload type, name it in
-``WARC-Refers-To``, and have block digests of their own; the response's payload
-and block digests are kept. Identifiers are UUIDs derived from content, so a task
+``WARC-Refers-To``, and have block digests of their own; the metadata keep the
+response's other WARC headers, its HTTP status and all its HTTP headers. Identifiers are UUIDs derived from content, so a task
 that runs again makes the same records.
 
 One narrow pass; every record is built from its own row.
@@ -28,7 +28,11 @@ from tarn.llm.common import emit
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 EPOCH = "1970-01-01T00:00:00Z"
-_HIDDEN = {"script", "style", "template", "noscript", "head"}
+_HIDDEN = {"script", "style", "template", "noscript"}
+#: What may stand in a head; any other tag, or text, ends a head that isn't closed.
+_HEAD = _HIDDEN | {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "title"}
+#: WARC headers of a response that its derivatives have as their own.
+_OWN = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type"}
 _BREAKS = set("address article aside blockquote br div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
 
 
@@ -72,13 +76,17 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hidden, self.in_title = 0, False
+        self.hidden, self.in_title, self.in_head = 0, False, False
         self.title, self.text, self.links, self.lang = [], [], [], None
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag == "html" and attrs.get("lang"):
             self.lang = attrs["lang"]
+        if tag == "head":
+            self.in_head = True
+        elif tag == "body" or tag not in _HEAD and not self.hidden:
+            self.in_head = False
         if tag == "title":
             self.in_title = True
         elif tag == "body":
@@ -93,6 +101,8 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title = False
+        elif tag == "head":
+            self.in_head = False
         elif tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         if tag in _BREAKS:
@@ -102,7 +112,9 @@ class _Page(HTMLParser):
         if self.in_title:
             self.title.append(data)
         elif not self.hidden:
-            self.text.append(data)
+            self.in_head = self.in_head and not data.strip()
+            if not self.in_head:
+                self.text.append(data)
 
 
 def visible(html: str) -> tuple[str, str, str | None, list[str]]:
@@ -166,8 +178,9 @@ def derive(response: bytes) -> dict | None:
     uri, source = own.get("WARC-Target-URI", ""), own["WARC-Record-ID"]
     fields = [("title", title), ("languageHint", lang), ("textLength", str(len(text))), ("linkCount", str(len(links)))]
     fields += [("outlink", _join(uri, x)) for x in links]
-    fields += [(f"source-{k.lower()}", own.get(k)) for k in ("WARC-Payload-Digest", "WARC-Block-Digest")]
-    fields += [("source-http-status", http.split(b"\r\n")[0].decode("latin-1"))]
+    fields += [(f"source-{k.lower()}", v) for k, v in headers if k not in _OWN]
+    status, *lines = re.sub(r"\r\n[ \t]+", " ", http.decode("latin-1")).split("\r\n")
+    fields += [("source-http-status", status), *(("source-http-header", x) for x in lines)]
     one = lambda v: re.sub(r"\s+", " ", v)
     meta_block = "".join(f"{k}: {one(v)}\r\n" for k, v in fields if v is not None).encode()
     text_block = text.encode("utf-8", "replace")
@@ -181,6 +194,7 @@ def derive(response: bytes) -> dict | None:
             ("WARC-Date", own.get("WARC-Date", EPOCH)),
             ("WARC-Target-URI", uri),
             ("WARC-Warcinfo-ID", own.get("WARC-Warcinfo-ID")),
+            ("WARC-Identified-Payload-Type", own.get("WARC-Identified-Payload-Type")),
             ("WARC-Block-Digest", digest(block)),
             ("Content-Type", mime),
         ]

@@ -64,3 +64,21 @@ def test_files(spark, tmp_path):
     write_warc(made, str(tmp_path / "out"))
     parts = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in parse(p.read_bytes())]
     assert sorted(dict(h)["WARC-Type"] for h, _ in parts) == ["conversion"] * 5 + ["metadata"] * 5
+
+
+def test_all_source_headers_are_kept():
+    block = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nX-Long: one\r\n  two\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n<p>x"
+    source = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Identified-Payload-Type", "text/html"), ("WARC-IP-Address", "192.0.2.1"), ("WARC-Concurrent-To", "<urn:y>"), ("WARC-Concurrent-To", "<urn:z>"), ("Content-Type", "application/http; msgtype=response")]
+    made = derive(record(source, block))
+    ((meta, fields),), ((conv, _),) = parse(made["metadata_record"]), parse(made["conversion_record"])
+    assert dict(meta)["WARC-Identified-Payload-Type"] == dict(conv)["WARC-Identified-Payload-Type"] == "text/html"
+    lines = fields.decode().split("\r\n")
+    for line in ("source-warc-ip-address: 192.0.2.1", "source-warc-concurrent-to: <urn:y>", "source-warc-concurrent-to: <urn:z>", "source-content-type: application/http; msgtype=response"):
+        assert line in lines
+    assert [x for x in lines if x.startswith("source-http")] == ["source-http-status: HTTP/1.1 404 Not Found", *(f"source-http-header: {x}" for x in ("Content-Type: text/html", "X-Long: one two", "Set-Cookie: a=1", "Set-Cookie: b=2"))]
+
+
+def test_a_head_without_end_tag():
+    assert visible("<html><head><title>T</title><meta charset=utf-8><style>p{}</style><noscript><img></noscript>\n<p>One<p>two")[:2] == ("One\ntwo", "T")
+    assert visible("<head><title>T</title> bare text")[0] == "bare text"
+    assert visible("<head><link rel=x></head>shown<body>also")[0] == "shownalso"
