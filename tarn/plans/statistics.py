@@ -90,7 +90,7 @@ def paired_summary(spark, sf):
 @query()
 def bootstrap_ci(spark, sf):
     """Percentile interval over resampled families."""
-    return _six(stats.bootstrap(stats.family_means(_trials(spark, sf)), resamples=1000), "delta", "low", "high")
+    return _six(stats.bootstrap(stats.family_means(_trials(spark, sf)), resamples=10_000), "delta", "low", "high")
 
 
 @query("SELECT id FROM (SELECT DISTINCT doc_id AS id FROM documents) ORDER BY sha256('7:' || id) LIMIT 25")

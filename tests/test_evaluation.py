@@ -140,3 +140,11 @@ def test_agent_loop():
     assert run.stop_reason == "max_turns" and len(run.events) == 4
     assert agent.run_agent("q?", lambda m: always, {"search": lambda query: []}, caps={"calls": 2}).stop_reason == "budget"
     assert agent.run_agent("q?", lambda m: 1 / 0, {}).stop_reason == "error"
+
+
+def test_bootstrap_query_takes_the_reference_number_of_resamples(spark, sf):
+    from tarn.operators import stats
+    from tarn.plans.statistics import _six, _trials, bootstrap_ci
+
+    want = _six(stats.bootstrap(stats.family_means(_trials(spark, sf)), resamples=10_000), "delta", "low", "high")
+    assert bootstrap_ci(spark, sf).collect() == want.collect()
