@@ -2,9 +2,10 @@
 
 import io
 import json
-import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarn import cli
@@ -39,20 +40,44 @@ def test_identities():
     assert a[0][8] != chunking.chunk_note("b.md", "t", "# A\nx\n", len, 50, 0)[0][8]
 
 
-FRAGMENTS = ["# Head\n", "text. more text! ", "\n\n", "- item\n", "  - sub\n", "```\ncode\n```\n", "    indented\n", "Title\n---\n", "é😀 ", "---\n", "| a | b |\n"]
-
-
-def test_lossless_on_random_notes():
-    rng = random.Random(731)
-    for _ in range(80):
-        text = "".join(rng.choice(FRAGMENTS) for _ in range(rng.randint(0, 40)))
-        size = rng.randint(1, 60)
-        rows = chunking.chunk_note("n.md", "t", text, len, size, rng.randint(0, size - 1))
-        reached = 0
-        for r in rows:
-            assert r[4] == text[r[5] : r[6]] and r[5] <= reached and len(r[4]) <= size
-            reached = max(reached, r[6])
-        assert reached == len(text)
+MARKUP = st.sampled_from(["#", "##", " ", "  ", "    ", "\t", "-", "1.", "*", "```", "~~~", "---", "===", "...", ".", "?!", "|", "\n", "\r\n", "\n\n", "a", "bc", "é", "😀", "日"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(MARKUP, max_size=60).map("".join), st.integers(1, 30), st.data())
+def test_chunks_cover_any_note(text, size, data):
+    """Whatever the text: slices of it, in order, without gaps, within the budget and the overlap."""
+    overlap = data.draw(st.integers(0, size - 1))
+    found = chunks(text, size, overlap)
+    starts, ends = [a for _, a, _ in found], [b for _, _, b in found]
+    assert [text[a:b] for _, a, b in found] == [c for c, _, _ in found]
+    assert starts[0] == 0 and ends[-1] == len(text) and all(len(c) <= size for c, _, _ in found)
+    assert all(a <= before and before - a <= overlap and b > before for a, b, before in zip(starts[1:], ends[1:], ends, strict=False))
+    spans = chunking.blocks(text)
+    assert [b.start for b in spans[1:]] == [b.end for b in spans[:-1]] and "".join(text[b.start : b.end] for b in spans) == text
+    assert all(text[b.start - 1] in "\r\n" for b in spans[1:])
+
+
+def test_blocks_by_kind():
+    text = "---\nk: v\n---\n\npara\nmore\n# H1 #\n- a\n\n  b\n- c\n\nout\n```x\n# no\n``\n````\n\n    ind\n\n\tind\ntext\nover\n--\n"
+    assert [(b.kind, b.level, b.heading, text[b.start : b.end]) for b in chunking.blocks(text)] == [
+        ("metadata", 0, "", "---\nk: v\n---\n\n"),
+        ("paragraph", 0, "", "para\nmore\n"),
+        ("heading", 1, "H1", "# H1 #\n"),
+        ("list", 0, "", "- a\n\n  b\n- c\n\n"),
+        ("paragraph", 0, "", "out\n"),
+        ("code", 0, "", "```x\n# no\n``\n````\n\n"),
+        ("code", 0, "", "    ind\n\n\tind\n"),
+        ("heading", 2, "text over", "text\nover\n--\n"),
+    ]
+    assert [b.kind for b in chunking.blocks("---\nnever closed\n")] == ["paragraph"]
+    assert [b.kind for b in chunking.blocks("\n\n# x\n~~~\nopen")] == ["paragraph", "heading", "code"]
+
+
+def test_cuts_are_the_coarsest_there_are():
+    assert [c for c, _, _ in chunks("one two. three\nfour\n\nfive", 10)] == ["one two. ", "three\n", "four\n\nfive"]
+    assert [c for c, _, _ in chunks("- aa\n  bb\n- cc\n- dd\n", 10)] == ["- aa\n  bb\n", "- cc\n- dd\n"]
+    assert [c for c, _, _ in chunks("```\na b c\n\nd\n```\n", 8)] == ["```\n", "a b c\n\n", "d\n```\n"]
 
 
 def test_budgets():
