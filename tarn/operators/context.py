@@ -128,52 +128,102 @@ class AnswerError(ValueError):
     """An answer that isn't exactly the agreed JSON object."""
 
 
-def _members(pairs):
-    found = dict(pairs)
-    if len(found) < len(pairs):
-        raise AnswerError("a key occurs twice")
-    return found
+_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float)}
 
 
-def _constant(name):
-    raise AnswerError(f"{name} is not JSON")
+def strict_json(raw: str, schema: dict):
+    """A text that is exactly one JSON value of a schema; nothing is repaired.
 
+    Keys that occur twice, NaN and infinities, keys that the schema doesn't name
+    and blank strings where it asks for some length are errors.
+    """
 
-def _object(value, needed: set[str], optional: frozenset[str] = frozenset()) -> dict:
-    if not isinstance(value, dict) or not needed <= set(value) <= needed | optional:
-        raise AnswerError(f"expected an object with {sorted(needed)}")
-    return value
+    def members(pairs):
+        if len(found := dict(pairs)) < len(pairs):
+            raise AnswerError("a key occurs twice")
+        return found
 
+    def constant(name):
+        raise AnswerError(f"{name} is not JSON")
 
-def _text(value) -> str:
-    if not isinstance(value, str) or not value.strip():
-        raise AnswerError("expected text that isn't blank")
+    try:
+        value = json.loads(raw, object_pairs_hook=members, parse_constant=constant)
+    except (json.JSONDecodeError, RecursionError, TypeError) as error:
+        raise AnswerError(str(error)) from error
+    for where, problem in _faults(value, schema, "$"):
+        raise AnswerError(f"{where}: {problem}")
     return value
 
 
-def _list(value) -> list:
-    if not isinstance(value, list):
-        raise AnswerError("expected a list")
-    return value
+def _faults(value, schema: dict, where: str):
+    """Places of a value that aren't as its schema has them."""
+    kind = schema["type"]
+    if not isinstance(value, _TYPES[kind]) or (isinstance(value, bool) and kind in ("integer", "number")):
+        yield where, f"expected {kind}"
+        return
+    if kind == "object":
+        known = schema["properties"]
+        for key in sorted({*schema["required"]} - {*value}):
+            yield where, f"lacks {key}"
+        for key in value:
+            if key in known:
+                yield from _faults(value[key], known[key], f"{where}.{key}")
+            else:
+                yield where, f"has {key}, which isn't known"
+    elif kind == "array":
+        if len(value) < schema.get("minItems", 0):
+            yield where, f"needs {schema['minItems']} items"
+        if schema.get("uniqueItems") and len({json.dumps(v, sort_keys=True) for v in value}) < len(value):
+            yield where, "has an item twice"
+        for k, item in enumerate(value):
+            yield from _faults(item, schema["items"], f"{where}[{k}]")
+    elif kind == "string":
+        if schema.get("minLength") and not value.strip():
+            yield where, "is blank"
+        if "enum" in schema and value not in schema["enum"]:
+            yield where, f"is none of {schema['enum']}"
+
+
+STATUSES = ["answered", "partial", "insufficient_evidence"]
+
+
+def _answer_shape(source_ids: list[str] | None, quotes: bool, closed: bool) -> dict:
+    """The shape of an answer; ``closed`` adds what holds for these sources."""
+    text = {"type": "string", "minLength": 1}
+    ids = text | ({"enum": source_ids} if source_ids else {})
+
+    def obj(optional=(), **properties):
+        return {"type": "object", "properties": properties, "required": [p for p in properties if p not in optional], "additionalProperties": False}
+
+    some = {"minItems": 1} if closed else {}
+    claim = {"text": text, "source_ids": {"type": "array", "items": ids, "uniqueItems": True, **some}}
+    if quotes or not closed:
+        claim["quotes"] = {"type": "array", "items": obj(source_id=ids, text=text), **(some if quotes else {})}
+    return obj(
+        status={"type": "string", "enum": STATUSES},
+        claims={"type": "array", "items": obj(() if closed else ("quotes",), **claim)},
+        missing_information={"type": "array", "items": text},
+    )
+
+
+def answer_schema(source_ids: list[str], quotes: bool = False) -> dict:
+    """JSON schema that a model is asked to follow; without sources there is nothing to cite."""
+    if not source_ids:
+        raise ValueError("an answer needs sources to cite")
+    return _answer_shape(source_ids, quotes, True)
 
 
 def parse_answer(raw: str) -> dict:
-    """One strict JSON object; nothing is repaired."""
-    try:
-        top = _object(json.loads(raw, object_pairs_hook=_members, parse_constant=_constant), {"status", "claims", "missing_information"})
-    except (json.JSONDecodeError, RecursionError, TypeError) as error:
-        raise AnswerError(str(error)) from error
-    claims = []
-    for claim in map(lambda c: _object(c, {"text", "source_ids"}, frozenset({"quotes"})), _list(top["claims"])):
-        quotes = [_object(q, {"source_id", "text"}) for q in _list(claim.get("quotes", []))]
-        claims.append(
-            {
-                "text": _text(claim["text"]),
-                "source_ids": [_text(s) for s in _list(claim["source_ids"])],
-                "quotes": [{k: _text(v) for k, v in q.items()} for q in quotes],
-            }
-        )
-    return {"status": _text(top["status"]), "claims": claims, "missing_information": [_text(m) for m in _list(top["missing_information"])]}
+    """One strict JSON object, whose status goes with what it holds.
+
+    answered: claims and nothing missing; partial: both; insufficient_evidence:
+    something missing and no claims.
+    """
+    found = strict_json(raw, _answer_shape(None, True, False))
+    held = bool(found["claims"]), bool(found["missing_information"])
+    if held != {"answered": (True, False), "partial": (True, True), "insufficient_evidence": (False, True)}[found["status"]]:
+        raise AnswerError(f"{found['status']} doesn't go with what the answer holds")
+    return {**found, "claims": [{"quotes": [], **c} for c in found["claims"]]}
 
 
 @pandas_udf(f"struct<answer:{ANSWER}, error:string>")
@@ -188,30 +238,17 @@ def parsed_answer(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["answer", "error"])
 
 
-def answer_schema(source_ids: list[str], quotes: bool = False) -> dict:
-    """JSON schema that a model is asked to follow."""
-    text = {"type": "string", "minLength": 1}
-    ids = {"type": "string", "enum": source_ids}
-
-    def obj(**properties):
-        return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
-
-    claim = {"text": text, "source_ids": {"type": "array", "items": ids, "minItems": 1}}
-    if quotes:
-        claim["quotes"] = {"type": "array", "items": obj(source_id=ids, text=text)}
-    statuses = {"type": "string", "enum": ["answered", "partial", "insufficient_evidence"]}
-    return obj(status=statuses, claims={"type": "array", "items": obj(**claim)}, missing_information={"type": "array", "items": text})
-
-
 def claims_of(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
     """``answer_id, claim_index, text, source_ids, quotes``."""
     return answers.select("answer_id", F.posexplode(f"{answer_col}.claims").alias("claim_index", "c")).select("answer_id", "claim_index", "c.*")
 
 
-def issues(claims: DataFrame, sources: DataFrame, require_quotes: bool = False) -> DataFrame:
+def issues(claims: DataFrame, sources: DataFrame, require_quotes: bool = False, answers: DataFrame | None = None) -> DataFrame:
     """``answer_id, claim_index, code, source_id``: what is wrong with each claim.
 
-    ``sources``: ``answer_id, source_id, content, start_char``.
+    ``sources``: ``answer_id, source_id, content, start_char``; ``answers``, if given,
+    ``answer_id, missing_information``, which must not hold references either (their
+    claim_index is -1).
     """
     row = ["answer_id", "claim_index"]
     null = F.lit(None).cast("string")
@@ -229,6 +266,9 @@ def issues(claims: DataFrame, sources: DataFrame, require_quotes: bool = False)
         out.append(lacking.select(*row, F.lit("missing_quote").alias("code"), "source_id"))
     placed = quote_places(claims, sources)
     out.append(placed.where("code IS NOT NULL").select(*row, "code", "source_id"))
+    if answers is not None:
+        told = answers.where(F.exists("missing_information", lambda t: t.rlike(INLINE)))
+        out.append(told.select("answer_id", F.lit(-1).alias("claim_index"), F.lit("inline_reference_in_missing_information").alias("code"), null.alias("source_id")))
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)

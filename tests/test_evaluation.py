@@ -1,5 +1,6 @@
 """Metrics, intervals, statistics, agents: known answers."""
 
+import itertools
 import math
 
 import pytest
@@ -96,13 +97,30 @@ def test_calibration(spark):
 
 def test_exact_test_and_power():
     assert [stats.critical_minority(n) for n in (0, 5, 6, 10)] == [-1, -1, 0, 1]
-    assert stats.paired_power(50, 0.0, 0.3)["power"] < 0.05 < stats.paired_power(200, 0.2, 0.3)["power"]
-
-
-def test_split_plan():
-    groups = {"a": (3, True), "b": (2, False), "c": (2, False), "d": (9, False)}
-    plan = stats.plan_splits(groups, {"dev": 3, "validation": 2, "test": 2}, seed=1)
-    assert plan["a"] == "dev" and plan["d"] is None and {plan["b"], plan["c"]} == {"validation", "test"}
+    assert stats.paired_power(50, 0.0, 0.3) < 0.05 < stats.paired_power(200, 0.2, 0.3)
+    # all outcomes of six families, each a win, a loss or a draw
+    share = {1: 0.45, -1: 0.15, 0: 0.4}
+    total = 0.0
+    for outcome in itertools.product(share, repeat=6):
+        wins, losses = outcome.count(1), outcome.count(-1)
+        tail = sum(math.comb(wins + losses, k) for k in range(losses + 1)) / 2 ** (wins + losses)
+        if wins > losses and 2 * tail <= 0.05:
+            total += math.prod(share[o] for o in outcome)
+    assert stats.paired_power(6, 0.3, 0.6) == pytest.approx(total) and stats.paired_power(9, 0, 0) == 0
+
+
+def test_critical_minorities_of_a_table(spark):
+    got = stats.critical_minorities(spark.range(0, 300, 7).withColumnRenamed("id", "discordant")).collect()
+    assert [r["critical"] for r in got] == [stats.critical_minority(r["discordant"]) for r in got]
+
+
+def test_split_plan(spark):
+    groups = spark.createDataFrame([("a", 3, True), ("b", 2, False), ("c", 2, None), ("d", 9, False), ("e", 0, False)], "group string, families long, seen boolean")
+    plan = {r["group"]: r["split"] for r in stats.plan_splits(groups.repartition(3), {"dev": 3, "validation": 2, "test": 2}, seed=1).collect()}
+    assert plan["a"] == "dev" and plan["d"] is None and {plan["b"], plan["c"]} == {"validation", "test"} and plan["e"]
+    assert stats.plan_splits(groups.limit(0), {"dev": 3, "validation": 2, "test": 2}, 1).collect() == []
+    with pytest.raises(ValueError):
+        stats.plan_splits(groups, {"dev": 1}, 1)
 
 
 def test_ledger(spark):

@@ -49,15 +49,15 @@ def test_deadline(spark):
 
 
 def answer(claims, missing=()):
-    return json.dumps({"status": "answered", "claims": claims, "missing_information": list(missing)})
+    return json.dumps({"status": "partial" if missing else "answered", "claims": claims, "missing_information": list(missing)})
 
 
-def test_cited_answer():
+def test_cited_answer(spark):
     sources = {"S1": "one two two", "S2": "three"}
-    ask = lambda text, stop="stop", **more: generation.cited_answer("q?", sources, lambda m, s: Reply(text, stop), "p", **more)
+    ask = lambda text, stop="stop", **more: generation.cited_answer(spark, "q?", sources, lambda m, s: Reply(text, stop), "p", **more)
     good = answer([{"text": "c", "source_ids": ["S2", "S1"], "quotes": [{"source_id": "S1", "text": "one"}]}])
     assert ask(good).used == ["S2", "S1"]
-    assert generation.cited_answer("q?", {}, None, "p").answer["status"] == "insufficient_evidence"
+    assert generation.cited_answer(spark, "q?", {}, None, "p").answer["status"] == "insufficient_evidence"
     cases = {"truncated": (good, "length"), "structure": ("{}", "stop"), "references": (answer([{"text": "c", "source_ids": ["S9"]}]), "stop")}
     for code, (text, stop) in cases.items():
         with pytest.raises(GenerationError) as found:
@@ -66,18 +66,45 @@ def test_cited_answer():
     with pytest.raises(GenerationError, match="budget"):
         ask(good, budget=context.Budget(20, 5, 5), tokens=len)
     bad = json.loads(answer([{"text": "see https://x", "source_ids": ["S1"], "quotes": [{"source_id": "S1", "text": "two"}]}], ["[S1]"]))
-    assert {p[0] for p in generation.reference_problems(bad, sources, True)} == {"inline_reference", "ambiguous_quote", "inline_reference_in_missing_information"}
+    assert {p[0] for p in generation.checked(spark, bad, sources, True)} == {"inline_reference", "ambiguous_quote", "inline_reference_in_missing_information"}
 
 
 def test_judgments():
     facts = {"facts": [{"index": 0, "correct": True, "rationale": "r"}], "complete": True, "task_fulfilled": True, "rationale": "r"}
-    assert generation.judgment(json.dumps(facts), facts=1) == facts
+    assert generation.fact_judgment(json.dumps(facts), 1) == facts
     claim = {"claim": "c", "supported": True, "evidence_ids": ["E0"], "quote": "words", "rationale": "r"}
     support = {"claims": [claim], "claims_complete": True, "citations_complete": True, "rationale": "r"}
-    assert generation.judgment(json.dumps(support), evidence={"E0": "the words"}) == support
-    for args in ((json.dumps(facts), 2, None), ("no", 1, None), (json.dumps(support), None, {"E0": "other"}), (json.dumps(support), None, {})):
+    assert generation.support_judgment(json.dumps(support), {"E0": "the words"}) == support
+    doubled = json.dumps(facts).replace('"complete": true', '"complete": true, "complete": true')
+    odd = [doubled, json.dumps(facts).replace("0", "NaN"), json.dumps(facts | {"more": 1}), json.dumps(facts | {"complete": 1}), json.dumps(facts | {"rationale": " "}), "no"]
+    for raw, n in [(json.dumps(facts), 2), *((x, 1) for x in odd)]:
         with pytest.raises(context.AnswerError):
-            generation.judgment(args[0], args[1], args[2])
+            generation.fact_judgment(raw, n)
+    for evidence in ({"E0": "other"}, {}):
+        with pytest.raises(context.AnswerError):
+            generation.support_judgment(json.dumps(support), evidence)
+    shown = json.loads(generation.judge_material("q", "a", {"E0": "x"}, ["f"]))
+    assert shown["facts"] == [{"index": 0, "fact": "f"}] and shown["evidence"][0]["evidence_id"] == "E0"
+
+
+def test_answers_go_with_their_status():
+    claim = [{"text": "c", "source_ids": ["S1"]}]
+    good = [("answered", claim, []), ("partial", claim, ["m"]), ("insufficient_evidence", [], ["m"])]
+    for status in context.STATUSES:
+        for _, claims, missing in [*good, (None, [], [])]:
+            raw = json.dumps({"status": status, "claims": claims, "missing_information": missing})
+            if (status, claims, missing) in good:
+                assert context.parse_answer(raw)["status"] == status
+            else:
+                with pytest.raises(context.AnswerError, match="go with"):
+                    context.parse_answer(raw)
+    twice = json.dumps({"status": "answered", "claims": [{"text": "c", "source_ids": ["S1", "S1"]}], "missing_information": []})
+    with pytest.raises(context.AnswerError, match="twice"):
+        context.parse_answer(twice)
+    schema = context.answer_schema(["S1"], quotes=True)["properties"]["claims"]["items"]["properties"]
+    assert schema["source_ids"]["uniqueItems"] and schema["quotes"]["minItems"] == 1
+    with pytest.raises(ValueError):
+        context.answer_schema([])
 
 
 def test_specs():
