@@ -3,7 +3,9 @@
 The postings are pruned to the queries' terms before they are grouped, so the
 shuffle carries only terms that can score, by document. Statistics (documents, document
 frequencies, average length) are those of the whole corpus, whatever the filter.
-Every ranking is total: score, then document id.
+Every ranking is total: score, then document id. A score is summed in whole steps of
+1e-12, so it is the same in whatever order its parts come, and documents that score
+alike are ties.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from tarn.functions.text import terms
 
 
+#: Steps of a score in one.
+STEPS = 1_000_000_000_000
 #: Distinct (query, term) rows up to which the queries' side is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -87,13 +91,12 @@ def scores(
     norm = k1 * (1 - b + b * F.col("length") / F.col("avg_length"))
     part = F.col("idf") * tf * (k1 + 1) / (tf + norm)
     votes = found.where("kept").join(bounded(asked.join(weights, "term")), "term")
-    return votes.groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
+    return votes.groupBy(query_id, id_col).agg((F.sum(F.round(part * STEPS).cast("long")) / STEPS).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:
-    """Adds ``rank``; keeps each query's first ``k`` by score (6 digits), then id."""
+    """Adds ``rank``; keeps each query's first ``k`` by score, then id."""
     if k < 1:
         raise ValueError("top_k must be positive")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    rounded = scored.withColumn("score", F.round("score", 6))
-    return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,13 +34,27 @@ def literal_matches(docs: DataFrame, literal: str, text_col: str = "text", id_co
     """
     size = len(literal)
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), quoted(literal, ignore_case), -1)
-    cells = docs.select(id_col, F.posexplode(parts).alias("ordinal", "part"), F.size(parts).alias("n"))
-    before = Window.partitionBy(id_col).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.sum(F.length("part")).over(before) + F.col("ordinal") * size
-    hits = cells.where("n > 1").withColumn("start_char", start.cast("long")).where(F.col("ordinal") < F.col("n") - 1)
+    # a match starts after the parts before it and the matches between them: a fold over
+    # the array of one row, so nothing is shuffled
+    lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.length(x).cast("long"))
+    hits = docs.select(id_col, F.posexplode(_starts(lengths, size)).alias("ordinal", "start_char"))
     return hits.select(id_col, "ordinal", "start_char", (F.col("start_char") + size).alias("end_char"))
 
 
+def _starts(lengths: Column, size: int, block: int = 256) -> Column:
+    """Running sums of lengths, ``size`` between two; kept in blocks, as a fold copies the array it adds to."""
+    long_array = F.array().cast("array<long>")
+    start = F.struct(F.array().cast("array<array<long>>").alias("done"), long_array.alias("open"), F.lit(0).cast("long").alias("at"))
+
+    def step(t, n):
+        at, full = t["at"] + n, F.size(t["open"]) >= block
+        done = F.when(full, F.concat(t["done"], F.array(t["open"]))).otherwise(t["done"])
+        open_ = F.when(full, F.array(at)).otherwise(F.concat(t["open"], F.array(at)))
+        return F.struct(done.alias("done"), open_.alias("open"), (at + size).alias("at"))
+
+    return F.aggregate(lengths, start, step, lambda t: F.flatten(F.concat(t["done"], F.array(t["open"]))))
+
+
 def pattern_matches(docs: DataFrame, pattern: str, text_col: str = "text", id_col: str = "doc_id", ignore_case: bool = False) -> DataFrame:
     """As :func:`literal_matches` for a pattern (Python dialect, multi-line); matches may be empty.
 

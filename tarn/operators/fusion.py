@@ -14,30 +14,41 @@ def by_first_rank(lists: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     return lists.groupBy(*keys, id_col).agg(F.min("rank").alias("rank"))
 
 
+def reciprocal_sum(ranks: Column, k: int) -> Column:
+    """Sum of 1 / (k + rank) of an array of ranks, in one order, so that it is the same wherever it is made."""
+    return F.aggregate(F.sort_array(ranks, asc=False), F.lit(0.0), lambda total, r: total + 1.0 / (k + r))
+
+
 def rrf(lists: DataFrame, k: int = 60, query_id: str = "query_id", list_col: str = "method", id_col: str = "doc_id") -> DataFrame:
     """``<query_id>, <id>, score, votes, rank``: sum of 1 / (k + rank) over the lists.
 
     ``lists``: one row a hit with its list and 1-based rank. ``votes`` says which
-    list gave which rank. Ties go by identity.
+    list gave which rank. Ranks are by the sum itself; ties go by identity.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     first = by_first_rank(lists, [query_id, list_col], id_col)
     vote = F.struct(F.col(list_col), F.col("rank"))
-    fused = first.groupBy(query_id, id_col).agg(
-        F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"), F.sort_array(F.collect_list(vote)).alias("votes")
-    )
+    fused = first.groupBy(query_id, id_col).agg(F.sort_array(F.collect_list(vote)).alias("votes"))
+    fused = fused.withColumn("score", reciprocal_sum(F.transform("votes", lambda v: v["rank"]), k)).select(query_id, id_col, "score", "votes")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
     return fused.withColumn("rank", F.row_number().over(order))
 
 
 def conflicts(hits: DataFrame, identity: list[str], facts: list[str]) -> DataFrame:
-    """Identities that have several known values of a fact; none may be fused."""
+    """Identities that have several known values of a fact; none may be fused. A null is unknown."""
     counts = [F.count_distinct(F.col(c)).alias(c) for c in facts]
     wrong = reduce(lambda a, b: a | b, [F.col(c) > 1 for c in facts])
     return hits.groupBy(*identity).agg(*counts).where(wrong)
 
 
+def consistent(hits: DataFrame, identity: list[str], facts: list[str]) -> DataFrame:
+    """The hits, once it is sure that no identity has two values of a fact; else it raises."""
+    if odd := conflicts(hits, identity, facts).limit(1).collect():
+        raise ValueError(f"hits disagree on {odd[0].asDict()}")
+    return hits
+
+
 def hybrid(legs: dict[str, DataFrame], candidates: int = 20, k: int = 60, top_k: int = 10, query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:
     """Fuses the first ``candidates`` of each leg and keeps ``top_k``."""
     if not 1 <= top_k <= candidates:
@@ -53,7 +64,7 @@ def depth_arms(lists: DataFrame, depths: list[int], pool: int = 20, k: int = 60,
     arms = F.broadcast(spark.createDataFrame([(d,) for d in depths], "depth int"))
     cut = lists.crossJoin(arms).where(F.col("rank") <= F.col("depth"))
     first = cut.groupBy("depth", query_id, "method", id_col).agg(F.min("rank").alias("rank"))
-    fused = first.groupBy("depth", query_id, id_col).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"))
+    fused = first.groupBy("depth", query_id, id_col).agg(reciprocal_sum(F.collect_list("rank"), k).alias("score"))
     order = Window.partitionBy("depth", query_id).orderBy(F.desc("score"), id_col)
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
 
@@ -67,7 +78,7 @@ def rerank(hits: DataFrame, score: Column, query_id: str = "query_id", id_col: s
     if tie_policy not in ("identity", "input_rank"):
         raise ValueError(f"unknown tie policy: {tie_policy}")
     renamed = hits.withColumnsRenamed({"rank": "input_rank", "score": "input_score"})
-    scored = renamed.withColumn("score", F.round(score, 6))
+    scored = renamed.withColumn("score", score)
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col if tie_policy == "identity" else "input_rank")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return ranked.withColumn("movement", F.col("input_rank") - F.col("rank"))
@@ -96,7 +107,10 @@ def scorer(fn, return_type: str = "double"):
 
 
 def splice(reranked: DataFrame, fused: DataFrame, depth: int = 20, limit: int = 100, query_id: str = "query_id", id_col: str = "source") -> DataFrame:
-    """The reranked first ``depth``, then the fused order from there to ``limit``."""
+    """The fused list's first ``depth`` as reranked, then its own order from there to ``limit``.
+
+    ``reranked``: those first hits under a new order, ``input_rank`` their fused one.
+    """
     head = reranked.where(F.col("input_rank") <= depth).select(query_id, id_col, "rank")
     tail = fused.where((F.col("rank") > depth) & (F.col("rank") <= limit)).select(query_id, id_col, "rank")
     return head.unionByName(tail)

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Digits of a cosine that count.
+DIGITS = 12
+
 
 @dataclass(frozen=True)
 class EmbeddingSpec:
@@ -85,7 +88,10 @@ def cosine_top_k(
     keep: Column | None = None,
     block: int = 1024,
 ) -> DataFrame:
-    """``<query_id>, <id>, score, rank``: exact cosine, score (6 digits) then id.
+    """``<query_id>, <id>, score, rank``: exact cosine, by score, then id.
+
+    Scores are to twelve digits, as the last ones of a product of matrices depend
+    on how it was dealt out; equal vectors are ties.
 
     Queries are gathered into blocks of ``block`` rows, each one Arrow matrix; a
     task multiplies its vectors by a block and passes on only the block's best
@@ -110,7 +116,7 @@ def cosine_top_k(
                 q = np.array([r["_v"] for r in rows], dtype=np.float64)
                 scale = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    score = np.round(np.clip((q @ x.T) / scale, -1, 1), 6) + 0.0
+                    score = np.round(np.clip((q @ x.T) / scale, -1, 1), DIGITS) + 0.0
                 ids = np.asarray(ids)
                 for r, s in zip(rows, score, strict=True):
                     ok = np.flatnonzero(~np.isnan(s))
@@ -163,7 +169,7 @@ def partitioned_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int
     indexed = vectors.select(id_col, unit(F.col(vector)).alias("u")).where("u IS NOT NULL").withColumn("cell", F.explode(nearest(spill)("u")))
     asked = queries.select("query_id", unit(F.col("query_vector")).alias("q")).where("q IS NOT NULL")
     asked = asked.withColumn("cell", F.explode(nearest(probes)("q")))
-    scored = asked.join(indexed, "cell").select("query_id", id_col, F.round(dot(F.col("q"), F.col("u")), 6).alias("score")).distinct()
+    scored = asked.join(indexed, "cell").select("query_id", id_col, F.round(dot(F.col("q"), F.col("u")), DIGITS).alias("score")).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

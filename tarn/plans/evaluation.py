@@ -19,7 +19,7 @@ j AS (SELECT coalesce(r.query_id, g.query_id) AS query_id, rank, grade FROM rank
 def _judged(spark, sf):
     ranked = _cosine(spark, sf, 20).withColumnRenamed("vec_id", "doc_id")
     v = table(spark, sf, "embeddings").select("vec_id", "label")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
     near = v.where("vec_id % 7 <> 0").withColumn("q_label", F.explode(F.array("label", F.col("label") - 1)))
     qrels = near.join(q, "q_label").where("vec_id <> query_id")
     grade = F.when(F.col("label") == F.col("q_label"), 3).otherwise(1)
@@ -101,7 +101,7 @@ def alpha_ndcg(spark, sf):
     """Diversity: repeated aspects gain less."""
     ranked = _cosine(spark, sf, 20).withColumnRenamed("vec_id", "doc_id")
     v = table(spark, sf, "embeddings").select("vec_id", "label")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
     wide = q.withColumn("aspect_id", F.explode(F.array("q_label", (F.col("q_label") + 1) % 10, (F.col("q_label") + 2) % 10)))
     own = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("aspect_id"))
     supports = wide.join(own, "aspect_id").where("doc_id <> query_id").withColumn("weight", (1 + F.col("aspect_id") % 3).cast("double"))

@@ -20,8 +20,8 @@ qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(replace(lo
 BM25 = rf"""{TOKENS},
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 sc AS (SELECT query_id, p.doc_id, l.source,
-       round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
-             / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length))), 6) AS score
+       sum(round(1e12 * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
+             / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length)))::BIGINT)::DOUBLE / 1e12 AS score
        FROM qt JOIN post p USING (term) JOIN df USING (term) JOIN len l USING (doc_id), st
        GROUP BY query_id, p.doc_id, l.source)
 """
@@ -62,20 +62,25 @@ def corpus_stats(spark, sf):
     return bm25.corpus_stats(_tokens(spark, sf)).withColumn("avg_length", F.round("avg_length", 6))
 
 
+def _six(df, *columns):
+    """Scores as they are shown; ranks are by the whole ones."""
+    return df.withColumns({c: F.round(c, 6) for c in columns or ("score",)})
+
+
 def _bm25(spark, sf, k, keep=None):
     return bm25.top_k(bm25.scores(_tokens(spark, sf), _asked(spark, sf), keep=keep), k)
 
 
-@query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM ({RANKED}) WHERE rank <= 10")
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({RANKED}) WHERE rank <= 10")
 def bm25_topk(spark, sf):
     """Ten best documents of every benchmark item, in one plan."""
-    return _bm25(spark, sf, 10)
+    return _six(_bm25(spark, sf, 10))
 
 
-@query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE source = 'src3') WHERE rank <= 5")
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE source = 'src3') WHERE rank <= 5")
 def bm25_source_filter(spark, sf):
     """A source filter before the ranking; statistics stay global."""
-    return _bm25(spark, sf, 5, F.col("source") == "src3")
+    return _six(_bm25(spark, sf, 5, F.col("source") == "src3"))
 
 
 def count_substring(x: str) -> str:
@@ -128,21 +133,22 @@ def match_source(spark, sf):
 
 
 @query("""
-SELECT source, doc_id, start_char FROM (
-  SELECT source, doc_id, (instr(text, 'with ') - 1)::BIGINT AS start_char FROM documents WHERE contains(text, 'with '))
-ORDER BY source, doc_id LIMIT 20
+WITH p AS (SELECT doc_id, source, string_split(text, 'with ') AS parts FROM documents),
+u AS (SELECT doc_id, source, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS ordinal FROM p),
+s AS (SELECT doc_id, source, n, ordinal, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY ordinal) + ordinal * 5 AS s FROM u)
+SELECT source || '/' || doc_id AS source, doc_id, s::BIGINT AS start_char FROM s WHERE ordinal < n - 1 ORDER BY 1, 3 LIMIT 20
 """)
 def exact_first_hits(spark, sf):
-    """First match of each document, the first twenty by source and id."""
-    at = (F.instr("text", "with ") - 1).cast("long")
-    docs = table(spark, sf, "documents").where(F.col("text").contains("with "))
-    return docs.select("source", "doc_id", at.alias("start_char")).orderBy("source", "doc_id").limit(20)
+    """The first twenty matches of all, by source and place; a document may have several."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.concat_ws("/", "source", "doc_id").alias("source"))
+    hits = exact.literal_matches(docs, "with ").join(docs.select("doc_id", "source"), "doc_id")
+    return exact.first_matches(hits, 20).select("source", "doc_id", "start_char")
 
 
 COSINE = """
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
-q AS (SELECT vec_id AS query_id, e AS qe, label AS q_label FROM v WHERE vec_id % 50 = 0),
-sc AS (SELECT query_id, q_label, vec_id, label, round(greatest(-1, least(1, list_cosine_similarity(e, qe))), 6) AS score FROM v, q WHERE vec_id <> query_id)
+q AS (SELECT vec_id AS query_id, e AS qe, label AS q_label FROM v WHERE vec_id % 20 = 0),
+sc AS (SELECT query_id, q_label, vec_id, label, round(greatest(-1, least(1, list_cosine_similarity(e, qe))), 12) AS score FROM v, q WHERE vec_id <> query_id)
 """
 COSINE_RANKED = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM sc"
 
@@ -151,7 +157,7 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings")
 
 
-def _vector_queries(spark, sf, every=50):
+def _vector_queries(spark, sf, every=20):
     return _vectors(spark, sf).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
@@ -162,15 +168,15 @@ def _cosine(spark, sf, k, keep=None):
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-@query(f"WITH {COSINE} SELECT query_id, vec_id, score, rank FROM ({COSINE_RANKED}) WHERE rank <= 10")
+@query(f"WITH {COSINE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({COSINE_RANKED}) WHERE rank <= 10")
 def cosine_topk(spark, sf):
-    return _cosine(spark, sf, 10)
+    return _six(_cosine(spark, sf, 10))
 
 
-@query(f"WITH {COSINE} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM sc WHERE label < 3) WHERE rank <= 5")
+@query(f"WITH {COSINE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM sc WHERE label < 3) WHERE rank <= 5")
 def cosine_filtered(spark, sf):
     """A filter on candidates before the ranking."""
-    return _cosine(spark, sf, 5, F.col("label") < 3)
+    return _six(_cosine(spark, sf, 5, F.col("label") < 3))
 
 
 @query("""
@@ -186,21 +192,25 @@ def vector_validate(spark, sf):
 @query()
 def ann_recall(spark, sf):
     """Recall of the inverted-list search against the exact one, by query: every id divisible by 20."""
-    asked = _vector_queries(spark, sf, every=20)
+    asked = _vector_queries(spark, sf)
     exact_ = vector.cosine_top_k(asked, _vectors(spark, sf), 10)
     near = vector.partitioned_top_k(asked, _vectors(spark, sf), 10, cells=16, probes=8, spill=3)
     return irmetrics.neighbour_recall(exact_, near, 10)
 
 
-LEGS = f"""WITH {BM25}, lex AS (SELECT query_id, doc_id, rank FROM ({RANKED}) WHERE rank <= 20),
+def _legs_sql(depth):
+    return f"""WITH {BM25}, lex AS (SELECT query_id, doc_id, rank FROM ({RANKED}) WHERE rank <= {depth}),
 sem AS (SELECT query_id, doc_id, rank FROM (
   SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
-    SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(greatest(-1, least(1, list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]))), 6) AS score
-    FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b)) WHERE rank <= 20),
+    SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(greatest(-1, least(1, list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]))), 12) AS score
+    FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b)) WHERE rank <= {depth}),
 legs AS (SELECT *, 'bm25' AS method FROM lex UNION ALL SELECT *, 'semantic' AS method FROM sem)
 """
 
 
+LEGS = _legs_sql(20)
+
+
 def _legs(spark, sf, k=20):
     """A benchmark item's lexical leg, and the neighbours of the vector of the same number."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
@@ -209,37 +219,37 @@ def _legs(spark, sf, k=20):
     return {"bm25": _bm25(spark, sf, k), "semantic": near}
 
 
-def _lists(spark, sf):
-    legs = _legs(spark, sf)
+def _lists(spark, sf, k=20):
+    legs = _legs(spark, sf, k)
     one = lambda n: legs[n].select("query_id", F.lit(n).alias("method"), "doc_id", "rank")
     return one("bm25").unionByName(one("semantic"))
 
 
-FUSED = "SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM legs GROUP BY query_id, doc_id"
+FUSED = "SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM legs GROUP BY query_id, doc_id"
 
 
-@query(f"{LEGS} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({FUSED})")
+@query(f"{LEGS} SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({FUSED})")
 def rrf_fusion(spark, sf):
     """Both legs fused by reciprocal ranks, in full."""
-    return fusion.rrf(_lists(spark, sf)).drop("votes")
+    return _six(fusion.rrf(_lists(spark, sf)).drop("votes"))
 
 
-@query(f"{LEGS} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({FUSED})) WHERE rank <= 10")
+@query(f"{LEGS} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({FUSED})) WHERE rank <= 10")
 def hybrid_topk(spark, sf):
-    return fusion.hybrid(_legs(spark, sf), candidates=20, top_k=10).drop("votes")
+    return _six(fusion.hybrid(_legs(spark, sf), candidates=20, top_k=10).drop("votes"))
 
 
 @query(f"""{LEGS}, arms AS (SELECT unnest([5, 10, 20])::INT AS depth),
-f AS (SELECT depth, query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM legs, arms WHERE rank <= depth GROUP BY ALL)
-SELECT depth, query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY depth, query_id ORDER BY score DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 20""")
+f AS (SELECT depth, query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM legs, arms WHERE rank <= depth GROUP BY ALL)
+SELECT depth, query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY depth, query_id ORDER BY score DESC, doc_id)::INT AS rank FROM f) WHERE rank <= 20""")
 def depth_arms(spark, sf):
     """The same frozen legs fused at three depths."""
-    return fusion.depth_arms(_lists(spark, sf), [5, 10, 20])
+    return _six(fusion.depth_arms(_lists(spark, sf), [5, 10, 20]))
 
 
 OVERLAP = rf"""{LEGS},
 qs AS (SELECT query_id, list(term) AS asked FROM qt GROUP BY query_id),
-r AS (SELECT l.query_id, l.doc_id, l.rank AS input_rank, round(len(list_intersect(asked, terms)) / len(asked)::DOUBLE, 6) AS score
+r AS (SELECT l.query_id, l.doc_id, l.rank AS input_rank, len(list_intersect(asked, terms)) / len(asked)::DOUBLE AS score
       FROM lex l JOIN qs USING (query_id) JOIN tok USING (doc_id))
 """
 
@@ -249,38 +259,54 @@ def _reranked(spark, sf, policy="identity"):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms(F.col("text")).alias("asked"))
     hits = _bm25(spark, sf, 20).join(words, "doc_id").join(asked, "query_id")
     out = fusion.rerank(hits, fusion.overlap_score(F.col("asked"), F.col("terms")), tie_policy=policy)
-    return out.select("query_id", "doc_id", "input_rank", "score", "rank", "movement")
+    return _six(out.select("query_id", "doc_id", "input_rank", "score", "rank", "movement"))
 
 
-@query(f"{OVERLAP} SELECT query_id, doc_id, input_rank, score, rank, input_rank - rank AS movement FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM r)")
+@query(f"{OVERLAP} SELECT query_id, doc_id, input_rank, round(score, 6) AS score, rank, input_rank - rank AS movement FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM r)")
 def rerank_overlap(spark, sf):
     """The lexical leg reranked by the share of query terms; ties by identity."""
     return _reranked(spark, sf)
 
 
-@query(f"{OVERLAP} SELECT query_id, doc_id, input_rank, score, rank, input_rank - rank AS movement FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, input_rank)::INT AS rank FROM r)")
+@query(f"{OVERLAP} SELECT query_id, doc_id, input_rank, round(score, 6) AS score, rank, input_rank - rank AS movement FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, input_rank)::INT AS rank FROM r)")
 def rerank_input_ties(spark, sf):
     """The same with ties in the order of the input."""
     return _reranked(spark, sf, "input_rank")
 
 
-@query(f"""WITH {BM25}, h AS (SELECT query_id, doc_id, source, rank FROM ({RANKED}) WHERE rank <= 50),
+@query(f"""WITH {BM25}, h AS (SELECT query_id, doc_id, source, rank FROM ({RANKED}) WHERE rank <= 500),
 f AS (SELECT query_id, source, min(rank) AS hit_rank FROM h GROUP BY query_id, source)
-SELECT query_id, source, hit_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank)::INT AS rank FROM f) WHERE rank <= 5""")
+SELECT query_id, source, hit_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_rank)::INT AS rank FROM f) WHERE rank <= 100""")
 def source_collapse(spark, sf):
-    """First hit of each source among fifty, the first five of a query."""
+    """First hit of each source among five hundred, the first hundred of a query."""
     sources = table(spark, sf, "documents").select("doc_id", "source")
-    hits = _bm25(spark, sf, 50).join(sources, "doc_id")
-    return fusion.first_per_source(hits, limit=5).select("query_id", "source", "hit_rank", "rank")
+    hits = _bm25(spark, sf, 500).join(sources, "doc_id")
+    return fusion.first_per_source(hits, limit=100).select("query_id", "source", "hit_rank", "rank")
 
 
-@query(f"""{LEGS}, fu AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({FUSED})),
-{OVERLAP.split(LEGS)[1].lstrip(',').strip()}, re AS (SELECT query_id, doc_id, input_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM r)
-SELECT query_id, doc_id, rank FROM re WHERE input_rank <= 5 UNION ALL SELECT query_id, doc_id, rank FROM fu WHERE rank > 5 AND rank <= 15""")
+@query(f"""{_legs_sql(500)}, fu AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({FUSED})),
+qs AS (SELECT query_id, list(term) AS asked FROM qt GROUP BY query_id),
+hd AS (SELECT query_id, doc_id, coalesce(len(list_intersect(asked, terms)) / len(asked)::DOUBLE, 0) AS score FROM fu LEFT JOIN qs USING (query_id) JOIN tok USING (doc_id) WHERE rank <= 20)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM hd
+UNION ALL SELECT query_id, doc_id, rank FROM fu WHERE rank > 20 AND rank <= 100""")
 def rerank_splice(spark, sf):
-    """Reranked head, fused tail."""
-    fused = fusion.rrf(_lists(spark, sf))
-    return fusion.splice(_reranked(spark, sf), fused, depth=5, limit=15, id_col="doc_id")
+    """Legs of five hundred fused; the first twenty reranked, then the fused order up to a hundred."""
+    fused = fusion.rrf(_lists(spark, sf, 500)).where(F.col("rank") <= 100).drop("votes")
+    words = _tokens(spark, sf).select("doc_id", "terms")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms(F.col("text")).alias("asked"))
+    head = fused.where(F.col("rank") <= 20).join(words, "doc_id").join(asked, "query_id")
+    return fusion.splice(fusion.rerank(head, fusion.overlap_score(F.col("asked"), F.col("terms"))), fused, depth=20, limit=100, id_col="doc_id")
+
+
+# Hits that disagree: the semantic leg gives some documents another source.
+@query(f"""{LEGS}, h AS (SELECT l.doc_id, CASE WHEN l.method = 'semantic' AND l.doc_id % 3 = 0 THEN source || '!' WHEN l.doc_id % 5 = 0 THEN NULL ELSE source END AS source FROM legs l JOIN documents USING (doc_id))
+SELECT doc_id, count(DISTINCT source)::BIGINT AS source FROM h GROUP BY doc_id HAVING count(DISTINCT source) > 1""")
+def rrf_conflicts(spark, sf):
+    """Documents that two legs know under different sources; unknown ones don't count."""
+    hits = _lists(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    d = F.col("doc_id")
+    source = F.when((F.col("method") == "semantic") & (d % 3 == 0), F.concat("source", F.lit("!"))).when(d % 5 == 0, F.lit(None)).otherwise(F.col("source"))
+    return fusion.conflicts(hits.withColumn("source", source), ["doc_id"], ["source"])
 
 
 @query(f"""{LEGS} SELECT query_id, doc_id, max(CASE WHEN method = 'bm25' THEN rank END) AS before, max(CASE WHEN method = 'semantic' THEN rank END) AS after,

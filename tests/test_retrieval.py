@@ -68,6 +68,35 @@ def test_offsets(spark):
     assert spans(exact.literal_matches(one("Ab aB"), "AB", ignore_case=True)) == [(0, 2), (3, 5)]
     assert spans(exact.literal_matches(one("q\\E.q"), "\\E.")) == [(1, 4)]
     assert spans(exact.literal_matches(one(None), "x")) == []
+    assert spans(exact.literal_matches(one("é, " * 3000), ", ")) == [(3 * k + 1, 3 * k + 3) for k in range(3000)]
+
+
+def test_offsets_need_no_shuffle(spark, sf):
+    found = exact.literal_matches(spark.read.parquet(f"{sf}/documents.parquet"), "and ")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_are_by_whole_scores(spark):
+    """At rank 100 neighbouring sums differ in the eighth digit."""
+    lists = spark.range(1, 400).selectExpr("0L AS query_id", "'a' AS method", "CAST(1000 - id AS long) AS doc_id", "CAST(id AS int) AS rank")
+    got = [r["doc_id"] for r in fusion.rrf(lists).orderBy("rank").collect()]
+    assert got == [1000 - i for i in range(1, 400)]
+    from fractions import Fraction
+
+    both = [(0, m, d, r) for m, step in (("a", 7), ("b", 11)) for r, d in enumerate(((k * step) % 199 for k in range(199)), 1)]
+    sums = {}
+    for _, _, d, r in both:
+        sums[d] = sums.get(d, Fraction(0)) + Fraction(1, 60 + r)
+    df = spark.createDataFrame(both, "query_id long, method string, doc_id long, rank int")
+    order = [r["doc_id"] for r in fusion.rrf(df).orderBy("rank").collect()]
+    assert all(sums[a] > sums[b] or (sums[a] == sums[b]) for a, b in zip(order, order[1:], strict=False))
+
+
+def test_hits_that_disagree_raise(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", None), ("b", "x")], "id string, content string")
+    assert fusion.consistent(df, ["id"], ["content"]).count() == 3
+    with pytest.raises(ValueError, match="disagree"):
+        fusion.consistent(df.unionByName(df.limit(1).selectExpr("id", "'z' AS content")), ["id"], ["content"])
 
 
 def test_bad_patterns_fail_on_an_empty_corpus(spark):
@@ -128,7 +157,8 @@ def test_scorer_must_be_finite(spark):
 
 
 def test_recall_asks_every_id_divisible_by_twenty(spark, sf):
-    from tarn.plans.retrieval import ann_recall
+    from tarn.plans.retrieval import ann_recall, cosine_topk
 
     ids = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
-    assert {r["query_id"] for r in ann_recall(spark, sf).collect()} == ids
+    for query in (ann_recall, cosine_topk):
+        assert {r["query_id"] for r in query(spark, sf).collect()} == ids
