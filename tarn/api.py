@@ -6,13 +6,14 @@ operators themselves, of which these are thin wrappers for single ones.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import exact_terms, identity, title_and_body
+from tarn.functions.text import exact_terms, identity, python_terms, title_and_body
 from tarn.operators import agent, bm25, chunking, exact, fusion, lifecycle, vector
 from tarn.sources import notes as note_source
 
@@ -44,6 +45,8 @@ class Engine:
     scorer: Callable | None = None
     count: Callable[[str], int] = len
     settings: Settings = field(default_factory=Settings)
+    #: What kind of vectors ``embedder`` makes; a snapshot of another kind is refused.
+    spec: vector.EmbeddingSpec | None = None
 
     @property
     def store(self) -> lifecycle.Store:
@@ -64,13 +67,18 @@ class Engine:
         """Builds a new snapshot, or keeps the active one if nothing changed."""
         notes = note_source.stable_notes(self.spark, self.notes)
         records = self._records(lifecycle.with_revisions(notes)).persist()
-        config = {"size": self.settings.size, "overlap": self.settings.overlap, "embedded": self.embedder is not None}
+        config = {"size": self.settings.size, "overlap": self.settings.overlap, "embedded": self.embedder is not None, "spec": self._kind()}
+        text = title_and_body(F.col("title"), F.col("content"))
+        tokens = bm25.tokenised(records, text, exact_terms).select("chunk_id", "source", "terms", "length")
         try:
-            return self.store.build(records, self._embed, config, force)
+            return self.store.build(records, self._embed, config, force, tokens)
         finally:
             records.unpersist()
             notes.unpersist()
 
+    def _kind(self) -> str | None:
+        return self.spec.fingerprint if self.spec is not None else None
+
     def _embed(self, lacking: DataFrame) -> DataFrame:
         if self.embedder is None:
             return lacking.withColumn("embedding", F.array().cast("array<double>"))
@@ -87,45 +95,52 @@ class Engine:
         if target == "source":
             return exact.source_matches(docs, query).orderBy("source").limit(top_k)
         find = exact.pattern_matches if regex else exact.literal_matches
-        spans = find(docs, query, text_col="content", ignore_case=ignore_case)
+        spans = find(docs, query, text_col="content", ignore_case=ignore_case, keep=["source", "title", "document_revision", "content"])
         cut = F.substring(F.col("content"), F.col("start_char").cast("int") + 1, (F.col("end_char") - F.col("start_char")).cast("int"))
-        hits = spans.join(docs, "doc_id").withColumn("content", cut)
-        return exact.first_matches(hits, top_k)
+        return exact.first_matches(spans.withColumn("content", cut), top_k)
 
     def search(self, query: str, mode: str = "hybrid", rerank: bool = False, source: str | None = None, top_k: int = 10) -> DataFrame:
         """Ranked chunks of the active snapshot; the mode is never replaced by another."""
         if mode not in MODES or not query.strip() or top_k < 1:
             raise ValueError(f"a search needs a query, a positive top_k and one of {MODES}")
-        s = self.settings
-        chunks = self.store.chunks()
+        s, store = self.settings, self.store
+        active = store.active()
+        chunks = store.records()
         depth = max(top_k, s.candidates) if rerank or mode == "hybrid" else top_k
-        asked = self.spark.createDataFrame([(0, query)], "query_id long, text string")
+        keep = None if source is None else F.col("source") == source
         legs = {}
         if mode in ("bm25", "lexical", "hybrid"):
-            tokens = bm25.tokenised(chunks, title_and_body(F.col("title"), F.col("content")), exact_terms)
-            keep = None if source is None else F.col("source") == source
-            scored = bm25.scores(tokens, bm25.query_terms(asked, F.col("text"), "query_id", exact_terms), "chunk_id", keep=keep, params=bm25.Bm25(s.k1, s.b))
-            legs["bm25"] = bm25.top_k(scored, depth, id_col="chunk_id")
+            legs["bm25"] = self._lexical(query, active, keep, depth)
         if mode in ("semantic", "hybrid"):
             if self.embedder is None:
                 raise ValueError("this engine has no embedder")
-            (v,) = self.embedder([f"Instruct: {s.instruction}\nQuery:{query}"])
-            legs["semantic"] = self._semantic(list(map(float, v)), chunks, source, depth)
+            if json.loads(active["config"])["spec"] != self._kind():
+                raise ValueError("the snapshot's vectors are of another kind")
+            (v,) = self.embedder([chunking.prepared_text(s.instruction, query)])
+            legs["semantic"] = self._semantic(list(map(float, v)), chunks, keep, depth)
         hits = legs.get("bm25", legs.get("semantic")) if mode != "hybrid" else fusion.hybrid(legs, depth, s.rrf_k, depth, id_col="chunk_id").drop("votes")
-        rows = hits.join(chunks, "chunk_id")
+        rows = vector.backed(hits, chunks, "chunk_id")
         if rerank:
             if self.scorer is None:
                 raise ValueError("this engine has no scorer")
             rows = fusion.rerank(rows, fusion.scorer(self.scorer)(F.lit(query), F.col("content")), id_col="chunk_id")
-        return rows.where(F.col("rank") <= top_k).orderBy("rank")
-
-    def _semantic(self, v: list[float], chunks: DataFrame, source: str | None, k: int) -> DataFrame:
-        from pyspark.sql import Window
-
-        rows = chunks if source is None else chunks.where(F.col("source") == source)
+        method = ("bm25" if mode == "lexical" else mode) + ("+rerank" if rerank else "")
+        return rows.where(F.col("rank") <= top_k).withColumn("method", F.lit(method)).orderBy("rank")
+
+    def _lexical(self, query: str, active: dict, keep, k: int) -> DataFrame:
+        """From the postings that the snapshot holds; only the query's terms are read."""
+        terms = sorted(set(python_terms(query)))
+        asked = self.spark.createDataFrame([(0, t) for t in terms], "query_id long, term string")
+        found = self.store.postings(terms, active["version"])
+        of = active["indexed"]
+        params = bm25.Bm25(self.settings.k1, self.settings.b)
+        return bm25.top_k(bm25.indexed_scores(found, of["n_docs"], of["total_terms"], asked, "chunk_id", keep=keep, params=params), k, id_col="chunk_id")
+
+    def _semantic(self, v: list[float], chunks: DataFrame, keep, k: int) -> DataFrame:
+        rows = chunks if keep is None else chunks.where(keep)
         query = F.array(*[F.lit(x) for x in v])
         vectors = self.store.vectors().dropDuplicates(["embedding_key"])
-        scored = rows.join(vectors, "embedding_key").withColumn("score", F.round(vector.cosine(F.col("embedding"), query), 6))
+        scored = rows.join(vectors, "embedding_key").withColumn("score", F.round(vector.cosine(F.col("embedding"), query), vector.DIGITS))
         best = scored.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "score").where("score IS NOT NULL").orderBy(F.desc("score"), "chunk_id").limit(k)
         return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
 

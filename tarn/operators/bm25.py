@@ -40,10 +40,11 @@ def tokenised(docs: DataFrame, text: Column, tokenizer=terms) -> DataFrame:
     return docs.withColumn("terms", tokenizer(text)).withColumn("length", F.size("terms").cast("long"))
 
 
-def postings(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``term, <id>, tf, length``, a row for each term of each document."""
-    exploded = tokens.select(id_col, "length", F.explode("terms").alias("term"))
-    return exploded.groupBy("term", id_col, "length").agg(F.count("*").alias("tf"))
+def postings(tokens: DataFrame, id_col: str = "doc_id", more: list[str] | None = None) -> DataFrame:
+    """``term, <id>, length, tf`` and columns ``more``, a row for each term of each document."""
+    own = [id_col, "length", *(more or [])]
+    exploded = tokens.select(*own, F.explode("terms").alias("term"))
+    return exploded.groupBy("term", *own).agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -85,6 +86,25 @@ def scores(
     found = dealt.groupBy("term", id_col, "length", "kept").agg(F.count("*").alias("tf"))
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     stats = F.broadcast(corpus_stats(tokens))  # one row
+    return _summed(found, frequency, stats, asked, bounded, id_col, query_id, params)
+
+
+def indexed_scores(
+    found: DataFrame, n_docs: int, total_terms: int, asked: DataFrame, id_col: str = "doc_id", query_id: str = "query_id", keep: Column | None = None, params: Bm25 | None = None
+) -> DataFrame:
+    """As :func:`scores`, from stored postings of the queries' terms and the corpus' statistics.
+
+    ``found``: all postings of each term, with ``length`` and what ``keep`` needs.
+    """
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    stats = found.sparkSession.range(1).select(F.lit(n_docs).alias("n_docs"), F.lit(total_terms / max(n_docs, 1)).alias("avg_length"))
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _summed(found.withColumn("kept", kept), frequency, F.broadcast(stats), asked, F.broadcast if small else lambda df: df, id_col, query_id, params or Bm25())
+
+
+def _summed(found, frequency, stats, asked, bounded, id_col, query_id, params) -> DataFrame:
+    """Scores of postings: weights by term, parts by posting, sums by query and document."""
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = frequency.crossJoin(stats).select("term", "avg_length", idf.alias("idf"))
     tf, b, k1 = F.col("tf"), params.b, params.k1

@@ -26,8 +26,8 @@ def literal_count(text: Column, literal: str, ignore_case: bool = False) -> Colu
     return F.size(F.split(F.coalesce(text, F.lit("")), quoted(literal, ignore_case), -1)) - 1
 
 
-def literal_matches(docs: DataFrame, literal: str, text_col: str = "text", id_col: str = "doc_id", ignore_case: bool = False) -> DataFrame:
-    """``<id>, ordinal, start_char, end_char`` of every non-overlapping occurrence.
+def literal_matches(docs: DataFrame, literal: str, text_col: str = "text", id_col: str = "doc_id", ignore_case: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``<id>, ordinal, start_char, end_char`` and columns ``keep`` of every non-overlapping occurrence.
 
     Folding keeps lengths only if no character changes its length with case, so
     under ``ignore_case`` ends are taken from the length of the literal.
@@ -37,8 +37,9 @@ def literal_matches(docs: DataFrame, literal: str, text_col: str = "text", id_co
     # a match starts after the parts before it and the matches between them: a fold over
     # the array of one row, so nothing is shuffled
     lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.length(x).cast("long"))
-    hits = docs.select(id_col, F.posexplode(_starts(lengths, size)).alias("ordinal", "start_char"))
-    return hits.select(id_col, "ordinal", "start_char", (F.col("start_char") + size).alias("end_char"))
+    own = keep or []
+    hits = docs.select(id_col, *own, F.posexplode(_starts(lengths, size)).alias("ordinal", "start_char"))
+    return hits.select(id_col, "ordinal", "start_char", (F.col("start_char") + size).alias("end_char"), *own)
 
 
 def _starts(lengths: Column, size: int, block: int = 256) -> Column:
@@ -55,7 +56,7 @@ def _starts(lengths: Column, size: int, block: int = 256) -> Column:
     return F.aggregate(lengths, start, step, lambda t: F.flatten(F.concat(t["done"], F.array(t["open"]))))
 
 
-def pattern_matches(docs: DataFrame, pattern: str, text_col: str = "text", id_col: str = "doc_id", ignore_case: bool = False) -> DataFrame:
+def pattern_matches(docs: DataFrame, pattern: str, text_col: str = "text", id_col: str = "doc_id", ignore_case: bool = False, keep: list[str] | None = None) -> DataFrame:
     """As :func:`literal_matches` for a pattern (Python dialect, multi-line); matches may be empty.
 
     An invalid pattern fails before any plan is made.
@@ -66,8 +67,9 @@ def pattern_matches(docs: DataFrame, pattern: str, text_col: str = "text", id_co
     def spans(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(lambda t: [{"start_char": m.start(), "end_char": m.end()} for m in found.finditer(t)])
 
-    cells = docs.select(id_col, F.posexplode(spans(F.col(text_col))).alias("ordinal", "span"))
-    return cells.select(id_col, "ordinal", "span.start_char", "span.end_char")
+    own = keep or []
+    cells = docs.select(id_col, *own, F.posexplode(spans(F.col(text_col))).alias("ordinal", "span"))
+    return cells.select(id_col, "ordinal", "span.start_char", "span.end_char", *own)
 
 
 def pattern_documents(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:

@@ -1,23 +1,28 @@
-"""Versioned snapshots of chunks and vectors, kept as Parquet.
+"""Versioned snapshots of chunks, vectors and postings, kept as Parquet.
 
-A build is written beside the active version and becomes active by the rename of
-one small pointer file, so a failed build never replaces what is served.
+A build is written beside the active version, read back and verified, and becomes
+active by the replacement of one small pointer file, so a failed build never
+replaces what is served. Everything lies in one folder of any store that Spark
+reaches.
 """
 
 from __future__ import annotations
 
 import contextlib
 import json
-import os
 import time
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import identity
+from tarn.operators import bm25
+from tarn.sources.files import Files
+
+#: Parts that the postings of a version are dealt into by term.
+BUCKETS = 64
 
 
 def with_revisions(notes: DataFrame) -> DataFrame:
@@ -69,82 +74,138 @@ def verify_vectors(stored: DataFrame, expected: DataFrame, key: str = "embedding
     return rows.select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
 
-class Store:
-    """Snapshots of one vault under a folder: ``chunks/version=…``, ``vectors``, manifests, pointer.
+def cache_problems(keys: DataFrame, vectors: DataFrame, key: str = "embedding_key") -> DataFrame:
+    """``<key>, problem``: texts whose stored vector is missing, ambiguous, not finite, zero, or of another size.
 
-    Tables go through Spark and may lie in any store; the pointer, manifests and
-    the writer's lock are small files that the driver keeps in ``root``.
+    The size that most vectors have is the right one. Vectors without components
+    (of an engine that has no model) are fine as long as all are.
     """
+    own = keys.select(key).distinct().join(vectors.select(key, "embedding").distinct(), key, "left")
+    sizes = own.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("n")).count()
+    usual = F.broadcast(sizes.agg(F.max_by("n", "count").alias("_usual")))  # one row
+    found = own.groupBy(key).agg(F.count("embedding").alias("n"), F.first("embedding", ignorenulls=True).alias("embedding")).crossJoin(usual)
+    e = F.col("embedding")
+    odd = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    problem = (
+        F.when(F.col("n") == 0, "missing")
+        .when(F.col("n") > 1, "ambiguous")
+        .when(F.size(e) != F.col("_usual"), "size")
+        .when(odd, "not_finite")
+        .when((F.size(e) > 0) & F.forall(e, lambda x: x == 0), "zero")
+    )
+    return found.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+class Store:
+    """Snapshots of one vault: ``chunks``, ``postings`` and ``manifests`` by version, ``vectors``, a pointer."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
-        (self.root / "manifests").mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, root: str, lease_s: float = 6 * 3600):
+        self.spark, self.files, self.lease_s = spark, Files(spark, str(root)), lease_s
 
     @contextlib.contextmanager
     def writer(self):
-        """One writer at a time; a lock left by a dead process can be removed by hand."""
-        lock = self.root / "writer.lock"
-        try:
-            handle = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError:
-            raise RuntimeError("another writer holds the store") from None
+        """One writer at a time. A lock whose lease has run out belongs to a dead process and is taken over."""
+        own = {"token": uuid.uuid4().hex, "until": time.time() + self.lease_s}
+        data = json.dumps(own).encode()
+        if not self.files.create("writer.lock", data):
+            if self._lock()["until"] > time.time():
+                raise RuntimeError("another writer holds the store")
+            self.files.remove("writer.lock")
+            if not self.files.create("writer.lock", data):
+                raise RuntimeError("another writer holds the store")
+        if self._lock()["token"] != own["token"]:  # a store may let two create one file
+            raise RuntimeError("another writer holds the store")
         try:
-            os.write(handle, str(os.getpid()).encode())
             yield
         finally:
-            os.close(handle)
-            lock.unlink()
+            if self._lock()["token"] == own["token"]:
+                self.files.remove("writer.lock")
 
-    def _put(self, path: Path, value: dict) -> None:
-        new = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-        new.write_text(json.dumps(value, sort_keys=True))
-        os.replace(new, path)
+    def _lock(self) -> dict:
+        try:
+            return json.loads(self.files.read("writer.lock"))
+        except Exception:  # gone, or not whole yet
+            return {"token": None, "until": time.time() + 1}
+
+    def _put(self, name: str, value: dict) -> None:
+        self.files.replace(name, json.dumps(value, sort_keys=True).encode())
 
     def manifest(self, version: str) -> dict:
-        return json.loads((self.root / "manifests" / f"{version}.json").read_text())
+        return json.loads(self.files.read(f"manifests/{version}.json"))
 
     def manifests(self) -> list[dict]:
-        return [json.loads(p.read_text()) for p in sorted((self.root / "manifests").glob("*.json"))]
+        return [json.loads(self.files.read(f"manifests/{n}")) for n in self.files.names("manifests", ".json")]
 
     def active(self) -> dict | None:
         """The manifest that queries use; None before the first build."""
-        pointer = self.root / "active.json"
-        return self.manifest(json.loads(pointer.read_text())["version"]) if pointer.exists() else None
+        return self.manifest(json.loads(self.files.read("active.json"))["version"]) if self.files.exists("active.json") else None
 
-    def chunks(self, version: str | None = None) -> DataFrame:
-        """Records of a ready version, in order; its count is checked."""
+    def _ready(self, version: str | None) -> dict:
         found = self.active() if version is None else self.manifest(version)
         if found is None or found["status"] != "ready":
             raise ValueError("no ready snapshot")
-        rows = self.spark.read.parquet(str(self.root / "chunks" / f"version={found['version']}"))
+        return found
+
+    def _table(self, kind: str, version: str) -> str:
+        return self.files.path(f"{kind}/version={version}")
+
+    def records(self, version: str | None = None) -> DataFrame:
+        """Records of a ready version as they were published, without a look at the whole of it."""
+        return self.spark.read.parquet(self._table("chunks", self._ready(version)["version"]))
+
+    def chunks(self, version: str | None = None) -> DataFrame:
+        """Records of a ready version; their number, ids and revisions are checked."""
+        rows, found = self.records(version), self._ready(version)
         if rows.count() != found["chunks"]:
             raise ValueError("the snapshot is not whole")
+        if revision_conflicts(rows).limit(1).count() or repeated_ids(rows).limit(1).count():
+            raise ValueError("a document has two revisions or a chunk id occurs twice")
         return rows
 
+    def scan(self, version: str | None = None) -> DataFrame:
+        """Checked records in the order of their documents' paths and places."""
+        return self.chunks(version).orderBy("source", "chunk_index")
+
     def record(self, version: str, chunk_id: str) -> DataFrame:
-        return self.chunks(version).where(F.col("chunk_id") == chunk_id)
+        return self.records(version).where(F.col("chunk_id") == chunk_id)
 
     def vectors(self) -> DataFrame:
-        path = self.root / "vectors"
-        if not path.exists():
+        if not self.files.exists("vectors"):
             return self.spark.createDataFrame([], "embedding_key string, embedding array<double>")
-        return self.spark.read.parquet(str(path))
+        return self.spark.read.schema("embedding_key string, embedding array<double>").parquet(self.files.path("vectors"))
 
     def loaded(self, version: str | None = None) -> DataFrame:
-        """Records with their vectors."""
-        return self.chunks(version).join(self.vectors(), "embedding_key")
+        """Records with their vectors, one each; a text without a proper vector raises."""
+        rows = self.chunks(version)
+        self._verify(rows)
+        return rows.join(self.vectors().dropDuplicates(["embedding_key"]), "embedding_key")
+
+    def postings(self, terms: list[str], version: str | None = None) -> DataFrame:
+        """``term, chunk_id, source, tf, length`` of some terms: only their buckets are read."""
+        found = self.spark.read.parquet(self._table("postings", self._ready(version)["version"]))
+        asked = self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket().alias("b")).distinct()
+        buckets = [r["b"] for r in asked.collect()]
+        return found.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
     def status(self) -> dict:
         """From saved metadata alone."""
         found = self.active()
         return {"active": found, "builds": [{k: m[k] for k in ("version", "status")} for m in self.manifests()]}
 
-    def build(self, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], config: dict, force: bool = False) -> dict:
+    def _verify(self, rows: DataFrame) -> None:
+        bad = cache_problems(rows, self.vectors()).limit(1).collect()
+        if bad:
+            raise ValueError(f"a stored vector is {bad[0]['problem']}: {bad[0]['embedding_key']}")
+
+    def build(self, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], config: dict, force: bool = False, tokens: DataFrame | None = None) -> dict:
         """A new version, or the active one if neither corpus nor configuration changed.
 
         ``chunks``: ``chunk_id, doc_id, source, document_revision, content,
         embedding_key`` and more. ``embed`` adds ``embedding`` to the texts that the
-        cache lacks. The result says what was added, modified and deleted.
+        cache lacks. ``tokens``: ``chunk_id, source, terms, length``, of which postings
+        are stored. What is stored is read back and verified before it is published,
+        and before an active version is kept. The result says what was added,
+        modified and deleted.
         """
         with self.writer():
             self.recover()
@@ -153,44 +214,61 @@ class Store:
             mark = corpus_fingerprint(chunks, ["chunk_id", "document_revision", "content"]).first()
             identity_ = {"corpus": mark["fingerprint"], "config": json.dumps(config, sort_keys=True)}
             before = self.active()
-            if before and not force and all(before[k] == v for k, v in identity_.items()) and not self._lacking(chunks).limit(1).count():
+            if before and not force and all(before[k] == v for k, v in identity_.items()):
+                self._verify(self.chunks(before["version"]))
                 return {**before, "reused": True}
             version = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
-            path = self.root / "manifests" / f"{version}.json"
+            name = f"manifests/{version}.json"
             made = {"version": version, "status": "building", "chunks": mark["records"], **identity_}
-            self._put(path, made)
+            self._put(name, made)
             try:
                 docs = chunks.select("source", "document_revision").distinct()
-                old = self.chunks(before["version"]).select("source", "document_revision").distinct() if before else docs.limit(0)
+                old = self.records(before["version"]).select("source", "document_revision").distinct() if before else docs.limit(0)
                 made["changes"] = {r["change"]: r["n"] for r in changes(old, docs).groupBy("change").agg(F.count("*").alias("n")).collect()}
-                fresh = embed(self._lacking(chunks)).select("embedding_key", F.col("embedding").cast("array<double>").alias("embedding"))
-                fresh.write.mode("append").parquet(str(self.root / "vectors"))
-                chunks.write.parquet(str(self.root / "chunks" / f"version={version}"))
-                if self._lacking(chunks).limit(1).count():
-                    raise ValueError("a text has no vector")
+                fresh = embed(missing_embeddings(chunks, self.vectors())).select("embedding_key", F.col("embedding").cast("array<double>").alias("embedding"))
+                fresh.write.mode("append").parquet(self.files.path("vectors"))
+                chunks.write.parquet(self._table("chunks", version))
+                if tokens is not None:
+                    made |= self._index(tokens, version)
+                self._verify_published(chunks, version)
                 made["status"] = "ready"
-                self._put(path, made)
-                self._put(self.root / "active.json", {"version": version})
+                self._put(name, made)
+                self._put("active.json", {"version": version})
             except BaseException:
-                self._put(path, {**made, "status": "failed"})
+                self._put(name, {**made, "status": "failed"})
                 raise
             return {**made, "reused": False}
 
-    def _lacking(self, chunks: DataFrame) -> DataFrame:
-        return missing_embeddings(chunks, self.vectors())
+    def _verify_published(self, chunks: DataFrame, version: str) -> None:
+        """What lies in the store is what was to be stored, and every text has its vector."""
+        stored, columns = self.spark.read.parquet(self._table("chunks", version)), ["chunk_id", "document_revision", "content"]
+        if corpus_fingerprint(stored, columns).first() != corpus_fingerprint(chunks, columns).first():
+            raise ValueError("the stored chunks differ from those to be stored")
+        self._verify(stored)
+
+    def _index(self, tokens: DataFrame, version: str) -> dict:
+        """Writes the postings by bucket of their term; returns the corpus' statistics."""
+        found = bm25.postings(tokens, "chunk_id", ["source"]).withColumn("bucket", _bucket())
+        dealt = found.repartition("bucket").sortWithinPartitions("bucket", "term")
+        dealt.write.partitionBy("bucket").parquet(self._table("postings", version))
+        stats = bm25.corpus_stats(tokens).first()
+        return {"indexed": {"n_docs": stats["n_docs"], "total_terms": stats["total_terms"]}}
 
     def recover(self) -> None:
         """Marks builds that a crash left unfinished as failed."""
         for m in self.manifests():
             if m["status"] == "building":
-                self._put(self.root / "manifests" / f"{m['version']}.json", {**m, "status": "failed"})
+                self._put(f"manifests/{m['version']}.json", {**m, "status": "failed"})
 
     def cleanup(self) -> list[str]:
         """Removes tables of failed builds; returns their versions."""
-        import shutil
-
         gone = [m["version"] for m in self.manifests() if m["status"] == "failed"]
         for version in gone:
-            shutil.rmtree(self.root / "chunks" / f"version={version}", ignore_errors=True)
-            (self.root / "manifests" / f"{version}.json").unlink()
+            for kind in ("chunks", "postings"):
+                self.files.remove(f"{kind}/version={version}")
+            self.files.remove(f"manifests/{version}.json")
         return gone
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")

@@ -178,3 +178,12 @@ def resolved(hits: DataFrame, records: DataFrame, id_col: str) -> DataFrame:
     """Hits with their records; ``foreign`` marks hits that no record backs."""
     own = records.withColumn("_known", F.lit(True))
     return hits.join(own, id_col, "left").withColumn("foreign", F.col("_known").isNull()).drop("_known")
+
+
+def backed(hits: DataFrame, records: DataFrame, id_col: str) -> DataFrame:
+    """Hits with their records; one that no record backs, or a second one of a query, raises when it is read."""
+    rows = resolved(hits, records, id_col)
+    twice = F.count("*").over(Window.partitionBy("query_id", id_col)) > 1
+    fault = F.when(F.col("foreign"), "no record backs hit ").when(twice, "two hits of ")
+    rows = rows.withColumn("_fault", F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col(id_col).cast("string")))))
+    return rows.where(F.col("_fault").isNull()).drop("foreign", "_fault")

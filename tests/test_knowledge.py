@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tarn import cli
 from tarn.api import Engine
-from tarn.operators import chunking, context
+from tarn.operators import chunking, context, vector
+from tarn.operators.vector import EmbeddingSpec
 from tarn.sources import datasets, notes
 
 
@@ -144,6 +145,14 @@ def test_notes(spark, folder):
     assert rows == {"a.md": ("Álpha", "first ERR_RESET line\n\n## Detail\nmore about cats"), "b c+d.md": ("b c+d", "dogs and cats"), "empty.md": ("empty", "")}
 
 
+def lengths(queries, texts):
+    return texts.map(len).astype(float)
+
+
+def reply(messages):
+    return {"content": "yes"}
+
+
 def vectors(texts):
     return [[float(t.count("cat")), float(t.count("dog")), 1.0] for t in texts]
 
@@ -184,6 +193,64 @@ def test_engine(spark, folder, tmp_path):
     assert run.answer == "yes" and run.events[0]["result"]
 
 
+def test_a_store_takes_over_a_lapsed_lock(spark, tmp_path):
+    from tarn.operators.lifecycle import Store
+
+    store = Store(spark, f"file://{tmp_path}/s", lease_s=0.05)
+    store.files.create("writer.lock", json.dumps({"token": "dead", "until": 0}).encode())
+    with store.writer():
+        assert store.files.exists("writer.lock")
+    assert not store.files.exists("writer.lock") and store.active() is None
+    with pytest.raises(ValueError, match="no ready"):
+        store.records()
+
+
+def _chunks(spark, texts):
+    rows = [(f"c{i}", f"d{i}", f"d{i}.md", "r", t, f"k{t}", 0) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "chunk_id string, doc_id string, source string, document_revision string, content string, embedding_key string, chunk_index int")
+
+
+def test_what_is_stored_is_verified(spark, tmp_path):
+    from tarn.operators import lifecycle
+
+    store = lifecycle.Store(spark, str(tmp_path / "s"))
+    embed = lambda df: df.withColumn("embedding", F.array(F.length("content").cast("double"), F.lit(1.0)))
+    first = store.build(_chunks(spark, ["a", "bb", "bb"]), embed, {"size": 1})
+    assert store.loaded().count() == 3 and store.vectors().count() == 2
+    assert [r["source"] for r in store.scan().collect()] == ["d0.md", "d1.md", "d2.md"]
+    assert store.build(_chunks(spark, ["a", "bb", "bb"]), embed, {"size": 1})["reused"]
+    for broken in ([0.0, 0.0], [1.0], [float("nan"), 1.0], None):
+        bad = lambda df, v=broken: df.withColumn("embedding", F.lit(None).cast("array<double>") if v is None else F.array(*map(F.lit, v)))
+        with pytest.raises(ValueError, match="stored vector"):
+            store.build(_chunks(spark, ["a", "bb", f"new{broken}"]), bad, {"size": 1})
+        assert store.active()["version"] == first["version"]
+    spark.createDataFrame([("ka", [9.0, 9.0])], "embedding_key string, embedding array<double>").write.mode("append").parquet(store.files.path("vectors"))
+    with pytest.raises(ValueError, match="ambiguous"):
+        store.build(_chunks(spark, ["a", "bb", "bb"]), embed, {"size": 1})
+    assert len(store.cleanup()) == 4 and {b["status"] for b in store.status()["builds"]} == {"ready"}
+
+
+def test_search_reads_the_buckets_of_its_terms(spark, folder, tmp_path):
+    engine = Engine(spark, str(folder), str(tmp_path / "store"))
+    engine.index()
+    plan = engine.store.postings(["cats"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,cats)]" in plan
+    row = engine.search("cats", "lexical", top_k=1).first()
+    assert row["method"] == "bm25" and engine.search("!!", "bm25").collect() == []
+    other = Engine(spark, str(folder), str(tmp_path / "store"), vectors, spec=EmbeddingSpec("m", 3))
+    with pytest.raises(ValueError, match="another kind"):
+        other.search("cats", "semantic")
+
+
+def test_hits_without_a_record_raise(spark):
+    records = spark.createDataFrame([("a", 1)], "chunk_id string, x int")
+    hits = spark.createDataFrame([(0, "a", 1), (0, "z", 2)], "query_id long, chunk_id string, rank int")
+    assert vector.backed(hits.where("rank = 1"), records, "chunk_id").count() == 1
+    for bad in (hits, hits.where("rank = 1").unionByName(hits.where("rank = 1"))):
+        with pytest.raises(Exception, match="no record backs hit z|two hits of a"):
+            vector.backed(bad, records, "chunk_id").collect()
+
+
 def test_command_line(spark, folder, tmp_path):
     def call(*args):
         out = io.StringIO()
@@ -195,6 +262,13 @@ def test_command_line(spark, folder, tmp_path):
     assert code == 0 and json.loads(out)["source"] == "a.md"
     assert json.loads(call("search", "dogs")[1])["source"] == "b c+d.md"
     assert json.loads(call("status")[1])["active"]["status"] == "ready"
+    assert call("search", "cats", "--mode", "semantic")[0] == 2 and call("ask", "why")[0] == 2
+    models = ("--embedder", "tests.test_knowledge:vectors", "--scorer", "tests.test_knowledge:lengths", "--chat", "tests.test_knowledge:reply")
+    assert call(*models, "index")[0] == 0
+    code, out = call(*models, "search", "cats", "--mode", "hybrid", "--rerank", "--top-k", "2")
+    assert code == 0 and [json.loads(x)["method"] for x in out.splitlines()] == ["hybrid+rerank"] * 2
+    assert json.loads(call(*models, "ask", "cats?")[1]) == {"answer": "yes", "calls": 0, "stop_reason": "final"}
+    assert call("--embedder", "tests.test_knowledge:nothing", "status")[0] == 2
 
 
 def test_datasets(spark, tmp_path):
