@@ -170,6 +170,13 @@ def stability(trials: DataFrame, expected: int, by: list[str] | None = None) ->
     return out.withColumn("stability", kind)
 
 
+def pass_at_one(trials: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``cases, pass_at_1``: mean over cases of the share of their trials that passed."""
+    own = by or []
+    cases = trials.groupBy(*own, "case_id").agg(F.avg(F.coalesce(F.col("success"), F.lit(False)).cast("double")).alias("rate"))
+    return cases.groupBy(*own).agg(F.count("*").alias("cases"), F.avg("rate").alias("pass_at_1"))
+
+
 def model_changes(rates: DataFrame) -> DataFrame:
     """Each case's pass rate against the model before it in size: ``win``, ``regression`` or ``same``.
 

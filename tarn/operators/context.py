@@ -47,13 +47,18 @@ def verified(hits: DataFrame, records: DataFrame) -> DataFrame:
     Both: ``index_version, chunk_id, doc_id, document_revision, start_char,
     end_char, content``.
     """
-    facts = ["index_version", "chunk_id", "doc_id", "document_revision", "start_char", "end_char", "content"]
-    odd = hits.join(records.select(*facts).distinct(), facts, "left_anti").select("chunk_id").limit(1).collect()
+    odd = unverified(hits, records).select("chunk_id").limit(1).collect()
     if odd:
         raise ValueError(f"not a record of the snapshot: {odd[0]['chunk_id']}")
     return hits
 
 
+def unverified(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """Hits that no record equals in all of its facts."""
+    facts = ["index_version", "chunk_id", "doc_id", "document_revision", "start_char", "end_char", "content"]
+    return hits.join(records.select(*facts).distinct(), facts, "left_anti")
+
+
 def merged(hits: DataFrame) -> DataFrame:
     """Overlapping spans of one document revision as one; raises if they disagree."""
     out = merged_evidence(hits, KEYS)
@@ -68,15 +73,21 @@ def pack(hits: DataFrame, budget: int, tokens: Callable[[str], int] = len, overh
 
     What doesn't fit is ``budget`` and doesn't stop later hits. ``hits``: prepared
     and kept. A query's hits are a bounded list (its top-k), so it is one group.
+    The tokens of texts add up here; those of one document are counted joined.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = [], []
+        taken: dict[tuple, list] = {}  # what was taken of each document revision, and its tokens
+        spent: dict[tuple, int] = {}
+        left, rows = budget - overhead, []
         for row in pdf.sort_values("rank").itertuples():
-            trial = [*taken, row]
-            ok = overhead + sum(tokens(t) for t in _joined(trial)) <= budget
-            if ok:
-                taken = trial
+            key = (row.index_version, row.doc_id, row.document_revision)
+            trial = [*taken.get(key, []), row]
+            cost = sum(tokens(t) for t in _joined(trial))
+            ok = cost - spent.get(key, 0) <= left
+            if ok:  # only this document's share changes
+                left -= cost - spent.get(key, 0)
+                taken[key], spent[key] = trial, cost
             rows.append((row.query_id, row.rank, "selected" if ok else "budget"))
         return pd.DataFrame(rows, columns=["query_id", "rank", "action"])
 
@@ -84,16 +95,14 @@ def pack(hits: DataFrame, budget: int, tokens: Callable[[str], int] = len, overh
 
 
 def _joined(rows) -> list[str]:
-    """Texts of hits after merging what overlaps."""
-    out, last = [], None
-    for r in sorted(rows, key=lambda r: (str(r.index_version), r.doc_id, str(r.document_revision), r.start_char, r.end_char, r.rank)):
-        key = (r.index_version, r.doc_id, r.document_revision)
-        if last and last[0] == key and r.start_char < last[1]:
-            out[-1] += r.content[max(0, last[1] - r.start_char) :]
-            last = (key, max(last[1], r.end_char))
+    """Texts of hits of one document revision after merging what overlaps."""
+    out, reached = [], -1
+    for r in sorted(rows, key=lambda r: (r.start_char, r.end_char, r.rank)):
+        if out and r.start_char < reached:
+            out[-1] += r.content[max(0, reached - r.start_char) :]
         else:
             out.append(r.content)
-            last = (key, r.end_char)
+        reached = max(reached, r.end_char)
     return out
 
 
@@ -112,6 +121,11 @@ def rendered(question: Column, sources: Column, prompt: str) -> Column:
     return F.to_json(F.array(message("system", F.lit(prompt)), message("user", user)))
 
 
+def within_budget(messages: Column, tokens: Callable[[Column], Column], budget: Budget) -> Column:
+    """Whether the messages, as they are sent, still fit: the last check before a call."""
+    return tokens(messages) <= budget.input
+
+
 def context_id(messages: Column) -> Column:
     return F.sha2(messages, 256)
 
@@ -306,15 +320,24 @@ def used_sources(claims: DataFrame) -> DataFrame:
     return first.select("answer_id", "source_id", F.row_number().over(Window.partitionBy("answer_id").orderBy("at")).alias("number"))
 
 
+#: Fixed value: the characters that would be markup.
+MARKUP = r"([\\`*_\[\]()#!|:])"
+
+
 def inert(text: Column) -> Column:
-    """Text as one harmless Markdown line."""
-    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Text as one harmless Markdown line, control characters as blanks."""
+    plain = F.trim(F.regexp_replace(text, r"[\s\p{Cc}]+", " "))
     plain = F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.regexp_replace(plain, r"([\\`*_\[\]()#!|:])", r"\\$1")
+    return F.regexp_replace(plain, MARKUP, r"\\$1")
+
 
+def rendered_claims(claims: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``answer_id, body``: claims in order, each with the numbers of its sources.
 
-def rendered_claims(claims: DataFrame) -> DataFrame:
-    """``answer_id, body``: claims in order, each with the numbers of its sources."""
+    ``found``: what :func:`issues` has found; answers with any are left out.
+    """
+    if found is not None:
+        claims = claims.join(found.select("answer_id").distinct(), "answer_id", "left_anti")
     numbers = used_sources(claims)
     refs = claims.select("answer_id", "claim_index", F.posexplode_outer("source_ids").alias("pos", "source_id")).join(numbers, ["answer_id", "source_id"], "left")
     marks = refs.groupBy("answer_id", "claim_index").agg(F.sort_array(F.collect_list(F.struct("pos", "number"))).alias("_m"))
@@ -325,6 +348,27 @@ def rendered_claims(claims: DataFrame) -> DataFrame:
     return rows.groupBy("answer_id").agg(F.concat_ws("\n\n", F.transform(lines, lambda x: x["line"])).alias("body"))
 
 
+def rendered_answers(answers: DataFrame, claims: DataFrame, sources: DataFrame, found: DataFrame) -> DataFrame:
+    """``answer_id, markdown``: claims, what is missing, and the sources used with their quotes.
+
+    ``answers``: ``answer_id, missing_information``; ``sources``: ``answer_id,
+    source_id, title, source``. Answers that ``found`` has an issue of are left out.
+    """
+    body = rendered_claims(claims, found)
+    quotes = claims.select("answer_id", F.explode("quotes").alias("q")).select("answer_id", "q.source_id", F.col("q.text").alias("quote")).distinct()
+    quoted = quotes.groupBy("answer_id", "source_id").agg(F.sort_array(F.collect_list("quote")).alias("quotes"))
+    listed = used_sources(claims).join(sources, ["answer_id", "source_id"]).join(quoted, ["answer_id", "source_id"], "left")
+    name = F.concat(F.format_string("[%d] ", F.col("number")), inert(F.col("title")), F.lit(" ("), inert(F.col("source")), F.lit(")"))
+    said = F.transform(F.coalesce("quotes", F.array().cast("array<string>")), lambda q: F.concat(F.lit("\n   > "), inert(q)))
+    lines = listed.select("answer_id", "number", F.concat(name, F.concat_ws("", said)).alias("line"))
+    lists = lines.groupBy("answer_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]).alias("_s"))
+    rows = answers.join(body, "answer_id").join(lists, "answer_id", "left")
+    part = lambda title, items: F.when(F.size(items) > 0, F.concat(F.lit(f"\n\n{title}\n\n"), F.concat_ws("\n", items)))
+    missing = F.transform("missing_information", lambda m: F.concat(F.lit("- "), inert(m)))
+    whole = F.concat_ws("", "body", part("Missing:", missing), part("Sources:", F.col("_s")))
+    return rows.select("answer_id", whole.alias("markdown"))
+
+
 def single_json_block(text: Column) -> Column:
     """The one fenced JSON block of a text; null if there are none or several."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?[ \t]*\n(.*?)```"), F.lit(1))

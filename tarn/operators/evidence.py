@@ -160,3 +160,13 @@ def context_report(spans: DataFrame, kept: Column, keys: list[str]) -> DataFrame
     return out.select(
         *keys, "chars", "union_chars", (1 - F.try_divide("union_chars", "chars")).alias("duplicate_fraction"), F.try_divide("_kept", "chars").alias("retained")
     )
+
+
+def unique_tokens(spans: DataFrame, bodies: DataFrame, keys: list[str], count, text_col: str = "text") -> DataFrame:
+    """``keys, spans, tokens``: tokens of the text that spans cover, each place once.
+
+    ``count`` gives the tokens of a text column; ``bodies`` have ``keys`` and a text.
+    """
+    held = merged(spans, keys, touching=True).join(bodies.select(*keys, F.col(text_col).alias("_t")), keys)
+    part = F.substring(F.col("_t"), (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int"))
+    return held.groupBy(*keys).agg(F.count("*").alias("spans"), F.sum(count(part)).alias("tokens"))

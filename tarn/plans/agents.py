@@ -198,3 +198,43 @@ def hop_breakdown(spark, sf):
         (d % 3 + 2).alias("hops"), (F.col("quality") == 1).alias("answerable"), F.when(d % 6 != 0, F.col("toxic") == 0).alias("predicted_answerable"), ((d % 10) / 10.0).alias("f1")
     )
     return answers.hop_breakdown(rows)
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'x' || doc_id WHEN 1 THEN 'x' || doc_id END AS answer, CASE WHEN doc_id % 6 < 2 THEN doc_id % 2 = 0 END AS answerable, CASE WHEN doc_id % 6 < 2 THEN 2 END::INT AS supports, doc_id % 6 > 1 AS broken FROM documents
+""")
+def predictions_parsed(spark, sf):
+    """Predictions of multi-hop answers; one code fence is allowed, anything else is an error."""
+    d = F.col("doc_id")
+    good = F.concat(F.lit('{"predicted_answer":"x'), d, F.lit('","predicted_answerable":'), (d % 2 == 0).cast("string"), F.lit(',"predicted_support_idxs":[1,2]}'))
+    raw = (
+        F.when(d % 6 == 0, good)
+        .when(d % 6 == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+        .when(d % 6 == 2, F.concat(F.lit("so: "), good))
+        .when(d % 6 == 3, F.replace(good, F.lit("[1,2]"), F.lit('["1"]')))
+        .when(d % 6 == 4, F.lit('{"predicted_answer":"x"}'))
+    )
+    p = table(spark, sf, "documents").select("doc_id", answers.parsed_prediction(raw).alias("p"))
+    return p.select("doc_id", "p.answer", "p.answerable", F.when(F.col("p.support").isNotNull(), F.size("p.support")).alias("supports"), F.col("p.error").isNotNull().alias("broken"))
+
+
+@query("SELECT r_regionkey AS run_id, CASE WHEN r_regionkey % 2 = 0 THEN 'final' ELSE 'max_turns' END AS stop_reason, CASE WHEN r_regionkey % 2 = 0 THEN r_name END AS answer, (r_regionkey % 3 + CASE WHEN r_regionkey % 2 = 0 THEN 0 ELSE 2 - r_regionkey % 3 END)::BIGINT AS calls FROM region")
+def agent_loop(spark, sf):
+    """Bounded runs of a scripted model over a tool that asks a table: one for each region."""
+    nations = table(spark, sf, "nation")
+    rows = []
+    for region in table(spark, sf, "region").collect():  # 5 rows
+        key, left = region["r_regionkey"], [region["r_regionkey"] % 3]
+
+        def chat(messages, key=key, left=left, name=region["r_name"]):
+            if key % 2 == 0 and not left[0]:
+                return {"content": name}
+            left[0] -= 1
+            return {"tool_calls": [{"name": "search", "arguments": {"query": name}}]}
+
+        def search(query, key=key):
+            return [{"doc_id": r["n_nationkey"]} for r in nations.where(F.col("n_regionkey") == key).collect()]
+
+        run = agent.run_agent("which region?", chat, {"search": search}, max_turns=3 if key % 2 == 0 else 2)
+        rows.append((key, run.stop_reason, run.answer, len(run.events)))
+    return spark.createDataFrame(rows, "run_id long, stop_reason string, answer string, calls long")

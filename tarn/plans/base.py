@@ -6,6 +6,9 @@ rankings end in an integer key, so that both engines give the same rows.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +29,11 @@ def query(sql: str | None = None):
         return fn
 
     return add
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share; on one machine without one, a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='tarn-')}/tarn-{uuid.uuid4().hex}"

@@ -287,3 +287,44 @@ def json_block(spark, sf):
     kind = F.col("doc_id") % 3
     text = F.when(kind == 1, F.concat(F.lit("see\n"), one)).when(kind == 2, F.concat(one, one)).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", single_json_block(text).alias("block"))
+
+
+# Facets with two alternatives each; the first is the lesser number.
+@query("SELECT DISTINCT doc_id AS case_id, doc_id * 10 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS span_id FROM documents UNION SELECT doc_id, doc_id * 10 + 3 FROM documents")
+def gold_context(spark, sf):
+    """Spans of each facet's first alternative."""
+    d = F.col("doc_id")
+    one = lambda facet, alternative, span: table(spark, sf, "documents").select(d.alias("case_id"), F.lit(facet).alias("facet_id"), alternative.alias("alternative"), (d * 10 + span).alias("span_id"))
+    rows = one(1, F.when(d % 2 == 0, 0).otherwise(5), 1).unionByName(one(1, F.lit(3), 2)).unionByName(one(2, F.lit(1), 3))
+    return evidence.gold_context(rows)
+
+
+@query("""
+WITH g AS (SELECT doc_id, unnest([0, 1, 2]) AS k FROM documents) SELECT doc_id AS case_id, round(count(*) FILTER (WHERE (doc_id + k) % 3 = 0 OR (k = 1 AND doc_id % 2 = 0)) / 3.0::DOUBLE, 6) AS recall FROM g GROUP BY doc_id
+""")
+def source_group_recall(spark, sf):
+    """Share of source groups of which any source was found."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"))
+    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    groups = d.select("case_id", k.alias("group_id")).withColumn("source", F.concat(F.lit("s"), "group_id"))
+    groups = groups.unionByName(groups.where("group_id = 1").withColumn("source", F.lit("other")))
+    hits = groups.where("(source <> 'other' AND (case_id + group_id) % 3 = 0) OR (source = 'other' AND case_id % 2 = 0)").select("case_id", "source")
+    return _six(evidence.group_recall(hits, groups), "recall")
+
+
+@query(f"""WITH {SPANS}, p AS (SELECT *, max(end_char) OVER (PARTITION BY doc_id ORDER BY start_char, end_char ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR start_char > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start_char, end_char) AS island FROM p),
+m AS (SELECT doc_id, min(start_char) AS s, max(end_char) AS e FROM i GROUP BY doc_id, island)
+SELECT doc_id, count(*)::BIGINT AS spans, sum(len(regexp_extract_all(substr(text, s + 1, e - s), '[^ ]+')))::BIGINT AS tokens FROM m JOIN documents USING (doc_id) GROUP BY doc_id""")
+def unique_evidence_tokens(spark, sf):
+    """Tokens of what spans cover, each place once."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return evidence.unique_tokens(_spans(spark, sf), docs, ["doc_id"], lambda t: F.size(F.regexp_extract_all(t, F.lit("([^ ]+)"), F.lit(1))).cast("long"))
+
+
+@query(f"""WITH {COSINE}, a AS (SELECT * FROM ({COSINE_RANKED}) WHERE rank <= 10), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM sc WHERE vec_id % 3 <> 0) WHERE rank <= 10),
+j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.rank AS r, b.rank AS r2, a.score AS s, b.score AS s2 FROM a FULL JOIN b ON a.query_id = b.query_id AND a.vec_id = b.vec_id)
+SELECT query_id, round(count(*) FILTER (WHERE r IS NOT NULL AND r2 IS NOT NULL) / count(r)::DOUBLE, 6) AS recall, bool_and(coalesce(r = r2, false)) AS same_order, round(max(abs(s - s2)), 6) AS max_delta FROM j GROUP BY query_id""")
+def neighbour_recall(spark, sf):
+    """A list that misses a third of the vectors against the whole one."""
+    return _six(irmetrics.neighbour_recall(_cosine(spark, sf, 10), _cosine(spark, sf, 10, F.col("vec_id") % 3 != 0), 10), "recall", "max_delta")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import chunking, context, lifecycle
 from tarn.plans.base import query, spread, table
+from tarn.plans.retrieval import BM25, RANKED, _bm25
 
 # Before and after: some documents are new, some gone, some edited.
 BEFORE = "b AS (SELECT doc_id, md5(text) AS r FROM documents WHERE doc_id % 10 <> 1)"
@@ -84,50 +85,135 @@ def chunk_whole(spark, sf):
     return out.select(F.col("source").cast("long").alias("doc_id"), "chunk_index", "start_char", "end_char")
 
 
+# Evidence: windows of a hundred characters, sixty apart, over the whole texts of the five best
+# documents of each benchmark item. Every fifth window is missing, so there are gaps; every
+# seventh is there twice, and every ninth is blank.
+WINDOWS = f"""{BM25}, b AS (SELECT query_id, doc_id, rank FROM ({RANKED}) WHERE rank <= 5),
+w AS (SELECT query_id, b.doc_id, rank, text, unnest(range(0, (length(text) + 59) // 60)) AS k FROM b JOIN documents USING (doc_id)),
+h AS (SELECT query_id, doc_id, k, (60 * k)::INT AS s, least(60 * k + 100, length(text))::INT AS e, CASE WHEN k % 9 = 8 THEN '  ' || chr(10) ELSE substr(text, 60 * k + 1, 100) END AS content, (rank * 1000000 + 2 * k + copy)::INT AS rank, copy
+      FROM w, (SELECT unnest([0, 1]) AS copy) WHERE (k + doc_id) % 5 <> 4 AND (copy = 0 OR k % 7 = 3))"""
+
+
 def _hits(spark, sf):
-    """Four hits a query: overlapping windows of two documents, one blank, one repeated."""
-    docs = table(spark, sf, "documents").where("n_chars >= 200").select("doc_id", "text")
-    at = F.array(F.lit(0), F.lit(60), F.lit(60), F.lit(150))
-    rows = docs.select("doc_id", "text", F.posexplode(at).alias("pos", "start_char"))
-    start = F.col("start_char")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    best = _bm25(spark, sf, 5).select("query_id", "doc_id", "rank").join(docs, "doc_id")
+    n = F.floor((F.length("text") + 59) / 60).cast("long")
+    rows = best.where(n > 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).where((F.col("k") + F.col("doc_id")) % 5 != 4)
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("k") % 7 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    start = (60 * F.col("k")).cast("int")
+    content = F.when(F.col("k") % 9 == 8, "  \n").otherwise(F.substring(F.col("text"), start + 1, F.lit(100)))
     return rows.select(
-        (F.col("doc_id") % 50).alias("query_id"), F.lit("v1").alias("index_version"), "doc_id", F.lit("r").alias("document_revision"),
-        F.concat_ws("-", "doc_id", "start_char").alias("chunk_id"), start.cast("int").alias("start_char"), F.least(start + 100, F.length("text")).cast("int").alias("end_char"),
-        F.substring(F.col("text"), start + 1, F.lit(100)).alias("content"), (F.col("doc_id") * 4 + F.col("pos")).cast("int").alias("rank"),
+        "query_id", F.lit("v1").alias("index_version"), "doc_id", F.lit("r").alias("document_revision"), F.concat_ws("-", "doc_id", "k").alias("chunk_id"),
+        start.alias("start_char"), F.least(start + 100, F.length("text")).cast("int").alias("end_char"), content.alias("content"),
+        (F.col("rank") * 1_000_000 + 2 * F.col("k") + F.col("copy")).cast("int").alias("rank"),
     )
 
 
-@query("""
-WITH h AS (SELECT doc_id % 50 AS query_id, doc_id, unnest([0, 1, 2, 3]) AS pos, unnest([0, 60, 60, 150]) AS s FROM documents WHERE n_chars >= 200)
-SELECT query_id, (doc_id * 4 + pos)::INT AS rank, CASE WHEN pos = 2 THEN 'duplicate' ELSE 'kept' END AS action FROM h
-""")
+@query(f"""WITH {WINDOWS} SELECT query_id, rank, CASE WHEN NOT regexp_matches(content, '\\S') THEN 'empty' WHEN copy = 1 THEN 'duplicate' ELSE 'kept' END AS action FROM h""")
 def evidence_prepared(spark, sf):
     """Blank and repeated evidence is left out, with the reason."""
     return context.prepared(_hits(spark, sf)).select("query_id", "rank", "action")
 
 
-@query("""
-WITH d AS (SELECT doc_id, text FROM documents WHERE n_chars >= 200)
-SELECT doc_id % 50 AS query_id, doc_id, 0::INT AS start_char, least(250, length(text))::INT AS end_char, sha256(substr(text, 1, 250)) AS sha256, 3::BIGINT AS parts FROM d
-""")
+@query(f"""WITH {WINDOWS}, g AS (SELECT DISTINCT query_id, doc_id, s, e FROM h WHERE regexp_matches(content, '\\S')),
+p AS (SELECT *, max(e) OVER (PARTITION BY query_id, doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR s >= before THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, doc_id ORDER BY s) AS island FROM p),
+m AS (SELECT query_id, doc_id, min(s) AS s, max(e) AS e, count(*) AS parts FROM i GROUP BY query_id, doc_id, island)
+SELECT query_id, m.doc_id, s::INT AS start_char, e::INT AS end_char, sha256(substr(text, s + 1, e - s)) AS sha256, parts::BIGINT AS parts FROM m JOIN documents USING (doc_id)""")
 def evidence_merged(spark, sf):
     """Overlapping windows of one document as one span of its text."""
     hits = context.prepared(_hits(spark, sf)).where("action = 'kept'")
     return context.merged(hits).select("query_id", "doc_id", "start_char", "end_char", F.sha2("content", 256).alias("sha256"), "parts")
 
 
-@query()
+@query(f"""WITH RECURSIVE {WINDOWS}, g AS (SELECT query_id, doc_id, s, e, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM h WHERE copy = 0 AND regexp_matches(content, '\\S')),
+t AS (SELECT query_id, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS doc_id, NULL::INT AS e, true AS ok, NULL::INT AS rank FROM (SELECT DISTINCT query_id FROM g)
+ UNION ALL SELECT query_id, n, used + CASE WHEN ok THEN cost ELSE 0 END, CASE WHEN ok THEN new_doc ELSE doc_id END, CASE WHEN ok THEN new_e ELSE e END, ok, rank FROM (
+   SELECT *, used + cost <= 900 AS ok FROM (
+     SELECT t.query_id, g.n, t.used, t.doc_id, t.e, g.doc_id AS new_doc, g.e AS new_e, g.rank, CASE WHEN t.doc_id = g.doc_id THEN g.e - greatest(g.s, t.e) ELSE g.e - g.s END AS cost
+     FROM t JOIN g ON g.query_id = t.query_id AND g.n = t.n + 1)))
+SELECT query_id, rank, CASE WHEN ok THEN 'selected' ELSE 'budget' END AS action FROM t WHERE n > 0""")
 def pack_budget(spark, sf):
-    """Greedy packing of evidence under a budget."""
+    """Greedy packing of evidence under a budget; what doesn't fit stops nothing after it."""
     hits = context.prepared(_hits(spark, sf)).where("action = 'kept'")
-    return context.pack(hits, budget=600)
+    return context.pack(hits, budget=900)
+
+
+@query("""
+WITH d AS (SELECT item_id, text, '[{"role":"system","content":"Cite."},{"role":"user","content":' || to_json('{"question":' || to_json(text) || ',"notes":[{"source_id":"S1","title":"t","source":"s.md","content":' || to_json(text) || '}]}') || '}]' AS m FROM benchmark)
+SELECT item_id AS query_id, sha256(m::VARCHAR) AS context_id, length(m::VARCHAR) <= 500 AS fits FROM d
+""")
+def context_messages(spark, sf):
+    """Messages as they are sent, their identity, and the last check of the budget."""
+    note = F.array(F.struct(F.lit("S1").alias("source_id"), F.lit("t").alias("title"), F.lit("s.md").alias("source"), F.col("text").alias("content")))
+    made = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), context.rendered(F.col("text"), note, "Cite.").alias("m"))
+    return made.select("query_id", context.context_id(F.col("m")).alias("context_id"), context.within_budget(F.col("m"), F.length, context.Budget(window=600, output=50, margin=50)).alias("fits"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'selected' WHEN doc_id % 3 = 1 THEN 'budget' ELSE 'empty' END AS action FROM documents UNION ALL SELECT doc_id, 'budget' FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id AS query_id, CASE WHEN bool_or(action = 'selected') THEN 'ready' WHEN bool_or(action = 'budget') THEN 'budget_exhausted' ELSE 'no_evidence' END AS status FROM h GROUP BY doc_id
+""")
+def context_status(spark, sf):
+    """Ready, out of budget, or without evidence."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"))
+    k = F.col("query_id") % 3
+    rows = d.withColumn("action", F.when(k == 0, "selected").when(k == 1, "budget").otherwise("empty"))
+    return context.status(rows.unionByName(d.where("query_id % 2 = 0").withColumn("action", F.lit("budget"))))
+
+
+@query("SELECT doc_id, doc_id % 5 = 0 AS refused FROM documents")
+def evidence_verified(spark, sf):
+    """Evidence that isn't a stored record, word for word, is refused before it can be cited."""
+    facts = [F.lit("v").alias("index_version"), F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.lit("r").alias("document_revision"), F.lit(0).alias("start_char"), F.length("text").alias("end_char")]
+    records = table(spark, sf, "documents").select(*facts, F.col("text").alias("content"))
+    hits = records.withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    good = context.verified(hits.where("doc_id % 5 <> 0"), records).select("doc_id", F.lit(False).alias("refused"))
+    return good.unionByName(context.unverified(hits, records).select("doc_id", F.lit(True).alias("refused")))
+
+
+# Raw answers: good ones, and each kind of broken one, with the document's own words.
+_TEXT = "replace(replace(replace(replace(replace(text, chr(92), ''), '\"', ''), chr(10), ' '), chr(13), ' '), chr(9), ' ')"
+
+
+@query(f"""
+SELECT doc_id AS answer_id, CASE doc_id % 8 WHEN 0 THEN 'answered' WHEN 7 THEN 'insufficient_evidence' END AS status, CASE doc_id % 8 WHEN 0 THEN sha256({_TEXT}) END AS claim_sha256, doc_id % 8 NOT IN (0, 7) AS broken FROM documents
+""")
+def answers_parsed(spark, sf):
+    """Strict answers, and errors for all others: nothing is repaired."""
+    words = F.col("text")
+    for c in ("\\", '"'):
+        words = F.replace(words, F.lit(c), F.lit(""))
+    words = F.translate(words, "\n\r\t", "   ")
+    claim = F.concat(F.lit('{"text":"'), words, F.lit('","source_ids":["S1"]}'))
+    one = lambda status, claims, missing, more="": F.concat(F.lit(f'{{"status":"{status}",{more}"claims":['), claims, F.lit(f'],"missing_information":[{missing}]}}'))
+    none, k = F.lit(""), F.col("doc_id") % 8
+    raw = (
+        F.when(k == 0, one("answered", claim, ""))
+        .when(k == 1, one("answered", claim, "", '"status":"answered",'))
+        .when(k == 2, one("answered", claim, "NaN"))
+        .when(k == 3, F.concat(F.lit("```json\n"), one("answered", claim, ""), F.lit("\n```")))
+        .when(k == 4, one("answered", claim, "", '"x":1,'))
+        .when(k == 5, one("answered", none, ""))
+        .when(k == 6, one("answered", claim, '"more"'))
+        .otherwise(one("insufficient_evidence", none, '"all"'))
+    )
+    p = table(spark, sf, "documents").select("doc_id", context.parsed_answer(raw).alias("p"))
+    return p.select(
+        F.col("doc_id").alias("answer_id"), "p.answer.status", F.sha2(F.get("p.answer.claims", F.lit(0))["text"], 256).alias("claim_sha256"), F.col("p.error").isNotNull().alias("broken")
+    )
+
+
+# Answers: each document claims its own last line (or itself, where that is blank), and some cite
+# what they should not.
+LAST = "CASE WHEN doc_id % 6 = 0 THEN 'no such words' WHEN trim(split_part(text, chr(10), -1)) <> '' THEN split_part(text, chr(10), -1) ELSE text END"
 
 
-# Answers: each document claims its own first words, and some cite what they should not.
 def _claims(spark, sf):
-    docs = table(spark, sf, "documents").where("n_chars >= 60")
+    docs = table(spark, sf, "documents").where(F.col("text") != "")
     d = F.col("doc_id")
-    quote = F.struct(F.lit("S1").alias("source_id"), F.when(d % 6 == 0, "no such words").otherwise(F.substring("text", 1, 40)).alias("text"))
+    line = F.element_at(F.split("text", "\n"), -1)
+    quote = F.struct(F.lit("S1").alias("source_id"), F.when(d % 6 == 0, "no such words").when(F.trim(line) != "", line).otherwise(F.col("text")).alias("text"))
     ids = F.when(d % 4 == 0, F.array().cast("array<string>")).when(d % 4 == 1, F.array(F.lit("S1"), F.lit("S9"))).otherwise(F.array(F.lit("S1")))
     text = F.when(d % 9 == 0, "as [S1] says").otherwise("as it says")
     claims = docs.select(d.alias("answer_id"), F.lit(0).alias("claim_index"), text.alias("text"), ids.alias("source_ids"), F.array(quote).alias("quotes"))
@@ -135,8 +221,8 @@ def _claims(spark, sf):
     return claims, sources
 
 
-@query("""
-WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 6 = 0 THEN 'no such words' ELSE substr(text, 1, 40) END AS q FROM documents WHERE n_chars >= 60),
+@query(f"""
+WITH d AS (SELECT doc_id, text, {LAST} AS q FROM documents WHERE text <> ''),
 i AS (SELECT doc_id, 'missing_reference' AS code, NULL AS source_id FROM d WHERE doc_id % 4 = 0
  UNION ALL SELECT doc_id, 'unknown_source', 'S9' FROM d WHERE doc_id % 4 = 1
  UNION ALL SELECT doc_id, 'inline_reference', NULL FROM d WHERE doc_id % 9 = 0
@@ -149,8 +235,8 @@ def citation_validate(spark, sf):
     return context.issues(*_claims(spark, sf))
 
 
-@query("""
-WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 6 = 0 THEN 'no such words' ELSE substr(text, 1, 40) END AS q FROM documents WHERE n_chars >= 60 AND doc_id % 4 <> 0)
+@query(f"""
+WITH d AS (SELECT doc_id, text, {LAST} AS q FROM documents WHERE text <> '' AND doc_id % 4 <> 0)
 SELECT doc_id AS answer_id, (instr(text, q) - 1)::INT AS start_char, (instr(text, q) - 1 + length(q))::INT AS end_char FROM d WHERE contains(text, q) AND NOT contains(substr(text, instr(text, q) + 1), q)
 """)
 def quote_spans(spark, sf):
@@ -159,9 +245,42 @@ def quote_spans(spark, sf):
 
 
 @query("""
-WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN '[1][2]' ELSE '[1]' END AS m, CASE WHEN doc_id % 9 = 0 THEN 'as \\[S1\\] says' ELSE 'as it says' END AS t FROM documents WHERE n_chars >= 60)
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN '[1][2]' ELSE '[1]' END AS m, CASE WHEN doc_id % 9 = 0 THEN 'as \\[S1\\] says' ELSE 'as it says' END AS t FROM documents WHERE text <> '')
 SELECT doc_id AS answer_id, t || ' ' || m AS body FROM d
 """)
 def rendered_claims(spark, sf):
     """Claims as inert Markdown with numbered sources."""
     return context.rendered_claims(_claims(spark, sf)[0])
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'as [S1] says' ELSE 'as it says' END AS t FROM documents WHERE text <> '' AND doc_id % 4 > 1 AND doc_id % 9 <> 0 AND doc_id % 6 <> 0)
+SELECT doc_id AS answer_id, t || ' [1]' || chr(10) || chr(10) || 'Missing:' || chr(10) || chr(10) || '- no \\`date\\`' || chr(10) || chr(10) || 'Sources:' || chr(10) || chr(10) || '[1] Doc ' || doc_id || ' (' || doc_id || '.md)' AS markdown FROM d
+""")
+def answers_rendered(spark, sf):
+    """Whole answers as inert Markdown, those with an issue left out."""
+    claims, sources = _claims(spark, sf)
+    claims = claims.withColumn("quotes", F.when(F.col("answer_id") % 6 == 0, F.col("quotes")).otherwise(F.slice("quotes", 1, 0)))
+    answers = claims.select("answer_id", F.array(F.lit("no `date`")).alias("missing_information")).distinct()
+    named = sources.select("answer_id", "source_id", F.concat(F.lit("Doc "), "answer_id").alias("title"), F.concat("answer_id", F.lit(".md")).alias("source"))
+    return context.rendered_answers(answers, claims, named, context.issues(claims, sources))
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents WHERE text <> '')
+SELECT doc_id AS answer_id, 1::BIGINT AS claims, k > 1 AND doc_id % 9 <> 0 AS references_valid, CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE 1.0 END AS claim_coverage FROM d
+""")
+def citation_stats(spark, sf):
+    """Claims of each answer, how many are cited, and whether all references hold."""
+    claims, sources = _claims(spark, sf)
+    claims = claims.withColumn("quotes", F.slice("quotes", 1, 0))
+    return context.citation_summary(context.issues(claims, sources), claims)
+
+
+@query("SELECT doc_id AS answer_id, (-1)::INT AS claim_index, 'inline_reference_in_missing_information' AS code FROM documents WHERE doc_id % 3 = 0")
+def missing_information_check(spark, sf):
+    """What is said to be missing must not hold references either."""
+    claims, sources = _claims(spark, sf)
+    told = F.when(F.col("doc_id") % 3 == 0, "see https://a.example").otherwise("a date")
+    answers = table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), F.array(told).alias("missing_information"))
+    return context.issues(claims, sources, answers=answers).where("claim_index = -1").select("answer_id", "claim_index", "code")

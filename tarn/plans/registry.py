@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.plans import agents, evaluation, knowledge, relational, retrieval, statistics  # noqa: F401  they register
+from tarn.plans import agents, evaluation, knowledge, relational, retrieval, sources, statistics  # noqa: F401  they register
 from tarn.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

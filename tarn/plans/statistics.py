@@ -87,12 +87,116 @@ def paired_summary(spark, sf):
     return _six(stats.paired_summary(stats.family_means(_trials(spark, sf))), "left_mean", "right_mean", "delta")
 
 
-@query()
+@query(f"""WITH {FAMILIES}, n AS (SELECT row_number() OVER (ORDER BY family_id) - 1 AS family, right_mean - left_mean AS delta, count(*) OVER () AS n FROM f),
+m AS (SELECT i, j, md5('0:' || i || ':' || j) AS h FROM (SELECT unnest(range(0, 10000)) AS i), (SELECT unnest(range(0, (SELECT (max(n) - 1) // 4 + 1 FROM n))) AS j)),
+r AS (SELECT i, j * 4 + k AS place, ('0x' || substr(h, (8 * k + 1)::BIGINT, 8))::BIGINT AS bits FROM m, (SELECT unnest(range(0, 4)) AS k)),
+s AS (SELECT i, avg(delta) AS mean FROM r JOIN n ON family = bits % n AND place < n GROUP BY i)
+SELECT (SELECT count(*) FROM f)::BIGINT AS families, round((SELECT avg(delta) FROM n), 6) AS delta, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM s""")
 def bootstrap_ci(spark, sf):
-    """Percentile interval over resampled families."""
+    """Percentile interval over 10,000 samples of families."""
     return _six(stats.bootstrap(stats.family_means(_trials(spark, sf)), resamples=10_000), "delta", "low", "high")
 
 
+@query("""
+WITH n AS (SELECT DISTINCT user_id % 200 AS n FROM events), k AS (SELECT n, unnest(range(0, n // 2 + 1)) AS k FROM n),
+t AS (SELECT n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) OVER (PARTITION BY n ORDER BY k) AS tail FROM k)
+SELECT n::BIGINT AS discordant, (count(*) FILTER (WHERE 2 * tail <= 0.05) - 1)::INT AS critical FROM t GROUP BY n
+""")
+def mcnemar_critical(spark, sf):
+    """Largest minority of discordant pairs that the exact test rejects."""
+    n = table(spark, sf, "events").select((F.col("user_id") % 200).alias("discordant")).distinct()
+    return stats.critical_minorities(n)
+
+
+# Leakage groups: sources of documents; their families: languages.
+SPLIT_SQL = """WITH RECURSIVE g AS (SELECT source AS "group", count(DISTINCT lang)::BIGINT AS families, min(doc_id) % 5 = 0 AS seen FROM documents GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY seen DESC, CASE WHEN seen THEN 0 ELSE -families END, CASE WHEN NOT seen THEN sha256('3:' || "group") END, "group") AS n FROM g),
+t AS (SELECT 0::BIGINT AS n, NULL::VARCHAR AS "group", NULL::BIGINT AS families, NULL::VARCHAR AS split, 30::BIGINT AS d, 20::BIGINT AS v, 20::BIGINT AS e
+ UNION ALL SELECT n, "group", families, split, d - CASE WHEN split = 'dev' THEN families ELSE 0 END, v - CASE WHEN split = 'validation' THEN families ELSE 0 END, e - CASE WHEN split = 'test' THEN families ELSE 0 END FROM (
+  SELECT o.n, o."group", o.families, t.d, t.v, t.e, CASE WHEN o.seen THEN 'dev' ELSE list_extract(list_reverse_sort(list_filter([
+    CASE WHEN t.d >= o.families THEN {'share': t.d / 30.0::DOUBLE, 'room': t.d, 'name': 'dev'} END, CASE WHEN t.v >= o.families THEN {'share': t.v / 20.0::DOUBLE, 'room': t.v, 'name': 'validation'} END,
+    CASE WHEN t.e >= o.families THEN {'share': t.e / 20.0::DOUBLE, 'room': t.e, 'name': 'test'} END], lambda x: x IS NOT NULL)), 1).name END AS split FROM t JOIN o ON o.n = t.n + 1))
+SELECT "group", families, split FROM t WHERE n > 0"""
+
+
+@query(SPLIT_SQL)
+def split_plan(spark, sf):
+    """Splits of leakage groups, each choice after those before it."""
+    g = table(spark, sf, "documents").groupBy(F.col("source").alias("group")).agg(F.count_distinct("lang").alias("families"), (F.min("doc_id") % 5 == 0).alias("seen"))
+    return stats.plan_splits(g, {"dev": 30, "validation": 20, "test": 20}, seed=3)
+
+
+@query("""
+WITH e AS (SELECT doc_id, 0 AS seq, '' AS previous, md5(text) AS payload FROM documents), f AS (SELECT *, sha256(previous || chr(10) || payload) AS sha FROM e),
+s AS (SELECT doc_id, 1 AS seq, CASE WHEN doc_id % 7 = 0 THEN 'tampered' ELSE sha END AS previous, lang AS payload FROM f JOIN documents USING (doc_id))
+SELECT doc_id AS ledger_id, 0::INT AS seq, doc_id % 11 = 0 AS broken FROM f UNION ALL SELECT doc_id, 1, doc_id % 7 = 0 OR doc_id % 11 = 0 FROM s
+""")
+def ledger_check(spark, sf):
+    """Entries whose hash isn't that of the entry before and their own payload."""
+    d = F.col("ledger_id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ledger_id"), "lang", F.md5(F.col("text").cast("binary")).alias("payload"))
+    sha = lambda a, b: F.sha2(F.concat_ws("\n", a, b), 256)
+    first = docs.select("ledger_id", "lang", F.lit(0).alias("seq"), F.lit("").alias("previous"), "payload").withColumn("sha", sha(F.col("previous"), F.col("payload")))
+    second = first.select("ledger_id", F.lit(1).alias("seq"), F.when(d % 7 == 0, "tampered").otherwise(F.col("sha")).alias("previous"), F.col("lang").alias("payload"))
+    second = second.withColumn("sha", sha(F.col("previous"), F.col("payload")))
+    first = first.drop("lang").withColumn("sha", F.when(d % 11 == 0, F.sha2("sha", 256)).otherwise(F.col("sha")))
+    return stats.chained(first.unionByName(second)).select("ledger_id", "seq", "broken")
+
+
+@query("""
+WITH q AS (SELECT item_id AS query_id, (item_id % 30)::VARCHAR AS family_id, md5(text) AS fingerprint FROM benchmark), f AS (SELECT DISTINCT family_id, family_id::INT AS k FROM q WHERE family_id::INT % 10 <> 9),
+n AS (SELECT fingerprint, CASE WHEN query_id % 4 = 0 THEN 'moved' ELSE family_id END AS family_id FROM q WHERE query_id % 3 = 0)
+SELECT 'family_unregistered' AS blocker, family_id FROM q WHERE family_id NOT IN (SELECT family_id FROM f) GROUP BY family_id
+UNION ALL SELECT 'review_not_independent', family_id FROM f WHERE k % 4 = 0 OR k % 4 = 1
+UNION ALL SELECT 'leakage_group_pending', family_id FROM f WHERE k % 6 = 0
+UNION ALL SELECT 'permission_pending', family_id FROM f WHERE k % 7 = 0
+UNION ALL SELECT 'pool_audit_pending', family_id FROM f WHERE k % 8 = 0
+UNION ALL SELECT DISTINCT 'known_query_moved', q.family_id FROM q JOIN n USING (fingerprint) WHERE q.family_id <> n.family_id
+UNION ALL SELECT 'known_family_unseen', family_id FROM f WHERE family_id IN (SELECT family_id FROM n) AND k % 5 <> 0
+UNION ALL SELECT 'too_few_families', NULL FROM (SELECT count(*) AS n FROM f) WHERE n < 100
+UNION ALL SELECT 'too_few_documents', NULL FROM (SELECT count(*) AS n FROM documents) WHERE n < 50
+""")
+def core_readiness(spark, sf):
+    """What a dataset lacks before it may be frozen."""
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 30).cast("string").alias("family_id"), F.md5(F.col("text").cast("binary")).alias("fingerprint"))
+    k = F.col("family_id").try_cast("int")
+    families = queries.select("family_id").distinct().where(k % 10 != 9).select(
+        "family_id", F.when(k % 6 == 0, " ").otherwise("g").alias("leakage_group"), (k % 5 == 0).alias("seen"), F.lit("ann").alias("author"),
+        F.when(k % 4 == 0, F.array(F.lit("ann"))).otherwise(F.array(F.lit("bo"))).alias("reviewers"), F.when(k % 4 == 1, "pending").otherwise("reviewed").alias("review_status"),
+        F.when(k % 7 != 0, "confirmed").alias("permission"), F.when(k % 8 == 0, "pending").otherwise("reviewed").alias("pool_status"),
+    )
+    known = queries.where("query_id % 3 = 0").select("fingerprint", F.when(F.col("query_id") % 4 == 0, "moved").otherwise(F.col("family_id")).alias("family_id"))
+    return stats.readiness(families, queries, table(spark, sf, "documents"), known, {"dev": 60, "validation": 20, "test": 20}, 50)
+
+
+@query("""
+WITH a AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN ['m'] ELSE ['m', 'n'] END AS methods, CASE WHEN doc_id % 5 = 0 THEN [] ELSE [source] END AS pooled,
+ CASE doc_id % 4 WHEN 0 THEN [] WHEN 1 THEN [source] WHEN 2 THEN ['nowhere'] ELSE [lang] END AS outside FROM documents), c AS (SELECT DISTINCT source FROM documents UNION SELECT DISTINCT lang FROM documents),
+l AS (SELECT query_id, unnest(list_distinct(pooled || outside)) AS source FROM a)
+SELECT query_id, 'pool_too_narrow' AS problem FROM a WHERE len(methods) < 2 OR len(pooled) = 0 UNION ALL SELECT query_id, 'nothing_outside' FROM a WHERE len(outside) = 0
+UNION ALL SELECT query_id, 'overlap' FROM a WHERE list_has_any(pooled, outside) UNION ALL SELECT DISTINCT query_id, 'unknown_source' FROM l WHERE source NOT IN (SELECT source FROM c)
+UNION ALL SELECT DISTINCT query_id, 'unreviewed' FROM l JOIN documents ON doc_id = query_id WHERE l.source <> documents.source
+""")
+def pool_audit(spark, sf):
+    """Pools of judged candidates that are too narrow, overlap, or hold what nobody judged."""
+    d = table(spark, sf, "documents")
+    i, none = F.col("doc_id"), F.array().cast("array<string>")
+    audits = d.select(
+        i.alias("query_id"), F.when(i % 3 == 0, F.array(F.lit("m"))).otherwise(F.array(F.lit("m"), F.lit("n"))).alias("methods"), F.when(i % 5 == 0, none).otherwise(F.array("source")).alias("pooled"),
+        F.when(i % 4 == 0, none).when(i % 4 == 1, F.array("source")).when(i % 4 == 2, F.array(F.lit("nowhere"))).otherwise(F.array("lang")).alias("outside"),
+    )
+    corpus = d.select("source").unionByName(d.select(F.col("lang").alias("source"))).distinct()
+    return stats.pool_problems(audits, d.select(i.alias("query_id"), "source"), corpus)
+
+
+@query("SELECT 'r' || (doc_id % 3) AS reviewer, count(quality)::BIGINT AS judged, round(avg(CASE WHEN quality IS NOT NULL THEN doc_id + 1.0 END), 6) AS mean_ms FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def reviewer_progress(spark, sf):
+    """What each reviewer has judged, and how long it took them."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    rows = rows.select(F.concat(F.lit("r"), F.col("doc_id") % 3).alias("reviewer"), F.col("quality").alias("grade"), (F.col("doc_id") + 1).cast("double").alias("duration_ms"))
+    return _six(stats.reviewer_progress(rows), "mean_ms")
+
+
 @query("SELECT id FROM (SELECT DISTINCT doc_id AS id FROM documents) ORDER BY sha256('7:' || id) LIMIT 25")
 def hash_sample(spark, sf):
     """A sample that doesn't depend on the order of rows."""
@@ -120,6 +224,12 @@ def case_stability(spark, sf):
     return answers.stability(_runs(spark, sf), 3, ["model"])
 
 
+@query(f"WITH {TRIALS}, c AS (SELECT model, case_id, count(*) FILTER (WHERE success) / count(*)::DOUBLE AS rate FROM t GROUP BY ALL) SELECT model, count(*)::BIGINT AS cases, round(avg(rate), 6) AS pass_at_1 FROM c GROUP BY model")
+def pass_at_one(spark, sf):
+    """Mean over cases of the share of trials that passed."""
+    return _six(answers.pass_at_one(_runs(spark, sf), ["model"]), "pass_at_1")
+
+
 @query(f"""WITH {TRIALS}, r AS (SELECT case_id, model, CASE model WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS size, count(*) FILTER (WHERE success) / count(*)::DOUBLE AS rate FROM t GROUP BY ALL),
 b AS (SELECT *, lag(rate) OVER (PARTITION BY case_id ORDER BY size) AS before FROM r)
 SELECT model, count(*)::BIGINT AS cases, count(*) FILTER (WHERE rate > before)::BIGINT AS wins, count(*) FILTER (WHERE rate < before)::BIGINT AS regressions FROM b GROUP BY model""")

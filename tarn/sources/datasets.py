@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.lazy import pandas_udf
+from tarn.sources.files import Files
 
 
 def _pairs(items):
@@ -40,12 +41,21 @@ def strict_json(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["json", "error"])
 
 
+def _line_number(spark: SparkSession, path: str, file: str, value: str) -> int:
+    """Number of the first line of a file that reads so; the file is scanned once more, for the error's sake."""
+    whole = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_path") == file)
+    lines = whole.select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("n", "line"))
+    return lines.where(F.col("line") == value).agg(F.min("n")).first()[0] + 1
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSONL file; blank lines are skipped, any broken one raises with its text."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select("value", strict_json("value").alias("p"))
-    bad = lines.where("p.error IS NOT NULL").select("value", "p.error").limit(1).collect()
+    """Rows of a JSONL file; blank lines are skipped, any broken one raises with its file, number and text."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = read.where(F.trim("value") != "").select("value", "file", strict_json("value").alias("p"))
+    bad = lines.where("p.error IS NOT NULL").select("value", "file", "p.error").limit(1).collect()
     if bad:
-        raise ValueError(f"{bad[0]['error']}: {bad[0]['value'][:200]}")
+        number = _line_number(spark, path, bad[0]["file"], bad[0]["value"])
+        raise ValueError(f"{bad[0]['file']}:{number}: {bad[0]['error']}: {bad[0]['value'][:200]}")
     return lines.select(F.from_json("p.json", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
@@ -81,28 +91,72 @@ def checksum(path: Path) -> str:
     return digest.hexdigest()
 
 
+def checksums(spark: SparkSession, folder: str) -> dict[str, str]:
+    """SHA-256 of each Parquet file below a folder, taken where the files are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    root = folder.rstrip("/").rpartition(":")[2].lstrip("/") + "/"
+    name = F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), root, -1)
+    return {r["name"]: r["sha"] for r in files.select(name.alias("name"), F.sha2("content", 256).alias("sha")).collect()}
+
+
 def save(tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes tables to a new folder, with a manifest of each file's checksum.
+    """Writes tables to a new folder of any store, with a manifest of each file's checksum.
 
     Labels live in tables of their own beside the corpus. A folder that exists
     is never written over.
     """
-    root = Path(folder)
-    root.mkdir(parents=True)
+    spark = next(iter(tables.values())).sparkSession
+    files = Files(spark, folder)
+    if files.exists(""):
+        raise FileExistsError(folder)
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(str(root / name))
-    files = {str(p.relative_to(root)): checksum(p) for p in sorted(root.rglob("*.parquet"))}
-    (root / "manifest.json").write_text(json.dumps({"tables": sorted(tables), "files": files}, indent=1, sort_keys=True))
+        df.write.mode("errorifexists").parquet(files.path(name))
+    manifest = {"tables": sorted(tables), "files": checksums(spark, folder)}
+    files.create("manifest.json", json.dumps(manifest, indent=1, sort_keys=True).encode())
 
 
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of a saved dataset; a file that was changed, lost or added raises."""
-    root = Path(folder)
-    manifest = json.loads((root / "manifest.json").read_text())
-    found = {str(p.relative_to(root)): checksum(p) for p in root.rglob("*.parquet")}
-    if found != manifest["files"]:
+    manifest = json.loads(Files(spark, folder).read("manifest.json"))
+    if checksums(spark, folder) != manifest["files"]:
         raise ValueError("files differ from the manifest")
-    return {name: spark.read.parquet(str(root / name)) for name in manifest["tables"]}
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in manifest["tables"]}
+
+
+def import_dataset(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, folder: str) -> DataFrame:
+    """Saves an external collection under text identifiers; returns the problems that kept it from being saved.
+
+    ``corpus``: ``doc_id, title, text``; ``queries``: ``query_id, text``; ``qrels``:
+    ``query_id, doc_id, grade``. ``problem, key``: identifiers that occur twice, judgments
+    of what isn't there, grades that aren't whole numbers from 0 on.
+    """
+    text = lambda df, *ids: df.withColumns({c: F.col(c).cast("string") for c in ids})
+    corpus, queries, qrels = text(corpus, "doc_id"), text(queries, "query_id"), text(qrels, "query_id", "doc_id")
+    row = lambda df, p, key: df.select(F.lit(p).alias("problem"), F.col(key).alias("key"))
+    problems = (
+        row(corpus.groupBy("doc_id").count().where("count > 1"), "document_twice", "doc_id")
+        .unionByName(row(queries.groupBy("query_id").count().where("count > 1"), "query_twice", "query_id"))
+        .unionByName(row(qrels.join(queries, "query_id", "left_anti"), "unknown_query", "query_id"))
+        .unionByName(row(qrels.join(corpus, "doc_id", "left_anti"), "unknown_document", "doc_id"))
+        .unionByName(row(qrels.where("grade IS NULL OR grade < 0 OR grade <> floor(grade)"), "bad_grade", "query_id"))
+    ).distinct()
+    if not problems.limit(1).count():
+        save({"corpus": corpus, "queries": queries, "qrels": qrels}, folder)
+    return problems
+
+
+def paired_questions(rows: DataFrame) -> DataFrame:
+    """``question_id, hops, answerable, unanswerable``: pairs of variants of one multi-hop question.
+
+    ``rows``: ``id`` (``<n>hop…__<question>``), ``answerable``. A question without
+    exactly one variant of each kind is left out.
+    """
+    own = rows.select(F.col("id"), "answerable", F.regexp_extract("id", r"^(\d)hop", 1).cast("int").alias("hops"), F.substring_index("id", "__", -1).alias("question_id"))
+    kinds = own.groupBy("question_id", "hops").agg(
+        F.count_if("answerable").alias("_a"), F.count_if(~F.col("answerable")).alias("_u"),
+        F.max(F.when(F.col("answerable"), F.col("id"))).alias("answerable"), F.max(F.when(~F.col("answerable"), F.col("id"))).alias("unanswerable"),
+    )
+    return kinds.where("_a = 1 AND _u = 1").drop("_a", "_u")
 
 
 def frozen(queries: DataFrame, splits: DataFrame, id_col: str = "query_id") -> DataFrame:
@@ -115,25 +169,23 @@ def frozen(queries: DataFrame, splits: DataFrame, id_col: str = "query_id") -> D
 
 
 def write_report(df: DataFrame, path: str, kind: str) -> None:
-    """A small report as JSON, JSONL or Markdown, in a new file that appears whole."""
-    import os
+    """A small report as JSON, JSONL or Markdown, in a new file of any store that appears whole."""
+    folder, _, name = path.rpartition("/")
+    put_report(Files(df.sparkSession, folder or "."), name, df.columns, [r.asDict(recursive=True) for r in df.collect()], kind)
+
 
-    target = Path(path)
-    if target.exists():
-        raise FileExistsError(path)
-    rows = [r.asDict(recursive=True) for r in df.collect()]
+def put_report(files: Files, name: str, columns: list[str], rows: list[dict], kind: str) -> None:
     if kind == "jsonl":
         text = "".join(json.dumps(r, ensure_ascii=False, sort_keys=True, default=str) + "\n" for r in rows)
     elif kind == "json":
         text = json.dumps(rows, ensure_ascii=False, indent=1, sort_keys=True, default=str)
     elif kind == "markdown":
-        text = markdown(df.columns, [[r[c] for c in df.columns] for r in rows])
+        text = markdown(columns, [[r[c] for c in columns] for r in rows])
     else:
         raise ValueError(f"unknown kind: {kind}")
-    new = target.with_name(f".{target.name}.new")
-    new.write_text(text, encoding="utf-8")
-    os.link(new, target)  # fails if it has appeared meanwhile
-    new.unlink()
+    if files.exists(name):
+        raise FileExistsError(files.path(name))
+    files.replace(name, text.encode("utf-8"))
 
 
 def markdown(columns: list[str], rows: list[list]) -> str:

@@ -14,7 +14,7 @@ def test_equals_sql(name, spark, sf, duck):
 
 
 def test_all_have_sql_but_these():
-    assert PLAIN == ["ann_recall", "bootstrap_ci", "chunk_markdown", "pack_budget"]
+    assert PLAIN == ["ann_recall", "chunk_markdown"]
 
 
 def test_entry_is_bm25(spark):
@@ -26,8 +26,3 @@ def test_entry_is_bm25(spark):
 def test_ann_recall(spark, sf):
     rows = QUERIES["ann_recall"](spark, sf).collect()
     assert sum(r["recall"] for r in rows) / len(rows) >= 0.9
-
-
-def test_bootstrap(spark, sf):
-    (row,) = QUERIES["bootstrap_ci"](spark, sf).collect()
-    assert row["low"] <= row["delta"] <= row["high"]
