@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.lazy import pandas_udf
 from tarn.operators.agent import KNOWLEDGE_TOOLS
+from tarn.operators.stats import percentiles
 
 #: ASCII punctuation, which answers are compared without.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -230,8 +231,8 @@ def first_full_turn(tools: DataFrame, model_turns: DataFrame, needed: DataFrame)
 
 def costs(calls: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Total, mean, p50, p95 and most of a cost; rows without one are counted apart."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return calls.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count(value).alias("known"), F.round(F.sum(value), 6).alias("total"), F.round(F.avg(value), 6).alias("mean"),
-        F.round(p[0], 6).alias("p50"), F.round(p[1], 6).alias("p95"), F.round(F.max(value), 6).alias("most"),
-    )
+    sums = calls.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count(value).alias("known"), F.round(F.sum(value), 6).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.round(F.max(value), 6).alias("most")
+    )
+    points = percentiles(calls, value, [0.5, 0.95], by).select(*by, F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p95"))
+    return sums.join(points, by, "left").select(*by, "n", "known", "total", "mean", "p50", "p95", "most")

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.stats import percentiles
+
 _KEYS = ["query_id", "doc_id"]
 
 
@@ -174,11 +176,12 @@ def macro(values: DataFrame, metrics: list[str], by: list[str] | None = None) ->
 
 
 def latency(values: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Mean, linearly interpolated p50 and p95, and greatest value."""
-    points = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95)))
-    return values.groupBy(*(by or [])).agg(
-        F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(points[0], 6).alias("p50"), F.round(points[1], 6).alias("p95"), F.max(column).alias("most")
-    )
+    """Mean, linearly interpolated p50 and p95, and greatest value; exact, whatever a group's size."""
+    own = by or []
+    sums = values.groupBy(*own).agg(F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.max(column).alias("most"))
+    points = percentiles(values, column, [0.5, 0.95], own).select(*own, F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p95"))
+    rows = sums.join(points, own, "left") if own else sums.crossJoin(points)
+    return rows.select(*own, "n", "mean", "p50", "p95", "most")
 
 
 def movement(before: DataFrame, after: DataFrame, id_col: str = "doc_id") -> DataFrame:

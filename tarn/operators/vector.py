@@ -140,13 +140,20 @@ def _batched(batches):
                 yield pd.DataFrame({"_ids": [part["_id"].tolist()], "_xs": [np.array(part["_x"].tolist(), dtype=np.float64).tobytes()], "_dim": [dim]})
 
 
-def partitioned_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int, probes: int, spill: int = 2, id_col: str = "vec_id", vector: str = "embedding", seed: int = 7, sample: int = 4096) -> DataFrame:
+def partitioned_top_k(queries: DataFrame, vectors: DataFrame, k: int, cells: int | None = None, probes: int | None = None, spill: int = 2, id_col: str = "vec_id", vector: str = "embedding", seed: int = 7, sample: int = 4096) -> DataFrame:
     """Approximate cosine search: inverted lists of unit vectors, exact ranks within.
 
     Centres are fitted on at most ``sample`` rows; every row is indexed, in its
-    ``spill`` nearest cells. Each query looks into its ``probes`` nearest cells.
+    ``spill`` nearest cells. Each query looks into its ``probes`` nearest cells. Unless
+    they are given, cells are as many as the square root of the rows, up to a fourth
+    of the sample, and two fifths of them are probed, eight at least: vectors without
+    structure need that many. A cell that is hot, as many vectors are alike, is split
+    by adaptive execution.
     """
     spark = vectors.sparkSession
+    if cells is None:
+        cells = min(sample // 4, max(8, round(vectors.count() ** 0.5)))
+    probes = max(8, -(-2 * cells // 5)) if probes is None else probes
     rows = vectors.select(unit(F.col(vector)).alias("u")).where("u IS NOT NULL").limit(sample).collect()
     if not rows:
         return spark.createDataFrame([], f"query_id long, {id_col} long, score double, rank int")

@@ -122,9 +122,9 @@ FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS m FROM documents)
 def exact_regex_offsets(spark, sf):
     """Every match of a pattern, with its text cut out by its offsets."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    spans = exact.pattern_matches(docs, r"[0-9]+")
+    spans = exact.pattern_matches(docs, r"[0-9]+", keep=["text"])
     cut = F.substring(F.col("text"), (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int"))
-    return spans.join(docs, "doc_id").select("doc_id", "ordinal", cut.alias("found"))
+    return spans.select("doc_id", "ordinal", cut.alias("found"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE contains(source, 'c1')")
@@ -141,7 +141,7 @@ SELECT source || '/' || doc_id AS source, doc_id, s::BIGINT AS start_char FROM s
 def exact_first_hits(spark, sf):
     """The first twenty matches of all, by source and place; a document may have several."""
     docs = table(spark, sf, "documents").select("doc_id", "text", F.concat_ws("/", "source", "doc_id").alias("source"))
-    hits = exact.literal_matches(docs, "with ").join(docs.select("doc_id", "source"), "doc_id")
+    hits = exact.literal_matches(docs, "with ", keep=["source"])
     return exact.first_matches(hits, 20).select("source", "doc_id", "start_char")
 
 
@@ -194,7 +194,7 @@ def ann_recall(spark, sf):
     """Recall of the inverted-list search against the exact one, by query: every id divisible by 20."""
     asked = _vector_queries(spark, sf)
     exact_ = vector.cosine_top_k(asked, _vectors(spark, sf), 10)
-    near = vector.partitioned_top_k(asked, _vectors(spark, sf), 10, cells=16, probes=8, spill=3)
+    near = vector.partitioned_top_k(asked, _vectors(spark, sf), 10)
     return irmetrics.neighbour_recall(exact_, near, 10)
 
 

@@ -260,13 +260,12 @@ def dataset_profile(spark, sf):
     return stats.profile(table(spark, sf, "documents"), ["lang", "source"])
 
 
-@query(r"""SELECT sha256(regexp_replace(trim(lower(text)), '\s+', ' ', 'g')) AS fingerprint, list_sort(list(doc_id))::VARCHAR AS ids, count(*)::BIGINT AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
+@query(r"""SELECT fingerprint, doc_id, n FROM (SELECT sha256(regexp_replace(trim(lower(text)), '\s+', ' ', 'g')) AS fingerprint, doc_id, count(*) OVER (PARTITION BY fingerprint)::BIGINT AS n FROM documents) WHERE n > 1""")
 def query_dedup(spark, sf):
     """Texts that differ in case and white space only."""
     from tarn.functions.text import query_fingerprint
 
-    found = stats.duplicates(table(spark, sf, "documents"), query_fingerprint(F.col("text")), "doc_id")
-    return found.withColumn("ids", F.concat(F.lit("["), F.concat_ws(", ", F.col("ids").cast("array<string>")), F.lit("]")))
+    return stats.duplicates(table(spark, sf, "documents"), query_fingerprint(F.col("text")), "doc_id")
 
 
 @query("""

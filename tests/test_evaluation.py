@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,20 @@ def test_critical_minorities_of_a_table(spark):
     assert [r["critical"] for r in got] == [stats.critical_minority(r["discordant"]) for r in got]
 
 
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    groups = {"even": rng.normal(0, 1, 30_000), "ties": rng.integers(0, 3, 20_000).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "hot": np.r_[np.full(9000, 5.0), rng.normal(5, 1e-6, 9000)]}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("none", None), ("two", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    points = [0.0, 0.01, 0.5, 0.95, 1.0]
+    got = {r["g"]: [r[f"p{i}"] for i in range(5)] for r in stats.percentiles(df, "v", points, ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert got[g] == pytest.approx(np.percentile(x, [100 * p for p in points]).tolist(), abs=1e-12), g
+    assert stats.percentiles(df, "v", [0.5], []).first()["p0"] == pytest.approx(np.median([v for _, v in rows if v is not None]))
+    assert stats.percentiles(df.limit(0), "v", [0.5], ["g"]).collect() == []
+
+
 def test_split_plan(spark):
     groups = spark.createDataFrame([("a", 3, True), ("b", 2, False), ("c", 2, None), ("d", 9, False), ("e", 0, False)], "group string, families long, seen boolean")
     plan = {r["group"]: r["split"] for r in stats.plan_splits(groups.repartition(3), {"dev": 3, "validation": 2, "test": 2}, seed=1).collect()}
