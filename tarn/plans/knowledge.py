@@ -284,3 +284,43 @@ def missing_information_check(spark, sf):
     told = F.when(F.col("doc_id") % 3 == 0, "see https://a.example").otherwise("a date")
     answers = table(spark, sf, "documents").select(F.col("doc_id").alias("answer_id"), F.array(told).alias("missing_information"))
     return context.issues(claims, sources, answers=answers).where("claim_index = -1").select("answer_id", "claim_index", "code")
+
+
+@query("""
+SELECT doc_id AS case_id, CASE WHEN doc_id % 5 < 2 THEN doc_id % 2 = 0 END AS complete, CASE WHEN doc_id % 5 < 2 THEN 1 + (doc_id % 3 = 0)::INT END::INT AS correct, doc_id % 5 > 1 AS broken FROM documents
+""")
+def judgments_parsed(spark, sf):
+    """Judgments on two facts; repeated keys, other numbers of facts and NaN are errors."""
+    from tarn.operators.generation import fact_judgments
+
+    d = F.col("doc_id")
+    fact = lambda i, ok: F.concat(F.lit(f'{{"index":{i},"rationale":"r","correct":'), ok.cast("string"), F.lit("}"))
+    whole = lambda facts, more="": F.concat(F.lit('{"facts":['), facts, F.lit(f'],{more}"task_fulfilled":true,"rationale":"r","complete":'), (d % 2 == 0).cast("string"), F.lit("}"))
+    first, second = fact(0, F.lit(True)), fact(1, d % 3 == 0)
+    raw = (
+        F.when(d % 5 < 2, whole(F.concat_ws(",", second, first)))
+        .when(d % 5 == 2, whole(first))
+        .when(d % 5 == 3, whole(F.concat_ws(",", first, second), '"rationale":"r",'))
+        .otherwise(F.replace(whole(F.concat_ws(",", first, second)), F.lit('"index":1'), F.lit('"index":NaN')))
+    )
+    p = table(spark, sf, "documents").select("doc_id", fact_judgments(raw, F.lit(2)).alias("p"))
+    return p.select(F.col("doc_id").alias("case_id"), "p.complete", "p.correct", F.col("p.error").isNotNull().alias("broken"))
+
+
+@query("SELECT r_regionkey AS case_id, ['used', 'truncated', 'structure', 'references', 'budget'][r_regionkey::INT + 1] AS outcome FROM region")
+def generation_outcomes(spark, sf):
+    """One cited answer for each region, by a scripted model: a good one, and each kind of failure."""
+    from tarn.operators import generation
+
+    rows = []
+    for r in table(spark, sf, "region").orderBy("r_regionkey").collect():  # 5 rows
+        cites = "S1" if r["r_regionkey"] != 3 else "S9"
+        text = "no answer" if r["r_regionkey"] == 2 else '{"status":"answered","claims":[{"text":"so","source_ids":["%s"]}],"missing_information":[]}' % cites
+        reply = generation.Reply(text, "length" if r["r_regionkey"] == 1 else "stop")
+        budget = context.Budget(window=40 if r["r_regionkey"] == 4 else 8192, output=10, margin=0)
+        try:
+            generation.cited_answer(spark, "which?", {"S1": r["r_name"]}, lambda m, s, reply=reply: reply, "Cite.", budget, len)
+            rows.append((r["r_regionkey"], "used"))
+        except generation.GenerationError as error:
+            rows.append((r["r_regionkey"], error.code))
+    return spark.createDataFrame(rows, "case_id long, outcome string")

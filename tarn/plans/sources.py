@@ -293,3 +293,82 @@ def store_lock(spark, sf):
     store.files.create("writer.lock", json.dumps({"token": "dead", "until": old}).encode())
     tried("lapsed")
     return spark.createDataFrame(rows, "state string, entered boolean")
+
+
+@query("SELECT item_id AS query_id, length(text)::DOUBLE AS first, 2::INT AS dimensions FROM benchmark")
+def embedded_batches(spark, sf):
+    """Texts given to a model in batches, by number and by tokens; a busy model is asked again."""
+
+    class Busy(Exception):
+        status = 429
+
+    asked = []
+
+    def model(texts):
+        asked.append(len(texts))
+        if len(asked) % 2:
+            raise Busy("again")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
+    found = chunking.embed(rows, model, count=len, most_items=8, most_tokens=4_000, attempts=2, delay=0.0)
+    return found.select("query_id", F.col("embedding")[0].alias("first"), F.size("embedding").alias("dimensions"))
+
+
+def _engine(spark, sf):
+    from tarn.api import Engine
+
+    return Engine(spark, _note_folder(spark, sf), scratch(spark), lambda texts: [[float(t.count("A")) + 1, float(t.count("I")) + 1] for t in texts], lambda q, t: -t.map(len).astype(float))
+
+
+@query(f"WITH {NOTES} SELECT source, instr(content, 'In ')::BIGINT - 1 AS start_char, 'In ' AS content FROM n WHERE contains(content, 'In ')")
+def engine_match(spark, sf):
+    """Literal matches in live notes, without an index."""
+    return _engine(spark, sf).match("In ", top_k=1000).select("source", "start_char", "content")
+
+
+@query(f"""WITH {NOTES} SELECT r_name AS asked, source, 'bm25' AS method FROM n JOIN region ON contains(content, 'In ' || r_name || '.') OR title = r_name""")
+def engine_search(spark, sf):
+    """Notes of each region, by a ranked search of its name over stored postings."""
+    engine, rows = _engine(spark, sf), []
+    engine.index()
+    for r in table(spark, sf, "region").collect():  # 5 rows
+        name = r["r_name"].split()[-1]
+        found = engine.search(name, "lexical", top_k=100).collect()
+        rows += [(r["r_name"], h["source"], h["method"]) for h in found if r["r_name"] in h["content"] or h["title"] == r["r_name"]]
+    return spark.createDataFrame(rows, "asked string, source string, method string")
+
+
+@query("SELECT unnest(['bm25', 'lexical', 'semantic', 'hybrid', 'hybrid+rerank', 'other', 'blank', 'zero']) AS mode, unnest(['bm25', 'bm25', 'semantic', 'hybrid', 'hybrid+rerank', NULL, NULL, NULL]) AS method, unnest([3, 3, 3, 3, 3, NULL, NULL, NULL])::BIGINT AS hits")
+def engine_modes(spark, sf):
+    """Every mode answers as itself; unknown modes, blank queries and no results asked for are refused."""
+    engine, rows = _engine(spark, sf), []
+    engine.index()
+    for mode, asked, k in [("bm25", "in", 3), ("lexical", "in", 3), ("semantic", "in", 3), ("hybrid", "in", 3), ("hybrid+rerank", "in", 3), ("other", "in", 3), ("blank", " ", 3), ("zero", "in", 0)]:
+        try:
+            found = engine.search(asked, {"blank": "bm25", "zero": "bm25"}.get(mode, mode.partition("+")[0]), mode.endswith("rerank"), top_k=k).collect()
+            rows.append((mode, found[0]["method"], len(found)))
+        except ValueError:
+            rows.append((mode, None, None))
+    return spark.createDataFrame(rows, "mode string, method string, hits long")
+
+
+@query("SELECT unnest(['slow', 'fast']) AS job, unnest([true, false]) AS stopped")
+def run_deadline(spark, sf):
+    """A job beyond its deadline is cancelled; another goes on."""
+    slow = F.udf(lambda x: (__import__("time").sleep(2), x)[1], "long")
+    rows = []
+    for job, seconds, df in (("slow", 0.4, spark.range(8).select(slow("id"))), ("fast", 60, table(spark, sf, "region"))):
+        try:
+            with runs.deadline(spark, seconds):
+                df.collect()
+            rows.append((job, False))
+        except TimeoutError:
+            rows.append((job, True))
+    return spark.createDataFrame(rows, "job string, stopped boolean")
+
+
+@query("SELECT unnest(['python', 'machine', 'spark', 'pyarrow', 'numpy', 'pandas', 'time_zone']) AS name, true AS known")
+def run_provenance(spark, sf):
+    """Versions that results depend on."""
+    return spark.createDataFrame([(k, bool(v)) for k, v in datasets.provenance(spark).items()], "name string, known boolean")

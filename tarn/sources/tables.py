@@ -17,4 +17,4 @@ def spread(df: DataFrame) -> DataFrame:
     splits are many, nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
