@@ -71,6 +71,50 @@ def chunk_markdown(spark, sf):
     return found.select("source", "chunk_index", "start_char", "end_char", "occurrence", F.concat_ws(" / ", "heading_path").alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
+# Notes of a document's lines: a heading of one of three levels before each.
+LINES = r"""l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '[\x00-\x09\x0B-\x1F\x7F-\x9F\x{2028}\x{2029}]', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(text, '[\x00-\x09\x0B-\x1F\x7F-\x9F\x{2028}\x{2029}]', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 AS i FROM documents),
+p AS (SELECT *, 1 + (i * 7 + doc_id) % 3 AS level, repeat('#', (1 + (i * 7 + doc_id) % 3)::BIGINT) || ' h' || i || ' ##' || chr(10) || chr(10) || 'x ' || line || chr(10) AS part FROM l),
+q AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, max(CASE WHEN level = 1 THEN i END) OVER w AS one, max(CASE WHEN level <= 2 THEN i END) OVER w AS two, max(CASE WHEN level = 2 THEN i END) OVER w AS second FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+@query(f"""WITH {LINES} SELECT doc_id || '.md' AS source, i::INT AS chunk_index, (stop - length(part))::INT AS start_char, stop::INT AS end_char,
+concat_ws(' / ', CASE WHEN level > 1 AND one IS NOT NULL THEN 'h' || one END, CASE WHEN level > 2 AND second IS NOT NULL AND (one IS NULL OR second > one) THEN 'h' || second END, 'h' || i) AS path FROM q""")
+def chunk_sections(spark, sf):
+    """Sections of notes with headings of three levels, each with its path."""
+    line = F.transform(F.split(F.regexp_replace("text", "[\\x00-\\x09\\x0B-\\x1F\\x7F-\\x9F\\u2028\\u2029]", " "), "\n"), lambda x: F.trim(x))
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.filter(line, lambda x: x != "").alias("lines")))
+    part = lambda x, i: F.concat(F.repeat(F.lit("#"), (1 + (i * 7 + F.col("doc_id")) % 3).cast("int")), F.lit(" h"), i, F.lit(" ##\n\nx "), x, F.lit("\n"))
+    notes = docs.where(F.size("lines") > 0).select(F.concat("doc_id", F.lit(".md")).alias("source"), F.lit("t").alias("title"), F.concat_ws("", F.transform("lines", part)).alias("content"))
+    found = chunking.chunk_notes(notes, size=100_000_000, overlap=0)
+    return found.select("source", "chunk_index", "start_char", "end_char", F.concat_ws(" / ", "heading_path").alias("path"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z]', '', 'g'), '(.{4})', '\\1 ', 'g') AS t FROM documents), n AS (SELECT doc_id, length(t) AS len, (length(t) + 4) // 5 AS units FROM t),
+c AS (SELECT doc_id, len, unnest(range(0, CASE WHEN len <= 50 THEN 1 ELSE (units - 10 + 7) // 8 + 1 END)) AS k FROM n)
+SELECT doc_id || '.md' AS source, k::INT AS chunk_index, (40 * k)::INT AS start_char, least(40 * k + 50, len)::INT AS end_char FROM c
+""")
+def chunk_packed(spark, sf):
+    """One long line cut at its blanks and packed, two words of each chunk coming along in the next."""
+    words = F.regexp_replace(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "(.{4})", "$1 ")
+    notes = spread(table(spark, sf, "documents").select(F.concat("doc_id", F.lit(".md")).alias("source"), F.lit("t").alias("title"), words.alias("content")))
+    return chunking.chunk_notes(notes, size=50, overlap=10).select("source", "chunk_index", "start_char", "end_char")
+
+
+@query("""
+WITH d AS (SELECT doc_id, 4 + length(text) % 40 AS m FROM documents),
+l AS (SELECT doc_id, m, unnest(range(0, (m - 2) // 2 + 1)) AS k FROM d), c AS (SELECT doc_id, m, unnest(range(0, m // 2 + 1)) AS k FROM d)
+SELECT doc_id || '.list' AS source, (14 * k)::INT AS start_char, least(14 * k + 21, 7 * m)::INT AS end_char FROM l UNION ALL SELECT doc_id || '.code', (8 * k)::INT, least(8 * k + 12, 4 * m + 8) FROM c
+""")
+def chunk_blocks(spark, sf):
+    """Lists cut between items and fenced code between lines, a unit of each chunk coming along in the next."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", (4 + F.length("text") % 40).cast("int").alias("m")))
+    note = lambda kind, text: docs.select(F.concat("doc_id", F.lit(f".{kind}")).alias("source"), F.lit("t").alias("title"), text.alias("content"), F.lit(kind).alias("kind"))
+    items, code = note("list", F.repeat(F.lit("- abcd\n"), F.col("m"))), note("code", F.concat(F.lit("```\n"), F.repeat(F.lit("abc\n"), F.col("m")), F.lit("```\n")))
+    made = chunking.chunk_notes(items, size=21, overlap=7).unionByName(chunking.chunk_notes(code, size=12, overlap=4))
+    return made.select("source", "start_char", "end_char")
+
+
 @query("SELECT doc_id || '.md' AS source, 0::BIGINT AS gaps, 0::BIGINT AS wrong FROM documents")
 def chunk_lossless(spark, sf):
     """No chunk differs from its slice, and no character is lost."""
