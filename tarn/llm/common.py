@@ -7,16 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -29,29 +28,46 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, narrow: bool = False) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a temporary folder is used.
     Checkpoint files outlive executors, so a lost executor costs no recompute.
+    What comes out of a shuffle is written by two tasks a core, or fewer if the
+    caller knows that there are at most ``rows`` rows: small files cost later
+    stages tasks, and each costs its executor a process that sets permissions.
+    With ``narrow`` (a map over the input, without a shuffle) a task takes eight
+    splits at most, if there are more than four a core.
     """
-    _shared_folder(df)
-    return df.checkpoint(eager=True)
+    _shared_folder(df.sparkSession)
+    wide = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if narrow:
+        wide = max(2 * wide, df.rdd.getNumPartitions() // 8)
+    return df.coalesce(wide if rows is None else max(1, min(wide, -(-rows // 50_000)))).checkpoint(eager=True)
 
 
-def _shared_folder(df: DataFrame) -> str:
-    """The checkpoint folder of the session, set from its configuration if need be."""
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set from its configuration if need be.
+
+    Where ``spark.checkpoint.dir`` is unset, a session on one machine gets a
+    temporary folder; on a cluster that would be another folder on each machine,
+    so it is an error there.
+    """
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def table(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared checkpoint folder and reads it again."""
-    path = f"{_shared_folder(df)}/tarn-{uuid.uuid4().hex}"
+    """Writes ``df`` as Parquet to the shared checkpoint folder and reads it again.
+
+    The files go where the session's checkpoints go and are as short-lived: whoever
+    owns that folder empties it.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/tarn-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -64,30 +80,34 @@ def shuffle_width(spark: SparkSession) -> int:
 def document_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Only the two columns an operator reads, under fixed internal names.
 
-    Texts can be long, so Arrow batches of the session are held to
-    ``BATCH_ROWS`` rows: executors keep two batches a task outside their heap.
     Columns in ``carry`` come along as ``_c0``, ``_c1`` and so on; other columns,
     whatever their names, never reach the operator.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get(_BATCH, "10000")) > BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
     own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
     return df.select(*own, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
 
 
-def carried(df: DataFrame, carry: tuple[str, ...]) -> tuple[list[str], str]:
-    """Internal names of carried columns, and their part of a schema under their own names."""
+def carried(df: DataFrame, carry: tuple[str, ...], made: tuple[str, ...] = ("doc_id",)) -> tuple[list[str], str]:
+    """Internal names of carried columns, and their part of a schema under their own names.
+
+    A carried column can't have the name of one that the operator makes (``made``).
+    """
+    if clash := sorted({c.lower() for c in carry} & {m.lower() for m in made}) or sorted({c for c in carry if carry.count(c) > 1}):
+        raise ValueError(f"can't carry columns that the result has already: {', '.join(clash)}")
     names = [f"_c{i}" for i in range(len(carry))]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return names, "".join(f", `{c}` {types[n]}" for c, n in zip(carry, names, strict=True))
 
 
-def slices(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.RecordBatch]:
-    """A few rows of a batch at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, weight: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A few rows of a batch at a time: about ``weight`` bytes of ``column``, one row at least."""
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            n = int(np.searchsorted(np.cumsum(sizes[at : at + rows]), weight, "right"))
+            yield batch.slice(at, max(1, n))
+            at += max(1, n)
 
 
 def emit(rows, schema: pa.Schema, weight: Callable[[tuple], int] = lambda row: 64, limit: int = 8_000_000):
@@ -114,8 +134,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def pairs(batch: pa.RecordBatch, first: str = "doc_id", second: str = "text", step: int = 512):
+def pairs(batch: pa.RecordBatch, first: str = "doc_id", second: str = "text"):
     """(first, second) of each row, a few rows at a time as Python objects."""
-    for at in range(0, batch.num_rows, step):
-        part = batch.slice(at, step)
+    for part in slices([batch], column=second):
         yield from zip(part.column(first).to_pylist(), part.column(second).to_pylist(), strict=True)

@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tarn.llm.bloom import PairFilter, bits_for, pair_filter
 from tarn.llm.common import words_of
@@ -33,7 +35,7 @@ def frame(spark, rows):
 
 def brute_lines(rows, least=10):
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(SPACES))
-    ids = [(1 << 63) - 1 if i is None else i for i, _ in rows]
+    ids = [1 << 70 if i is None else i for i, _ in rows]
     holders = {}
     for i, (_, t) in zip(ids, rows, strict=True):
         for line in (t or "").split("\n"):
@@ -44,7 +46,7 @@ def brute_lines(rows, least=10):
         lines = (t or "").split("\n")
         kept = [x for x in lines if len(key(x)) < least or len(holders[key(x)]) < 2 or min(holders[key(x)]) == i]
         out.append((own, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return out
+    return [(i, *x[1:]) for (i, _), x in zip(rows, out, strict=True)]
 
 
 def by_text(rows):
@@ -58,6 +60,23 @@ def test_lines(spark):
     assert any(r[2] for r in got)
 
 
+def test_rarer_repeats_are_joined(spark):
+    rows = list(enumerate(texts(120, 7))) + [(None, t) for t in texts(10, 7)] + [((1 << 63) - 1, "the greatest id there is"), (0, "the greatest id there is")]
+    for common in (1, 5, 40):
+        got = [tuple(r) for r in line_dedup(frame(spark, rows), common=common).select("doc_id", "n_lines", "n_dropped", "text").collect()]
+        assert by_text(got) == by_text(brute_lines(rows)), common
+
+
+def test_carried_columns_that_clash_are_an_error(spark):
+    df = frame(spark, [(1, "x" * 10)])
+    for bad in (("n_lines",), ("text",), ("DOC_ID",), ("drop", "drop")):
+        with pytest.raises(ValueError, match="carry"):
+            line_dedup(df, carry=bad)
+    for bad in (("text",), ("Spans",)):
+        with pytest.raises(ValueError, match="carry"):
+            substring_dedup(df.withColumn("Spans", F.lit(1)), carry=bad)
+
+
 def test_full_filters_change_no_result(spark):
     rows = list(enumerate(texts(60, 6)))
     got = [tuple(r) for r in line_dedup(frame(spark, rows), max_bits=64).select("doc_id", "n_lines", "n_dropped", "text").collect()]
@@ -94,6 +113,15 @@ def test_substrings(spark):
     assert substring_dedup(frame(spark, []).limit(0)).collect() == []
 
 
+def test_common_stretches_are_dealt_by_window(spark):
+    passage = [f"p{i}" for i in range(30)]
+    rng = random.Random(8)
+    tails = [[f"t{k}_{i}" for i in range(20)] for k in range(40)]
+    rows = [(k, " ".join([f"a{k}_{i}" for i in range(rng.randint(0, 30))] + passage + rng.choice(tails)[: rng.randint(2, 20)] + [f"b{k}"])) for k in range(900)]
+    got = [tuple(r) for r in substring_dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "text").collect()]
+    assert by_text(got) == by_text(brute_substrings(rows, 35))
+
+
 def test_a_passage_found_at_any_offset(spark):
     passage = [f"p{i}" for i in range(36)]
     rows = [(k, " ".join([f"a{k}_{i}" for i in range(k)] + passage + [f"b{k}_{i}" for i in range(40)])) for k in range(0, 40)]
@@ -172,6 +200,33 @@ def test_links_span_all_pairs(spark):
     assert sum(b for _, b in bands_of(3)) == 64
 
 
+def test_hot_cells_are_split(spark):
+    """Fingerprints that share half their bits, so that one cell of a band holds them all."""
+    rng = random.Random(6)
+    half = 0x0123456789ABCDEF & ((1 << 32) - 1)
+    base = [rng.getrandbits(32) for _ in range(60)]
+    low = {(b ^ sum(1 << k for k in rng.sample(range(32), rng.randint(0, 3)))) << 32 | half ^ (1 << rng.randrange(32) if rng.random() < 0.3 else 0) for b in base for _ in range(12)}
+    fps = sorted(low | {half << 32 | f >> 32 for f in low})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = brute_components(fps, 3)
+    groups = lambda names: sorted(sorted(i for i in range(len(fps)) if names[i] == n) for n in set(names))
+    for hot_cell in (5, 100, 20_000):
+        got = {r["node"]: r["root"] for r in connected_components(links(df, 3, hot_cell)).collect()}
+        assert groups([got.get(s, s) for s in signed]) == groups(want), hot_cell
+
+
+def test_query_against_brute_force(spark, sf):
+    """op10 on the whole table: fingerprints, links and smallest ids made here from the texts."""
+    from tarn.llm.queries import op10_simhash
+
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    fps = [brute_fingerprint(t) for _, t in docs]
+    roots = brute_components(fps, 3)
+    want = sorted((i, f"{f:016x}", docs[r][0]) for (i, _), f, r in zip(docs, fps, roots, strict=True))
+    assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in op10_simhash(spark, sf).collect()) == want
+
+
 def test_near_duplicates(spark):
     rows = [(9, "the same words here"), (4, "The  same words HERE"), (6, "quite another text"), (None, None), (8, ""), (3, " \n"), (5, "quite another text"), (5, "quite another text")]
     got = sorted(((r["doc_id"] or -1, r["component_id"]) for r in near_duplicates(frame(spark, rows)).collect()))
@@ -183,8 +238,9 @@ def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(1000, i) for i in range(1001, 1100)]
     df = spark.createDataFrame([*chain, *star, (5, 5), (None, 3)], "u long, v long").repartition(6)
-    got = {r["node"]: r["root"] for r in connected_components(df).collect()}
-    assert got == {i: 0 for i in range(1, 61)} | {i: 1000 for i in range(1001, 1100)}
+    for small in (0, 1_000_000):
+        got = {r["node"]: r["root"] for r in connected_components(df, small=small).collect()}
+        assert got == {i: 0 for i in range(1, 61)} | {i: 1000 for i in range(1001, 1100)}
     assert connected_components(df.limit(0)).collect() == []
     u, v = local_components(np.array([5, 9, 2]), np.array([9, 2, 7]))
     assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {5: 2, 7: 2, 9: 2}
