@@ -10,10 +10,16 @@ seen twice.
 
 Hits are then extended to maximal exact repeats: all windows that hold a hit are
 confirmed by 64-bit hashes of the window and of its least stretch (which also
-says where a window is sent, so neighbours travel together). Windows that a
+says where a window is sent, so neighbours travel together). Both are made of
+64-bit hashes of the words, so equal means equal in those. Windows that a
 task holds twice are confirmed there and sent once, so a passage that
 many documents share costs a few rows for each task, not for each pair or document.
+Windows that lie half in such a passage share its least stretch, too; where more
+runs than a task's share have one stretch, they are dealt by window instead.
 Runs of confirmed windows are the maximal repeats.
+
+Only documents that hold a repeat are joined with their spans; all others are
+passed on where they are.
 """
 
 from __future__ import annotations
@@ -26,11 +32,11 @@ from pyspark.sql import functions as F
 
 from tarn.llm.bloom import MAX_BITS, bits_for, mix, pair_filter
 from tarn.llm.bpe import Bounded
-from tarn.llm.common import carried, document_columns, emit, slices
+from tarn.llm.common import carried, cut, document_columns, emit, shuffle_width, slices
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK_WORDS = 500_000
+CHUNK_WORDS = 200_000
 
 
 def _word_cache() -> Bounded:
@@ -69,8 +75,7 @@ def _chunks(batches, columns, cache, least, most):
     """
     rows, parts, size = [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part in slices([batch]):
             for text, *rest in zip(*(part.column(c).to_pylist() for c in ("text", *columns)), strict=True):
                 words = text.encode().split() if text else []
                 if len(words) < least:
@@ -86,9 +91,9 @@ def _chunks(batches, columns, cache, least, most):
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, chunk_words: int = CHUNK_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, row_key, spans``: first word and number of repeated windows, as int32 pairs.
+    """``row_key, spans``: first word and number of repeated windows, as int32 pairs.
 
-    ``docs``: columns ``doc_id, row_key, text``.
+    ``docs``: columns ``row_key, text``.
     """
     block = (window + 1) // 2
     n_bytes = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
@@ -100,50 +105,89 @@ def repeated_spans(docs: DataFrame, window: int = 35, chunk_words: int = CHUNK_W
             yield np.concatenate([rolling(p, block)[::block] for p in parts])
 
     seen = docs.sparkSession.sparkContext.broadcast(pair_filter(docs.select("text"), blocks, bits))  # max_bits at most
-    schema = pa.schema(
-        [("key", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary()), ("many", pa.binary()), ("spans", pa.binary())]
-    )
-    ddl = "key long, doc_id long, row_key long, start int, hashes binary, many binary, spans binary"
 
     def probe(batches):
         cache, filters, known = _word_cache(), seen.value, Confirmed()
 
         def rows():
-            for ids, parts in _chunks(batches, ("doc_id", "row_key"), cache, window, chunk_words):
+            for ids, parts in _chunks(batches, ("row_key",), cache, window, chunk_words):
                 found = _candidates(parts, filters, window, block)
                 if found is not None:
                     yield from _runs(ids, known, *found)
 
-        yield from emit(rows(), schema, lambda r: 80 + len(r[4] or b"") + len(r[6] or b""))
+        yield from emit(rows(), _RUNS, lambda r: 80 + len(r[3] or b"") + len(r[5] or b""))
+
+    runs = cut(docs.mapInArrow(probe, _RUNS_DDL), narrow=True)
+    spans = pa.schema([("row_key", pa.int64()), ("spans", pa.binary())])
 
     def confirm(batches):
-        out = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("spans", pa.binary())])
-        columns = ("key", "doc_id", "row_key", "start", "hashes", "many", "spans")
+        """Rows come sorted by key; a few keys are looked at together."""
 
-        def rows():
-            held = []
-            for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                    if row[6] is not None:  # confirmed where it was found
-                        yield row[1], row[2], row[6]
-                    else:
-                        held.append(row)
-            if not held:
-                return
+        def checked(held):
             n = np.array([len(r[5]) for r in held])
-            hashes = np.frombuffer(b"".join(r[4] for r in held), np.uint64)
+            hashes = np.frombuffer(b"".join(r[3] for r in held), np.uint64)
             many = np.frombuffer(b"".join(r[5] for r in held), np.uint8) != 0
-            keys = np.repeat(np.array([r[0] for r in held], np.int64), n)
-            twice = many | repeated(hashes, keys)
+            twice = many | repeated(hashes, np.repeat(np.array([r[0] for r in held], np.int64), n))
             for row, at, m in zip(held, np.cumsum(n) - n, n, strict=True):
                 on = twice[at : at + m]
                 if on.any():
-                    yield row[1], row[2], _spans(np.flatnonzero(on) + row[3])
+                    yield row[1], _spans(np.flatnonzero(on) + row[2])
+
+        def rows():
+            held, size = [], 0
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in _RUNS.names), strict=True):
+                    if size > 200_000 and row[0] != held[-1][0]:
+                        yield from checked(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[5])
+            if held:
+                yield from checked(held)
+
+        yield from emit(rows(), spans, lambda r: 64 + len(r[1]))
+
+    sent = _dealt(runs.where(F.col("spans").isNull()))
+    found = sent.repartition("key").sortWithinPartitions("key").mapInArrow(confirm, "row_key long, spans binary")
+    return found.unionByName(runs.where(F.col("spans").isNotNull()).select("row_key", "spans"))
 
-        yield from emit(rows(), out, lambda r: 64 + len(r[2]))
 
-    runs = docs.mapInArrow(probe, ddl)
-    return runs.repartition("key").mapInArrow(confirm, "doc_id long, row_key long, spans binary")
+_RUNS = pa.schema([("key", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary()), ("spans", pa.binary()), ("many", pa.binary())])
+_RUNS_DDL = "key long, row_key long, start int, hashes binary, spans binary, many binary"
+
+
+def _dealt(runs: DataFrame) -> DataFrame:
+    """The runs, those of common keys as single windows, keyed by the window's hash.
+
+    A key is common if it has more rows than a quarter of a task's share; there are
+    no more such keys than four times the tasks. All runs of a key are treated alike.
+    """
+    spark, tasks = runs.sparkSession, shuffle_width(runs.sparkSession)
+    total = runs.count()
+    limit = max(256, total // (4 * tasks))
+    common = runs.groupBy("key").count().where(F.col("count") > limit).select("key").collect()
+    if not common:
+        return runs
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in common], np.int64)))
+
+    def deal(batches):
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            at = np.minimum(np.searchsorted(hot.value, keys), len(hot.value) - 1)
+            on = hot.value[at] == keys
+            if not on.all():
+                yield batch.filter(pa.array(~on))
+            rows = batch.filter(pa.array(on))
+            if rows.num_rows:
+                yield from emit(single(rows), _RUNS, lambda r: 96)
+
+    def single(rows):
+        for key, row_key, start, hashes, _, many in zip(*(rows.column(c).to_pylist() for c in _RUNS.names), strict=True):
+            stretch = np.int64(key).tobytes()
+            for k, (h, m) in enumerate(zip(np.frombuffer(hashes, np.int64).tolist(), many, strict=True)):
+                yield h, row_key, start + k, stretch, None, bytes([m])
+
+    return runs.mapInArrow(deal, _RUNS_DDL)
 
 
 def repeated(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -231,16 +275,20 @@ def _runs(ids, known, docs, places, hashes, keys):
     at = np.flatnonzero(many)
     cuts = np.flatnonzero(np.diff(docs[at])) + 1
     for part in np.split(at, cuts) if len(at) else ():
-        doc_id, row_key = ids[docs[part[0]]]
-        yield row_key, doc_id, row_key, None, None, None, _spans(places[part])
+        (row_key,) = ids[docs[part[0]]]
+        yield None, row_key, None, None, _spans(places[part]), None
 
     at = np.flatnonzero(first)  # each window once
     d, p, key = docs[at], places[at], keys[at]
     cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) != 1) | (key[1:] != key[:-1])) + 1
     h, m, signed = hashes[at], many[at].astype(np.uint8), key.view(np.int64)
     for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.append(cuts, len(at)).tolist(), strict=True):
-        doc_id, row_key = ids[d[a]]
-        yield int(signed[a]), doc_id, row_key, int(p[a]), h[a:b].tobytes(), m[a:b].tobytes(), None
+        if a < b:
+            (row_key,) = ids[d[a]]
+            yield int(signed[a]), row_key, int(p[a]), h[a:b].tobytes(), None, m[a:b].tobytes()
+
+
+_MADE = ("doc_id", "n_words", "n_removed", "text", "spans")
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_words: int = CHUNK_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -250,20 +298,25 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     whose words also start anywhere else, in the same text or another, are
     removed; windows are judged on the input. ``text``: kept words joined by one
     space; ``spans``: removed stretches as pairs (first word, words) of int32.
-    Null and empty texts have no words; texts of under ``window`` words keep all;
-    repeated rows repeat each other's windows. Other columns are ignored. A task
-    looks at about ``chunk_words`` words at a time and ``max_bits`` bounds a filter;
+    Null and empty texts have no words; texts of under ``window`` words keep all,
+    longer ones are read whole, however long; repeated rows repeat each other's
+    windows. Other columns are ignored, whatever their names; a carried column that
+    has a name of the result is an error; an empty table stays empty. A task looks
+    at about ``chunk_words`` words at a time and ``max_bits`` bounds a filter;
     neither changes a result.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
     own = document_columns(docs, id_col, text_col, carry)
-    names, more = carried(own, carry)
+    names, more = carried(own, carry, _MADE)
+    spark = docs.sparkSession
     own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(own.select("doc_id", "row_key", "text"), window, chunk_words, max_bits)
-    spans = spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("found"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "found")
-    joined = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
+    spans = repeated_spans(own.select("row_key", "text"), window, chunk_words, max_bits)
+    spans = cut(spans.groupBy("row_key").agg(F.collect_set("spans").alias("found")))
+    keys_of = lambda batches: (b.column("row_key").to_numpy().view(np.uint64) for b in batches)
+    some = spark.sparkContext.broadcast(pair_filter(spans.select("row_key"), keys_of, bits_for(spans.count(), max_bits=max_bits)))
+    held = ["doc_id", "text", *names]
+    schema = "doc_id long, n_words long, n_removed long, text string, spans binary" + more
 
     def kept(text, found):
         words = text.encode().split() if text else []
@@ -277,15 +330,28 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         left = [words[i] for i in np.flatnonzero(~gone)]
         return len(words), int(gone.sum()), b" ".join(left).decode(), _spans(np.flatnonzero(gone))
 
-    def keep(batches):
+    def batch_of(part, found):
+        rows = [kept(*x) for x in zip(part.column("text").to_pylist(), found, strict=True)]
+        n_words, n_removed, texts, runs = zip(*rows, strict=True)
+        arrays = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), pa.array(runs, pa.binary())]
+        return pa.RecordBatch.from_arrays([*arrays, *[part.column(c) for c in names]], names=[*_MADE, *carry])
+
+    def asked(part):
+        return some.value.seen_once(part.column("row_key").to_numpy().view(np.uint64))
+
+    def others(batches):
         for part in slices(batches):
-            rows = [kept(*x) for x in zip(part.column("text").to_pylist(), part.column("found").to_pylist(), strict=True)]
-            n_words, n_removed, texts, runs = zip(*rows, strict=True)
-            arrays = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), pa.array(runs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *arrays, *[part.column(c) for c in names]],
-                names=["doc_id", "n_words", "n_removed", "text", "spans", *carry],
-            )
+            rest = part.filter(pa.array(~asked(part)))
+            if rest.num_rows:
+                yield batch_of(rest, [None] * rest.num_rows)
 
-    schema = "doc_id long, n_words long, n_removed long, text string, spans binary" + more
-    return joined.select("doc_id", "text", "found", *names).mapInArrow(keep, schema)
+    def chosen(batches):
+        for part in slices(batches):
+            yield part.filter(pa.array(asked(part)))
+
+    def joined(batches):
+        for part in slices(batches):
+            yield batch_of(part, part.column("found").to_pylist())
+
+    joint = own.mapInArrow(chosen, own.schema).join(spans, "row_key", "left").select(*held, "found").mapInArrow(joined, schema)
+    return own.mapInArrow(others, schema).unionByName(joint)
