@@ -1,10 +1,14 @@
-"""Near copies by similarity: MinHash bands propose, five-word Jaccard decides.
-
-A text is the set of its shingles. Sets that are alike share the least values of
-``rows`` hash functions in some of ``bands`` bands with near certainty: at a
-Jaccard similarity of 0.8 a pair is missed in 5 of 100,000 cases, above it less.
-Texts that share a band's bucket are compared exactly, so no link is below the
-threshold. Texts of equal words are one key from the start.
+"""SimHash near-dedup at a Jaccard similarity: the grid join of operator 10, completed.
+
+Texts link if their SimHash fingerprints over five-word shingles differ in at most
+three bits (the grid join of :mod:`tarn.llm.simhash`), or if the Jaccard similarity
+of their sets of shingles is 0.8 or more. The grid alone can't reach that similarity:
+64 bits differ in some ten places then, and a grid that finds such pairs compares
+nearly all with all. So MinHash proposes further pairs: sets that are alike share
+the least values of ``rows`` hash functions in some of ``bands`` bands; at a
+similarity of 0.8 a pair is missed in 5 of 100,000 cases, above it less. Texts
+that share a band's bucket are compared exactly. Texts of equal words are one key
+from the start.
 
 Only texts whose buckets others share are read again, and a bucket passes on a
 spanning forest of its links, so a group of copies costs rows in proportion to its
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from tarn.llm.bloom import bits_for, pair_filter
 from tarn.llm.common import carried, cut, document_columns, emit, pairs, slices
 from tarn.llm.components import connected_components, local_components
-
-_EMPTY = np.zeros(0, np.uint64)
+from tarn.llm.simhash import links as fingerprint_links
+from tarn.llm.simhash import majority, shingle_hashes
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -43,17 +47,9 @@ def key(text: str | None) -> int:
     return _key(_words(text))
 
 
-def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
-    if not words:
-        return _EMPTY
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), 42) for k in range(n)), np.uint64, n))
-
-
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     """Distinct hashes of the runs of so many words, in order; a shorter text is one run."""
-    return _shingles(_words(text), shingle)
+    return np.unique(shingle_hashes(_words(text), shingle))
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,12 +139,13 @@ def _links(members: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bands: int = 25, rows: int = 5
+    docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bands: int = 25, rows: int = 5, max_distance: int = 3
 ) -> DataFrame:
     """``doc_id, key, root, component_id``, one row per input row.
 
-    Texts link if the Jaccard similarity of their sets of shingles is ``least`` or
-    more; ``root`` is the smallest key that links reach and names the component;
+    Texts link if their fingerprints differ in ``max_distance`` bits or fewer, or if
+    the Jaccard similarity of their sets of shingles is ``least`` or more; ``root``
+    is the smallest key that links reach and names the component;
     ``component_id`` is the smallest doc_id in it. Null and empty texts are copies
     of each other alone. A null id never names a component unless all its ids are
     null. Repeated rows stay repeated; extra columns are ignored; an empty table
@@ -156,18 +153,25 @@ def near_copies(
     """
     own = document_columns(docs, id_col, text_col)
     functions = _functions(bands * rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 
     def marks(batches):
         def rows_of():
             for batch in batches:
                 for i, t in pairs(batch):
                     words = _words(t)
-                    yield i, _key(words), buckets(_shingles(words, shingle), functions, rows)
+                    hashes = shingle_hashes(words, shingle)
+                    yield i, _key(words), _signed(majority(hashes)), buckets(np.unique(hashes), functions, rows)
+
+        yield from emit(rows_of(), schema, lambda r: 40 + 8 * bands)
 
-        yield from emit(rows_of(), schema, lambda r: 32 + 8 * bands)
+    marked = cut(own.mapInArrow(marks, "doc_id long, key long, fp long, buckets array<long>"), narrow=True)
+    alike = marked.groupBy("fp").agg(F.min("key").alias("first"))
+    near = fingerprint_links(alike.select("fp"), max_distance)
+    one, two = (alike.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_key")) for c in ("u", "v"))
+    linked = near.join(one, "u").join(two, "v").select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
+    same = marked.select("key", "fp").distinct().join(alike, "fp").where("key > first").select(F.col("key").alias("u"), F.col("first").alias("v"))
 
-    marked = cut(own.mapInArrow(marks, "doc_id long, key long, buckets array<long>"))
     cells = marked.select("key", F.explode("buckets").alias("bucket")).distinct()
     shared = cells.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("bucket")
     members = cut(cells.join(shared, "bucket"))
@@ -179,17 +183,17 @@ def near_copies(
     def sets(batches):
         def rows_of():
             for batch in batches:
-                for part in slices([batch], 256):
+                for part in slices([batch]):
                     words = [_words(t) for t in part.column("text").to_pylist()]
                     keys = [_key(w) for w in words]
                     for k, w, hit in zip(keys, words, seen.value.seen_once(np.array(keys, np.int64).view(np.uint64)), strict=True):
                         if hit and w:
-                            yield k, _shingles(w, shingle).tobytes()
+                            yield k, np.unique(shingle_hashes(w, shingle)).tobytes()
 
         yield from emit(rows_of(), set_schema, lambda r: 32 + len(r[1]))
 
     held = own.mapInArrow(sets, "key long, hashes binary").dropDuplicates(["key"])
-    found = _links(members.join(held, "key"), least)
+    found = _links(members.join(held, "key"), least).unionByName(linked).unionByName(same)
     reached = connected_components(found, contracted=True).withColumnRenamed("node", "key")
     named = marked.groupBy("key").agg(F.min("doc_id").alias("least")).join(reached, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = cut(named)
@@ -200,10 +204,10 @@ def near_copies(
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
     """``doc_id, text``, carried columns and ``_key`` of every row."""
     own = document_columns(docs, id_col, text_col, carry)
-    _, ddl = carried(own, carry)
+    _, ddl = carried(own, carry, ("doc_id", "text", "_key"))
 
     def run(batches):
-        for part in slices(batches, 256):
+        for part in slices(batches):
             keys = pa.array([key(t) for t in part.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns, keys], names=["doc_id", "text", *carry, "_key"])
 

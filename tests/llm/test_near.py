@@ -1,7 +1,9 @@
-"""Near copies against brute-force Jaccard similarity of five-word shingles."""
+"""Near copies against brute-force fingerprints and Jaccard similarity of five-word shingles."""
 
 import random
 
+import xxhash
+
 import corpus_pipeline
 from tarn.llm.common import words_of
 from tarn.llm.near import near_copies
@@ -12,12 +14,19 @@ def five_words(text):
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute_similar(texts, least=0.8):
+def brute_fingerprint(text):
+    words = words_of((text or "").lower())
+    runs = [" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_similar(texts, least=0.8, bits=3):
     """The first place of each text's component."""
-    sets, root = [five_words(t) for t in texts], list(range(len(texts)))
+    sets, root, fps = [five_words(t) for t in texts], list(range(len(texts))), [brute_fingerprint(t) for t in texts]
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if a == b or len(a & b) >= least * len(a | b):
+            if a == b or len(a & b) >= least * len(a | b) or (fps[i] ^ fps[j]).bit_count() <= bits:
                 x, y = root[i], root[j]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     return root
