@@ -17,6 +17,8 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -32,7 +34,9 @@ _HIDDEN = {"script", "style", "template", "noscript"}
 #: What may stand in a head; any other tag, or text, ends a head that isn't closed.
 _HEAD = _HIDDEN | {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "title"}
 #: WARC headers of a response that its derivatives have as their own.
-_OWN = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Warcinfo-ID", "WARC-Identified-Payload-Type"}
+_OWN = {"warc-type", "warc-record-id", "warc-date", "warc-target-uri", "warc-warcinfo-id", "warc-identified-payload-type"}
+#: What a packed body may unpack to at most; Spark holds no value of over 2 GB.
+MOST_BYTES = 1 << 30
 _BREAKS = set("address article aside blockquote br div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
 
 
@@ -53,22 +57,105 @@ def record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and block of each record in ``data``; a broken record raises."""
-    out, at = [], 0
+Headers = list[tuple[str, str]]
+
+
+def _fields(lines: list[bytes]) -> Headers:
+    """Named fields; a line that starts with a blank goes on with the one before."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and out:
+            out[-1] = out[-1][0], f"{out[-1][1]} {text.strip()}"
+        else:
+            name, colon, value = text.partition(":")
+            if not colon or not name.strip():
+                raise ValueError(f"no header: {text[:40]!r}")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def lowered(headers: Headers) -> dict[str, str]:
+    """Headers by lower-cased name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, value in headers:
+        out.setdefault(name.lower(), value)
+    return out
+
+
+def records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """Headers and block of each record in ``data``, one at a time; a broken record raises ValueError.
+
+    Names of headers are in any case, with or without a blank after the colon.
+    """
+    at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].split(b"\r\n")
-        if not first.startswith(b"WARC/1."):
+        end = data.find(b"\r\n\r\n", at)
+        first, *lines = data[at : max(end, at)].split(b"\r\n")
+        if end < 0 or not first.startswith(b"WARC/1."):
             raise ValueError(f"no WARC record at byte {at}")
-        headers = [tuple(x.decode().split(": ", 1)) for x in lines]
-        n = int(dict(headers)["Content-Length"])
+        headers = _fields(lines)
+        length = lowered(headers).get("content-length", "")
+        if not re.fullmatch("[0-9]{1,18}", length):
+            raise ValueError(f"record at byte {at} has no length")
+        n = int(length)
         block = data[end + 4 : end + 4 + n]
         if len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
             raise ValueError(f"record at byte {at} is cut short")
-        out.append((headers, block))
+        yield headers, block
         at = end + 8 + n
-    return out
+
+
+def parse(data: bytes) -> list[tuple[Headers, bytes]]:
+    """All records of ``data``; see :func:`records`."""
+    return list(records(data))
+
+
+def _dechunked(body: bytes) -> bytes:
+    """A chunked body's data, as far as its chunks are whole."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = re.match(rb"\s*([0-9A-Fa-f]{1,8})\s*(?:;|$)", body[at:end])
+        if not size or not int(size[1], 16):
+            break
+        n = int(size[1], 16)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out)
+
+
+def _inflated(body: bytes, coding: str, most: int) -> bytes:
+    """A gzip or deflate body's data, as far as it is whole, ``most`` bytes at most."""
+    for wbits in (31,) if "gzip" in coding else (15, -15):
+        out, data, left = [], body, most
+        try:
+            while data and left > 0:
+                member = zlib.decompressobj(wbits)
+                out.append(member.decompress(data, left))
+                left -= len(out[-1])
+                data = member.unused_data if member.eof else b""
+        except zlib.error:
+            if not any(out):
+                continue
+        return b"".join(out)
+    return b""
+
+
+def payload(http: Headers, body: bytes, most: int = MOST_BYTES) -> bytes:
+    """The body with its transfer and content codings undone.
+
+    A body that ends early, or that isn't in the coding it names, gives what could
+    be read of it; one in a coding other than chunked, gzip and deflate is empty.
+    """
+    own = lowered(http)
+    if "chunked" in own.get("transfer-encoding", "").lower():
+        body = _dechunked(body)
+    for coding in reversed([x.strip() for x in own.get("content-encoding", "").lower().split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            body = _inflated(body, coding, most)
+        elif coding not in ("", "identity"):
+            return b""
+    return body
 
 
 class _Page(HTMLParser):
@@ -79,6 +166,11 @@ class _Page(HTMLParser):
         self.hidden, self.in_title, self.in_head = 0, False, False
         self.title, self.text, self.links, self.lang = [], [], [], None
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...]>`` of any kind is a comment up to the next ``>``, as browsers have it."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag == "html" and attrs.get("lang"):
@@ -118,10 +210,19 @@ class _Page(HTMLParser):
 
 
 def visible(html: str) -> tuple[str, str, str | None, list[str]]:
-    """Text (a line for each block, white space collapsed), title, language, links."""
+    """Text (a line for each block, white space collapsed), title, language, links.
+
+    Any text is a page: should the parser give up on its declarations, these are
+    read as text.
+    """
     page = _Page()
-    page.feed(html)
-    page.close()
+    try:
+        page.feed(html)
+        page.close()
+    except (AssertionError, ValueError):
+        page = _Page()
+        page.feed(html.replace("<!", "&lt;!").replace("<?", "&lt;?"))
+        page.close()
     lines = (" ".join(x.split()) for x in "".join(page.text).split("\n"))
     return "\n".join(x for x in lines if x), " ".join("".join(page.title).split()), page.lang, page.links
 
@@ -160,26 +261,30 @@ def responses(pages: DataFrame, date: str = EPOCH, warcinfo: str | None = None,
 
 
 def derive(response: bytes) -> dict | None:
-    """The two derivatives of one response record; null if it isn't a whole response."""
+    """The two derivatives of one response record; null if it isn't a whole response.
+
+    Bodies are read with their transfer and content codings undone (:func:`payload`).
+    """
     try:
         ((headers, block),) = parse(response)
-    except (ValueError, KeyError, UnicodeDecodeError):
+    except ValueError:
         return None
-    own = dict(headers)
-    if own.get("WARC-Type") != "response" or "WARC-Record-ID" not in own:
+    own = lowered(headers)
+    if own.get("warc-type", "").lower() != "response" or not own.get("warc-record-id"):
         return None
     http, _, body = block.partition(b"\r\n\r\n")
-    charset = re.search(rb"charset=([\w-]+)", http, re.I)
+    status, *lines = re.sub(r"\r\n[ \t]+", " ", http.decode("latin-1")).split("\r\n")
+    body = payload([(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], body)
+    charset = re.search(rb"charset=[\"']?([\w-]+)", http, re.I)
     try:
         html = body.decode(charset[1].decode() if charset else "utf-8", "replace")
     except LookupError:
         html = body.decode("utf-8", "replace")
     text, title, lang, links = visible(html)
-    uri, source = own.get("WARC-Target-URI", ""), own["WARC-Record-ID"]
+    uri, source = own.get("warc-target-uri", ""), own["warc-record-id"]
     fields = [("title", title), ("languageHint", lang), ("textLength", str(len(text))), ("linkCount", str(len(links)))]
     fields += [("outlink", _join(uri, x)) for x in links]
-    fields += [(f"source-{k.lower()}", v) for k, v in headers if k not in _OWN]
-    status, *lines = re.sub(r"\r\n[ \t]+", " ", http.decode("latin-1")).split("\r\n")
+    fields += [(f"source-{k.lower()}", v) for k, v in headers if k.lower() not in _OWN]
     fields += [("source-http-status", status), *(("source-http-header", x) for x in lines)]
     one = lambda v: re.sub(r"\s+", " ", v)
     meta_block = "".join(f"{k}: {one(v)}\r\n" for k, v in fields if v is not None).encode()
@@ -191,10 +296,10 @@ def derive(response: bytes) -> dict | None:
             ("WARC-Type", kind),
             ("WARC-Record-ID", rid),
             ("WARC-Refers-To", source),
-            ("WARC-Date", own.get("WARC-Date", EPOCH)),
+            ("WARC-Date", own.get("warc-date", EPOCH)),
             ("WARC-Target-URI", uri),
-            ("WARC-Warcinfo-ID", own.get("WARC-Warcinfo-ID")),
-            ("WARC-Identified-Payload-Type", own.get("WARC-Identified-Payload-Type")),
+            ("WARC-Warcinfo-ID", own.get("warc-warcinfo-id")),
+            ("WARC-Identified-Payload-Type", own.get("warc-identified-payload-type")),
             ("WARC-Block-Digest", digest(block)),
             ("Content-Type", mime),
         ]
@@ -208,7 +313,7 @@ def derive(response: bytes) -> dict | None:
         "metadata_id": meta_id,
         "conversion_id": text_id,
         "refers_to": source,
-        "response_digest": own.get("WARC-Payload-Digest"),
+        "response_digest": own.get("warc-payload-digest"),
         "conversion_digest": digest(text_block),
         "conversion_block": text_block,
         "metadata_record": record(meta_head, meta_block),
@@ -230,8 +335,9 @@ def derivatives(records: DataFrame, id_col: str = "page_id", record_col: str = "
     """``page_id``, ids, digests and the two derivative records of each response.
 
     One row per input row. Null records, other kinds of record and broken ones
-    give nulls; a page without text gives an empty conversion block. Repeated
-    rows give equal records with equal ids. Extra columns are ignored.
+    give nulls; a page without text gives an empty conversion block. Whole pages
+    are read, however long. Repeated rows give equal records with equal ids. Extra
+    columns are ignored; an empty table gives an empty result.
     """
     schema = pa.schema([("page_id", pa.int64())] + [(n, pa.string() if t == "string" else pa.binary()) for n, t in _FIELDS])
 
@@ -251,35 +357,40 @@ def derivatives(records: DataFrame, id_col: str = "page_id", record_col: str = "
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, response_record``: the response records of WARC files, one file a row at a time.
+    """``page_id, response_record``: the response records of WARC files.
 
-    Files are read by Spark, so any store will do; ``.gz`` members are joined.
-    ``page_id`` is a hash of the record's id.
+    Files are read by Spark, so any store will do, each as one value: of 2 GB at
+    most. Records are taken one at a time, and so are the members of a ``.gz``
+    file, one of which holds whole records. ``page_id`` is a hash of the record's
+    id. Where a file is broken its reading ends with one row of nulls.
     """
-    import zlib
-
     schema = pa.schema([("page_id", pa.int64()), ("response_record", pa.binary())])
 
-    def unzipped(data):
-        out = b""
+    def members(data):
+        if data[:2] != b"\x1f\x8b":
+            yield data
         while data[:2] == b"\x1f\x8b":
             member = zlib.decompressobj(31)
-            out += member.decompress(data) + member.flush()
+            yield member.decompress(data) + member.flush()
+            if not member.eof:
+                raise ValueError("a member is cut short")
             data = member.unused_data
-        return out or data
+
+    def found(content):
+        try:
+            for member in members(content):
+                for headers, block in records(member):
+                    own = lowered(headers)
+                    if own.get("warc-type", "").lower() == "response":
+                        key = hashlib.sha1(own.get("warc-record-id", "").encode()).digest()[:8]
+                        kept = [(k, v) for k, v in headers if k.lower() != "content-length"]
+                        yield int.from_bytes(key, "big", signed=True), record(kept, block)
+        except (ValueError, zlib.error):
+            yield None, None
 
     def run(batches):
-        def rows():
-            for b in batches:
-                for content in b.column("content").to_pylist():
-                    for headers, block in parse(unzipped(content)):
-                        own = dict(headers)
-                        if own.get("WARC-Type") == "response":
-                            key = hashlib.sha1(own["WARC-Record-ID"].encode()).digest()[:8]
-                            kept = [(k, v) for k, v in headers if k != "Content-Length"]
-                            yield int.from_bytes(key, "big", signed=True), record(kept, block)
-
-        yield from emit(rows(), schema, lambda r: 64 + len(r[1]))
+        rows = (row for b in batches for at in range(b.num_rows) for row in found(b.column("content")[at].as_py()))
+        yield from emit(rows, schema, lambda r: 64 + len(r[1] or b""))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, response_record binary")
 

@@ -3,6 +3,9 @@
 import base64
 import gzip
 import hashlib
+import re
+import uuid
+import zlib
 
 import pytest
 
@@ -82,3 +85,97 @@ def test_a_head_without_end_tag():
     assert visible("<html><head><title>T</title><meta charset=utf-8><style>p{}</style><noscript><img></noscript>\n<p>One<p>two")[:2] == ("One\ntwo", "T")
     assert visible("<head><title>T</title> bare text")[0] == "bare text"
     assert visible("<head><link rel=x></head>shown<body>also")[0] == "shownalso"
+
+
+@pytest.mark.parametrize("html", ["<![foo[x]]>after", "<!x<![a[", "<![endif]-->shown", "<!DOCTYPE", "<?php <!--", "<!--", "<![", "&#xFFFFFFFFF;<![CDATA[x"])
+def test_any_text_is_a_page(html):
+    assert isinstance(visible(html)[0], str)
+    assert visible("<p>before" + html)[0].startswith("before")
+
+
+def _response(http: bytes, body: bytes, colon: bytes = b": ", kind: bytes = b"WARC-Type") -> bytes:
+    block = http + b"\r\n\r\n" + body
+    head = [b"WARC/1.0", kind + colon + b"response", b"warc-record-id" + colon + b"<urn:x>", b"CONTENT-LENGTH" + colon + str(len(block)).encode()]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_header_names_in_any_case_and_codings_of_bodies():
+    page = "<p>one é".encode()
+    chunks = b"4\r\n<p>o\r\n" + f"{len(page) - 4:x};x=y\r\n".encode() + page[4:] + b"\r\n0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    bodies = {
+        b"HTTP/1.1 200 OK": page,
+        b"HTTP/1.1 200 OK\r\ntransfer-encoding:chunked": chunks,
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: GZIP": gzip.compress(page[:3]) + gzip.compress(page[3:]),
+        b"HTTP/1.1 200 OK\r\nContent-Encoding:deflate": zlib.compress(page),
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: deflate": raw.compress(page) + raw.flush(),
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: x-gzip\r\nTransfer-Encoding: gzip, chunked": f"{len(gzip.compress(page)):X}\r\n".encode() + gzip.compress(page) + b"\r\n0\r\n\r\n",
+    }
+    for http, body in bodies.items():
+        for colon, kind in ((b": ", b"WARC-Type"), (b":", b"warc-type"), (b":  ", b"Warc-TYPE")):
+            assert derive(_response(http, body, colon, kind))["conversion_block"].decode() == "one é"
+    whole = gzip.compress(("<p>" + "long " * 5000).encode())
+    cut = derive(_response(b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip", whole[:-20]))["conversion_block"]
+    assert 0 < len(cut) and set(cut.decode().split()) <= {"long", "lon", "lo", "l"}
+    for broken in (b"HTTP/1.1 200 OK\r\nContent-Encoding: br", b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip"):
+        assert derive(_response(broken, b"junk"))["conversion_block"] == b""
+    assert derive(_response(b"", b""))["conversion_block"] == b""
+
+
+def test_broken_files_end_with_a_null_row(spark, tmp_path):
+    whole = _response(b"HTTP/1.1 200 OK", b"<p>x")
+    (tmp_path / "a.warc").write_bytes(whole + whole + whole[:-3])
+    (tmp_path / "b.warc").write_bytes(gzip.compress(whole)[:-9])
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc").write_bytes(b"WARC/1.0\r\nno header\r\n\r\n")
+    rows = read_warc(spark, str(tmp_path)).collect()
+    assert len(rows) == 6 and sum(r["response_record"] is None for r in rows) == 3
+    assert len(derivatives(read_warc(spark, str(tmp_path))).collect()) == 6
+
+
+def test_query_against_records_built_by_hand(spark, sf):
+    """Every column of op9 on the whole table, made here from the pages alone."""
+    from tarn.llm.queries import op9_warc
+
+    url_space, sha1 = uuid.NAMESPACE_URL, lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    urn = lambda *x: f"<urn:uuid:{uuid.uuid5(url_space, chr(0).join(x))}>"
+    date = "1970-01-01T00:00:00Z"
+    info = urn("warcinfo", date)
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    made = op9_warc(spark, sf).collect()
+    assert sorted(r["page_id"] for r in made) == sorted(pages) and len(made) >= 50
+    for r in made:
+        page = pages[r["page_id"]]
+        body = page["html"].encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body
+        source = urn("response", str(page["page_id"]), page["url"], sha1(body))
+        text, title, lang, links = visible(page["html"])
+        for line in text.split("\n"):  # every word shown is in the page, in order
+            at = 0
+            plain = re.sub(r"<[^>]*>", " ", page["html"]) if "&" not in page["html"] else None
+            for word in line.split() if plain else ():
+                at = plain.index(word, at) + len(word)
+        data = text.encode()
+        text_id = urn("conversion", source, sha1(data))
+
+        def rec(kind, rid, content, mime, extra=""):
+            return (
+                f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\nWARC-Refers-To: {source}\r\n{extra}WARC-Date: {date}\r\n"
+                f"WARC-Target-URI: {page['url']}\r\nWARC-Warcinfo-ID: {info}\r\nWARC-Identified-Payload-Type: text/html\r\n"
+                f"WARC-Block-Digest: {sha1(content)}\r\nContent-Type: {mime}\r\nContent-Length: {len(content)}\r\n\r\n"
+            ).encode() + content + b"\r\n\r\n"
+
+        from urllib.parse import urljoin
+
+        fields = [f"title: {title}", *([f"languageHint: {lang}"] if lang is not None else []), f"textLength: {len(text)}", f"linkCount: {len(links)}"]
+        fields += [f"outlink: {urljoin(page['url'], x)}" for x in links]
+        fields += [f"source-warc-payload-digest: {sha1(body)}", f"source-warc-block-digest: {sha1(block)}", "source-content-type: application/http; msgtype=response"]
+        fields += [f"source-content-length: {len(block)}", "source-http-status: HTTP/1.1 200 OK"]
+        fields += ["source-http-header: Content-Type: text/html; charset=utf-8", f"source-http-header: Content-Length: {len(body)}"]
+        meta = "".join(f"{x}\r\n" for x in fields).encode()
+        meta_id = urn("metadata", source, sha1(meta))
+        assert (r["response_id"], r["refers_to"], r["target_uri"]) == (source, source, page["url"])
+        assert (r["metadata_id"], r["conversion_id"], r["text_bytes"]) == (meta_id, text_id, len(data))
+        assert (r["response_digest"], r["conversion_digest"]) == (sha1(body), sha1(data))
+        assert r["conversion_sha256"] == hashlib.sha256(rec("conversion", text_id, data, "text/plain; charset=utf-8")).hexdigest()
+        assert r["metadata_sha256"] == hashlib.sha256(rec("metadata", meta_id, meta, "application/warc-fields", f"WARC-Concurrent-To: {text_id}\r\n")).hexdigest()
