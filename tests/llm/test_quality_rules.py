@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tarn.llm.common import words_of
-from tarn.llm.quality_rules import Estimate, Rule, base_features, cascade, ordered, quality_rules, with_words
+from tarn.llm.quality_rules import Estimate, Rule, base_features, cascade, estimate, ordered, quality_rules, with_words
 
 
 def repeated(words):
@@ -56,3 +56,15 @@ def test_edges_and_clashing_columns(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = quality_rules(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_costs_are_those_of_the_rules(spark, sf):
+    """A pattern over every word costs many times a comparison of two numbers, whatever a job takes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rules = [Rule("cheap", F.col("n_words") > 3), Rule("dear", F.size(F.filter("_words", lambda w: w.rlike("^(a+b?)+\\p{L}*$"))) < 0)]
+    cheap, dear = estimate(docs, rules, sample_rows=200)
+    assert (cheap.rejected, dear.rejected) == (0.0, 1.0)
+    assert dear.cost > 10 * cheap.cost and dear.cost > 1e-6
+    assert estimate(docs.limit(0), rules) == []
+    none_able = estimate(spark.createDataFrame([(1, None), (2, "x")], "doc_id long, text string"), rules)
+    assert [e.cost for e in none_able] == [0.0, 0.0]
