@@ -57,7 +57,7 @@ ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op6_line_dedup": OP6, "op7
 
 OP2 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(embedding) > 0
+           WHERE embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
       FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
