@@ -46,6 +46,10 @@ GPT_FULL = regex.compile(
 )
 
 
+#: Characters of a text, and of a word, up to which a leaf is encoded at one go.
+LEAF_CHARS, LEAF_WORD = 1_024, 12
+
+
 @functools.cache
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -168,10 +172,14 @@ class WordEndCodec:
 
     ``leaf_chars``: the longest text that is split into words at one go.
     ``leaf_word``: the longest word that is merged at one go.
-    ``threads``: leaves of one text that are encoded at a time.
+    ``threads``: leaves of one text that are encoded at a time, if it has ``MANY``
+    at least; handing over fewer takes longer than they do.
+    ``text_joins`` and ``word_joins`` count the joins that were made.
     """
 
-    def __init__(self, path: str, leaf_chars: int = 32_768, leaf_word: int = 2_048, threads: int = 2):
+    MANY = 32
+
+    def __init__(self, path: str, leaf_chars: int = LEAF_CHARS, leaf_word: int = LEAF_WORD, threads: int = 2):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         spec = read_vocabulary(path)
@@ -190,6 +198,7 @@ class WordEndCodec:
             self.strings[i] = token
         self.cache = Bounded(self._word)
         self.threads = threads
+        self.text_joins = self.word_joins = 0
 
     @functools.cached_property
     def _pool(self) -> ThreadPoolExecutor:
@@ -197,7 +206,7 @@ class WordEndCodec:
 
     def _leaves(self, encode, *parts) -> list:
         """Encodings of the leaves of one text, side by side."""
-        return list((self._pool.map if self.threads > 1 else map)(encode, *parts))
+        return list((self._pool.map if self.threads > 1 and len(parts[0]) >= self.MANY else map)(encode, *parts))
 
     # words ---------------------------------------------------------------
 
@@ -230,6 +239,7 @@ class WordEndCodec:
         return parts[0]
 
     def _join_words(self, text, left, right, seam, end, fast):
+        self.text_joins += 1
         if not left or not right or (left[-1][1] < seam and right[0][0] >= seam and left[-1][1] <= seam - 3):
             if not left or left[-1][1] <= seam - 3:
                 return left + right
@@ -295,6 +305,7 @@ class WordEndCodec:
         return ids[0]
 
     def _join_tokens(self, a: bytes, left: list[int], b: bytes, right: list[int], last: bool) -> list[int]:
+        self.word_joins += 1
         size = 4
         while True:
             tail, head = left[-size:], right[:size]
@@ -353,7 +364,7 @@ class WordEndCodec:
 
 
 @functools.lru_cache(maxsize=2)
-def word_end_codec(path: str, leaf_chars: int = 32_768, leaf_word: int = 2_048) -> WordEndCodec:
+def word_end_codec(path: str, leaf_chars: int = LEAF_CHARS, leaf_word: int = LEAF_WORD) -> WordEndCodec:
     """One codec for each worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordEndCodec(path, leaf_chars, leaf_word)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarn.llm.bpe import word_end_codec
+from tarn.llm.bpe import LEAF_CHARS, LEAF_WORD, word_end_codec
 from tarn.llm.common import document_columns, emit, pairs
 
 
@@ -19,15 +19,17 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     decoded: bool = False,
-    leaf_chars: int = 32_768,
-    leaf_word: int = 2_048,
+    leaf_chars: int = LEAF_CHARS,
+    leaf_word: int = LEAF_WORD,
 ) -> DataFrame:
     """Token ids of every whole text, and with ``decoded`` their decoded text.
 
     Returns ``doc_id, ids`` (binary: little-endian unsigned 32-bit integers)
     and, if asked for, ``decoded``, one row per input row. A null text encodes
-    as an empty one; repeated rows stay repeated; a null id stays null; an empty
-    table gives an empty result. Extra columns are ignored.
+    as an empty one; whole texts are encoded, however long, in leaves of
+    ``leaf_chars`` characters and ``leaf_word`` of a word, which change no result;
+    repeated rows stay repeated; a null id stays null; an empty table gives an empty
+    result. Extra columns are ignored, whatever their names.
     """
     fields = [pa.field("doc_id", pa.int64()), pa.field("ids", pa.binary())]
     if decoded:
@@ -50,7 +52,11 @@ def encode(
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, decoded`` of packed ids, tokens joined by one space (null: empty)."""
+    """``doc_id, decoded`` of packed ids, tokens joined by one space (null: empty).
+
+    Repeated rows stay repeated; extra columns are ignored; an empty table gives an
+    empty result.
+    """
     schema = pa.schema([pa.field("doc_id", pa.int64()), pa.field("decoded", pa.string())])
 
     def run(batches):

@@ -129,19 +129,22 @@ def pack(pieces: DataFrame, capacity: Capacity | None = None, length_col: str =
     """Adds ``sequence_id, offset`` to the pieces: which bin, and where in it.
 
     ``pieces`` are computed once and cut from their lineage. Rows whose length
-    is null or not positive get null places; a length beyond a bin raises. Equal
-    rows get places of their own. A length that many pieces share is ranked in
+    is null or not positive get null places; a length beyond a bin raises before
+    any is gathered. Equal rows get places of their own; columns named like what is
+    added are replaced; an empty table stays empty. A length that many pieces share is ranked in
     salted groups, so no task gathers it.
     """
     capacity = capacity or Capacity()
     clash = {"sequence_id", "offset", "_salt", "_rank", "_base"} & set(pieces.columns)
-    pieces = cut(pieces.drop(*clash))
+    pieces = cut(pieces.drop(*clash), narrow=True)
     spark = pieces.sparkSession
     length = F.col(f"`{length_col}`").cast("long")
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(shuffle_width(spark))))
     good = salted.where(length > 0)
     cells = good.groupBy(length.alias("_length"), "_salt").agg(F.count("*").alias("_n"))
     cells = cut(cells)
+    if over := cells.where(F.col("_length") > capacity.tokens).limit(1).collect():
+        raise ValueError(f"a piece of {over[0]['_length']} tokens is beyond a bin's capacity")
     # at most one row for each length that a bin can hold
     counts = {r[0]: r[1] for r in cells.groupBy("_length").agg(F.sum("_n")).collect()}
     places = sorted(plan(counts, capacity))
@@ -183,13 +186,15 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int
 
     Texts of over ``size`` tokens, the last id included, are cut into pieces of
     ``size``; the last may be shorter. A null text is an empty one: one piece
-    that holds ``end_id``. Repeated rows stay repeated; extra columns are ignored.
+    that holds ``end_id``. Whole texts are encoded, however long. Repeated rows stay
+    repeated; a null id stays null; extra columns are ignored, whatever their names;
+    an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
     closing = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        codec = word_end_codec(vocabulary)
+        codec = word_end_codec(vocabulary, 32_768, 2_048)  # large leaves take less time
 
         def rows():
             for batch in batches:

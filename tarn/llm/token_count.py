@@ -17,8 +17,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """``doc_id, n_bytes, n_tokens`` of every whole text, one row per input row.
 
     Special strings inside texts count as one token each. Null and empty texts
-    have no bytes and no tokens; repeated rows stay repeated; a null id stays
-    null; extra columns are ignored.
+    have no bytes and no tokens; whole texts are counted, however long; repeated rows
+    stay repeated; a null id stays null; extra columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_bytes", "n_tokens")])
 

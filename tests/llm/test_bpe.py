@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tarn.llm.bpe import Bounded, ByteLevelCounter, WordEndCodec
+from tarn.llm.bpe import LEAF_CHARS, LEAF_WORD, Bounded, ByteLevelCounter, WordEndCodec
 from tarn.llm.bpe_codec import decode, encode
 from tarn.llm.token_count import count_tokens
 
@@ -35,7 +35,7 @@ def mixed(n, seed):
     return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("leaf_chars, leaf_word", [(32_768, 2_048), (8, 4), (16, 6), (64, 5)])
+@pytest.mark.parametrize("leaf_chars, leaf_word", [(LEAF_CHARS, LEAF_WORD), (8, 4), (16, 6), (64, 5)])
 def test_joins_are_exact(word, leaf_chars, leaf_word):
     codec = WordEndCodec(WORD, leaf_chars, leaf_word)
     for text in mixed(1500, leaf_chars):
@@ -96,3 +96,19 @@ def test_queries_on_the_fixture(spark, sf, word, byte):
     for r in QUERIES["op5_token_count"](spark, sf).collect():
         n = len(byte.encode(docs[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(docs[r["doc_id"]].encode()), n, n > 1024)
+
+
+def test_fixture_texts_are_joined_by_tree(spark, word):
+    """Under the query's own leaves, joins of texts and of words are common, and exact."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    codec = WordEndCodec(WORD)
+    long, joined = 0, 0
+    for r in rows:
+        before = codec.text_joins
+        codec.encode(r["text"])
+        long += len(r["text"]) > LEAF_CHARS
+        joined += codec.text_joins > before
+    assert long > len(rows) / 3 and joined >= long and codec.text_joins > 1000 and codec.word_joins > 100
+    texts = sorted((r["text"] for r in rows), key=len)[-60:]
+    for t, e in zip(texts, word.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids(codec, t) == e.ids
