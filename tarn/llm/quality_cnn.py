@@ -217,13 +217,15 @@ def fold(id_col: str = "doc_id", folds: int = 5):
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bound: TrainingBound | None = None) -> tuple[list[bytes], list[int]]:
     """Whole texts and labels of the labelled rows, not held out, with the least hashed ids.
 
-    At most ``bound.rows`` rows, of texts of at most ``bound.text_bytes``.
+    At most ``bound.rows`` rows, of texts of at most ``bound.text_bytes``. An id that
+    is labelled both ways counts as 0; null ids and labels other than 0 and 1 don't
+    count; a null text is an empty one.
     """
     bound = bound or TrainingBound()
     label = F.col(f"`{label_col}`")
-    usable = labels.where((fold() != 0) & label.isin(0, 1)).select("doc_id", label.cast("int").alias("label"))
+    usable = labels.where((fold() != 0) & label.isin(0, 1)).groupBy("doc_id").agg(F.min(label.cast("int")).alias("label"))
     order = [F.xxhash64("doc_id"), "doc_id", "label"]
-    chosen = usable.dropDuplicates(["doc_id"]).orderBy(*order).limit(bound.rows)
+    chosen = usable.orderBy(*order).limit(bound.rows)
     own = document_columns(docs)
     own = own.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= bound.text_bytes)
     rows = own.join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(bound.rows).collect()
@@ -239,12 +241,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bound: T
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, score`` (double, 0 to 1) of every whole text and ``carry``, one row per input row.
 
-    Null texts score as empty ones; repeated rows stay repeated; a null id stays
-    null. Nothing but the text enters the score. Other columns are ignored.
+    Null texts score as empty ones; whole texts are read, however long; repeated
+    rows stay repeated and score alike; a null id stays null. Nothing but the text
+    enters the score. Other columns are ignored, whatever their names; a carried
+    column that has a name of the result is an error; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)  # a fixed number of weights
     own = document_columns(docs, id_col, text_col, carry)
-    names, more = carried(own, carry)
+    names, more = carried(own, carry, ("doc_id", "score"))
 
     def run(batches):
         net = shared.value

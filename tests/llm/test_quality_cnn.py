@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from tarn.llm.quality_cnn import CHUNK, HOP, Network, TrainingBound, chunk_starts, fit, fold, score, train
+from tarn.llm.quality_cnn import CHUNK, HOP, Network, TrainingBound, _gradients, chunk_starts, fit, fold, score, train, training_rows
 
 
 def sample(n, seed):
@@ -73,3 +73,62 @@ def test_query_on_the_fixture(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for i, r in got.items())
     held = [(got[i]["predicted"], y) for i, y in labels.items() if got[i]["held_out"]]
     assert np.mean([p == y for p, y in held]) > 0.85
+
+
+def brute_score(net, text):
+    """The network read off its weights: no pair tables, no blocks at a time."""
+    data = text + b"\0" * (max(8, len(text) + len(text) % 2) - len(text))
+    places = range(0, len(data) - 7, 2)
+    response = np.array([np.sum([net.table[j][data[p + j]].astype(np.float64) for j in range(8)], axis=0) for p in places])
+    blocks = [response[b : b + 32].max(axis=0) for b in range(0, len(response), 32)]
+    starts = range(0, max(1, len(blocks) - 4 + 3), 3)
+    chunks = np.maximum([np.max(blocks[s : s + 4], axis=0) + net.shift for s in starts], 0)
+    hidden = np.maximum(np.concatenate([chunks.max(axis=0), chunks.mean(axis=0)]) @ net.w1 + net.b1, 0)
+    return float(1 / (1 + np.exp(-(hidden @ net.w2 + net.b2)[0])))
+
+
+def test_query_against_a_plain_forward_pass(spark, sf):
+    """Scores of op4 on the whole table, from the same weights by the definition."""
+    from tarn.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op4_quality_cnn"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        assert abs(r["score"] - brute_score(net, texts[i])) < 1e-3
+        assert r["predicted"] == int(r["score"] >= 0.3)
+    for text in (b"", b"a", b"ab" * 4, bytes(range(256)) * 9):
+        assert abs(net.score(text) - brute_score(net, text)) < 1e-3
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 105, n).astype(np.uint8)) for n in (3, 70, 400, 900)]
+    y = np.array([1, 0, 1, 0], np.float32)
+    net = Network.fresh(3)
+
+    def loss():
+        p = np.array([brute_score(net, t) for t in texts])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for w, g in zip(net.weights, _gradients(net, texts, y), strict=True):
+        for k in np.argsort(-np.abs(g.ravel()))[:3]:
+            at, step = np.unravel_index(k, w.shape), 1e-2
+            old = w[at]
+            w[at] = old + step
+            up = loss()
+            w[at] = old - step
+            down = loss()
+            w[at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 0.05 * abs(g[at]) + 2e-3
+
+
+def test_an_id_labelled_both_ways_counts_as_zero(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (2, 7)], "doc_id long, quality int")
+    usable = {i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5}
+    for n in (1, 5):
+        texts, y = training_rows(docs, labels.repartition(n))
+        assert dict(zip(texts, y, strict=True)) == {t: v for i, t, v in ((1, b"a", 0), (2, b"b", 1)) if i in usable}
