@@ -1,4 +1,9 @@
-"""The thin ``opN_<name>`` queries: each applies its operator to a whole table."""
+"""The thin ``opN_<name>`` queries: each applies its operator to a whole table.
+
+Nulls, empty and long texts, repeated rows and empty tables are as the operator's
+docstring says; a query adds no case of its own. Columns of the table that the
+operator doesn't name never reach it.
+"""
 
 from __future__ import annotations
 
@@ -23,12 +28,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and verdict of every document; see ``quality_rules``."""
     from tarn.llm.quality_rules import quality_rules
 
     return quality_rules(read(spark, sf_dir, "documents")).drop("failed_rule")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's five highest inner products; ties to the smaller id; see ``top_k``."""
     from tarn.llm.topk import quantised, top_k
 
     vectors = quantised(read(spark, sf_dir, "embeddings"), 256.0)
@@ -36,6 +43,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every text's tokens, digest of the text they decode to; see ``encode``."""
     from tarn.llm.bpe_codec import encode
 
     coded = encode(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), decoded=True)
@@ -48,6 +56,7 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, and if its label was kept from training; see ``score``."""
     from tarn.llm.quality_cnn import fit, fold, score
 
     docs = read(spark, sf_dir, "documents")
@@ -58,6 +67,7 @@ def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text; see ``count_tokens``."""
     from tarn.llm.token_count import count_tokens
 
     counted = count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -65,6 +75,7 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and digests of both derivatives of every page; see ``derivatives``."""
     from tarn.llm.warc import derivatives, responses
 
     made = derivatives(responses(read(spark, sf_dir, "pages")))
@@ -84,6 +95,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see ``near_duplicates``."""
     from tarn.llm.simhash import near_duplicates
 
     found = near_duplicates(read(spark, sf_dir, "documents"))
@@ -91,6 +103,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped, digest of those kept; see ``line_dedup``."""
     from tarn.llm.line_dedup import line_dedup
 
     found = line_dedup(read(spark, sf_dir, "documents"))
@@ -98,6 +111,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, those removed, digest of those kept; see ``substring_dedup``."""
     from tarn.llm.substring_dedup import substring_dedup
 
     found = substring_dedup(read(spark, sf_dir, "documents"))
@@ -105,6 +119,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document's tokens with its place in a sequence; see ``token_pieces`` and ``pack``."""
     from tarn.llm.packing import pack, token_pieces
 
     pieces = token_pieces(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
