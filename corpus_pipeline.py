@@ -25,34 +25,51 @@ def _renewed(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.3 or more stay."""
+    """Documents that the classifier scores 0.3 or more stay.
+
+    Null texts score as empty ones; repeated rows, which score alike, stay or go
+    together. Other columns are dropped; an empty table stays empty.
+    """
     network = quality_cnn.fit(docs, read(spark, sf_dir, "labels"))
     scored = quality_cnn.score(docs, network, carry=("text", "lang", "source", "n_chars"))
     return scored.where(F.col("score") >= 0.3).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a document before holds too go; all documents stay."""
+    """Lines that a document before holds too go; all documents stay.
+
+    A null text becomes an empty one. Rows of one id are one document, rows without
+    an id one document after all others.
+    """
     return _renewed(lines.line_dedup(docs, carry=("lang", "source")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, that of the smallest id, null ids last.
 
-    Near copies have a Jaccard similarity of 0.8 or more over five-word shingles.
-    Rows decide, not ids: copies without an id leave one row, repeated rows of an
-    id leave one, and a text that is like no other stays whatever shares its id.
+    Near copies have SimHash fingerprints over five-word shingles that differ in
+    three bits at most, or a Jaccard similarity of 0.8 or more over these shingles.
+    Texts without words (null, empty) are copies of each other. Rows decide, not
+    ids: copies without an id leave one row, repeated rows of an id leave one, and a
+    text that is like no other stays whatever shares its id.
     """
     return near.representatives(docs, carry=("lang", "source", "n_chars")).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in repeated windows go; all documents stay."""
+    """Words in repeated windows go; all documents stay, null texts as empty ones.
+
+    Kept words are joined by one space, so a text's line ends go here.
+    """
     return _renewed(substrings.substring_dedup(docs, carry=("lang", "source")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    """Pieces of all documents with their places in sequences of 2048 tokens.
+
+    A null or empty text is one piece, its closing id. Repeated rows get places of
+    their own; a null id stays null.
+    """
     pieces = packing.token_pieces(docs, vocabulary("word_bpe_49k.json"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
@@ -60,7 +77,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("line dedup", line_dedup),
-    ("near-dedup at similarity 0.8", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("best-fit packing", pack),
 ]
