@@ -279,6 +279,9 @@ def test_datasets(spark, tmp_path):
         path.write_text(bad + "\n")
         with pytest.raises(ValueError):
             datasets.read_jsonl(spark, str(path), "id long")
+    path.write_text('{"id": 1}\n\n{"id": 2}\n{"id": 3, "id": 4}\n')
+    with pytest.raises(ValueError, match=r"x\.jsonl:4: a key occurs twice"):
+        datasets.read_jsonl(spark, str(path), "id long")
     root = tmp_path / "set"
     datasets.save({"q": spark.range(5), "c": spark.range(3)}, str(root))
     assert datasets.load(spark, str(root))["q"].count() == 5
@@ -302,3 +305,53 @@ def test_plans_push_down(spark, sf):
 
     plan = bm25.tokenised(docs.where(F.col("source") == "src1").select("doc_id", "text"), F.col("text")).select("length")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,src1)" in plan and "ReadSchema: struct<text:string,source:string>" in plan
+
+
+def test_external_collections(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, "t", "x"), (2, "t", "y")], "doc_id long, title string, text string")
+    queries = spark.createDataFrame([(7, "q")], "query_id long, text string")
+    good = spark.createDataFrame([(7, 1, 2)], "query_id long, doc_id long, grade int")
+    bad = spark.createDataFrame([(7, 1, -1), (8, 1, 1), (7, 9, 1)], "query_id long, doc_id long, grade int")
+    found = datasets.import_dataset(corpus.unionByName(corpus.limit(1)), queries.unionByName(queries), bad, str(tmp_path / "bad"))
+    assert sorted((r["problem"], r["key"]) for r in found.collect()) == [("bad_grade", "7"), ("document_twice", "1"), ("query_twice", "7"), ("unknown_document", "9"), ("unknown_query", "8")]
+    assert not (tmp_path / "bad").exists()
+    assert datasets.import_dataset(corpus, queries, good, str(tmp_path / "good")).collect() == []
+    assert dict(datasets.load(spark, str(tmp_path / "good"))["qrels"].dtypes)["doc_id"] == "string"
+    pairs = datasets.paired_questions(spark.createDataFrame([("2hop__a", True), ("2hop1__a", False), ("3hop__b", True)], "id string, answerable boolean"))
+    assert [tuple(r) for r in pairs.select("question_id", "hops", "answerable", "unanswerable").collect()] == [("a", 2, "2hop__a", "2hop1__a")]
+
+
+def test_a_busy_model_is_asked_again(spark):
+    class Busy(Exception):
+        def __init__(self, status):
+            super().__init__("busy")
+            self.status = status
+
+    rows = spark.createDataFrame([("a",), ("bb",)], "content string").coalesce(1)
+
+    def model(status, times):
+        left = [times]
+
+        def call(texts):
+            left[0] -= 1
+            if left[0] >= 0:
+                raise Busy(status)
+            return [[float(len(t))] for t in texts]
+
+        return call
+
+    for status in (429, 503):
+        assert [r["embedding"] for r in chunking.embed(rows, model(status, 2), delay=0.0).collect()] == [[1.0], [2.0]]
+    for status, times in ((429, 3), (400, 1)):
+        with pytest.raises(Exception, match="busy"):
+            chunking.embed(rows, model(status, times), delay=0.0).collect()
+
+
+def test_rendered_answers(spark):
+    claims = [(1, 0, "a *b*", ["S2", "S1"], [("S1", "said <so>")]), (1, 1, "c\x07", ["S2"], []), (2, 0, "bad [S1]", ["S1"], [])]
+    c = spark.createDataFrame(claims, "answer_id long, claim_index int, text string, source_ids array<string>, quotes array<struct<source_id:string,text:string>>")
+    s = spark.createDataFrame([(a, f"S{i}", "said <so>", 0, f"T{i}", f"f{i}.md") for a in (1, 2) for i in (1, 2)], "answer_id long, source_id string, content string, start_char int, title string, source string")
+    answers = spark.createDataFrame([(1, ["when"]), (2, [])], "answer_id long, missing_information array<string>")
+    (row,) = context.rendered_answers(answers, c, s.select("answer_id", "source_id", "title", "source"), context.issues(c, s)).collect()
+    assert row["answer_id"] == 1
+    assert row["markdown"] == "a \\*b\\* [1][2]\n\nc [1]\n\nMissing:\n\n- when\n\nSources:\n\n[1] T2 (f2.md)\n[2] T1 (f1.md)\n   > said &lt;so&gt;"
