@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import cut
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS, GROWTH = 8192, 16_384, 64, 4
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS, GROWTH = 8192, 16_384, 256, 4
 _EXACT = float(1 << 53)
 _NONE = np.iinfo(np.int64).min
 
