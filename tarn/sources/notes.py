@@ -13,21 +13,39 @@ def note_files(spark: SparkSession, folder: str) -> DataFrame:
     """``source, raw, size, modified`` of the ``*.md`` files right in a folder, by name.
 
     The suffix is matched as written; subfolders aren't entered. Spark's readers
-    leave out files without bytes, so those are listed by the file system.
+    leave out files without bytes, so those are listed by the file system. Links
+    that lead out of the folder are left out.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "false").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     decoded = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    files = files.where(~decoded.isin(_strangers(spark, folder)))
     read = files.select(decoded.alias("source"), F.col("content").alias("raw"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     empty = spark.createDataFrame(_empty_files(spark, folder), "source string, raw binary, size long, modified long")
     return read.unionByName(empty.withColumn("modified", F.timestamp_millis("modified")))
 
 
-def _empty_files(spark: SparkSession, folder: str) -> list[tuple]:
+def _listed(spark: SparkSession, folder: str):
+    """The folder's file system, and its notes by name."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    named = ((f.getPath().getName(), f) for f in found if f.isFile() and f.getLen() == 0)
-    return [(name, b"", 0, f.getModificationTime()) for name, f in named if name.endswith(".md")]
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = ((f.getPath().getName(), f) for f in system.listStatus(path) if f.isFile())
+    return system, [(name, f) for name, f in named if name.endswith(".md")]
+
+
+def _empty_files(spark: SparkSession, folder: str) -> list[tuple]:
+    away = set(_strangers(spark, folder))
+    return [(name, b"", 0, f.getModificationTime()) for name, f in _listed(spark, folder)[1] if f.getLen() == 0 and name not in away]
+
+
+def _strangers(spark: SparkSession, folder: str) -> list[str]:
+    """Names of links on a local disk that lead out of the folder; other stores have none."""
+    system, found = _listed(spark, folder)
+    if system.getScheme() != "file":
+        return []
+    real = lambda path: spark._jvm.java.io.File(path.toUri().getPath()).getCanonicalPath()
+    root = real(system.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(folder)))
+    return [name for name, f in found if not real(f.getPath()).startswith(f"{root}/")]
 
 
 @pandas_udf("struct<title:string, content:string>")

@@ -140,6 +140,15 @@ def folder(tmp_path):
     return root
 
 
+def test_links_that_lead_out_are_no_notes(spark, folder, tmp_path):
+    (tmp_path / "secret.md").write_text("not to be read")
+    (tmp_path / "blank.md").write_text("")
+    (folder / "out.md").symlink_to(tmp_path / "secret.md")
+    (folder / "none.md").symlink_to(tmp_path / "blank.md")
+    (folder / "again.md").symlink_to(folder / "a.md")
+    assert sorted(r["source"] for r in notes.load_notes(spark, str(folder)).collect()) == ["a.md", "again.md", "b c+d.md", "empty.md"]
+
+
 def test_notes(spark, folder):
     rows = {r["source"]: (r["title"], r["content"]) for r in notes.stable_notes(spark, str(folder)).collect()}
     assert rows == {"a.md": ("Álpha", "first ERR_RESET line\n\n## Detail\nmore about cats"), "b c+d.md": ("b c+d", "dogs and cats"), "empty.md": ("empty", "")}
