@@ -205,6 +205,21 @@ def stage_attribution(stages: DataFrame, qrels: DataFrame) -> DataFrame:
     return out.select("query_id", "stage", F.try_divide(F.coalesce("found", F.when(F.col("total").isNotNull(), 0)).cast("double"), F.col("total").cast("double")).alias("recall"))
 
 
+def stage_aspects(stages: DataFrame, supports: DataFrame) -> DataFrame:
+    """``query_id, stage, coverage``: weighted share of a query's aspects that a stage still has a document of.
+
+    ``stages``: ``query_id, stage, doc_id``; ``supports``: ``query_id, aspect_id,
+    weight, doc_id``. A query without aspects gives null.
+    """
+    aspects = supports.select("query_id", "aspect_id", "weight").distinct()
+    total = aspects.groupBy("query_id").agg(F.sum("weight").alias("total"))
+    held = stages.select("query_id", "stage", "doc_id").distinct()
+    covered = held.join(supports, ["query_id", "doc_id"]).select("query_id", "stage", "aspect_id", "weight").distinct()
+    covered = covered.groupBy("query_id", "stage").agg(F.sum("weight").alias("got"))
+    rows = held.select("query_id", "stage").distinct().join(total, "query_id", "left").join(covered, ["query_id", "stage"], "left")
+    return rows.select("query_id", "stage", F.try_divide(F.coalesce("got", F.when(F.col("total").isNotNull(), 0.0)), F.col("total")).alias("coverage"))
+
+
 def failure_tags(stages: DataFrame, qrels: DataFrame, order: list[str]) -> DataFrame:
     """``query_id, tags``: which steps lost relevant documents; several may apply.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarn.operators import evidence, irmetrics, runs
+from tarn.functions.text import terms
+from tarn.operators import evidence, fusion, irmetrics, runs
 from tarn.plans.base import query, table
-from tarn.plans.retrieval import BM25, COSINE, COSINE_RANKED, LEGS, RANKED, _bm25, _cosine, _lists
+from tarn.plans.retrieval import BM25, COSINE, COSINE_RANKED, LEGS, RANKED, _bm25, _cosine, _lists, _tokens
 
 # A ranking of vectors, judged by labels: 3 for the query's label, 1 for the next label.
 JUDGED = f"""WITH {COSINE}, ranked AS (SELECT query_id, vec_id AS doc_id, rank FROM ({COSINE_RANKED}) WHERE rank <= 20),
@@ -328,3 +329,46 @@ SELECT query_id, round(count(*) FILTER (WHERE r IS NOT NULL AND r2 IS NOT NULL)
 def neighbour_recall(spark, sf):
     """A list that misses a third of the vectors against the whole one."""
     return _six(irmetrics.neighbour_recall(_cosine(spark, sf, 10), _cosine(spark, sf, 10, F.col("vec_id") % 3 != 0), 10), "recall", "max_delta")
+
+
+# The stages of a hybrid search with a reranked head: legs, union, fused lists, and what is shown.
+STAGES_SQL = f"""{LEGS}, fu AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM legs GROUP BY query_id, doc_id)),
+qs AS (SELECT query_id, list(term) AS asked FROM qt GROUP BY query_id),
+rr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank FROM (SELECT query_id, doc_id, coalesce(len(list_intersect(asked, terms)) / len(asked)::DOUBLE, 0) AS s FROM fu LEFT JOIN qs USING (query_id) JOIN tok USING (doc_id) WHERE rank <= 20)),
+stg AS (SELECT query_id, method AS stage, doc_id FROM legs UNION SELECT query_id, 'union', doc_id FROM legs UNION SELECT query_id, 'pool', doc_id FROM fu WHERE rank <= 20 UNION SELECT query_id, 'top', doc_id FROM fu WHERE rank <= 10 UNION SELECT query_id, 'shown', doc_id FROM rr WHERE rank <= 10),
+rel AS (SELECT l.query_id, d.doc_id, d.lang AS aspect_id, (1 + length(d.lang))::DOUBLE AS weight FROM (SELECT DISTINCT query_id FROM legs) l JOIN documents d ON d.doc_id % 17 = l.query_id % 17)
+"""
+
+
+def _stages(spark, sf):
+    lists = _lists(spark, sf)
+    fused = fusion.rrf(lists).drop("votes")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), terms(F.col("text")).alias("asked"))
+    head = fused.where("rank <= 20").join(_tokens(spark, sf).select("doc_id", "terms"), "doc_id").join(asked, "query_id")
+    shown = fusion.rerank(head, fusion.overlap_score(F.col("asked"), F.col("terms"))).where("rank <= 10")
+    one = lambda df, name: df.select("query_id", F.lit(name).alias("stage"), "doc_id")
+    stages = lists.select("query_id", F.col("method").alias("stage"), "doc_id").unionByName(one(lists, "union")).unionByName(one(fused.where("rank <= 20"), "pool"))
+    stages = stages.unionByName(one(fused.where("rank <= 10"), "top")).unionByName(one(shown, "shown"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("aspect_id"), (F.col("doc_id") % 17).alias("_k"))
+    queries = lists.select("query_id").distinct().withColumn("_k", F.col("query_id") % 17)
+    supports = queries.join(docs, "_k").select("query_id", "doc_id", "aspect_id", (1.0 + F.length("aspect_id")).alias("weight"))
+    return stages, supports
+
+
+@query(f"""{STAGES_SQL}, a AS (SELECT DISTINCT query_id, aspect_id, weight FROM rel), t AS (SELECT query_id, sum(weight) AS total FROM a GROUP BY query_id),
+g AS (SELECT query_id, stage, sum(weight) AS got FROM (SELECT DISTINCT s.query_id, stage, aspect_id, weight FROM stg s JOIN rel USING (query_id, doc_id)) GROUP BY query_id, stage)
+SELECT query_id, stage, round(coalesce(got, 0) / total, 6) AS coverage FROM (SELECT DISTINCT query_id, stage FROM stg) LEFT JOIN t USING (query_id) LEFT JOIN g USING (query_id, stage)""")
+def stage_aspect_coverage(spark, sf):
+    """How much of a query's aspects each stage of a reranked hybrid search still has."""
+    return _six(irmetrics.stage_aspects(*_stages(spark, sf)), "coverage")
+
+
+@query(f"""{STAGES_SQL}, h AS (SELECT rel.query_id, rel.doc_id, bool_or(stage = 'union') AS u, bool_or(stage = 'pool') AS p, bool_or(stage = 'top') AS t, bool_or(stage = 'shown') AS w FROM rel LEFT JOIN stg USING (query_id, doc_id) GROUP BY ALL),
+x AS (SELECT query_id, list_filter([CASE WHEN bool_or(coalesce(NOT u, true)) THEN 'missed_union' END, CASE WHEN bool_or(u AND NOT p) THEN 'lost_at_pool' END, CASE WHEN bool_or(p AND NOT t) THEN 'lost_at_top' END, CASE WHEN bool_or(t AND NOT w) THEN 'lost_at_shown' END], lambda v: v IS NOT NULL) AS tags FROM h GROUP BY query_id)
+SELECT query_id, array_to_string(CASE WHEN len(tags) = 0 THEN ['none'] ELSE tags END, ',') AS tags FROM x""")
+def stage_losses(spark, sf):
+    """Which steps of a reranked hybrid search lost relevant documents."""
+    stages, supports = _stages(spark, sf)
+    qrels = supports.select("query_id", "doc_id", F.lit(1).alias("grade"))
+    found = irmetrics.failure_tags(stages.where("stage NOT IN ('bm25', 'semantic')"), qrels, ["union", "pool", "top", "shown"])
+    return found.select("query_id", F.concat_ws(",", "tags").alias("tags"))

@@ -179,6 +179,12 @@ def cosine_filtered(spark, sf):
     return _six(_cosine(spark, sf, 5, F.col("label") < 3))
 
 
+@query(f"WITH {COSINE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM sc WHERE label < 6 AND vec_id % 3 = 1) WHERE rank <= 5")
+def cosine_conjunction(spark, sf):
+    """Several conditions on candidates, all of which hold."""
+    return _six(_cosine(spark, sf, 5, (F.col("label") < 6) & (F.col("vec_id") % 3 == 1)))
+
+
 @query("""
 SELECT vec_id, len(embedding)::INT AS dimensions, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) AS norm,
        CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'shape' END AS problem FROM embeddings

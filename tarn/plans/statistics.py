@@ -203,6 +203,12 @@ def hash_sample(spark, sf):
     return stats.sampled_ids(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), 7, 25)
 
 
+@query("WITH s AS (SELECT id, row_number() OVER (ORDER BY sha256('7:' || id)) AS n FROM (SELECT DISTINCT doc_id AS id FROM documents)) SELECT size::INT AS size, id FROM s, (SELECT unnest([10, 40, 160]) AS size) WHERE n <= size")
+def nested_scale(spark, sf):
+    """Samples of three sizes, each within the next."""
+    return stats.nested_samples(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), 7, [10, 40, 160])
+
+
 @query("""SELECT event_type, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY event_type""")
 def latency_percentiles(spark, sf):
     return irmetrics.latency(table(spark, sf, "events"), "value", ["event_type"])
