@@ -10,9 +10,10 @@ similarity of 0.8 a pair is missed in 5 of 100,000 cases, above it less. Texts
 that share a band's bucket are compared exactly. Texts of equal words are one key
 from the start.
 
-Only texts whose buckets others share are read again, and a bucket passes on a
-spanning forest of its links, so a group of copies costs rows in proportion to its
-members. A bucket is compared within one task, which holds its sets.
+Only texts that share a bucket with some that the grid hasn't joined them to are read
+again, and a bucket passes on a spanning forest of its links, so a group of copies costs
+rows in proportion to its members, and one that the grid has joined none. A bucket is
+compared within one task, which holds its sets.
 """
 
 from __future__ import annotations
@@ -166,15 +167,17 @@ def near_copies(
         yield from emit(rows_of(), schema, lambda r: 40 + 8 * bands)
 
     marked = cut(own.mapInArrow(marks, "doc_id long, key long, fp long, buckets array<long>"), narrow=True)
-    alike = marked.groupBy("fp").agg(F.min("key").alias("first"))
-    near = fingerprint_links(alike.select("fp"), max_distance)
-    one, two = (alike.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_key")) for c in ("u", "v"))
-    linked = near.join(one, "u").join(two, "v").select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
-    same = marked.select("key", "fp").distinct().join(alike, "fp").where("key > first").select(F.col("key").alias("u"), F.col("first").alias("v"))
-
-    cells = marked.select("key", F.explode("buckets").alias("bucket")).distinct()
-    shared = cells.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("bucket")
-    members = cut(cells.join(shared, "bucket"))
+    reached = connected_components(fingerprint_links(marked.select("fp").distinct(), max_distance), contracted=True)
+    reached = reached.select(F.col("node").alias("fp"), F.col("root").alias("part"))
+    texts = marked.select("key", "fp", "buckets").dropDuplicates(["key"]).join(reached, "fp", "left")
+    texts = cut(texts.select("key", F.coalesce("part", "fp").alias("part"), "buckets"))
+    least_key = texts.groupBy("part").agg(F.min("key").alias("first"))
+    linked = texts.select("key", "part").join(least_key, "part").where("key > first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+
+    # a bucket whose texts the grid has joined already can't add a link
+    cells = texts.select("key", "part", F.explode("buckets").alias("bucket"))
+    shared = cells.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("bucket")
+    members = cut(cells.select("key", "bucket").join(shared, "bucket"))
     asked = members.select("key").distinct()
     among = pair_filter(asked, lambda batches: (b.column("key").to_numpy().view(np.uint64) for b in batches), bits_for(asked.count()))
     seen = docs.sparkSession.sparkContext.broadcast(among)  # a filter of stated bound; false hits fall out in the join
@@ -193,7 +196,7 @@ def near_copies(
         yield from emit(rows_of(), set_schema, lambda r: 32 + len(r[1]))
 
     held = own.mapInArrow(sets, "key long, hashes binary").dropDuplicates(["key"])
-    found = _links(members.join(held, "key"), least).unionByName(linked).unionByName(same)
+    found = _links(members.join(held, "key"), least).unionByName(linked)
     reached = connected_components(found, contracted=True).withColumnRenamed("node", "key")
     named = marked.groupBy("key").agg(F.min("doc_id").alias("least")).join(reached, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = cut(named)
