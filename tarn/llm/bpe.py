@@ -221,28 +221,53 @@ class WordEndCodec:
             return [m.span() for m in WORD_FAST.finditer(text, start, end)]
         return [(start + a, start + b) for _, (a, b) in self._split.pre_tokenize_str(text[start:end])]
 
-    def word_spans(self, text: str, fast: bool) -> list[tuple[int, int]]:
-        """Spans of the words of a normalised text, by tree concatenation."""
-        n = len(text)
-        bounds = list(range(0, n, self.leaf_chars)) + [n]
-        parts = self._leaves(lambda a, b: self._scan(text, a, b, fast), bounds[:-1], bounds[1:])
-        edges = list(zip(bounds, bounds[1:], strict=False))
-        while len(parts) > 1:  # neighbours join pair by pair
-            joined, spans = [], []
-            for k in range(0, len(parts) - 1, 2):
-                joined.append(self._join_words(text, parts[k], parts[k + 1], edges[k + 1][0], edges[k + 1][1], fast))
-                spans.append((edges[k][0], edges[k + 1][1]))
-            if len(parts) % 2:
-                joined.append(parts[-1])
-                spans.append(edges[-1])
-            parts, edges = joined, spans
+    def split_words(self, text: str, fast: bool) -> list[str]:
+        """Words of a normalised text, by tree concatenation."""
+        if not fast:
+            return [text[a:b] for a, b in self._tree(text, lambda a, b: self._scan(text, a, b, False), lambda *x: self._join_words(text, *x, False))]
+        return self._tree(text, lambda a, b: WORD_FAST.findall(text, a, b), lambda *x: self._join_plain(text, *x))
+
+    def _tree(self, text: str, leaf, join) -> list:
+        """Leaves of a text side by side, then neighbours joined pair by pair."""
+        bounds = [*range(0, len(text), self.leaf_chars), len(text)]
+        parts = self._leaves(leaf, bounds[:-1], bounds[1:])
+        ends = bounds[1:]
+        while len(parts) > 1:
+            joined = [join(parts[k], parts[k + 1], ends[k], ends[k + 1]) for k in range(0, len(parts) - 1, 2)]
+            parts = joined + parts[2 * len(joined) :]
+            ends = ends[1::2] + ends[2 * len(joined) :]
         return parts[0]
 
-    def _join_words(self, text, left, right, seam, end, fast):
+    def _join_plain(self, text: str, left: list[str], right: list[str], seam: int, end: int) -> list[str]:
+        """Joins words without their places: those of a few at the seam are found again.
+
+        Between words there are only blanks, so a word's place is the last one before
+        the next word's, or the first one after the word before.
+        """
         self.text_joins += 1
-        if not left or not right or (left[-1][1] < seam and right[0][0] >= seam and left[-1][1] <= seam - 3):
-            if not left or left[-1][1] <= seam - 3:
-                return left + right
+        size = 4
+        while True:
+            tail, head, at = [], [], seam
+            for word in reversed(left[-size:]):
+                at = text.rindex(word, 0, at)
+                tail.append((at, at + len(word)))
+            tail.reverse()
+            at = seam
+            for word in right[:size]:
+                at = text.index(word, at) + len(word)
+                head.append((at - len(word), at))
+            whole_left, whole_right = len(tail) == len(left), len(head) == len(right)
+            stop = end if whole_right or not head else head[-1][1]
+            found = self._join_words(text, tail, head, seam, stop, True, whole_left, whole_right)
+            if found is not None:
+                return left[: len(left) - len(tail)] + [text[a:b] for a, b in found] + right[len(head) :]
+            size *= 4
+
+    def _join_words(self, text, left, right, seam, end, fast, whole_left=True, whole_right=True):
+        """Spans of both sides joined; none if those of the sides that aren't whole don't reach far enough."""
+        self.text_joins += not fast
+        if not left or left[-1][1] <= seam - 3:
+            return left + right
         if not right:
             return left[:-1] + self._scan(text, left[-1][0], end, fast)
         size = 4
@@ -251,6 +276,8 @@ class WordEndCodec:
             k = max(0, len(left) - size)
             while k > 0 and left[k][0] > seam - 3:
                 k -= 1
+            if left[k][0] > seam - 3 and not whole_left:
+                return None
             # ... to a word end of the right half
             m = min(len(right), size)
             stop = end if m == len(right) else right[m - 1][1]
@@ -258,10 +285,10 @@ class WordEndCodec:
             starts = {s: i for i, (s, e) in enumerate(right[:m])}
             for i, (s, e) in enumerate(window):
                 # agreed: both start a word here, and end the same one before the edge
-                if s in starts and right[starts[s]][1] == e and (e <= stop - 3 or stop == end):
+                if s in starts and right[starts[s]][1] == e and (e <= stop - 3 or (stop == end and whole_right)):
                     return left[:k] + window[:i] + right[starts[s] :]
             if stop == end:
-                return left[:k] + window
+                return left[:k] + window if whole_right else None
             size *= 4
 
     # tokens of one word --------------------------------------------------
@@ -344,7 +371,7 @@ class WordEndCodec:
                 if fast and len(normal) <= self.leaf_chars:
                     yield WORD_FAST.findall(normal), None
                 else:
-                    yield [normal[a:b] for a, b in self.word_spans(normal, fast)], None
+                    yield self.split_words(normal, fast), None
 
     def encode(self, text: str | None) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers; null: none."""
