@@ -72,6 +72,18 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Holds the session's Arrow batches to so many rows, if they aren't held to fewer.
+
+    For callers that own the session's settings, such as the registered queries:
+    texts can be long, and executors keep two batches a task outside their heap.
+    Operators leave the session as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

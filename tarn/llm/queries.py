@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.common import small_batches
 from tarn.sources.tables import spread, table
 
 
@@ -23,7 +24,8 @@ def vocabulary(name: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; a small one is dealt out to all cores."""
+    """A table; a small one is dealt out to all cores. The session's Arrow batches are held small."""
+    small_batches(spark)
     return spread(table(spark, sf_dir, name))
 
 
