@@ -2,7 +2,8 @@
 
 Five stages, each calling one operator of ``tarn.llm``; each works on all that
 its predecessor kept. Between stages the documents are written as Parquet to the
-shared checkpoint folder and read again, so a lost executor costs one task.
+shared checkpoint folder and read again, so a lost executor costs one task. Stages
+hold the session's Arrow batches to 1000 rows, as texts can be long.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tarn.llm import line_dedup as lines
 from tarn.llm import near, packing, quality_cnn
 from tarn.llm import substring_dedup as substrings
-from tarn.llm.common import table
+from tarn.llm.common import small_batches, table
 from tarn.llm.queries import read, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,6 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts score as empty ones; repeated rows, which score alike, stay or go
     together. Other columns are dropped; an empty table stays empty.
     """
+    small_batches(spark)
     network = quality_cnn.fit(docs, read(spark, sf_dir, "labels"))
     scored = quality_cnn.score(docs, network, carry=("text", "lang", "source", "n_chars"))
     return scored.where(F.col("score") >= 0.3).select(*COLUMNS)
@@ -41,6 +43,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text becomes an empty one. Rows of one id are one document, rows without
     an id one document after all others.
     """
+    small_batches(spark)
     return _renewed(lines.line_dedup(docs, carry=("lang", "source")))
 
 
@@ -53,6 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids: copies without an id leave one row, repeated rows of an id leave one, and a
     text that is like no other stays whatever shares its id.
     """
+    small_batches(spark)
     return near.representatives(docs, carry=("lang", "source", "n_chars")).select(*COLUMNS)
 
 
@@ -61,6 +65,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Kept words are joined by one space, so a text's line ends go here.
     """
+    small_batches(spark)
     return _renewed(substrings.substring_dedup(docs, carry=("lang", "source")))
 
 
@@ -70,6 +75,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece, its closing id. Repeated rows get places of
     their own; a null id stays null.
     """
+    small_batches(spark)
     pieces = packing.token_pieces(docs, vocabulary("word_bpe_49k.json"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
