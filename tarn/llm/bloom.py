@@ -6,9 +6,10 @@ own, and segments of the bit arrays, not keys, are shuffled to be merged. The
 filters never miss a key; a false hit only sends it to an exact check.
 
 The bit arrays have a stated bound (``MAX_BITS`` unless the caller gives another),
-so they may be broadcast at any size of the input. Far beyond a sixteenth of it in
-distinct keys they fill up, all keys become suspects, and the exact check that follows carries the whole load:
-slower, with the same results.
+so they may be broadcast at any size of the input. With more keys than a sixteenth of
+it a key gets fewer probes, which rejects most with the bits there are; far beyond, the
+filters fill up, all keys become suspects, and the exact check that follows carries the
+whole load: slower, with the same results.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ def bits_for(keys: int, per_key: int = 16, max_bits: int = MAX_BITS) -> int:
     return min(max_bits, max(_SEGMENT, 1 << max(0, keys * per_key - 1).bit_length()))
 
 
+def probes_for(keys: int, bits: int) -> int:
+    """Probes that reject the most keys: 0.69 times the bits a key, from 1 to 5."""
+    return min(5, max(1, round(0.69 * bits / max(1, keys))))
+
+
 class PairFilter:
     """The two bit arrays; ``bits`` is a power of two."""
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.bloom import MAX_BITS, PairFilter, bits_for, pair_filter
+from tarn.llm.bloom import MAX_BITS, PairFilter, bits_for, pair_filter, probes_for
 from tarn.llm.common import carried, cut, document_columns, emit, pairs, slices
 
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -57,7 +57,8 @@ def line_filter(docs: DataFrame, least: int = 10, max_bits: int = MAX_BITS) -> P
     """Filters of the keys that one document holds, and that two or more hold."""
     text = F.col("text")
     n_lines = F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    bits = bits_for(int(docs.agg(n_lines).first()[0] or 0), max_bits=max_bits)
+    lines = int(docs.agg(n_lines).first()[0] or 0)
+    bits = bits_for(lines, max_bits=max_bits)
 
     def hashes(batches):
         held, size = [], 0
@@ -71,7 +72,7 @@ def line_filter(docs: DataFrame, least: int = 10, max_bits: int = MAX_BITS) -> P
         if held:
             yield np.concatenate(held)
 
-    return pair_filter(docs, hashes, bits)
+    return pair_filter(docs, hashes, bits, probes_for(lines, bits))
 
 
 def repeated_lines(docs: DataFrame, seen, least: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -145,8 +146,12 @@ def line_dedup(
     texts = own.select("row_key", "doc_id", "text")
     seen = spark.sparkContext.broadcast(line_filter(texts, least, max_bits))  # max_bits at most
     found, repeats = repeated_lines(texts, seen, least)
-    # at most ``common`` rows reach the driver
-    first = repeats.orderBy(F.desc("n"), "digest").limit(common).collect()
+    total, least_n = repeats.count(), 0
+    if total > common:  # those above a number that so few are above
+        least_n = repeats.agg(F.approx_percentile("n", F.lit(1 - common / total), 10_000)).first()[0]
+        while repeats.where(F.col("n") > least_n).count() > common:
+            least_n *= 2
+    first = repeats.where(F.col("n") > least_n).select("digest", "first").collect()  # ``common`` rows at most
     shared = spark.sparkContext.broadcast(_Common([(bytes(r["digest"]), r["first"]) for r in first]))
     held = ["doc_id", "text", *names]
     schema = "doc_id long, n_lines long, n_dropped long, text string" + more
@@ -171,7 +176,7 @@ def line_dedup(
         arrays = [part.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())]
         return pa.RecordBatch.from_arrays([*arrays, *[part.column(c) for c in names]], names=[*_MADE, *carry])
 
-    if len(first) < common:  # no rarer ones
+    if total <= common:  # no rarer ones
 
         def keep(batches):
             for part in slices(batches):
@@ -179,9 +184,7 @@ def line_dedup(
 
         return own.select(*held).mapInArrow(keep, schema)
 
-    last = first[-1]
-    rarer = (F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("digest") > F.lit(bytes(last["digest"]))))
-    lost = found.join(repeats.where(rarer).select("digest", "first"), "digest").where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
+    lost = found.join(repeats.where(F.col("n") <= least_n).select("digest", "first"), "digest").where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first")))
     lost = cut(lost.groupBy("row_key").agg(F.collect_set("digest").alias("drop")))
     keys_of = lambda batches: (b.column("row_key").to_numpy().view(np.uint64) for b in batches)
     some = spark.sparkContext.broadcast(pair_filter(lost.select("row_key"), keys_of, bits_for(lost.count(), max_bits=max_bits)))

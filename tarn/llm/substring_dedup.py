@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.bloom import MAX_BITS, bits_for, mix, pair_filter
+from tarn.llm.bloom import MAX_BITS, bits_for, mix, pair_filter, probes_for
 from tarn.llm.bpe import Bounded
 from tarn.llm.common import carried, cut, document_columns, emit, shuffle_width, slices
 
@@ -97,14 +97,15 @@ def repeated_spans(docs: DataFrame, window: int = 35, chunk_words: int = CHUNK_W
     """
     block = (window + 1) // 2
     n_bytes = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    bits = bits_for(n_bytes // (6 * block) + 1, max_bits=max_bits)
+    n_blocks = n_bytes // (6 * block) + 1
+    bits = bits_for(n_blocks, max_bits=max_bits)
 
     def blocks(batches):
         cache = _word_cache()
         for _, parts in _chunks(batches, (), cache, block, chunk_words):
             yield np.concatenate([rolling(p, block)[::block] for p in parts])
 
-    seen = docs.sparkSession.sparkContext.broadcast(pair_filter(docs.select("text"), blocks, bits))  # max_bits at most
+    seen = docs.sparkSession.sparkContext.broadcast(pair_filter(docs.select("text"), blocks, bits, probes_for(n_blocks, bits)))  # max_bits at most
 
     def probe(batches):
         cache, filters, known = _word_cache(), seen.value, Confirmed()

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tarn.llm.bloom import PairFilter, bits_for, pair_filter
+from tarn.llm.bloom import PairFilter, bits_for, pair_filter, probes_for
 from tarn.llm.common import words_of
 from tarn.llm.components import connected_components, local_components
 from tarn.llm.line_dedup import line_dedup
@@ -152,6 +152,9 @@ def test_filters_never_miss(spark):
     whole = pair_filter(df, lambda batches: (b.column("k").to_numpy().astype(np.uint64) for b in batches), bits_for(6000))
     assert whole.seen_once(keys).all() and whole.seen_twice(twice).all()
     assert whole.seen_twice(once).mean() < 0.02
+    assert [probes_for(10, 1 << b) for b in (0, 3, 4, 5, 6, 19)] == [1, 1, 1, 2, 4, 5]
+    tight = pair_filter(df, lambda batches: (b.column("k").to_numpy().astype(np.uint64) for b in batches), 1 << 13, 1)
+    assert tight.seen_once(keys).all() and tight.seen_twice(twice).all()
     own = PairFilter(1 << 19)
     own.add(np.array([1, 1, 2], np.uint64))
     own.add(np.array([2], np.uint64))
