@@ -134,7 +134,7 @@ class Engine:
         found = self.store.postings(terms, active["version"])
         of = active["indexed"]
         params = bm25.Bm25(self.settings.k1, self.settings.b)
-        return bm25.top_k(bm25.indexed_scores(found, of["n_docs"], of["total_terms"], asked, "chunk_id", keep=keep, params=params), k, id_col="chunk_id")
+        return bm25.top_k(bm25.indexed_scores(found, of["n_docs"], of["total_terms"], asked, "chunk_id", keep=keep, params=params, few=True), k, id_col="chunk_id")
 
     def _semantic(self, v: list[float], chunks: DataFrame, keep, k: int) -> DataFrame:
         rows = chunks if keep is None else chunks.where(keep)

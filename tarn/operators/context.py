@@ -60,12 +60,10 @@ def unverified(hits: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def merged(hits: DataFrame) -> DataFrame:
-    """Overlapping spans of one document revision as one; raises if they disagree."""
+    """Overlapping spans of one document revision as one; reading one whose parts disagree raises."""
     out = merged_evidence(hits, KEYS)
-    bad = out.where("conflict").select(*KEYS).limit(1).collect()
-    if bad:
-        raise ValueError(f"conflicting overlap in one document revision: {bad[0]}")
-    return out.drop("conflict")
+    odd = F.raise_error(F.concat(F.lit("conflicting overlap in one document revision: "), F.to_json(F.struct(*KEYS))))
+    return out.withColumn("content", F.when(F.col("conflict"), odd.cast("string")).otherwise(F.col("content"))).drop("conflict")
 
 
 def pack(hits: DataFrame, budget: int, tokens: Callable[[str], int] = len, overhead: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ import contextlib
 import json
 import time
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,9 +183,9 @@ class Store:
 
     def postings(self, terms: list[str], version: str | None = None) -> DataFrame:
         """``term, chunk_id, source, tf, length`` of some terms: only their buckets are read."""
-        found = self.spark.read.parquet(self._table("postings", self._ready(version)["version"]))
-        asked = self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket().alias("b")).distinct()
-        buckets = [r["b"] for r in asked.collect()]
+        schema = "term string, chunk_id string, length long, source string, tf long, bucket int"
+        found = self.spark.read.schema(schema).parquet(self._table("postings", self._ready(version)["version"]))
+        buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
         return found.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
     def status(self) -> dict:
@@ -271,4 +272,4 @@ class Store:
 
 
 def _bucket():
-    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")

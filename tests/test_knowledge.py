@@ -103,6 +103,15 @@ def test_packing(spark):
         context.Budget(1000, 900, 100)
 
 
+def test_overlaps_that_disagree_raise(spark):
+    schema = "query_id long, index_version string, doc_id long, document_revision string, start_char int, end_char int, content string, rank int"
+    rows = [(0, "v", 1, "r", 0, 6, "abcdef", 1), (0, "v", 1, "r", 4, 8, "efgh", 2)]
+    assert [(r["content"], r["parts"]) for r in context.merged(spark.createDataFrame(rows, schema)).collect()] == [("abcdefgh", 2)]
+    odd = spark.createDataFrame([rows[0], (0, "v", 1, "r", 4, 8, "xfgh", 2)], schema)
+    with pytest.raises(Exception, match="conflicting overlap"):
+        context.merged(odd).collect()
+
+
 def test_answers_are_strict(spark):
     good = '{"status":"answered","claims":[{"text":"c","source_ids":["S1"]}],"missing_information":[]}'
     bad = ['{"status":"a","status":"b","claims":[],"missing_information":[]}', "```json\n{}\n```", good.replace('"c"', "NaN"), good[:-1] + ',"x":1}', "[]", ""]
