@@ -66,3 +66,28 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 ORACLES["op2_topk"] = OP2
+
+OP13 = r"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256)) AS i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+             lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x) - 64] END)) AS bytes FROM d),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+y AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM x),
+e AS (SELECT a.word, a.n, b.word AS near, b.n AS m FROM y a JOIN y b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT a.word, a.n, v.word, v.n FROM y a JOIN v ON v.word = a.less
+      UNION SELECT v.word, v.n, a.word, a.n FROM y a JOIN v ON v.word = a.less),
+k AS (SELECT word, count(*)::BIGINT AS n_near, max(m) AS top, arg_min(near, (-m, encode(near))) AS best FROM e GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * v.n THEN best END AS form,
+             CASE WHEN top >= 2 * v.n THEN top::BIGINT END AS form_n FROM v LEFT JOIN k USING (word)),
+g AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON f.word = g.next)
+SELECT f.word, f.n, n_near, f.form, form_n, g.at AS root FROM f JOIN g ON g.word = f.word AND g.next IS NULL
+"""
+
+ORACLES["op13_spelling"] = OP13

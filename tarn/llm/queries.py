@@ -129,6 +129,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under two tokenizers; see ``align``."""
+    from tarn.llm.alignment import align
+
+    return align(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its near words' number, form and root; see ``spelling_variants``."""
+    from tarn.llm.spelling import spelling_variants
+
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_topk": op2_topk,
@@ -140,4 +154,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
+    "op13_spelling": op13_spelling,
 }
