@@ -14,6 +14,7 @@ One narrow pass; every record is built from its own row.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import re
 import uuid
@@ -35,8 +36,10 @@ _HIDDEN = {"script", "style", "template", "noscript"}
 _HEAD = _HIDDEN | {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "title"}
 #: WARC headers of a response that its derivatives have as their own.
 _OWN = {"warc-type", "warc-record-id", "warc-date", "warc-target-uri", "warc-warcinfo-id", "warc-identified-payload-type"}
-#: What a packed body may unpack to at most; Spark holds no value of over 2 GB.
-MOST_BYTES = 1 << 30
+#: What a packed body may unpack to at most; of one that is larger the rest is left out, and both derivatives say so.
+MOST_BYTES = 1 << 26
+#: Codecs that a page may name: those of text, none that is a transfer form or gives lone surrogates.
+_CHARSETS = re.compile(r"ascii|utf-8(?:-sig)?|utf-16(?:-[bl]e)?|iso8859-\d+|cp\d+|koi8-[rtu]|mac-\w+|gb\w+|big5\w*|euc_\w+|shift_jis\w*|iso2022_\w+|johab|hz|tis-620|ptcp154|kz1048")
 _BREAKS = set("address article aside blockquote br div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
 
 
@@ -52,7 +55,7 @@ def record_id(*parts: str) -> str:
 def record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     """One WARC/1.1 record; headers without a value are left out."""
     clean = lambda v: re.sub(r"[\r\n]+", " ", v)
-    lines = [b"WARC/1.1"] + [f"{k}: {clean(v)}".encode() for k, v in headers if v is not None]
+    lines = [b"WARC/1.1"] + [f"{k}: {clean(v)}".encode("utf-8", "replace") for k, v in headers if v is not None]
     lines.append(f"Content-Length: {len(block)}".encode())
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -124,8 +127,8 @@ def _dechunked(body: bytes) -> bytes:
     return b"".join(out)
 
 
-def _inflated(body: bytes, coding: str, most: int) -> bytes:
-    """A gzip or deflate body's data, as far as it is whole, ``most`` bytes at most."""
+def _inflated(body: bytes, coding: str, most: int) -> tuple[bytes, bool]:
+    """A gzip or deflate body's data, as far as it is whole, ``most`` bytes at most; and if there was more."""
     for wbits in (31,) if "gzip" in coding else (15, -15):
         out, data, left = [], body, most
         try:
@@ -133,29 +136,40 @@ def _inflated(body: bytes, coding: str, most: int) -> bytes:
                 member = zlib.decompressobj(wbits)
                 out.append(member.decompress(data, left))
                 left -= len(out[-1])
-                data = member.unused_data if member.eof else b""
+                data = member.unused_data if member.eof else member.unconsumed_tail
         except zlib.error:
             if not any(out):
                 continue
-        return b"".join(out)
-    return b""
+        return b"".join(out), left <= 0 and bool(data)
+    return b"", False
 
 
-def payload(http: Headers, body: bytes, most: int = MOST_BYTES) -> bytes:
-    """The body with its transfer and content codings undone.
+def payload(http: Headers, body: bytes, most: int = MOST_BYTES) -> tuple[bytes, bool]:
+    """The body with its transfer and content codings undone; and if it was cut at ``most`` bytes.
 
     A body that ends early, or that isn't in the coding it names, gives what could
     be read of it; one in a coding other than chunked, gzip and deflate is empty.
     """
-    own = lowered(http)
+    own, shortened = lowered(http), False
     if "chunked" in own.get("transfer-encoding", "").lower():
         body = _dechunked(body)
     for coding in reversed([x.strip() for x in own.get("content-encoding", "").lower().split(",")]):
         if coding in ("gzip", "x-gzip", "deflate"):
-            body = _inflated(body, coding, most)
+            body, more = _inflated(body, coding, most)
+            shortened = shortened or more
         elif coding not in ("", "identity"):
-            return b""
-    return body
+            return b"", shortened
+    return body, shortened
+
+
+def decoded(body: bytes, charset: str) -> str:
+    """A body's text. A charset that isn't known or isn't one of text counts as UTF-8; bad bytes are replaced."""
+    try:
+        name = codecs.lookup(charset).name
+        text = body.decode(name if _CHARSETS.fullmatch(name) else "utf-8", "replace")
+    except (LookupError, ValueError):
+        text = body.decode("utf-8", "replace")
+    return re.sub("[\ud800-\udfff]", "\ufffd", text)
 
 
 class _Page(HTMLParser):
@@ -274,12 +288,9 @@ def derive(response: bytes) -> dict | None:
         return None
     http, _, body = block.partition(b"\r\n\r\n")
     status, *lines = re.sub(r"\r\n[ \t]+", " ", http.decode("latin-1")).split("\r\n")
-    body = payload([(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], body)
+    body, shortened = payload([(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], body)
     charset = re.search(rb"charset=[\"']?([\w-]+)", http, re.I)
-    try:
-        html = body.decode(charset[1].decode() if charset else "utf-8", "replace")
-    except LookupError:
-        html = body.decode("utf-8", "replace")
+    html = decoded(body, charset[1].decode() if charset else "utf-8")
     text, title, lang, links = visible(html)
     uri, source = own.get("warc-target-uri", ""), own["warc-record-id"]
     fields = [("title", title), ("languageHint", lang), ("textLength", str(len(text))), ("linkCount", str(len(links)))]
@@ -287,7 +298,7 @@ def derive(response: bytes) -> dict | None:
     fields += [(f"source-{k.lower()}", v) for k, v in headers if k.lower() not in _OWN]
     fields += [("source-http-status", status), *(("source-http-header", x) for x in lines)]
     one = lambda v: re.sub(r"\s+", " ", v)
-    meta_block = "".join(f"{k}: {one(v)}\r\n" for k, v in fields if v is not None).encode()
+    meta_block = "".join(f"{k}: {one(v)}\r\n" for k, v in fields if v is not None).encode("utf-8", "replace")
     text_block = text.encode("utf-8", "replace")
 
     def headed(kind, block, mime):
@@ -300,6 +311,7 @@ def derive(response: bytes) -> dict | None:
             ("WARC-Target-URI", uri),
             ("WARC-Warcinfo-ID", own.get("warc-warcinfo-id")),
             ("WARC-Identified-Payload-Type", own.get("warc-identified-payload-type")),
+            ("WARC-Truncated", "length" if shortened else None),
             ("WARC-Block-Digest", digest(block)),
             ("Content-Type", mime),
         ]
@@ -336,7 +348,9 @@ def derivatives(records: DataFrame, id_col: str = "page_id", record_col: str = "
 
     One row per input row. Null records, other kinds of record and broken ones
     give nulls; a page without text gives an empty conversion block. Whole pages
-    are read, however long. Repeated rows give equal records with equal ids. Extra
+    are read, however long; a packed page of over ``MOST_BYTES`` is read so far, and
+    ``WARC-Truncated`` says so. A charset that is none of text is taken for UTF-8, lone
+    surrogates for U+FFFD. Repeated rows give equal records with equal ids. Extra
     columns are ignored; an empty table gives an empty result.
     """
     schema = pa.schema([("page_id", pa.int64())] + [(n, pa.string() if t == "string" else pa.binary()) for n, t in _FIELDS])

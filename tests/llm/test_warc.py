@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from tarn.llm.warc import derivatives, derive, digest, parse, read_warc, record, responses, visible, write_warc
+from tarn.llm.warc import derivatives, derive, digest, parse, payload, read_warc, record, responses, visible, write_warc
 
 HTML = '<html lang="en"><head><title>A  title</title><style>p{}</style></head><body><h1>One &amp; two</h1><script>var x="</p>";</script><p>Three<br>four</p><a href="/x">link</a></body></html>'
 
@@ -179,3 +179,30 @@ def test_query_against_records_built_by_hand(spark, sf):
         assert (r["response_digest"], r["conversion_digest"]) == (sha1(body), sha1(data))
         assert r["conversion_sha256"] == hashlib.sha256(rec("conversion", text_id, data, "text/plain; charset=utf-8")).hexdigest()
         assert r["metadata_sha256"] == hashlib.sha256(rec("metadata", meta_id, meta, "application/warc-fields", f"WARC-Concurrent-To: {text_id}\r\n")).hexdigest()
+
+
+def test_any_charset_beside_good_rows(spark):
+    """A page's charset is the server's word: none of them ends the job, and good rows are as ever."""
+    names = ["undefined", "idna", "punycode", "utf-7", "unicode_escape", "raw_unicode_escape", "rot13", "hex", "base64", "zip", "utf-32", "nonsense", "mbcs", "cp1252", "utf-16"]
+    body = b"<p>plain \\ud800 +2AA- text</p>"
+    rows = []
+    for k, name in enumerate(names):
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={name}\r\n\r\n".encode() + body
+        rows.append((k, record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{k}>"), ("WARC-Target-URI", "http://a.example")], http)))
+    good = derivatives(responses(spark.createDataFrame([(99, "http://a.example", HTML)], "page_id long, url string, html string"))).first()
+    rows.append((99, bytes(responses(spark.createDataFrame([(99, "http://a.example", HTML)], "page_id long, url string, html string")).first()["response_record"])))
+    made = {r["page_id"]: r for r in derivatives(spark.createDataFrame(rows, "page_id long, response_record binary")).collect()}
+    assert made[99] == good and len(made) == len(rows)
+    for k, name in enumerate(names):
+        text = bytes(made[k]["conversion_block"]).decode()
+        assert name == "utf-16" or text == "plain \\ud800 +2AA- text", name
+
+
+def test_packed_bodies_have_a_bound():
+    page = b"<p>" + b"x " * 50_000
+    http = [("Content-Encoding", "gzip")]
+    assert payload(http, gzip.compress(page)) == (page, False)
+    assert payload(http, gzip.compress(page), most=1000) == (page[:1000], True)
+    assert payload(http, gzip.compress(page), most=len(page)) == (page, False)
+    assert payload(http, gzip.compress(page)[:-20])[1] is False
+    assert payload([("Content-Encoding", "br")], b"x") == (b"", False)
