@@ -136,6 +136,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans' number and digest, and all spans, of every document; see ``personal_data``."""
+    from tarn.llm.pii import KINDS, personal_data
+
+    found = personal_data(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.array_join("base", ",").cast("binary"), 256)
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], digest.alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of all documents with its near words' number, form and root; see ``spelling_variants``."""
     from tarn.llm.spelling import spelling_variants
@@ -155,5 +164,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op12_personal_data": op12_personal_data,
     "op13_spelling": op13_spelling,
 }
