@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import exact_terms, identity, python_terms, title_and_body
-from tarn.operators import agent, bm25, chunking, exact, fusion, lifecycle, vector
+from tarn.operators import agent, bm25, chunking, exact, fusion, graph, lifecycle, vector
 from tarn.sources import notes as note_source
 
 MODES = ("bm25", "lexical", "semantic", "hybrid")
@@ -28,6 +28,8 @@ class Settings:
     b: float = 0.75
     candidates: int = 20
     rrf_k: int = 60
+    #: Neighbour graphs over a snapshot's vectors; None builds none.
+    neighbours: graph.GraphConfig | None = None
     instruction: str = "Given a question, find the passages that answer it"
 
 
@@ -67,11 +69,11 @@ class Engine:
         """Builds a new snapshot, or keeps the active one if nothing changed."""
         notes = note_source.stable_notes(self.spark, self.notes)
         records = self._records(lifecycle.with_revisions(notes)).persist()
-        config = {"size": self.settings.size, "overlap": self.settings.overlap, "embedded": self.embedder is not None, "spec": self._kind()}
+        config = {"size": self.settings.size, "overlap": self.settings.overlap, "embedded": self.embedder is not None, "spec": self._kind(), "neighbours": repr(self.settings.neighbours)}
         text = title_and_body(F.col("title"), F.col("content"))
         tokens = bm25.tokenised(records, text, exact_terms).select("chunk_id", "source", "terms", "length")
         try:
-            return self.store.build(records, self._embed, config, force, tokens)
+            return self.store.build(records, self._embed, config, force, tokens, self.settings.neighbours if self.embedder else None)
         finally:
             records.unpersist()
             notes.unpersist()
@@ -99,8 +101,12 @@ class Engine:
         cut = F.substring(F.col("content"), F.col("start_char").cast("int") + 1, (F.col("end_char") - F.col("start_char")).cast("int"))
         return exact.first_matches(spans.withColumn("content", cut), top_k)
 
-    def search(self, query: str, mode: str = "hybrid", rerank: bool = False, source: str | None = None, top_k: int = 10) -> DataFrame:
-        """Ranked chunks of the active snapshot; the mode is never replaced by another."""
+    def search(self, query: str, mode: str = "hybrid", rerank: bool = False, source: str | None = None, top_k: int = 10, ef_search: int | None = None) -> DataFrame:
+        """Ranked chunks of the active snapshot; the mode is never replaced by another.
+
+        With ``ef_search`` the semantic leg goes through the snapshot's neighbour graphs
+        with a beam of so many; a search under a ``source`` filter is always exact.
+        """
         if mode not in MODES or not query.strip() or top_k < 1:
             raise ValueError(f"a search needs a query, a positive top_k and one of {MODES}")
         s, store = self.settings, self.store
@@ -117,7 +123,8 @@ class Engine:
             if json.loads(active["config"])["spec"] != self._kind():
                 raise ValueError("the snapshot's vectors are of another kind")
             (v,) = self.embedder([chunking.prepared_text(s.instruction, query)])
-            legs["semantic"] = self._semantic(list(map(float, v)), chunks, keep, depth)
+            v = list(map(float, v))
+            legs["semantic"] = self._semantic(v, chunks, keep, depth) if ef_search is None or keep is not None else self._near(v, active, depth, ef_search)
         hits = legs.get("bm25", legs.get("semantic")) if mode != "hybrid" else fusion.hybrid(legs, depth, s.rrf_k, depth, id_col="chunk_id").drop("votes")
         rows = vector.backed(hits, chunks, "chunk_id")
         if rerank:
@@ -144,6 +151,13 @@ class Engine:
         best = scored.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "score").where("score IS NOT NULL").orderBy(F.desc("score"), "chunk_id").limit(k)
         return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
 
+    def _near(self, v: list[float], active: dict, k: int, ef_search: int) -> DataFrame:
+        graphs = self.store.graphs(active["version"])
+        if graphs is None:
+            raise ValueError("the snapshot has no neighbour graphs")
+        asked = self.spark.createDataFrame([(0, v)], "query_id long, query_vector array<double>")
+        return graph.top_k(asked, graphs, k, ef_search, id_col="chunk_id").drop("n_scored")
+
     def read(self, source: str, start: int | None = None, end: int | None = None, section_id: str | None = None) -> dict:
         """A live note, or part of it."""
         sections = self._records(self.live()) if section_id is not None else None

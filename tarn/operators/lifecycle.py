@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import identity
-from tarn.operators import bm25
+from tarn.operators import bm25, graph
 from tarn.sources.files import Files
 
 #: Parts that the postings of a version are dealt into by term.
@@ -188,6 +188,13 @@ class Store:
         buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
         return found.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
+    def graphs(self, version: str | None = None) -> DataFrame | None:
+        """The neighbour graphs of a ready version's vectors by chunk; None if it was built without."""
+        found = self._ready(version)
+        if not found.get("graph"):
+            return None
+        return self.spark.read.schema(graph.GRAPH.format(id="string")).parquet(self._table("graphs", found["version"]))
+
     def status(self) -> dict:
         """From saved metadata alone."""
         found = self.active()
@@ -198,13 +205,13 @@ class Store:
         if bad:
             raise ValueError(f"a stored vector is {bad[0]['problem']}: {bad[0]['embedding_key']}")
 
-    def build(self, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], config: dict, force: bool = False, tokens: DataFrame | None = None) -> dict:
+    def build(self, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], config: dict, force: bool = False, tokens: DataFrame | None = None, neighbours: graph.GraphConfig | None = None) -> dict:
         """A new version, or the active one if neither corpus nor configuration changed.
 
         ``chunks``: ``chunk_id, doc_id, source, document_revision, content,
         embedding_key`` and more. ``embed`` adds ``embedding`` to the texts that the
         cache lacks. ``tokens``: ``chunk_id, source, terms, length``, of which postings
-        are stored. What is stored is read back and verified before it is published,
+        are stored; ``neighbours``: how to build graphs over the vectors, if at all. What is stored is read back and verified before it is published,
         and before an active version is kept. The result says what was added,
         modified and deleted.
         """
@@ -232,6 +239,11 @@ class Store:
                 if tokens is not None:
                     made |= self._index(tokens, version)
                 self._verify_published(chunks, version)
+                if neighbours is not None:
+                    rows = self.spark.read.parquet(self._table("chunks", version)).select("chunk_id", "embedding_key")
+                    rows = rows.join(self.vectors().dropDuplicates(["embedding_key"]), "embedding_key").where(F.size("embedding") > 0)
+                    graph.build(rows, neighbours, "chunk_id").write.parquet(self._table("graphs", version))
+                    made["graph"] = {"m": neighbours.m, "ef_construct": neighbours.ef_construct}
                 made["status"] = "ready"
                 self._put(name, made)
                 self._put("active.json", {"version": version})
@@ -265,7 +277,7 @@ class Store:
         """Removes tables of failed builds; returns their versions."""
         gone = [m["version"] for m in self.manifests() if m["status"] == "failed"]
         for version in gone:
-            for kind in ("chunks", "postings"):
+            for kind in ("chunks", "postings", "graphs"):
                 self.files.remove(f"{kind}/version={version}")
             self.files.remove(f"manifests/{version}.json")
         return gone

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import terms
-from tarn.operators import bm25, exact, fusion, irmetrics, vector
+from tarn.operators import bm25, exact, fusion, graph, irmetrics, vector
 from tarn.plans.base import query, spread, table
 
 TOKENS = r"""
@@ -321,3 +321,37 @@ def rank_movement(spark, sf):
     """Where a hit of either leg stands in the other."""
     legs = _legs(spark, sf)
     return irmetrics.movement(legs["bm25"], legs["semantic"])
+
+
+def _near(spark, sf, m, ef):
+    """Ten best others of each query vector by graphs, and what each query was compared with."""
+    graphs = graph.build(_vectors(spark, sf), graph.GraphConfig(m=m))
+    found = graph.top_k(_vector_queries(spark, sf), graphs, 11, ef).where("vec_id <> query_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 10)
+
+
+@query()
+def graph_topk(spark, sf):
+    """Ten near vectors of every id divisible by 20 through neighbour graphs, with the number of vectors scored."""
+    return _six(_near(spark, sf, 8, 16))
+
+
+@query(f"WITH {COSINE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({COSINE_RANKED}) WHERE rank <= 10")
+def graph_whole_beam(spark, sf):
+    """A beam as wide as the table: graphs reach every vector, so the hits are those of the exact search."""
+    return _six(_near(spark, sf, 16, 1 << 30)).drop("n_scored")
+
+
+@query()
+def graph_recall(spark, sf):
+    """Recall@10 against exact search, and the share of rows scored, of two widths of graph and beam."""
+    exact_hits = _cosine(spark, sf, 10).select("query_id", "vec_id", F.lit(1).alias("right"))
+    total = _vectors(spark, sf).agg(F.count("*").alias("total"))
+    arms = []
+    for m, ef in ((8, 16), (16, 64)):
+        hits = _near(spark, sf, m, ef).join(exact_hits, ["query_id", "vec_id"], "left")
+        by_query = hits.groupBy("query_id").agg(F.count("right").alias("right"), F.max("n_scored").alias("n_scored"))
+        arm = by_query.agg(F.count("*").alias("n_queries"), F.avg(F.col("right") / 10).alias("recall"), F.avg("n_scored").alias("scored")).crossJoin(F.broadcast(total))
+        arms.append(arm.select(F.lit(m).alias("m"), F.lit(ef).alias("ef_search"), "n_queries", F.round("recall", 6).alias("recall"), F.round(F.col("scored") / F.col("total"), 6).alias("share_scored")))
+    return arms[0].unionByName(arms[1])
