@@ -116,7 +116,7 @@ class Engine:
         keep = None if source is None else F.col("source") == source
         legs = {}
         if mode in ("bm25", "lexical", "hybrid"):
-            legs["bm25"] = self._lexical(query, active, keep, depth)
+            legs["bm25"] = self._lexical(query, active, source, depth)
         if mode in ("semantic", "hybrid"):
             if self.embedder is None:
                 raise ValueError("this engine has no embedder")
@@ -134,14 +134,11 @@ class Engine:
         method = ("bm25" if mode == "lexical" else mode) + ("+rerank" if rerank else "")
         return rows.where(F.col("rank") <= top_k).withColumn("method", F.lit(method)).orderBy("rank")
 
-    def _lexical(self, query: str, active: dict, keep, k: int) -> DataFrame:
-        """From the postings that the snapshot holds; only the query's terms are read."""
-        terms = sorted(set(python_terms(query)))
-        asked = self.spark.createDataFrame([(0, t) for t in terms], "query_id long, term string")
-        found = self.store.postings(terms, active["version"])
-        of = active["indexed"]
+    def _lexical(self, query: str, active: dict, source: str | None, k: int) -> DataFrame:
+        """From the blocks that the snapshot's index holds; only the query's terms are read."""
         params = bm25.Bm25(self.settings.k1, self.settings.b)
-        return bm25.top_k(bm25.indexed_scores(found, of["n_docs"], of["total_terms"], asked, "chunk_id", keep=keep, params=params, few=True), k, id_col="chunk_id")
+        found = self.store.segments.top_k(self.store.index(active["version"]), {0: python_terms(query)}, k, source, params)
+        return found.select("query_id", "chunk_id", "score", "rank")
 
     def _semantic(self, v: list[float], chunks: DataFrame, keep, k: int) -> DataFrame:
         rows = chunks if keep is None else chunks.where(keep)

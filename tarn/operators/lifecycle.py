@@ -12,19 +12,16 @@ import contextlib
 import json
 import time
 import uuid
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import identity
-from tarn.operators import bm25, graph
+from tarn.operators import graph
+from tarn.operators.segments import Segments, counted
 from tarn.sources.files import Files
 
-#: Parts that the postings of a version are dealt into by term.
-BUCKETS = 64
-
 
 def with_revisions(notes: DataFrame) -> DataFrame:
     """Adds ``doc_id`` (of the path) and ``document_revision`` (of title and content)."""
@@ -98,7 +95,7 @@ def cache_problems(keys: DataFrame, vectors: DataFrame, key: str = "embedding_ke
 
 
 class Store:
-    """Snapshots of one vault: ``chunks``, ``postings`` and ``manifests`` by version, ``vectors``, a pointer."""
+    """Snapshots of one vault: ``chunks``, ``graphs`` and ``manifests`` by version, ``vectors``, a text ``index``, a pointer."""
 
     def __init__(self, spark: SparkSession, root: str, lease_s: float = 6 * 3600):
         self.spark, self.files, self.lease_s = spark, Files(spark, str(root)), lease_s
@@ -181,12 +178,21 @@ class Store:
         self._verify(rows)
         return rows.join(self.vectors().dropDuplicates(["embedding_key"]), "embedding_key")
 
+    @property
+    def segments(self) -> Segments:
+        """The text index, whose segments versions share."""
+        return Segments(self.spark, self.files.path("index"))
+
+    def index(self, version: str | None = None) -> dict:
+        """The state of a ready version's text index (see :class:`Segments`)."""
+        found = self._ready(version)
+        if "index" not in found:
+            raise ValueError("the snapshot was built without an index")
+        return found["index"]
+
     def postings(self, terms: list[str], version: str | None = None) -> DataFrame:
         """``term, chunk_id, source, tf, length`` of some terms: only their buckets are read."""
-        schema = "term string, chunk_id string, length long, source string, tf long, bucket int"
-        found = self.spark.read.schema(schema).parquet(self._table("postings", self._ready(version)["version"]))
-        buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
-        return found.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        return self.segments.postings(self.index(version), terms)
 
     def graphs(self, version: str | None = None) -> DataFrame | None:
         """The neighbour graphs of a ready version's vectors by chunk; None if it was built without."""
@@ -210,8 +216,8 @@ class Store:
 
         ``chunks``: ``chunk_id, doc_id, source, document_revision, content,
         embedding_key`` and more. ``embed`` adds ``embedding`` to the texts that the
-        cache lacks. ``tokens``: ``chunk_id, source, terms, length``, of which postings
-        are stored; ``neighbours``: how to build graphs over the vectors, if at all. What is stored is read back and verified before it is published,
+        cache lacks. ``tokens``: ``chunk_id, source, terms, length``; those of chunks that
+        the active version's index lacks become a segment of it; ``neighbours``: how to build graphs over the vectors, if at all. What is stored is read back and verified before it is published,
         and before an active version is kept. The result says what was added,
         modified and deleted.
         """
@@ -237,7 +243,7 @@ class Store:
                 fresh.write.mode("append").parquet(self.files.path("vectors"))
                 chunks.write.parquet(self._table("chunks", version))
                 if tokens is not None:
-                    made |= self._index(tokens, version)
+                    made["index"] = self._index(chunks, tokens, before.get("index") if before else None)
                 self._verify_published(chunks, version)
                 if neighbours is not None:
                     rows = self.spark.read.parquet(self._table("chunks", version)).select("chunk_id", "embedding_key")
@@ -259,13 +265,15 @@ class Store:
             raise ValueError("the stored chunks differ from those to be stored")
         self._verify(stored)
 
-    def _index(self, tokens: DataFrame, version: str) -> dict:
-        """Writes the postings by bucket of their term; returns the corpus' statistics."""
-        found = bm25.postings(tokens, "chunk_id", ["source"]).withColumn("bucket", _bucket())
-        dealt = found.repartition("bucket").sortWithinPartitions("bucket", "term")
-        dealt.write.partitionBy("bucket").parquet(self._table("postings", version))
-        stats = bm25.corpus_stats(tokens).first()
-        return {"indexed": {"n_docs": stats["n_docs"], "total_terms": stats["total_terms"]}}
+    def _index(self, chunks: DataFrame, tokens: DataFrame, state: dict | None) -> dict:
+        """The index after this build: only chunks that are new or gone are tokenised and written."""
+        mark = F.sha2(F.concat_ws("\u0001", "document_revision", "content"), 256).alias("mark")
+        marks = chunks.select("chunk_id", "source", mark)
+        if not state:
+            return self.segments.update(None, counted(tokens.join(marks.select("chunk_id", "mark"), "chunk_id")))
+        added, removed = self.segments.difference(state, marks)
+        fresh = tokens.join(marks.select("chunk_id", "mark"), "chunk_id").join(added, "chunk_id", "left_semi")
+        return self.segments.update(state, counted(fresh), removed)
 
     def recover(self) -> None:
         """Marks builds that a crash left unfinished as failed."""
@@ -277,11 +285,8 @@ class Store:
         """Removes tables of failed builds; returns their versions."""
         gone = [m["version"] for m in self.manifests() if m["status"] == "failed"]
         for version in gone:
-            for kind in ("chunks", "postings", "graphs"):
+            for kind in ("chunks", "graphs"):
                 self.files.remove(f"{kind}/version={version}")
             self.files.remove(f"manifests/{version}.json")
+        self.segments.clean([m["index"] for m in self.manifests() if "index" in m])
         return gone
-
-
-def _bucket():
-    return (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tarn.functions.text import terms
 from tarn.operators import bm25, exact, fusion, graph, irmetrics, vector
-from tarn.plans.base import query, spread, table
+from tarn.operators.segments import Segments, counted
+from tarn.plans.base import query, scratch, spread, table
 
 TOKENS = r"""
 tok AS (SELECT doc_id, source, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS terms FROM documents),
@@ -355,3 +356,37 @@ def graph_recall(spark, sf):
         arm = by_query.agg(F.count("*").alias("n_queries"), F.avg(F.col("right") / 10).alias("recall"), F.avg("n_scored").alias("scored")).crossJoin(F.broadcast(total))
         arms.append(arm.select(F.lit(m).alias("m"), F.lit(ef).alias("ef_search"), "n_queries", F.round("recall", 6).alias("recall"), F.round(F.col("scored") / F.col("total"), 6).alias("share_scored")))
     return arms[0].unionByName(arms[1])
+
+
+def _counted(spark, sf, keep):
+    own = _tokens(spark, sf).where(keep)
+    return counted(own.select(F.col("doc_id").alias("chunk_id"), "source", F.lit("1").alias("mark"), "terms", "length"))
+
+
+def _by_blocks(spark, sf, index, state, k=10):
+    """Every benchmark item's ranks from stored blocks; there are 200 items at most."""
+    asked = {r["query_id"]: r["terms"] for r in _asked(spark, sf).groupBy("query_id").agg(F.collect_list("term").alias("terms")).collect()}
+    return _six(index.top_k(state, asked, k).select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), "score", "rank"))
+
+
+# documents are ranked by their ids as text where blocks hold them
+BY_TEXT = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR)::INT AS rank FROM sc"
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({BY_TEXT}) WHERE rank <= 10")
+def bm25_blocks(spark, sf):
+    """Ten best documents of every benchmark item from stored blocks with score bounds."""
+    index = Segments(spark, scratch(spark))
+    return _by_blocks(spark, sf, index, index.update(None, _counted(spark, sf, F.lit(True))))
+
+
+@query(f"WITH {BM25.replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 5)')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({BY_TEXT}) WHERE rank <= 10")
+def segments_edited(spark, sf):
+    """Ranks after additions, removals, a return and a merge are those of an index of what is left."""
+    index, d = Segments(spark, scratch(spark), fan=3), F.col("doc_id") % 10
+    ids = lambda keep: table(spark, sf, "documents").where(keep).select(F.col("doc_id").alias("chunk_id"))
+    state = index.update(None, _counted(spark, sf, d < 5))
+    state = index.update(state, _counted(spark, sf, d >= 7), ids(d == 2))
+    state = index.update(state, _counted(spark, sf, d.isin(5, 6)), ids(d == 8))
+    state = index.update(state, _counted(spark, sf, d.isin(2, 8)), ids(d == 5))
+    return _by_blocks(spark, sf, index, state)

@@ -64,5 +64,15 @@ class Files:
         found = [f.getPath().getName() for f in self._fs.listStatus(self._path(folder)) if f.isFile()]
         return sorted(n for n in found if n.endswith(suffix) and not n.startswith("."))
 
+    def folders(self, folder: str) -> list[str]:
+        """Folders right in a folder, by name."""
+        if not self.exists(folder):
+            return []
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(folder)) if f.isDirectory())
+
+    def size(self, folder: str) -> int:
+        """Bytes of all files in a folder; none if there is no such folder."""
+        return self._fs.getContentSummary(self._path(folder)).getLength() if self.exists(folder) else 0
+
     def remove(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
