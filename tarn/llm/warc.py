@@ -164,12 +164,14 @@ def payload(http: Headers, body: bytes, most: int = MOST_BYTES) -> tuple[bytes,
 
 def decoded(body: bytes, charset: str) -> str:
     """A body's text. A charset that isn't known or isn't one of text counts as UTF-8; bad bytes are replaced."""
-    try:
-        name = codecs.lookup(charset).name
-        text = body.decode(name if _CHARSETS.fullmatch(name) else "utf-8", "replace")
-    except (LookupError, ValueError):
-        text = body.decode("utf-8", "replace")
-    return re.sub("[\ud800-\udfff]", "\ufffd", text)
+    if charset.lower() != "utf-8":
+        try:
+            name = codecs.lookup(charset).name
+            if _CHARSETS.fullmatch(name):
+                return re.sub("[\ud800-\udfff]", "\ufffd", body.decode(name, "replace"))
+        except (LookupError, ValueError):
+            pass
+    return body.decode("utf-8", "replace")
 
 
 class _Page(HTMLParser):
