@@ -7,6 +7,10 @@ Spans are end-exclusive code-point places.
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,24 +57,45 @@ def merged_evidence(hits: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("conflict", ~agrees).drop("_island", "_parts")
 
 
-def coverage(anchors: DataFrame, intervals: DataFrame, keys: list[str], anchor_id: str = "anchor_id") -> DataFrame:
+#: Positions of a block: spans are cut at its borders, so a key with many spans is many groups.
+WIDTH = 1 << 16
+
+
+def _cut(spans: DataFrame, width: int) -> DataFrame:
+    """Spans cut at the borders of blocks of ``width`` positions, with ``_block``; empty ones are left out."""
+    block = F.explode(F.sequence(F.floor(F.col("start_char") / width), F.floor((F.col("end_char") - 1) / width)))
+    pieces = spans.where("start_char < end_char").withColumn("_block", block)
+    low = F.col("_block") * width
+    return pieces.withColumns({"start_char": F.greatest("start_char", low), "end_char": F.least("end_char", low + width)})
+
+
+def coverage(anchors: DataFrame, intervals: DataFrame, keys: list[str], anchor_id: str = "anchor_id", width: int = WIDTH) -> DataFrame:
     """``<anchor>, covered, coverage``: share of each anchor that the union of intervals covers.
 
-    Both tables have ``keys, start_char, end_char``. A range join on equal keys,
-    then a running maximum, so overlaps count once.
+    Both tables have ``keys, start_char, end_char``; keys are not null. A sweep: the union's length up to
+    a place is known at each place once spans are in order, and an anchor's share is the
+    difference between its ends. No pair of an anchor and an interval is formed, and a
+    key with many spans is swept block by block. An anchor that is no span raises when
+    it is read.
     """
-    if anchors.where("start_char < 0 OR start_char >= end_char").limit(1).count():
-        raise ValueError("an anchor needs 0 <= start < end")
-    a = anchors.select(anchor_id, *keys, F.col("start_char").alias("_a"), F.col("end_char").alias("_b"))
-    i = intervals.select(*keys, "start_char", "end_char").distinct()
-    pair = a.join(i, keys).where((F.col("start_char") < F.col("_b")) & (F.col("end_char") > F.col("_a")))
-    left, right = F.greatest("start_char", "_a"), F.least("end_char", "_b")
-    pair = pair.select(anchor_id, left.alias("l"), right.alias("r"))
-    before = F.max("r").over(Window.partitionBy(anchor_id).orderBy("l", "r").rowsBetween(Window.unboundedPreceding, -1))
-    gain = F.greatest(F.lit(0), F.col("r") - F.greatest(F.coalesce(before, F.col("l")), F.col("l")))
-    got = pair.withColumn("_gain", gain).groupBy(anchor_id).agg(F.sum("_gain").alias("covered"))
-    out = a.join(got, anchor_id, "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
-    return out.select(anchor_id, "covered", (F.col("covered") / (F.col("_b") - F.col("_a"))).alias("coverage"))
+    start, end = F.col("start_char"), F.col("end_char")
+    sound = F.coalesce((start >= 0) & (start < end), F.lit(False))
+    checked = F.when(sound, start).otherwise(F.raise_error(F.lit("an anchor needs 0 <= start < end")))
+    own = anchors.select(anchor_id, *keys, checked.cast("long").alias("start_char"), end.cast("long").alias("end_char"))
+    group = [*keys, "_block"]
+    held = _cut(intervals.select(*keys, start.cast("long").alias("start_char"), end.cast("long").alias("end_char")).where(start >= 0).distinct(), width)
+    union = merged(held, group, touching=True)
+    before = F.coalesce(F.sum(end - start).over(Window.partitionBy(*group).orderBy("start_char").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = union.select(*group, start.alias("_at"), F.lit(0).alias("_kind"), F.struct(start.alias("a"), end.alias("b"), before.alias("before")).alias("_span"), F.lit(None).alias("_id"), F.lit(0).alias("_sign"))
+    ends = _cut(own, width).select(*group, F.col(anchor_id).alias("_id"), F.explode(F.array(F.struct(start.alias("at"), F.lit(-1).alias("sign")), F.struct(end.alias("at"), F.lit(1).alias("sign")))).alias("e"))
+    asked = ends.select(*group, F.col("e.at").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).alias("_span"), "_id", F.col("e.sign").alias("_sign"))
+    order = Window.partitionBy(*group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("_span", ignorenulls=True).over(order)
+    swept = known.unionByName(asked).withColumn("_last", last).where("_kind = 1")
+    upto = F.coalesce(F.col("_last.before") + F.least("_at", F.col("_last.b")) - F.col("_last.a"), F.lit(0))
+    got = swept.groupBy(F.col("_id").alias(anchor_id)).agg(F.sum(upto * F.col("_sign")).cast("long").alias("covered"))
+    out = own.join(got, anchor_id)
+    return out.select(anchor_id, "covered", (F.col("covered") / (end - start)).alias("coverage"))
 
 
 def accepted(observations: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -129,25 +154,63 @@ def group_recall(hits: DataFrame, groups: DataFrame) -> DataFrame:
     return ok.groupBy("case_id").agg((F.count_if("ok") / F.count("*")).alias("recall"))
 
 
+def _full_ranks(found: pd.DataFrame, asked: pd.DataFrame) -> list[int | None]:
+    """Of each span asked for the highest of its places' lowest ranks; none if a place has no hit.
+
+    Places between neighbouring ends of hits are one stretch; the lowest rank over each
+    comes from a heap of the hits that are open, and highest ones of runs of stretches from
+    a table of doubling runs.
+    """
+    hits = found[(found["start_char"] < found["end_char"]) & found["rank"].notna()].sort_values("start_char")
+    edges = np.unique(np.concatenate([hits["start_char"], hits["end_char"]]).astype(np.int64)) if len(hits) else np.zeros(0, np.int64)
+    none = np.iinfo(np.int64).max
+    low, heap, k = np.full(max(0, len(edges) - 1), none), [], 0
+    rows = hits[["start_char", "end_char", "rank"]].to_numpy(np.int64)
+    for i in range(len(low)):
+        while k < len(rows) and rows[k, 0] <= edges[i]:
+            heapq.heappush(heap, (rows[k, 2], rows[k, 1]))
+            k += 1
+        while heap and heap[0][1] <= edges[i]:
+            heapq.heappop(heap)
+        if heap:
+            low[i] = heap[0][0]
+    runs = [low]
+    while len(runs[-1]) > 1 << (len(runs) - 1):
+        step = 1 << (len(runs) - 1)
+        runs.append(np.maximum(runs[-1][:-step], runs[-1][step:]))
+    out: list[int | None] = []
+    for a, b in zip(asked["start_char"], asked["end_char"], strict=True):
+        i, j = int(np.searchsorted(edges, a, "right")) - 1, int(np.searchsorted(edges, b, "left"))
+        if a >= b or i < 0 or j >= len(edges):
+            out.append(None)
+            continue
+        level = (j - i).bit_length() - 1
+        high = max(runs[level][i], runs[level][j - (1 << level)])
+        out.append(None if high == none else int(high))
+    return out
+
+
 def first_full_rank(hits: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
     """``query_id, rank``: the first rank at which the hits so far cover every anchor; null if none.
 
     ``hits``: ``query_id, rank, keys, start_char, end_char``; ``anchors``:
-    ``query_id, anchor_id, keys, start_char, end_char``.
+    ``query_id, anchor_id, keys, start_char, end_char``. One sweep of a query's spans of a
+    key: the lowest rank of the hits over each place, and of an anchor the highest of these.
     """
-    a = anchors.select("query_id", "anchor_id", *keys, F.col("start_char").alias("_a"), F.col("end_char").alias("_b"))
-    depths = hits.select("query_id", F.col("rank").alias("depth")).distinct()
-    pair = a.join(hits.select("query_id", "rank", *keys, "start_char", "end_char"), ["query_id", *keys])
-    pair = pair.where((F.col("start_char") < F.col("_b")) & (F.col("end_char") > F.col("_a"))).join(depths, "query_id").where("rank <= depth")
-    own = ["query_id", "depth", "anchor_id"]
-    pair = pair.select(*own, F.greatest("start_char", "_a").alias("l"), F.least("end_char", "_b").alias("r"), (F.col("_b") - F.col("_a")).alias("size"))
-    before = F.max("r").over(Window.partitionBy(*own).orderBy("l", "r").rowsBetween(Window.unboundedPreceding, -1))
-    gain = F.greatest(F.lit(0), F.col("r") - F.greatest(F.coalesce(before, F.col("l")), F.col("l")))
-    full = pair.withColumn("_g", gain).groupBy(*own).agg((F.sum("_g") == F.first("size")).alias("full"))
-    n = a.groupBy("query_id").agg(F.count("*").alias("n"))
-    done = full.where("full").groupBy("query_id", "depth").agg(F.count("*").alias("got")).join(n, "query_id").where("got = n")
-    first = done.groupBy("query_id").agg(F.min("depth").alias("rank"))
-    return n.select("query_id").join(first, "query_id", "left")
+    both = [hits.select("query_id", *keys, "start_char", "end_char", "rank"), anchors.select("query_id", *keys, "start_char", "end_char")]
+    own = ["query_id", *keys]
+    schema = "query_id " + anchors.schema["query_id"].dataType.simpleString() + ", anchors long, full long, rank int"
+
+    def sweep(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame([], columns=["query_id", "anchors", "full", "rank"])
+        ranks = _full_ranks(found, asked)
+        known = [r for r in ranks if r is not None]
+        return pd.DataFrame({"query_id": [asked["query_id"].iloc[0]], "anchors": [len(ranks)], "full": [len(known)], "rank": [max(known, default=None)]})
+
+    parts = both[0].groupBy(*own).cogroup(both[1].groupBy(*own)).applyInPandas(sweep, schema)
+    done = parts.groupBy("query_id").agg(F.sum("anchors").alias("n"), F.sum("full").alias("full"), F.max("rank").alias("rank"))
+    return done.select("query_id", F.when(F.col("n") == F.col("full"), F.col("rank")).alias("rank"))
 
 
 def context_report(spans: DataFrame, kept: Column, keys: list[str]) -> DataFrame:

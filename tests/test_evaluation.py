@@ -4,6 +4,8 @@ import itertools
 import math
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +183,44 @@ def test_bootstrap_query_takes_the_reference_number_of_resamples(spark, sf):
 
     want = _six(stats.bootstrap(stats.family_means(_trials(spark, sf)), resamples=10_000), "delta", "low", "high")
     assert bootstrap_ci(spark, sf).collect() == want.collect()
+
+
+def test_coverage_sweep_equals_counting_places(spark):
+    """Random spans, small blocks: every place of an anchor is looked at."""
+    rng = random.Random(9)
+    spans = [(d, a, a + rng.randint(-2, 30)) for d in range(6) for a in (rng.randint(-3, 120) for _ in range(rng.randint(0, 14)))]
+    anchors = [(k, d, a, a + rng.randint(1, 40)) for k, (d, a) in enumerate((rng.randint(0, 7), rng.randint(0, 120)) for _ in range(80))]
+    i = spark.createDataFrame(spans, "source int, start_char long, end_char long")
+    a = spark.createDataFrame(anchors, "anchor_id int, source int, start_char long, end_char long")
+    want = {k: sum(any(x <= p < y and x >= 0 for s, x, y in spans if s == d) for p in range(start, end)) for k, d, start, end in anchors}
+    for width in (7, 50, 1 << 16):
+        got = {r["anchor_id"]: (r["covered"], round(r["coverage"], 9)) for r in evidence.coverage(a, i, ["source"], width=width).collect()}
+        assert got == {k: (want[k], round(want[k] / (end - start), 9)) for k, _, start, end in anchors}
+    bad = spark.createDataFrame([(1, 1, 5, 5)], "anchor_id int, source int, start_char long, end_char long")
+    with pytest.raises(Exception, match="0 <= start < end"):
+        evidence.coverage(bad, i, ["source"]).collect()
+    assert evidence.coverage(a.limit(0), i, ["source"]).count() == 0
+
+
+def test_coverage_of_one_crowded_key(spark):
+    """100,000 spans and 20,000 anchors of one source: no pair of them is formed."""
+    i = spark.range(100_000).selectExpr("'s' AS source", "id * 7 AS start_char", "id * 7 + 3 AS end_char")
+    a = spark.range(20_000).selectExpr("id AS anchor_id", "'s' AS source", "id * 35 AS start_char", "id * 35 + 35 AS end_char")
+    out = evidence.coverage(a, i, ["source"])
+    assert out.where("covered = 15").count() == 20_000
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("Union")[-1]
+
+
+def test_first_full_rank_equals_trying_every_depth(spark):
+    rng = random.Random(3)
+    hits = [(q, r + 1, rng.randint(0, 2), a, a + rng.randint(0, 25)) for q in range(20) for r, a in enumerate(rng.randint(0, 40) for _ in range(12))]
+    anchors = [(q, k, rng.randint(0, 2), a, a + rng.randint(1, 18)) for q in range(22) for k, a in enumerate(rng.randint(2, 40) for _ in range(2))]
+    h = spark.createDataFrame(hits, "query_id int, rank int, source int, start_char long, end_char long")
+    a = spark.createDataFrame(anchors, "query_id int, anchor_id int, source int, start_char long, end_char long")
+    want = {}
+    for q in range(22):
+        own = [(s, p) for x, _, s, b, e in anchors if x == q for p in range(b, e)]
+        full = [d for d in range(1, 13) if all(any(x == q and r <= d and t == s and b <= p < e for x, r, t, b, e in hits) for s, p in own)]
+        want[q] = min(full, default=None)
+    assert {r["query_id"]: r["rank"] for r in evidence.first_full_rank(h, a, ["source"]).collect()} == want
+    assert any(v for v in want.values())
