@@ -125,7 +125,11 @@ class Engine:
             (v,) = self.embedder([chunking.prepared_text(s.instruction, query)])
             v = list(map(float, v))
             legs["semantic"] = self._semantic(v, chunks, keep, depth) if ef_search is None or keep is not None else self._near(v, active, depth, ef_search)
-        hits = legs.get("bm25", legs.get("semantic")) if mode != "hybrid" else fusion.hybrid(legs, depth, s.rrf_k, depth, id_col="chunk_id").drop("votes")
+        if mode == "hybrid":
+            pinned = {name: leg.withColumn("index_id", F.lit(active["version"])) for name, leg in legs.items()}
+            hits = fusion.hybrid(pinned, depth, s.rrf_k, depth, id_col="chunk_id", index_col="index_id").drop("votes")
+        else:
+            hits = legs.get("bm25", legs.get("semantic"))
         rows = vector.backed(hits, chunks, "chunk_id")
         if rerank:
             if self.scorer is None:

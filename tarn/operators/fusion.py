@@ -9,28 +9,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def by_first_rank(lists: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """Each identity once a list, at its first rank; later ranks keep their numbers."""
-    return lists.groupBy(*keys, id_col).agg(F.min("rank").alias("rank"))
+def reciprocal_sum(ranks: Column, k: int) -> Column:
+    """Sum of 1 / (k + rank) of an array of ranks, as if it were added exactly and rounded once.
 
+    What each addition loses is kept beside the sum, so the order of the lists is of no
+    account and equal votes give equal scores.
+    """
+    first = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("lost"))
 
-def reciprocal_sum(ranks: Column, k: int) -> Column:
-    """Sum of 1 / (k + rank) of an array of ranks, in one order, so that it is the same wherever it is made."""
-    return F.aggregate(F.sort_array(ranks, asc=False), F.lit(0.0), lambda total, r: total + 1.0 / (k + r))
+    def add(state: Column, rank: Column) -> Column:
+        x = F.lit(1.0) / (k + rank)
+        total = state["sum"] + x
+        kept = total - state["sum"]
+        lost = (state["sum"] - (total - kept)) + (x - kept)
+        return F.struct(total.alias("sum"), (state["lost"] + lost).alias("lost"))
 
+    return F.aggregate(F.sort_array(ranks, asc=False), first, add, lambda s: s["sum"] + s["lost"])
 
-def rrf(lists: DataFrame, k: int = 60, query_id: str = "query_id", list_col: str = "method", id_col: str = "doc_id") -> DataFrame:
+
+def rrf(lists: DataFrame, k: int = 60, query_id: str = "query_id", list_col: str = "method", id_col: str = "doc_id", facts: tuple[str, ...] = ()) -> DataFrame:
     """``<query_id>, <id>, score, votes, rank``: sum of 1 / (k + rank) over the lists.
 
     ``lists``: one row a hit with its list and 1-based rank. ``votes`` says which
-    list gave which rank. Ranks are by the sum itself; ties go by identity.
+    list gave which rank. Ranks are by the sum itself; ties go by identity. Hits of one
+    identity that have two known values of a column in ``facts`` raise when they are read.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    first = by_first_rank(lists, [query_id, list_col], id_col)
+    first = lists.groupBy(query_id, list_col, id_col).agg(F.min("rank").alias("rank"), *[F.collect_set(c).alias(c) for c in facts])
     vote = F.struct(F.col(list_col), F.col("rank"))
-    fused = first.groupBy(query_id, id_col).agg(F.sort_array(F.collect_list(vote)).alias("votes"))
-    fused = fused.withColumn("score", reciprocal_sum(F.transform("votes", lambda v: v["rank"]), k)).select(query_id, id_col, "score", "votes")
+    known = [F.size(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in facts]
+    fused = first.groupBy(query_id, id_col).agg(F.sort_array(F.collect_list(vote)).alias("votes"), *known)
+    score = reciprocal_sum(F.transform("votes", lambda v: v["rank"]), k)
+    for c in facts:
+        score = F.when(F.col(c) > 1, F.raise_error(F.concat(F.lit(f"hits disagree on {c} of "), F.col(id_col).cast("string")))).otherwise(score)
+    fused = fused.withColumn("score", score).select(query_id, id_col, "score", "votes")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
     return fused.withColumn("rank", F.row_number().over(order))
 
@@ -49,12 +62,21 @@ def consistent(hits: DataFrame, identity: list[str], facts: list[str]) -> DataFr
     return hits
 
 
-def hybrid(legs: dict[str, DataFrame], candidates: int = 20, k: int = 60, top_k: int = 10, query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:
-    """Fuses the first ``candidates`` of each leg and keeps ``top_k``."""
+def hybrid(legs: dict[str, DataFrame], candidates: int = 20, k: int = 60, top_k: int = 10, query_id: str = "query_id", id_col: str = "doc_id", facts: tuple[str, ...] = (), index_col: str | None = None) -> DataFrame:
+    """Fuses the first ``candidates`` of each leg and keeps ``top_k``.
+
+    With ``index_col`` every hit says which index it is from, and all must name one;
+    ``facts`` as in :func:`rrf`. Either fault raises when the result is read.
+    """
     if not 1 <= top_k <= candidates:
         raise ValueError("top_k must be from 1 to candidates")
-    parts = [df.where(F.col("rank") <= candidates).select(query_id, F.lit(name).alias("method"), id_col, "rank") for name, df in sorted(legs.items())]
-    fused = rrf(reduce(DataFrame.unionByName, parts), k, query_id, "method", id_col)
+    parts = [df.where(F.col("rank") <= candidates).select(query_id, F.lit(name).alias("method"), id_col, "rank", *facts, *([index_col] if index_col else [])) for name, df in sorted(legs.items())]
+    hits = reduce(DataFrame.unionByName, parts)
+    if index_col:
+        own, every = F.col(index_col), Window.partitionBy(query_id)
+        apart = own.isNull() | (F.min(index_col).over(every) != F.max(index_col).over(every))
+        hits = hits.withColumn("rank", F.when(apart, F.raise_error(F.lit("hits come from several indexes")).cast("int")).otherwise(F.col("rank")))
+    fused = rrf(hits, k, query_id, "method", id_col, facts)
     return fused.where(F.col("rank") <= top_k)
 
 

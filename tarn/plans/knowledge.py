@@ -77,18 +77,36 @@ p AS (SELECT *, 1 + (i * 7 + doc_id) % 3 AS level, repeat('#', (1 + (i * 7 + doc
 q AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS stop, max(CASE WHEN level = 1 THEN i END) OVER w AS one, max(CASE WHEN level <= 2 THEN i END) OVER w AS two, max(CASE WHEN level = 2 THEN i END) OVER w AS second FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
 
 
-@query(f"""WITH {LINES} SELECT doc_id || '.md' AS source, i::INT AS chunk_index, (stop - length(part))::INT AS start_char, stop::INT AS end_char,
-concat_ws(' / ', CASE WHEN level > 1 AND one IS NOT NULL THEN 'h' || one END, CASE WHEN level > 2 AND second IS NOT NULL AND (one IS NULL OR second > one) THEN 'h' || second END, 'h' || i) AS path FROM q""")
-def chunk_sections(spark, sf):
-    """Sections of notes with headings of three levels, each with its path."""
+def _lined(spark, sf):
+    """Notes with headings of three levels before their lines."""
     line = F.transform(F.split(F.regexp_replace("text", "[\\x00-\\x09\\x0B-\\x1F\\x7F-\\x9F\\u2028\\u2029]", " "), "\n"), lambda x: F.trim(x))
     docs = spread(table(spark, sf, "documents").select("doc_id", F.filter(line, lambda x: x != "").alias("lines")))
     part = lambda x, i: F.concat(F.repeat(F.lit("#"), (1 + (i * 7 + F.col("doc_id")) % 3).cast("int")), F.lit(" h"), i, F.lit(" ##\n\nx "), x, F.lit("\n"))
-    notes = docs.where(F.size("lines") > 0).select(F.concat("doc_id", F.lit(".md")).alias("source"), F.lit("t").alias("title"), F.concat_ws("", F.transform("lines", part)).alias("content"))
-    found = chunking.chunk_notes(notes, size=100_000_000, overlap=0)
+    return docs.where(F.size("lines") > 0).select(F.concat("doc_id", F.lit(".md")).alias("source"), F.lit("t").alias("title"), F.concat_ws("", F.transform("lines", part)).alias("content"))
+
+
+SECTIONS = f"""WITH {LINES} SELECT doc_id || '.md' AS source, i::INT AS chunk_index, (stop - length(part))::INT AS start_char, stop::INT AS end_char,
+concat_ws(' / ', CASE WHEN level > 1 AND one IS NOT NULL THEN 'h' || one END, CASE WHEN level > 2 AND second IS NOT NULL AND (one IS NULL OR second > one) THEN 'h' || second END, 'h' || i) AS path FROM q"""
+
+
+@query(SECTIONS)
+def chunk_sections(spark, sf):
+    """Sections of notes with headings of three levels, each with its path."""
+    found = chunking.chunk_notes(_lined(spark, sf), size=100_000_000, overlap=0)
     return found.select("source", "chunk_index", "start_char", "end_char", F.concat_ws(" / ", "heading_path").alias("path"))
 
 
+@query(SECTIONS)
+def chunk_lateral(spark, sf):
+    """The same sections by SQL text alone, through the table function."""
+    chunking.register_chunks(spark, "tarn_chunks")
+    return spark.sql(
+        "SELECT n.source, c.chunk_index, c.start_char, c.end_char, array_join(c.heading_path, ' / ') AS path "
+        "FROM {notes} n, LATERAL tarn_chunks(n.source, n.title, n.content, 100000000, 0) c",
+        notes=_lined(spark, sf),
+    )
+
+
 @query("""
 WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z]', '', 'g'), '(.{4})', '\\1 ', 'g') AS t FROM documents), n AS (SELECT doc_id, length(t) AS len, (length(t) + 4) // 5 AS units FROM t),
 c AS (SELECT doc_id, len, unnest(range(0, CASE WHEN len <= 50 THEN 1 ELSE (units - 10 + 7) // 8 + 1 END)) AS k FROM n)

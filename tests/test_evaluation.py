@@ -2,10 +2,9 @@
 
 import itertools
 import math
-
-import numpy as np
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

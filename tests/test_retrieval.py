@@ -1,6 +1,7 @@
 """Matching, BM25, vectors, fusion: small inputs with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,26 @@ def test_recall_asks_every_id_divisible_by_twenty(spark, sf):
     ids = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     for query in (ann_recall, cosine_topk):
         assert {r["query_id"] for r in query(spark, sf).collect()} == ids
+
+
+def test_rrf_of_three_lists_is_exact(spark):
+    """Scores are those of math.fsum for any three ranks, so that ties are ties."""
+    rng = random.Random(6)
+    rows = [(0, m, f"d{k}", rng.randint(1, 60)) for k in range(3000) for m in ("a", "b", "c")]
+    df = spark.createDataFrame(rows, "query_id long, method string, doc_id string, rank int")
+    got = {r["doc_id"]: r["score"] for r in fusion.rrf(df).collect()}
+    ranks = {}
+    for _, _, d, r in rows:
+        ranks.setdefault(d, []).append(r)
+    assert got == {d: math.fsum(1 / (60 + r) for r in x) for d, x in ranks.items()}
+
+
+def test_hybrid_refuses_hits_that_disagree(spark):
+    leg = lambda rows: spark.createDataFrame(rows, "query_id long, doc_id string, rank int, content string, index_id string")
+    a, b = leg([(0, "x", 1, "one", "i"), (0, "y", 2, None, "i")]), leg([(0, "x", 1, "one", "i"), (0, "y", 2, "two", "i")])
+    good = fusion.hybrid({"a": a, "b": b}, facts=("content",), index_col="index_id")
+    assert [(r["doc_id"], r["rank"]) for r in good.orderBy("rank").collect()] == [("x", 1), ("y", 2)]
+    with pytest.raises(Exception, match="disagree on content of x"):
+        fusion.hybrid({"a": a, "b": leg([(0, "x", 3, "other", "i")])}, facts=("content",)).collect()
+    with pytest.raises(Exception, match="several indexes"):
+        fusion.hybrid({"a": a, "b": leg([(0, "x", 3, "one", "j")])}, index_col="index_id").collect()
