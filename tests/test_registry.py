@@ -14,7 +14,7 @@ def test_equals_sql(name, spark, sf, duck):
 
 
 def test_all_have_sql_but_these():
-    assert PLAIN == ["ann_recall", "chunk_markdown"]
+    assert PLAIN == ["ann_recall", "chunk_markdown", "graph_recall", "graph_topk"]
 
 
 def test_entry_is_bm25(spark):
