@@ -54,9 +54,9 @@ class Engine:
     def store(self) -> lifecycle.Store:
         return lifecycle.Store(self.spark, self.root)
 
-    def live(self) -> DataFrame:
-        """Notes as they are now, with identities."""
-        return lifecycle.with_revisions(note_source.load_notes(self.spark, self.notes))
+    def live(self, source: str | None = None) -> DataFrame:
+        """Notes as they are now, or the one named, with identities; no other file is opened for one."""
+        return lifecycle.with_revisions(note_source.load_notes(self.spark, self.notes, source))
 
     def _records(self, notes: DataFrame) -> DataFrame:
         chunks = chunking.chunk_notes(notes, self.count, self.settings.size, self.settings.overlap)
@@ -93,7 +93,7 @@ class Engine:
         """Literal or pattern matches in live notes, by source and place; needs no index."""
         if not query.strip() or top_k < 1 or target not in ("content", "source"):
             raise ValueError("a match needs a query, a positive top_k and a known target")
-        docs = self.live() if source is None else self.live().where(F.col("source") == source)
+        docs = self.live(source)
         if target == "source":
             return exact.source_matches(docs, query).orderBy("source").limit(top_k)
         find = exact.pattern_matches if regex else exact.literal_matches
@@ -161,8 +161,8 @@ class Engine:
 
     def read(self, source: str, start: int | None = None, end: int | None = None, section_id: str | None = None) -> dict:
         """A live note, or part of it."""
-        sections = self._records(self.live()) if section_id is not None else None
-        return note_source.read_part(self.live(), source=source, start=start, end=end, section_id=section_id, sections=sections)
+        sections = self._records(self.live(source)) if section_id is not None else None
+        return note_source.read_part(self.live(source), source=source, start=start, end=end, section_id=section_id, sections=sections)
 
     def ask(self, question: str, chat: Callable[[list[dict]], dict], max_turns: int = 8, caps: dict[str, int] | None = None, deadline_s: float | None = None) -> agent.Run:
         """A bounded run of a model with the three tools over this engine."""

@@ -38,6 +38,15 @@ def note_scan(spark, sf):
     return notes.stable_notes(spark, _note_folder(spark, sf))
 
 
+@query(f"WITH {NOTES} SELECT source, title, content, 1::BIGINT AS files_opened FROM n WHERE source = (SELECT max(source) FROM n)")
+def note_filtered(spark, sf):
+    """One note under a source filter, and how many files its plan opens."""
+    folder = _note_folder(spark, sf)
+    last = max(r["source"] for r in table(spark, sf, "nation").select(F.concat(F.lower("n_name"), F.lit(" "), "n_nationkey", F.lit("+.md")).alias("source")).collect())  # 25 rows
+    opened = len(notes.note_files(spark, folder, last).inputFiles())
+    return notes.load_notes(spark, folder, last).withColumn("files_opened", F.lit(opened).cast("long"))
+
+
 @query(f"WITH {NOTES} SELECT source, substr(content, 3, 6) AS part, 2::BIGINT AS start_char, 8::BIGINT AS end_char FROM n WHERE source <> 'empty.md'")
 def note_read(spark, sf):
     """A range of characters of every live note."""

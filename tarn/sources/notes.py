@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,19 +11,23 @@ from pyspark.sql import functions as F
 from tarn.functions.lazy import pandas_udf
 
 
-def note_files(spark: SparkSession, folder: str) -> DataFrame:
+def note_files(spark: SparkSession, folder: str, source: str | None = None) -> DataFrame:
     """``source, raw, size, modified`` of the ``*.md`` files right in a folder, by name.
 
+    With ``source`` only the file of that name is listed and opened.
+
     The suffix is matched as written; subfolders aren't entered. Spark's readers
     leave out files without bytes, so those are listed by the file system. Links
     that lead out of the folder are left out.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "false").load(folder)
+    wanted = "*.md" if source is None else re.sub(r"([\\*?\[\]{}^,])", r"\\\1", source)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", wanted).option("recursiveFileLookup", "false").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    decoded = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-    files = files.where(~decoded.isin(_strangers(spark, folder)))
-    read = files.select(decoded.alias("source"), F.col("content").alias("raw"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    empty = spark.createDataFrame(_empty_files(spark, folder), "source string, raw binary, size long, modified long")
+    files = files.where(~name.isin(_strangers(spark, folder)))
+    read = files.select(name.alias("source"), F.col("content").alias("raw"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if source is not None:
+        read = read.where(F.lit(source.endswith(".md")) & (F.col("source") == source))
+    empty = spark.createDataFrame([r for r in _empty_files(spark, folder) if source in (None, r[0])], "source string, raw binary, size long, modified long")
     return read.unionByName(empty.withColumn("modified", F.timestamp_millis("modified")))
 
 
@@ -63,9 +69,9 @@ def parsed_note(source: pd.Series, raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "content"])
 
 
-def load_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """``source, title, content`` of every note; each action reads the files anew."""
-    own = note_files(spark, folder).select("source", parsed_note("source", "raw").alias("n"))
+def load_notes(spark: SparkSession, folder: str, source: str | None = None) -> DataFrame:
+    """``source, title, content`` of every note, or of the one named; each action reads the files anew."""
+    own = note_files(spark, folder, source).select("source", parsed_note("source", "raw").alias("n"))
     return own.select("source", "n.title", "n.content")
 
 

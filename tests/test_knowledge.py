@@ -373,3 +373,21 @@ def test_rendered_answers(spark):
     (row,) = context.rendered_answers(answers, c, s.select("answer_id", "source_id", "title", "source"), context.issues(c, s)).collect()
     assert row["answer_id"] == 1
     assert row["markdown"] == "a \\*b\\* [1][2]\n\nc [1]\n\nMissing:\n\n- when\n\nSources:\n\n[1] T2 (f2.md)\n[2] T1 (f1.md)\n   > said &lt;so&gt;"
+
+
+def test_a_source_filter_opens_one_file(spark, tmp_path):
+    """The filter is applied before any file is read, whatever characters a name has."""
+    odd = ["plain.md", "a [1] {x}, y*.md", "empty.md", "x+y %41 ü.md", "what?.md"]
+    for name in odd:
+        (tmp_path / name).write_text("" if name == "empty.md" else f"# T\n\nbody of {name}")
+    (tmp_path / "other.txt").write_text("no note")
+    (tmp_path / "broken.md").write_bytes(b"\xff\xfe")
+    for name in odd:
+        found = notes.load_notes(spark, str(tmp_path), name)
+        assert [(r["source"], r["content"]) for r in found.collect()] == [(name, "" if name == "empty.md" else f"body of {name}")]
+        assert len(notes.note_files(spark, str(tmp_path), name).inputFiles()) == 1
+    assert notes.load_notes(spark, str(tmp_path), "other.txt").count() == notes.load_notes(spark, str(tmp_path), "none.md").count() == 0
+    engine = Engine(spark, str(tmp_path), str(tmp_path / "store"))
+    assert engine.match("body", source="what?.md").count() == 1  # the broken file is not opened
+    with pytest.raises(Exception, match="decode"):
+        engine.match("body").collect()
