@@ -89,21 +89,6 @@ def scores(
     return _summed(found, frequency, stats, asked, bounded, id_col, query_id, params)
 
 
-def indexed_scores(
-    found: DataFrame, n_docs: int, total_terms: int, asked: DataFrame, id_col: str = "doc_id", query_id: str = "query_id", keep: Column | None = None, params: Bm25 | None = None, few: bool = False
-) -> DataFrame:
-    """As :func:`scores`, from stored postings of the queries' terms and the corpus' statistics.
-
-    ``found``: all postings of each term, with ``length`` and what ``keep`` needs;
-    ``few`` says that the queries are known to be few, so they needn't be counted.
-    """
-    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
-    stats = found.sparkSession.range(1).select(F.lit(n_docs).alias("n_docs"), F.lit(total_terms / max(n_docs, 1)).alias("avg_length"))
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    small = few or asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return _summed(found.withColumn("kept", kept), frequency, F.broadcast(stats), asked, F.broadcast if small else lambda df: df, id_col, query_id, params or Bm25())
-
-
 def _summed(found, frequency, stats, asked, bounded, id_col, query_id, params) -> DataFrame:
     """Scores of postings: weights by term, parts by posting, sums by query and document."""
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
