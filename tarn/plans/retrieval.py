@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import terms
-from tarn.operators import bm25, exact, fusion, graph, irmetrics, vector
+from tarn.operators import bm25, exact, fusion, graph, irmetrics, trigrams, vector
 from tarn.operators.segments import Segments, counted
 from tarn.plans.base import query, scratch, spread, table
 
@@ -146,6 +146,49 @@ def exact_first_hits(spark, sf):
     return exact.first_matches(hits, 20).select("source", "doc_id", "start_char")
 
 
+#: Patterns of the queries below: a literal within a gap, a branch, a repeat, one that asks for no trigram.
+PATTERNS = [r"resi[a-z]*er", r"(?:ngwh|ändch)[a-zä]+ ", r"(?:tion){2,}", r"\b[A-Z][0-9]{2}"]
+
+
+def _found(sql: str) -> str:
+    return " UNION ALL ".join(sql.format(n=n, p=p) for n, p in enumerate(PATTERNS))
+
+
+@query(_found("SELECT {n}::INT AS pattern, doc_id, len(regexp_extract_all(text, '{p}'))::BIGINT AS n, instr(text, regexp_extract(text, '{p}'))::BIGINT - 1 AS start_char FROM documents WHERE regexp_matches(text, '{p}')"))
+def trigram_matches(spark, sf):
+    """Matches of four patterns in each document and the first one's place, found through a trigram index."""
+    docs, index = table(spark, sf, "documents"), trigrams.TrigramIndex(spark, scratch(spark))
+    index.add(docs)
+    parts = []
+    for n, pattern in enumerate(PATTERNS):
+        hits = index.matches(docs, pattern).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("start_char").alias("start_char"))
+        parts.append(hits.select(F.lit(n).alias("pattern"), "doc_id", "n", "start_char"))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def _holds(*words: str) -> str:
+    return " AND ".join(f"contains(lower(text), '{w[i:i + 3]}')" for w in words for i in range(len(w) - 2))
+
+
+@query(f"""
+WITH t AS (SELECT {_holds("resi")} AS a, ({_holds("ngwh")}) OR ({_holds("ändch")}) AS b, {_holds("tion")} AS c,
+{", ".join(f"regexp_matches(text, '{p}') AS m{n}" for n, p in enumerate(PATTERNS))} FROM documents)
+SELECT 0::INT AS pattern, count(*) FILTER (WHERE a) AS opened, count(*) FILTER (WHERE m0) AS matching FROM t
+UNION ALL SELECT 1, count(*) FILTER (WHERE b), count(*) FILTER (WHERE m1) FROM t
+UNION ALL SELECT 2, count(*) FILTER (WHERE c), count(*) FILTER (WHERE m2) FROM t
+UNION ALL SELECT 3, count(*), count(*) FILTER (WHERE m3) FROM t
+""")
+def trigram_opened(spark, sf):
+    """How many documents the index lets each pattern open, and how many match."""
+    docs, index = table(spark, sf, "documents"), trigrams.TrigramIndex(spark, scratch(spark))
+    index.add(docs)
+    parts = []
+    for n, pattern in enumerate(PATTERNS):
+        opened = index.narrowed(docs, pattern).agg(F.count("*").alias("opened"))
+        parts.append(opened.crossJoin(index.documents(docs, pattern).agg(F.count("*").alias("matching"))).select(F.lit(n).alias("pattern"), "*"))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 COSINE = """
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
 q AS (SELECT vec_id AS query_id, e AS qe, label AS q_label FROM v WHERE vec_id % 20 = 0),
