@@ -1,9 +1,10 @@
 """Versioned snapshots of chunks, vectors and postings, kept as Parquet.
 
 A build is written beside the active version, read back and verified, and becomes
-active by the replacement of one small pointer file, so a failed build never
-replaces what is served. Everything lies in one folder of any store that Spark
-reaches.
+active by one more entry of a numbered log. An entry is written only if its number is
+free and its writer still holds the lock, so a failed build never replaces what is
+served, and a writer whose lease has lapsed can't publish over another's work.
+Everything lies in one folder of any store that Spark reaches.
 """
 
 from __future__ import annotations
@@ -95,14 +96,18 @@ def cache_problems(keys: DataFrame, vectors: DataFrame, key: str = "embedding_ke
 
 
 class Store:
-    """Snapshots of one vault: ``chunks``, ``graphs`` and ``manifests`` by version, ``vectors``, a text ``index``, a pointer."""
+    """Snapshots of one vault: ``chunks``, ``graphs`` and ``manifests`` by version, ``vectors``, a text ``index``, a ``log``."""
 
     def __init__(self, spark: SparkSession, root: str, lease_s: float = 6 * 3600):
         self.spark, self.files, self.lease_s = spark, Files(spark, str(root)), lease_s
+        self._token: str | None = None
 
     @contextlib.contextmanager
     def writer(self):
-        """One writer at a time. A lock whose lease has run out belongs to a dead process and is taken over."""
+        """One writer at a time. A lock whose lease has run out belongs to a dead process and is taken over.
+
+        Should that process live after all, it can't publish any more (:meth:`_commit`).
+        """
         own = {"token": uuid.uuid4().hex, "until": time.time() + self.lease_s}
         data = json.dumps(own).encode()
         if not self.files.create("writer.lock", data):
@@ -113,12 +118,32 @@ class Store:
                 raise RuntimeError("another writer holds the store")
         if self._lock()["token"] != own["token"]:  # a store may let two create one file
             raise RuntimeError("another writer holds the store")
+        self._token = own["token"]
         try:
             yield
         finally:
+            self._token = None
             if self._lock()["token"] == own["token"]:
                 self.files.remove("writer.lock")
 
+    def _renew(self) -> None:
+        """A new lease for the writer at work; raises if another has taken the lock over."""
+        if self._lock()["token"] != self._token:
+            raise RuntimeError("another writer has taken the store over")
+        self._put("writer.lock", {"token": self._token, "until": time.time() + self.lease_s})
+
+    def _commit(self, base: int, entry: dict) -> int:
+        """Writes the log's entry after ``base``, by the lock's holder and if no other has come in between."""
+        self._renew()
+        if not self.files.publish(f"log/{base + 1:012d}.json", json.dumps(entry, sort_keys=True).encode()):
+            raise RuntimeError("another writer has published meanwhile")
+        return base + 1
+
+    def head(self) -> tuple[int, dict]:
+        """Number and content of the log's last entry; 0 and nothing before the first."""
+        names = self.files.names("log", ".json")
+        return (int(names[-1][:-5]), json.loads(self.files.read(f"log/{names[-1]}"))) if names else (0, {})
+
     def _lock(self) -> dict:
         try:
             return json.loads(self.files.read("writer.lock"))
@@ -136,7 +161,8 @@ class Store:
 
     def active(self) -> dict | None:
         """The manifest that queries use; None before the first build."""
-        return self.manifest(json.loads(self.files.read("active.json"))["version"]) if self.files.exists("active.json") else None
+        version = self.head()[1].get("version")
+        return self.manifest(version) if version else None
 
     def _ready(self, version: str | None) -> dict:
         found = self.active() if version is None else self.manifest(version)
@@ -167,10 +193,14 @@ class Store:
     def record(self, version: str, chunk_id: str) -> DataFrame:
         return self.records(version).where(F.col("chunk_id") == chunk_id)
 
+    def _vectors(self) -> str:
+        """The folder of vectors that the log names; compaction begins a new one."""
+        return self.head()[1].get("vectors", "vectors")
+
     def vectors(self) -> DataFrame:
-        if not self.files.exists("vectors"):
+        if not self.files.exists(self._vectors()):
             return self.spark.createDataFrame([], "embedding_key string, embedding array<double>")
-        return self.spark.read.schema("embedding_key string, embedding array<double>").parquet(self.files.path("vectors"))
+        return self.spark.read.schema("embedding_key string, embedding array<double>").parquet(self.files.path(self._vectors()))
 
     def loaded(self, version: str | None = None) -> DataFrame:
         """Records with their vectors, one each; a text without a proper vector raises."""
@@ -223,6 +253,7 @@ class Store:
         """
         with self.writer():
             self.recover()
+            base, last = self.head()
             if revision_conflicts(chunks).limit(1).count() or repeated_ids(chunks).limit(1).count():
                 raise ValueError("a document has two revisions or a chunk id occurs twice")
             mark = corpus_fingerprint(chunks, ["chunk_id", "document_revision", "content"]).first()
@@ -240,19 +271,22 @@ class Store:
                 old = self.records(before["version"]).select("source", "document_revision").distinct() if before else docs.limit(0)
                 made["changes"] = {r["change"]: r["n"] for r in changes(old, docs).groupBy("change").agg(F.count("*").alias("n")).collect()}
                 fresh = embed(missing_embeddings(chunks, self.vectors())).select("embedding_key", F.col("embedding").cast("array<double>").alias("embedding"))
-                fresh.write.mode("append").parquet(self.files.path("vectors"))
+                fresh.write.mode("append").parquet(self.files.path(self._vectors()))
+                self._renew()
                 chunks.write.parquet(self._table("chunks", version))
                 if tokens is not None:
                     made["index"] = self._index(chunks, tokens, before.get("index") if before else None)
+                self._renew()
                 self._verify_published(chunks, version)
                 if neighbours is not None:
                     rows = self.spark.read.parquet(self._table("chunks", version)).select("chunk_id", "embedding_key")
                     rows = rows.join(self.vectors().dropDuplicates(["embedding_key"]), "embedding_key").where(F.size("embedding") > 0)
                     graph.build(rows, neighbours, "chunk_id").write.parquet(self._table("graphs", version))
                     made["graph"] = {"m": neighbours.m, "ef_construct": neighbours.ef_construct}
+                self._renew()
                 made["status"] = "ready"
                 self._put(name, made)
-                self._put("active.json", {"version": version})
+                self._commit(base, {**last, "version": version})
             except BaseException:
                 self._put(name, {**made, "status": "failed"})
                 raise
@@ -281,12 +315,49 @@ class Store:
             if m["status"] == "building":
                 self._put(f"manifests/{m['version']}.json", {**m, "status": "failed"})
 
+    def expire(self, keep: int = 1) -> list[str]:
+        """Gives up ready versions but the active one and the ``keep - 1`` newest others; returns theirs."""
+        if keep < 1:
+            raise ValueError("the active version stays")
+        with self.writer():
+            active = self.head()[1].get("version")
+            ready = [m for m in self.manifests() if m["status"] == "ready" and m["version"] != active]
+            gone = ready[: max(0, len(ready) - (keep - 1))]
+            for m in gone:
+                self._put(f"manifests/{m['version']}.json", {**m, "status": "expired"})
+            return [m["version"] for m in gone]
+
+    def compact(self) -> dict:
+        """Rewrites the vectors: those of ready versions' texts, equal rows of one text once.
+
+        Two vectors of one text both stay, as that is an error which builds report. What
+        is read is replaced by one entry of the log; the old files go with :meth:`cleanup`.
+        """
+        with self.writer():
+            base, last = self.head()
+            if not last:
+                raise ValueError("no ready snapshot")
+            ready = [self._table("chunks", m["version"]) for m in self.manifests() if m["status"] == "ready"]
+            used = self.spark.read.schema("embedding_key string").parquet(*ready).distinct()
+            fresh = f"vectors-{base + 1:012d}-{uuid.uuid4().hex[:8]}"
+            self.vectors().join(used, "embedding_key", "left_semi").distinct().write.parquet(self.files.path(fresh))
+            self._commit(base, {**last, "vectors": fresh})
+            return {"vectors": fresh, "bytes_before": self.files.size(last.get("vectors", "vectors")), "bytes_after": self.files.size(fresh)}
+
     def cleanup(self) -> list[str]:
-        """Removes tables of failed builds; returns their versions."""
-        gone = [m["version"] for m in self.manifests() if m["status"] == "failed"]
-        for version in gone:
-            for kind in ("chunks", "graphs"):
-                self.files.remove(f"{kind}/version={version}")
-            self.files.remove(f"manifests/{version}.json")
-        self.segments.clean([m["index"] for m in self.manifests() if "index" in m])
-        return gone
+        """Removes tables of failed and expired builds, vectors given up, and old entries of the log; returns these builds' versions."""
+        with self.writer():
+            number, last = self.head()
+            gone = [m["version"] for m in self.manifests() if m["status"] in ("failed", "expired")]
+            for version in gone:
+                for kind in ("chunks", "graphs"):
+                    self.files.remove(f"{kind}/version={version}")
+                self.files.remove(f"manifests/{version}.json")
+            self.segments.clean([m["index"] for m in self.manifests() if "index" in m])
+            for folder in self.files.folders(""):
+                if folder.startswith("vectors") and folder != last.get("vectors", "vectors"):
+                    self.files.remove(folder)
+            for entry in self.files.names("log", ".json"):
+                if int(entry[:-5]) < number:
+                    self.files.remove(f"log/{entry}")
+            return gone

@@ -206,6 +206,40 @@ def snapshot_failure(spark, sf):
     return spark.createDataFrame(rows, "status string, builds long, active boolean")
 
 
+@query("""
+WITH k AS (SELECT doc_id, md5(text) AS key FROM documents), e AS (SELECT CASE WHEN doc_id % 10 = 1 THEN key || '!' ELSE key END AS key FROM k WHERE doc_id % 10 <> 0)
+SELECT 'built' AS step, 1::BIGINT AS entry, count(DISTINCT key)::BIGINT AS vectors, false AS refused FROM k
+UNION ALL SELECT 'late', 2, count(DISTINCT key), true FROM (SELECT key FROM k UNION ALL SELECT key FROM e)
+UNION ALL SELECT 'compacted', 4, count(DISTINCT key), false FROM e
+""")
+def snapshot_commits(spark, sf):
+    """Entries of a store's log and its distinct vectors: a build, one refused as another was published within it, and compaction."""
+    store, docs, _ = _built(spark, sf)
+    slow, rows = lifecycle.Store(spark, store.files.root, lease_s=0.0), []
+    d = F.col("doc_id").cast("long") % 10
+    edited = docs.where(d != 0).withColumns({c: F.when(d == 1, F.concat(c, F.lit("!"))).otherwise(F.col(c)) for c in ("document_revision", "content", "embedding_key")})
+
+    def note(step, refused=False):
+        rows.append((step, store.head()[0], store.vectors().select("embedding_key").distinct().count(), refused))
+
+    def taken_over(df):
+        store.build(edited, _numbers, {})
+        return _numbers(df)
+
+    store.build(docs, _numbers, {})
+    note("built")
+    try:
+        slow.build(docs, taken_over, {"size": 2})
+        note("late")
+    except RuntimeError:
+        note("late", True)
+    store.compact()  # both versions are ready: all vectors stay
+    store.expire()
+    store.compact()
+    note("compacted")
+    return spark.createDataFrame(rows, "step string, entry long, vectors long, refused boolean")
+
+
 @query("SELECT doc_id::VARCHAR AS chunk_id, sha256(text) AS sha256 FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)")
 def snapshot_record(spark, sf):
     """One record of a version, by its id."""

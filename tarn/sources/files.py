@@ -48,14 +48,31 @@ class Files:
 
     def replace(self, name: str, data: bytes) -> None:
         """Writes a file so that readers see the old one or the new one, whole."""
+        self._moved(name, data, "OVERWRITE")
+
+    def publish(self, name: str, data: bytes) -> bool:
+        """Writes a file that readers see whole or not at all; false if there is one, which stays."""
+        try:
+            self._moved(name, data, "NONE")
+        except Exception as error:
+            if self.exists(name):
+                return False
+            raise error
+        return True
+
+    def _moved(self, name: str, data: bytes, rule: str) -> None:
         folder, _, own = name.rpartition("/")
         fresh = f"{folder}/.{own}.{uuid.uuid4().hex}".lstrip("/")
         self.create(fresh, data)
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
         options = self._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
+        options[0] = getattr(rename, rule)
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        context.rename(self._fs.makeQualified(self._path(fresh)), self._fs.makeQualified(self._path(name)), options)
+        try:
+            context.rename(self._fs.makeQualified(self._path(fresh)), self._fs.makeQualified(self._path(name)), options)
+        except Exception:
+            self.remove(fresh)
+            raise
 
     def names(self, folder: str, suffix: str = "") -> list[str]:
         """Files right in a folder, by name; hidden ones left out."""

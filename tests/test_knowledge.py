@@ -248,6 +248,62 @@ def test_what_is_stored_is_verified(spark, tmp_path):
     assert len(store.cleanup()) == 4 and {b["status"] for b in store.status()["builds"]} == {"ready"}
 
 
+def _lengths(df):
+    return df.withColumn("embedding", F.array(F.length("content").cast("double"), F.lit(1.0)))
+
+
+def test_a_lapsed_writer_does_not_publish(spark, tmp_path):
+    from tarn.operators.lifecycle import Store
+
+    root = str(tmp_path / "s")
+    slow, quick = Store(spark, root, lease_s=0.0), Store(spark, root)
+    made = {}
+
+    def taken_over(df):  # the lease is over; another writer builds while this one's model works
+        made.update(quick.build(_chunks(spark, ["a", "ccc"]), _lengths, {"size": 2}))
+        return _lengths(df)
+
+    with pytest.raises(RuntimeError, match="taken the store over"):
+        slow.build(_chunks(spark, ["a", "bb"]), taken_over, {"size": 1})
+    assert quick.active()["version"] == made["version"] and sorted(b["status"] for b in quick.status()["builds"]) == ["failed", "ready"]
+    assert [r["content"] for r in quick.scan().collect()] == ["a", "ccc"]
+    with quick.writer():
+        number, last = quick.head()
+        with pytest.raises(RuntimeError, match="published meanwhile"):
+            quick._commit(number - 1, {"version": "late"})
+        assert quick.head() == (number, last)
+
+
+def test_a_lease_is_renewed(spark, tmp_path):
+    from tarn.operators.lifecycle import Store
+
+    store, seen = Store(spark, str(tmp_path / "s")), []
+    with store.writer():
+        seen.append(store._lock()["until"])
+        store._renew()
+        assert store._lock()["until"] > seen[0]
+
+
+def test_vectors_shrink(spark, tmp_path):
+    from tarn.operators.lifecycle import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="no ready"):
+        store.compact()
+    first = store.build(_chunks(spark, ["a", "bb", "ccc"]), _lengths, {})
+    second = store.build(_chunks(spark, ["a", "dddd"]), _lengths, {})
+    store.compact()
+    assert store.vectors().count() == 4 and store.loaded(first["version"]).count() == 3
+    assert store.expire() == [first["version"]] and store.expire() == []
+    done = store.compact()
+    assert sorted(r[0] for r in store.vectors().collect()) == ["ka", "kdddd"] and done["bytes_after"] < done["bytes_before"]
+    assert store.cleanup() == [first["version"]] and len(store.files.names("log")) == 1
+    assert [f for f in store.files.folders("") if f.startswith("vectors")] == [done["vectors"]]
+    assert store.loaded().count() == 2 and store.active()["version"] == second["version"]
+    third = store.build(_chunks(spark, ["a", "bb"]), _lengths, {})
+    assert not third["reused"] and sorted(r[0] for r in store.vectors().collect()) == ["ka", "kbb", "kdddd"]
+
+
 def test_search_reads_the_buckets_of_its_terms(spark, folder, tmp_path):
     engine = Engine(spark, str(folder), str(tmp_path / "store"))
     engine.index()
