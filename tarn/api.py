@@ -37,11 +37,15 @@ class Settings:
 class Engine:
     """``notes``: a folder of Markdown files; ``root``: where snapshots are kept.
 
+    A snapshot remembers its folder. Without ``notes`` that one is taken; live notes of
+    another folder than that of the active snapshot are refused, as hits in them would
+    not be those of the index. :meth:`index` may turn to another folder.
+
     ``embedder`` gives one vector for each text; without it only lexical modes work.
     """
 
     spark: SparkSession
-    notes: str
+    notes: str | None
     root: str
     embedder: Callable[[list[str]], list[list[float]]] | None = None
     scorer: Callable | None = None
@@ -56,7 +60,17 @@ class Engine:
 
     def live(self, source: str | None = None) -> DataFrame:
         """Notes as they are now, or the one named, with identities; no other file is opened for one."""
-        return lifecycle.with_revisions(note_source.load_notes(self.spark, self.notes, source))
+        return lifecycle.with_revisions(note_source.load_notes(self.spark, self._folder(), source))
+
+    def _folder(self, anew: bool = False) -> str:
+        """The folder of live notes; ``anew``: it need not be that of the active snapshot."""
+        active = self.store.active()
+        saved = json.loads(active["config"]).get("notes") if active else None
+        if self.notes is None and saved is None:
+            raise ValueError("no folder of notes is given, and none was indexed")
+        if self.notes is not None and saved is not None and not anew and note_source.place(self.notes) != saved:
+            raise ValueError("the notes are not those of the active snapshot: give its folder, or another root")
+        return saved if self.notes is None else self.notes
 
     def _records(self, notes: DataFrame) -> DataFrame:
         chunks = chunking.chunk_notes(notes, self.count, self.settings.size, self.settings.overlap)
@@ -67,9 +81,10 @@ class Engine:
 
     def index(self, force: bool = False) -> dict:
         """Builds a new snapshot, or keeps the active one if nothing changed."""
-        notes = note_source.stable_notes(self.spark, self.notes)
+        folder = self._folder(anew=True)
+        notes = note_source.stable_notes(self.spark, folder)
         records = self._records(lifecycle.with_revisions(notes)).persist()
-        config = {"size": self.settings.size, "overlap": self.settings.overlap, "embedded": self.embedder is not None, "spec": self._kind(), "neighbours": repr(self.settings.neighbours)}
+        config = {"notes": note_source.place(folder), "size": self.settings.size, "overlap": self.settings.overlap, "embedded": self.embedder is not None, "spec": self._kind(), "neighbours": repr(self.settings.neighbours)}
         text = title_and_body(F.col("title"), F.col("content"))
         tokens = bm25.tokenised(records, text, exact_terms).select("chunk_id", "source", "terms", "length")
         try:

@@ -14,7 +14,7 @@ import sys
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tarn")
-    top.add_argument("--notes", default="notes")
+    top.add_argument("--notes", help="a folder of Markdown files; that of the active snapshot if left out")
     top.add_argument("--root", default=".tarn")
     top.add_argument("--json", action="store_true", help="one JSON object a line")
     for name in ("embedder", "scorer", "chat"):

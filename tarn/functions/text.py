@@ -47,6 +47,11 @@ def identity(kind: str, *parts: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"tarn/{kind}/1\n"), payload), 256)
 
 
+@pandas_udf("string")
+def _normal(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: " ".join(t.casefold().split()), na_action="ignore")
+
+
 def query_fingerprint(text: Column) -> Column:
-    """Equal for queries that differ in case and white space only."""
-    return F.sha2(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " "), 256)
+    """Equal for queries that differ in case (by full folding) and white space only; null for null."""
+    return F.sha2(_normal(text), 256)

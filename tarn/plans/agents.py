@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.operators import agent, answers, irmetrics, stats
-from tarn.plans.base import query, table
+from tarn.plans.base import query, scratch, table
+from tarn.streaming import budgets
 
 
 @query("""
@@ -38,6 +39,37 @@ def budget_prefix(spark, sf):
     return found.select("run_id", "seq", "used_calls", "used_reads", "over", "delivered")
 
 
+@query("""
+WITH e AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'search' WHEN 'signup' THEN 'match' ELSE event_type END AS tool,
+ epoch_ms(ts) AS at_ms, event_id % 5 * 3600000 AS took, event_id % 100 AS tokens FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+u AS (SELECT *, at_ms - first_value(at_ms) OVER c AS age, count(*) OVER p AS calls, count(*) FILTER (WHERE tool IN ('search', 'match')) OVER p AS queries,
+ count(*) FILTER (WHERE tool = 'read') OVER p AS reads, sum(tokens) OVER c AS used
+ FROM e WINDOW c AS (PARTITION BY run_id ORDER BY seq), p AS (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, CASE WHEN age >= 1728000000 THEN 'elapsed_ms' WHEN calls >= 45 THEN 'tool_calls' WHEN tool IN ('search', 'match') AND queries >= 20 THEN 'query_calls' WHEN tool = 'read' AND reads >= 25 THEN 'read_calls' END AS barred,
+ CASE WHEN age + took >= 1728000000 THEN 'elapsed_ms' WHEN used > 2000 THEN 'evidence_tokens' END AS withheld FROM u),
+s AS (SELECT *, min(seq) FILTER (WHERE coalesce(barred, withheld) IS NOT NULL) OVER r AS stop, arg_min(coalesce(barred, withheld), seq) FILTER (WHERE coalesce(barred, withheld) IS NOT NULL) OVER r AS why
+ FROM v WINDOW r AS (PARTITION BY run_id))
+SELECT run_id, seq, seq < coalesce(stop, seq + 1) OR (seq = stop AND barred IS NULL) AS executed, seq < coalesce(stop, seq + 1) AS delivered, CASE WHEN seq >= stop THEN why END AS reason,
+ coalesce(sum(CASE WHEN seq < coalesce(stop, seq + 1) THEN tokens END) OVER (PARTITION BY run_id ORDER BY seq), 0)::BIGINT AS delivered_tokens FROM s
+""")
+def budget_stream(spark, sf):
+    """The events replayed as a stream of calls: which were made, and whose results came in time and within the budgets."""
+    seen = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{sf}/events.parque[t]")  # a pattern, as a stream takes no single file
+    tool = F.when(F.col("event_type") == "view", "read").when(F.col("event_type") == "click", "search").when(F.col("event_type") == "signup", "match").otherwise(F.col("event_type"))
+    calls = seen.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), tool.alias("tool"), F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("event_id") % 5 * 3_600_000).alias("took_ms"), (F.col("event_id") % 100).alias("tokens"),
+    )
+    limits = budgets.Limits(tool_calls=45, query_calls=20, read_calls=25, evidence_tokens=2000, elapsed_ms=20 * 86_400_000)
+    # a replay of history: nothing is late, no run is idle
+    decided, place = budgets.budgeted_calls(calls, limits, idle="3650 days", delay="3650 days"), scratch(spark)
+    with budgets.keyed_state(spark):
+        replay = decided.writeStream.format("parquet").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start(f"{place}/calls")
+        replay.awaitTermination()
+    made = spark.read.schema(budgets.CALLS).parquet(f"{place}/calls").where("kind = 'call'")
+    return made.select("run_id", "seq", "executed", "delivered", "reason", "delivered_tokens")
+
+
 @query("""SELECT user_id AS run_id, count(*)::BIGINT AS events, CASE WHEN count(t) = count(*) THEN sum(t) END::BIGINT AS tokens_total, coalesce(sum(t), 0)::BIGINT AS tokens_known
 FROM (SELECT user_id, CASE WHEN event_id % 13 <> 0 THEN event_id % 100 END AS t FROM events) GROUP BY user_id""")
 def usage_totals(spark, sf):

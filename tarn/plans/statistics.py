@@ -266,7 +266,7 @@ def dataset_profile(spark, sf):
     return stats.profile(table(spark, sf, "documents"), ["lang", "source"])
 
 
-@query(r"""SELECT fingerprint, doc_id, n FROM (SELECT sha256(regexp_replace(trim(lower(text)), '\s+', ' ', 'g')) AS fingerprint, doc_id, count(*) OVER (PARTITION BY fingerprint)::BIGINT AS n FROM documents) WHERE n > 1""")
+@query(r"""SELECT fingerprint, doc_id, n FROM (SELECT sha256(regexp_replace(trim(replace(lower(text), 'ß', 'ss'), chr(32) || chr(10) || chr(13) || chr(9)), '\s+', ' ', 'g')) AS fingerprint, doc_id, count(*) OVER (PARTITION BY fingerprint)::BIGINT AS n FROM documents) WHERE n > 1""")
 def query_dedup(spark, sf):
     """Texts that differ in case and white space only."""
     from tarn.functions.text import query_fingerprint

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pandas as pd
@@ -11,6 +12,12 @@ from pyspark.sql import functions as F
 from tarn.functions.lazy import pandas_udf
 
 
+def place(folder: str) -> str:
+    """A folder's name, the same however it is written: a local one with links followed, any other without its last slash."""
+    local = folder.removeprefix("file://")
+    return folder.rstrip("/") if "://" in local else os.path.realpath(local)
+
+
 def note_files(spark: SparkSession, folder: str, source: str | None = None) -> DataFrame:
     """``source, raw, size, modified`` of the ``*.md`` files right in a folder, by name.
 

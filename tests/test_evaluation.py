@@ -223,3 +223,11 @@ def test_first_full_rank_equals_trying_every_depth(spark):
         want[q] = min(full, default=None)
     assert {r["query_id"]: r["rank"] for r in evidence.first_full_rank(h, a, ["source"]).collect()} == want
     assert any(v for v in want.values())
+
+
+def test_fingerprints_fold_fully(spark):
+    from tarn.functions.text import query_fingerprint
+
+    df = spark.createDataFrame([("Straße  \u3000NO",), (" STRASSE\tno\n",), ("strase no",), (None,), ("",)], "q string")
+    a, b, c, none, empty = (r[0] for r in df.select(query_fingerprint(F.col("q"))).collect())
+    assert a == b != c and none is None and empty is not None

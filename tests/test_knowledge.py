@@ -304,6 +304,23 @@ def test_vectors_shrink(spark, tmp_path):
     assert not third["reused"] and sorted(r[0] for r in store.vectors().collect()) == ["ka", "kbb", "kdddd"]
 
 
+def test_live_notes_are_those_of_the_snapshot(spark, folder, tmp_path):
+    root, other = str(tmp_path / "store"), tmp_path / "other"
+    other.mkdir()
+    (other / "x.md").write_text("cats elsewhere\n")
+    assert Engine(spark, str(other), root).match("cats").count() == 1  # no index is needed
+    with pytest.raises(ValueError, match="none was indexed"):
+        Engine(spark, None, root).match("cats")
+    Engine(spark, str(folder), root).index()
+    saved = Engine(spark, None, root)
+    assert saved.match("cats").collect() == Engine(spark, f"file://{folder}/", root).match("cats").collect() != []
+    for use in (lambda e: e.match("cats"), lambda e: e.read("x.md")):
+        with pytest.raises(ValueError, match="not those of the active"):
+            use(Engine(spark, str(other), root))
+    Engine(spark, str(other), root).index()
+    assert [r["source"] for r in saved.match("cats").collect()] == ["x.md"]
+
+
 def test_search_reads_the_buckets_of_its_terms(spark, folder, tmp_path):
     engine = Engine(spark, str(folder), str(tmp_path / "store"))
     engine.index()
