@@ -379,3 +379,62 @@ def citation_summary(found: DataFrame, claims: DataFrame) -> DataFrame:
     own = claims.groupBy("answer_id").agg(F.count("*").alias("claims"), F.count_if(F.size("source_ids") > 0).alias("_cited"))
     out = own.join(bad, "answer_id", "left")
     return out.select("answer_id", "claims", (F.coalesce("issues", F.lit(0)) == 0).alias("references_valid"), F.try_divide("_cited", "claims").alias("claim_coverage"))
+
+
+#: What a reviewer may say of a claim; null is not reviewed. Fixed values.
+SUPPORT = ["supported", "partial", "contradicted", "insufficient"]
+_RATES = ["references_valid", "citation_id_validity", "claim_reference_coverage", "support_review_coverage", "supported_claim_rate", "answer_correct", "answer_complete"]
+
+
+def citation_statistics(answers: DataFrame, claims: DataFrame, sources: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """One row for each answer: counts of claims and references, rates of both, and what its review says.
+
+    ``answers``: ``answer_id`` of parsed answers, so that one without claims has a row;
+    ``claims``: ``answer_id, claim_index`` (from 0), ``source_ids``; ``sources``: ``answer_id,
+    source_id``; ``reviews``: ``answer_id, reviewer, claim_support`` (a label or null for
+    each claim), ``answer_correct, answer_complete``. A rate without a denominator is null,
+    and so are the support columns without a review. Labels are shares of reviewed claims,
+    beside the share of claims reviewed. A review without a name, with a label too many, too
+    few or unknown, or that calls a claim supported whose references don't all exist, raises.
+    """
+    known = sources.groupBy("answer_id").agg(F.collect_set("source_id").alias("_known"))
+    labels = "answer_id, reviewer, claim_support, answer_correct, answer_complete".split(", ")
+    if reviews is None:
+        nulls = "CAST(NULL AS STRING) AS reviewer", "CAST(NULL AS ARRAY<STRING>) AS claim_support", "CAST(NULL AS BOOLEAN) AS answer_correct", "CAST(NULL AS BOOLEAN) AS answer_complete"
+        reviewed = answers.select("answer_id").distinct().selectExpr("answer_id", "false AS _reviewed", *nulls)
+    else:
+        own = reviews.select(*labels).withColumn("_reviewed", F.lit(True))
+        reviewed = answers.select("answer_id").distinct().join(own, "answer_id", "left").withColumn("_reviewed", F.coalesce("_reviewed", F.lit(False)))
+    ids, no_ids = F.coalesce("source_ids", F.array().cast("array<string>")), F.array().cast("array<string>")
+    cells = claims.select("answer_id", "claim_index", ids.alias("ids")).join(known, "answer_id", "left").join(reviewed.select("answer_id", "claim_support"), "answer_id")
+    valid = F.size(F.filter("ids", lambda s: F.array_contains(F.coalesce("_known", no_ids), s)))
+    cells = cells.withColumns({"n": F.size("ids"), "valid": valid, "label": F.get("claim_support", F.col("claim_index").cast("int"))})
+    blessed = (F.col("label") == "supported") & ((F.col("n") == 0) | (F.col("valid") < F.col("n")))
+    sums = cells.groupBy("answer_id").agg(
+        F.count("*").alias("claim_count"), F.sum("n").alias("reference_count"), F.sum("valid").alias("valid_reference_count"), F.count_if(F.col("valid") > 0).alias("_covered"),
+        F.count("label").alias("_labelled"), F.count_if(F.col("label") == "supported").alias("_supported"), F.count_if(blessed).alias("_blessed"),
+        F.count_if((F.col("n") > 0) & (F.col("valid") == F.col("n"))).alias("_whole"),
+    )
+    counts = ["claim_count", "reference_count", "valid_reference_count", "_covered", "_labelled", "_supported", "_blessed", "_whole"]
+    rows = reviewed.join(sums, "answer_id", "left").fillna(0, counts)
+    size, strange = F.coalesce(F.size("claim_support"), F.lit(-1)), F.exists("claim_support", lambda x: ~F.coalesce(x.isin(SUPPORT), F.lit(True)))
+    wrong = (
+        F.when(~F.col("_reviewed"), None)
+        .when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "a review needs a reviewer")
+        .when((size != F.col("claim_count")) | strange, "a review needs one known label or null for each claim")
+        .when(F.col("_blessed") > 0, "a supported claim needs references that exist")
+    )
+    share = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    review = lambda c: F.when(F.col("_reviewed"), c)
+    out = rows.withColumn("claim_count", F.when(wrong.isNull(), F.col("claim_count")).otherwise(F.raise_error(F.concat(wrong, F.lit(": answer "), F.col("answer_id").cast("string")))))
+    return out.select(
+        "answer_id", "claim_count", "reference_count", "valid_reference_count", (F.col("_whole") == F.col("claim_count")).alias("references_valid"),
+        share("valid_reference_count", "reference_count").alias("citation_id_validity"), share("_covered", "claim_count").alias("claim_reference_coverage"),
+        review(share("_labelled", "claim_count")).alias("support_review_coverage"), review(share("_supported", "_labelled")).alias("supported_claim_rate"), "answer_correct", "answer_complete",
+    )
+
+
+def citation_means(statistics: DataFrame) -> DataFrame:
+    """``measure, mean, defined_cases``: the mean of each rate over the answers where it is defined, and of how many."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in _RATES])).alias("cell")
+    return statistics.select(cells).groupBy("cell.measure").agg(F.avg("cell.value").alias("mean"), F.count("cell.value").alias("defined_cases"))

@@ -339,6 +339,54 @@ def citation_stats(spark, sf):
     return context.citation_summary(context.issues(claims, sources), claims)
 
 
+# Every line of a document is a claim; what it cites and how it is judged hang on its length.
+LINES = """
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, CASE length(line) % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS refs, CASE WHEN length(line) % 4 = 0 THEN 0 ELSE 1 END AS valid,
+ CASE WHEN doc_id % 3 = 0 THEN NULL WHEN length(line) % 5 = 0 THEN NULL WHEN length(line) % 5 < 3 AND length(line) % 4 IN (1, 3) THEN 'supported' ELSE 'partial' END AS label FROM l),
+a AS (SELECT doc_id AS answer_id, count(*)::BIGINT AS claim_count, sum(refs)::BIGINT AS reference_count, sum(valid)::BIGINT AS valid_reference_count, bool_and(refs = 1) AS references_valid,
+ CASE WHEN sum(refs) > 0 THEN sum(valid) / sum(refs)::DOUBLE END AS citation_id_validity, sum(valid) / count(*)::DOUBLE AS claim_reference_coverage,
+ CASE WHEN doc_id % 3 <> 0 THEN count(label) / count(*)::DOUBLE END AS support_review_coverage,
+ CASE WHEN count(label) > 0 THEN count(*) FILTER (WHERE label = 'supported') / count(label)::DOUBLE END AS supported_claim_rate,
+ CASE WHEN doc_id % 3 <> 0 THEN doc_id % 2 = 0 END AS answer_correct, NULL::BOOLEAN AS answer_complete FROM c GROUP BY doc_id)
+"""
+
+
+def _line_statistics(spark, sf):
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").withColumnRenamed("doc_id", "answer_id")
+    claims = docs.select("answer_id", F.posexplode(F.split("text", "\n", -1)).alias("claim_index", "line"))
+    n, names = F.length("line"), lambda *ids: F.array(*map(F.lit, ids)).cast("array<string>")
+    cited = F.when(n % 4 == 0, names()).when(n % 4 == 1, names("S1")).when(n % 4 == 2, names("S1", "S3")).otherwise(names("S2"))
+    sources = docs.select("answer_id", F.explode(names("S1", "S2")).alias("source_id"))
+
+    def label(line):
+        n = F.length(line)
+        return F.when(n % 5 == 0, None).when((n % 5 < 3) & (n % 4).isin(1, 3), "supported").otherwise("partial")
+
+    reviews = docs.where(F.col("answer_id") % 3 != 0).select(
+        "answer_id", F.lit("R").alias("reviewer"), F.transform(F.split("text", "\n", -1), label).alias("claim_support"),
+        (F.col("answer_id") % 2 == 0).alias("answer_correct"), F.lit(None).cast("boolean").alias("answer_complete"),
+    )
+    return context.citation_statistics(docs, claims.withColumn("source_ids", cited), sources, reviews)
+
+
+@query(f"""WITH {LINES} SELECT * REPLACE (round(citation_id_validity, 6) AS citation_id_validity, round(claim_reference_coverage, 6) AS claim_reference_coverage,
+round(support_review_coverage, 6) AS support_review_coverage, round(supported_claim_rate, 6) AS supported_claim_rate) FROM a""")
+def citation_reviews(spark, sf):
+    """Of each answer: how many references exist, how many claims have one, how many were reviewed and found supported."""
+    rates = ["citation_id_validity", "claim_reference_coverage", "support_review_coverage", "supported_claim_rate"]
+    return _line_statistics(spark, sf).withColumns({c: F.round(c, 6) for c in rates})
+
+
+@query(f"""WITH {LINES}, u AS (SELECT unnest([{{'measure': 'references_valid', 'v': references_valid::INT::DOUBLE}}, {{'measure': 'citation_id_validity', 'v': citation_id_validity}},
+ {{'measure': 'claim_reference_coverage', 'v': claim_reference_coverage}}, {{'measure': 'support_review_coverage', 'v': support_review_coverage}}, {{'measure': 'supported_claim_rate', 'v': supported_claim_rate}},
+ {{'measure': 'answer_correct', 'v': answer_correct::INT::DOUBLE}}, {{'measure': 'answer_complete', 'v': answer_complete::INT::DOUBLE}}], recursive := true) FROM a)
+SELECT measure, round(avg(v), 6) AS mean, count(v)::BIGINT AS defined_cases FROM u GROUP BY measure""")
+def citation_review_means(spark, sf):
+    """Means of these rates over the answers where they are defined, and of how many."""
+    return context.citation_means(_line_statistics(spark, sf)).withColumn("mean", F.round("mean", 6))
+
+
 @query("SELECT doc_id AS answer_id, (-1)::INT AS claim_index, 'inline_reference_in_missing_information' AS code FROM documents WHERE doc_id % 3 = 0")
 def missing_information_check(spark, sf):
     """What is said to be missing must not hold references either."""

@@ -136,6 +136,25 @@ def test_citations(spark):
     assert context.answer_schema(["S1"])["additionalProperties"] is False
 
 
+def test_citation_statistics(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    answers = df([(1,), (2,), (3,)], "answer_id long")
+    claims = df([(1, 0, ["S1"]), (1, 1, ["S1", "S9"]), (1, 2, []), (2, 0, None)], "answer_id long, claim_index int, source_ids array<string>")
+    sources = df([(1, "S1"), (1, "S2")], "answer_id long, source_id string")
+    kind = "answer_id long, reviewer string, claim_support array<string>, answer_correct boolean, answer_complete boolean"
+    of = lambda *reviews: context.citation_statistics(answers, claims, sources, df(list(reviews), kind))
+    rows = {r["answer_id"]: tuple(r)[1:] for r in of((1, "me", ["supported", None, "partial"], True, None)).collect()}
+    assert rows[1] == (3, 3, 2, False, pytest.approx(2 / 3), pytest.approx(2 / 3), pytest.approx(2 / 3), 0.5, True, None)
+    assert rows[2] == (1, 0, 0, False, None, 0.0, None, None, None, None) and rows[3] == (0, 0, 0, True, None, None, None, None, None, None)
+    plain = context.citation_statistics(answers, claims, sources)
+    assert {r["support_review_coverage"] for r in plain.collect()} == {None}
+    means = {r["measure"]: (r["mean"], r["defined_cases"]) for r in context.citation_means(plain).collect()}
+    assert means["supported_claim_rate"] == (None, 0) and means["claim_reference_coverage"] == (pytest.approx(1 / 3), 2)
+    for bad in ((1, " ", [None] * 3), (1, "me", [None]), (1, "me", None), (1, "me", ["fine", None, None]), (1, "me", [None, "supported", None]), (2, "me", ["supported"])):
+        with pytest.raises(Exception, match="needs"):
+            of((*bad, None, None)).collect()
+
+
 @pytest.fixture
 def folder(tmp_path):
     root = tmp_path / "notes"
