@@ -36,17 +36,21 @@ def merged(spans: DataFrame, keys: list[str], touching: bool) -> DataFrame:
 def merged_evidence(hits: DataFrame, keys: list[str]) -> DataFrame:
     """As :func:`merged` without touching, with joined ``content``; what overlaps must agree.
 
-    ``conflict`` marks a merged span whose parts disagree; callers must refuse it.
+    ``conflict`` marks a merged span whose parts disagree, in their texts or, where hits
+    have one, in their ``title``; callers must refuse it. Where hits have a ``chunk_id``,
+    ``origins`` lists those of all parts by place, so that what is cited leads back to them.
     """
+    own = [c for c in ("chunk_id",) if c in hits.columns]
+    titles = [(~F.min("title").eqNullSafe(F.max("title")) | (F.count("title") % F.count("*") != 0)).alias("_titles")] if "title" in hits.columns else []
     order = Window.partitionBy(*keys, "_island").orderBy("start_char", "end_char", "rank")
     before = F.max("end_char").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = _islands(hits, keys, touching=False).withColumn("_before", before)
     fresh = F.when(F.col("_before").isNull(), F.col("content")).otherwise(
         F.substring(F.col("content"), F.greatest(F.col("_before") - F.col("start_char"), F.lit(0)).cast("int") + 1, F.length("content"))
     )
-    parts = F.sort_array(F.collect_list(F.struct("start_char", "end_char", "rank", fresh.alias("fresh"), F.col("content").alias("content"))))
+    parts = F.sort_array(F.collect_list(F.struct("start_char", "end_char", "rank", fresh.alias("fresh"), F.col("content").alias("content"), *own)))
     joined = rows.groupBy(*keys, "_island").agg(
-        F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.min("rank").alias("rank"), F.count("*").alias("parts"), parts.alias("_parts")
+        F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.min("rank").alias("rank"), F.count("*").alias("parts"), parts.alias("_parts"), *titles
     )
     text = F.concat_ws("", F.transform("_parts", lambda p: p["fresh"]))
     out = joined.withColumn("content", text)
@@ -54,7 +58,9 @@ def merged_evidence(hits: DataFrame, keys: list[str]) -> DataFrame:
     agrees = F.forall(
         "_parts", lambda p: F.substring(F.col("content"), (p["start_char"] - first).cast("int") + 1, F.length(p["content"])) == p["content"]
     )
-    return out.withColumn("conflict", ~agrees).drop("_island", "_parts")
+    if own:
+        out = out.withColumn("origins", F.transform("_parts", lambda p: p["chunk_id"]))
+    return out.withColumn("conflict", ~agrees | F.col("_titles") if titles else ~agrees).drop("_island", "_parts", "_titles")
 
 
 #: Positions of a block: spans are cut at its borders, so a key with many spans is many groups.

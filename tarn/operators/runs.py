@@ -76,6 +76,18 @@ def case_and_family_means(values: DataFrame, value: str) -> DataFrame:
     return cases.crossJoin(families.agg(F.count("m").alias("families"), F.avg("m").alias("family_mean")))
 
 
+def shortfalls(rows: DataFrame, facets: DataFrame) -> DataFrame:
+    """``case_id, method, status, coverage, missing_facets``: cases that failed, or whose evidence is not whole.
+
+    ``rows``: ``case_id, method, status, coverage``; ``facets``: ``case_id, method, facet,
+    satisfied``. A case whose coverage is undefined is no shortfall unless it failed.
+    """
+    missing = facets.where(~F.coalesce("satisfied", F.lit(False))).groupBy("case_id", "method").agg(F.sort_array(F.collect_set("facet")).alias("missing_facets"))
+    short = rows.where(~F.col("status").eqNullSafe(F.lit("ok")) | (F.col("coverage") < 1))
+    found = short.select("case_id", "method", "status", "coverage").join(missing, ["case_id", "method"], "left")
+    return found.withColumn("missing_facets", F.coalesce("missing_facets", F.array().cast("array<string>")))
+
+
 def comparable(values: DataFrame, value: str, arms: int) -> tuple[DataFrame, DataFrame]:
     """Cases with a defined value in every arm, and the others, to be listed.
 

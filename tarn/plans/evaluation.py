@@ -258,6 +258,21 @@ def pilot_summary(spark, sf):
     return _six(runs.case_and_family_means(values, "v"), "case_mean", "family_mean")
 
 
+@query("""
+WITH f AS (SELECT user_id AS case_id, event_type AS method, 'f' || (event_id % 4) AS facet, max(value) > 30 AS satisfied FROM events GROUP BY ALL),
+r AS (SELECT case_id, method, CASE WHEN (case_id + length(method)) % 17 = 0 THEN 'error' ELSE 'ok' END AS status, round(count(*) FILTER (WHERE satisfied) / count(*)::DOUBLE, 6) AS coverage,
+ coalesce(string_agg(facet, ',' ORDER BY facet) FILTER (WHERE NOT satisfied), '') AS missing_facets FROM f GROUP BY case_id, method)
+SELECT * FROM r WHERE status <> 'ok' OR coverage < 1
+""")
+def pilot_shortfalls(spark, sf):
+    """Cases of a pilot that failed or lack evidence, with the facets that are missing."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("method"), F.concat(F.lit("f"), F.col("event_id") % 4).alias("facet"), "value")
+    facets = e.groupBy("case_id", "method", "facet").agg((F.max("value") > 30).alias("satisfied"))
+    status = F.when((F.col("case_id") + F.length("method")) % 17 == 0, "error").otherwise("ok")
+    rows = facets.groupBy("case_id", "method").agg(F.round(F.count_if("satisfied") / F.count("*"), 6).alias("coverage")).withColumn("status", status)
+    return runs.shortfalls(rows, facets).withColumn("missing_facets", F.concat_ws(",", "missing_facets"))
+
+
 @query("SELECT user_id AS case_id FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING count(DISTINCT CASE WHEN value > 60 THEN event_type END) < 2")
 def undefined_cases(spark, sf):
     """Cases that a comparison leaves out, as an arm has no value."""

@@ -188,6 +188,16 @@ def evidence_merged(spark, sf):
     return context.merged(hits).select("query_id", "doc_id", "start_char", "end_char", F.sha2("content", 256).alias("sha256"), "parts")
 
 
+@query(f"""WITH {WINDOWS}, g AS (SELECT query_id, doc_id, k, s, e, min(rank) AS rank FROM h WHERE regexp_matches(content, '\\S') GROUP BY ALL),
+p AS (SELECT *, max(e) OVER (PARTITION BY query_id, doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR s >= before THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, doc_id ORDER BY s) AS island FROM p)
+SELECT query_id, doc_id, min(rank)::INT AS rank, string_agg(doc_id || '-' || k, ',' ORDER BY s) AS origins FROM i GROUP BY query_id, doc_id, island""")
+def evidence_origins(spark, sf):
+    """The chunks that each merged span comes from, by place."""
+    hits = context.prepared(_hits(spark, sf)).where("action = 'kept'")
+    return context.merged(hits).select("query_id", "doc_id", "rank", F.concat_ws(",", "origins").alias("origins"))
+
+
 @query(f"""WITH RECURSIVE {WINDOWS}, g AS (SELECT query_id, doc_id, s, e, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM h WHERE copy = 0 AND regexp_matches(content, '\\S')),
 t AS (SELECT query_id, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS doc_id, NULL::INT AS e, true AS ok, NULL::INT AS rank FROM (SELECT DISTINCT query_id FROM g)
  UNION ALL SELECT query_id, n, used + CASE WHEN ok THEN cost ELSE 0 END, CASE WHEN ok THEN new_doc ELSE doc_id END, CASE WHEN ok THEN new_e ELSE e END, ok, rank FROM (

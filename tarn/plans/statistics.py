@@ -108,6 +108,21 @@ def mcnemar_critical(spark, sf):
     return stats.critical_minorities(n)
 
 
+@query("""
+WITH s AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'left' ELSE 'right' END AS arm FROM labels UNION ALL SELECT doc_id, 'right' FROM labels WHERE toxic = 1),
+e AS (SELECT DISTINCT doc_id, arm FROM documents, (SELECT unnest(['left', 'right']) AS arm))
+SELECT arm, doc_id AS query_id, 'missing' AS problem FROM e WHERE (doc_id, arm) NOT IN (SELECT (doc_id, arm) FROM s)
+UNION ALL SELECT DISTINCT arm, doc_id, 'extra' FROM s WHERE (doc_id, arm) NOT IN (SELECT (doc_id, arm) FROM e)
+UNION ALL SELECT arm, doc_id, 'duplicate' FROM s GROUP BY ALL HAVING count(*) > 1
+""")
+def matrix_problems(spark, sf):
+    """Which rows a comparison of two arms lacks or has twice."""
+    labels = table(spark, sf, "labels")
+    first = labels.select(F.when(F.col("quality") == 1, "left").otherwise("right").alias("arm"), F.col("doc_id").alias("query_id"))
+    scores = first.unionByName(labels.where("toxic = 1").select(F.lit("right").alias("arm"), F.col("doc_id").alias("query_id")))
+    return stats.matrix_problems(scores, table(spark, sf, "documents").select(F.col("doc_id").alias("query_id")), ["left", "right"])
+
+
 # Leakage groups: sources of documents; their families: languages.
 SPLIT_SQL = """WITH RECURSIVE g AS (SELECT source AS "group", count(DISTINCT lang)::BIGINT AS families, min(doc_id) % 5 = 0 AS seen FROM documents GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY seen DESC, CASE WHEN seen THEN 0 ELSE -families END, CASE WHEN NOT seen THEN sha256('3:' || "group") END, "group") AS n FROM g),

@@ -231,3 +231,33 @@ def test_fingerprints_fold_fully(spark):
     df = spark.createDataFrame([("Straße  \u3000NO",), (" STRASSE\tno\n",), ("strase no",), (None,), ("",)], "q string")
     a, b, c, none, empty = (r[0] for r in df.select(query_fingerprint(F.col("q"))).collect())
     assert a == b != c and none is None and empty is not None
+
+
+def test_a_matrix_must_be_whole(spark):
+    queries = spark.range(3).withColumnRenamed("id", "query_id")
+    rows = [("a", 0, 0.0), ("a", 1, 1.0), ("a", 2, None), ("b", 0, 1.0), ("b", 1, 1.0), ("b", 2, 1.0), ("c", 0, 1.0)]
+    df = lambda r: spark.createDataFrame(r, "arm string, query_id long, value double")
+    out = stats.query_bootstrap(df(rows), queries, "a", "b", resamples=1000).first()
+    assert (out["families"], out["delta"], out["wins"], out["ties"], out["losses"]) == (2, 0.5, 1, 1, 0) and 0 <= out["low"] <= out["high"] <= 1
+    for bad in (rows[1:], [*rows, rows[0]], [*rows, ("a", 9, 1.0)]):
+        with pytest.raises(ValueError, match="not whole"):
+            stats.query_bootstrap(df(bad), queries, "a", "b", resamples=1000)
+
+
+def test_titles_and_origins_of_merged_evidence(spark):
+    schema = "k long, start_char int, end_char int, content string, rank int, chunk_id string, title string"
+    rows = [(1, 4, 8, "efgh", 1, "c2", "t"), (1, 0, 6, "abcdef", 2, "c1", "t"), (1, 8, 9, "i", 3, "c3", "t")]
+    got = sorted((r["start_char"], r["origins"], r["conflict"]) for r in evidence.merged_evidence(spark.createDataFrame(rows, schema), ["k"]).collect())
+    assert got == [(0, ["c1", "c2"], False), (8, ["c3"], False)]
+    for title in ("u", None):
+        odd = [(*rows[0][:-1], title), *rows[1:]]
+        assert [r["conflict"] for r in evidence.merged_evidence(spark.createDataFrame(odd, schema), ["k"]).orderBy("start_char").collect()] == [True, False]
+
+
+def test_shortfalls(spark):
+    from tarn.operators import runs
+
+    rows = spark.createDataFrame([(1, "m", "ok", 0.5), (2, "m", "ok", 1.0), (3, "m", "error", None), (4, "m", "ok", None)], "case_id long, method string, status string, coverage double")
+    facets = spark.createDataFrame([(1, "m", "b", False), (1, "m", "a", None), (1, "m", "c", True), (2, "m", "a", True)], "case_id long, method string, facet string, satisfied boolean")
+    got = {r["case_id"]: r["missing_facets"] for r in runs.shortfalls(rows, facets).collect()}
+    assert got == {1: ["a", "b"], 3: []}
