@@ -186,3 +186,26 @@ def test_hybrid_refuses_hits_that_disagree(spark):
         fusion.hybrid({"a": a, "b": leg([(0, "x", 3, "other", "i")])}, facts=("content",)).collect()
     with pytest.raises(Exception, match="several indexes"):
         fusion.hybrid({"a": a, "b": leg([(0, "x", 3, "one", "j")])}, index_col="index_id").collect()
+
+
+def test_vectors_meet_queries_without_an_object_for_each(spark):
+    """No product of partitions, which makes its left side many times, and no Python object for each vector."""
+    df = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(60)], "vec_id long, embedding array<double>").repartition(3)
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = vector.cosine_top_k(asked, df, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan and "MapInPandas" not in plan
+
+
+def test_lists_meet_queries_as_matrices(spark):
+    """One hot list that all queries look into gives the exact hits, and no row for each pair."""
+    df = spark.createDataFrame([(k, [float(k % 5), 1.0, float(k % 7)]) for k in range(300)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    near = vector.partitioned_top_k(asked, df, 10, cells=1)
+    rows = lambda found: {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()}
+    assert rows(near) == rows(vector.cosine_top_k(asked, df, 10))
+    assert "zip_with(q#" not in near._jdf.queryExecution().optimizedPlan().toString() and "MapInArrow" in near._jdf.queryExecution().optimizedPlan().toString()
