@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.operators.vector import DIGITS, unit
+from tarn.operators.vector import DIGITS, best_rows, bounded, unit
 
 GRAPH = "shard long, dimensions int, nodes int, ids array<{id}>, owners binary, vectors binary, layers array<struct<members:binary,ends:binary,links:binary>>"
 #: Bytes of vectors that one shard holds at most.
@@ -85,7 +85,42 @@ def _layer(x: np.ndarray, m: int, most: int, ef: int) -> list[np.ndarray]:
             order = np.lexsort((c, -score))
             c = np.array(_thinned(c[order], score[order], x, most))
         out.append(np.sort(c).astype(np.int32))
-    return out
+    return _relinked(out, x)
+
+
+def _relinked(rows: list[np.ndarray], x: np.ndarray) -> list[np.ndarray]:
+    """Links that thinning took and without which a node can't be reached, or reaches nothing, from its nearest node."""
+    for turned in (False, True):
+        links = dict(enumerate(r.tolist() for r in rows))
+        links = _turned(links) if turned else links
+        reached = np.zeros(len(rows), bool)
+        reached[list(_reach(links, 0))] = True
+        while not reached.all():
+            k = int(np.flatnonzero(~reached)[0])
+            known = np.flatnonzero(reached)
+            j = int(known[np.argmax(x[known] @ x[k])])
+            a, b = (k, j) if turned else (j, k)
+            rows[a] = np.union1d(rows[a], [b]).astype(np.int32)
+            links[j].append(k)
+            reached[list(_reach(links, k))] = True
+    return rows
+
+
+def _turned(links: dict[int, list[int]]) -> dict[int, list[int]]:
+    back: dict[int, list[int]] = {j: [] for j in links}
+    for j, own in links.items():
+        for other in own:
+            back[other].append(j)
+    return back
+
+
+def _reach(links: dict[int, list[int]], start: int) -> set[int]:
+    seen, todo = {start}, [start]
+    while todo:
+        new = [j for j in links[todo.pop()] if j not in seen]
+        seen.update(new)
+        todo += new
+    return seen
 
 
 def _join_parts(linked: list[set[int]], x: np.ndarray) -> None:
@@ -169,12 +204,40 @@ class Graph:
         owners = np.frombuffer(row["owners"], np.int32)
         rows = sorted(zip(owners.tolist(), list(row["ids"]), strict=True))  # ids are in order within a node
         self.ids, self.ends = [i for _, i in rows], np.cumsum(np.bincount(owners, minlength=n))
+        self._linked: bool | None = None
         self.layers = []
         for layer in row["layers"]:
             members, ends, links = (np.frombuffer(layer[k], np.int32) for k in ("members", "ends", "links"))
             rows = np.split(links, ends[:-1]) if len(ends) else []
             self.layers.append(dict(zip(members.tolist(), (r.tolist() for r in rows), strict=True)))
 
+    def linked(self) -> bool:
+        """Whether every node can be reached from every other one at the bottom."""
+        bottom = self.layers[0]
+        start = next(iter(bottom))
+        if self._linked is None:
+            self._linked = all(len(_reach(links, start)) == len(bottom) for links in (bottom, _turned(bottom)))
+        return self._linked
+
+    def search_all(self, asked: np.ndarray, k: int, ef: int):
+        """:meth:`search` for each row of ``asked``: arrays of scores and ids, and the number of vectors scored.
+
+        A beam that holds all nodes of a linked graph scores them all, whatever way it
+        goes, so they are scored as products of matrices. Other beams go query by query.
+        """
+        if ef < len(self.x) or not self.linked():
+            for q in asked:
+                hits, scored = self.search(q, k, ef)
+                yield [s for s, _ in hits], [i for _, i in hits], scored
+            return
+        node = np.repeat(np.arange(len(self.x)), np.diff(self.ends, prepend=0))
+        order = np.array(sorted(range(len(self.ids)), key=self.ids.__getitem__), np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))  # ids in their order, whatever their type
+        for at in range(0, len(asked), 256):
+            for rows, score in best_rows((asked[at : at + 256] @ self.x.T)[:, node], place, k):
+                yield score.tolist(), [self.ids[j] for j in rows], len(self.x)
+
     def search(self, q: np.ndarray, k: int, ef: int) -> tuple[list[tuple[float, int]], int]:
         """Up to ``k`` (score, id), best first, and how many vectors were scored."""
         at = next(iter(self.layers[-1]))
@@ -227,23 +290,26 @@ def top_k(queries: DataFrame, graphs: DataFrame, k: int, ef_search: int = 64, qu
     if k < 1 or ef_search < 1:
         raise ValueError("top_k and ef_search must be positive")
     asked = queries.select(F.col(query_id).cast("long").alias("_q"), unit(F.col(query_vector)).alias("_v")).where("_v IS NOT NULL")
-    blocks = max(1, -(-asked.count() // block))
+    n = asked.count()
+    blocks = max(1, -(-n // block))
     packed = asked.groupBy(F.pmod(F.xxhash64("_q"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("_q", "_v")).alias("_asked"))
     beam = max(ef_search, k)
 
     def found(batches):
+        shard, graph = None, None
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                graph = Graph(row)
+                if graph is None or row["shard"] != shard:  # a shard's blocks follow each other
+                    shard, graph = row["shard"], Graph(row)
                 out = []
-                for ask in row["_asked"]:
-                    if len(ask["_v"]) == graph.dimensions:
-                        hits, scored = graph.search(np.asarray(ask["_v"]), k, beam)
-                        out += [(ask["_q"], i, s, scored if not r else 0) for r, (s, i) in enumerate(hits)]
+                asks = [ask for ask in row["_asked"] if len(ask["_v"]) == graph.dimensions]
+                found = graph.search_all(np.array([ask["_v"] for ask in asks]), k, beam) if asks else ()
+                for ask, (scores, ids, scored) in zip(asks, found, strict=True):
+                    out += [(ask["_q"], i, s, scored if not r else 0) for r, (s, i) in enumerate(zip(scores, ids, strict=True))]
                 yield pd.DataFrame(out, columns=[query_id, id_col, "score", "n_scored"])
 
-    # the stated queries, block by block, against every shard
-    hits = graphs.crossJoin(packed).mapInPandas(found, f"{query_id} long, {id_col} {graphs.schema['ids'].dataType.elementType.simpleString()}, score double, n_scored long")
+    # the stated queries, block by block, against every shard, which is made once
+    hits = graphs.crossJoin(bounded(packed, n)).mapInPandas(found, f"{query_id} long, {id_col} {graphs.schema['ids'].dataType.elementType.simpleString()}, score double, n_scored long")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
     total = F.sum("n_scored").over(Window.partitionBy(query_id)).alias("n_scored")
     return hits.select(query_id, id_col, "score", F.row_number().over(order).alias("rank"), total).where(F.col("rank") <= k)
