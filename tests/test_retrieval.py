@@ -28,6 +28,26 @@ def test_bm25_frequency_and_length(spark):
     assert ranked(spark, texts, "err_reset err_reset") == ranked(spark, texts, "err_reset")
 
 
+@pytest.mark.parametrize("held", [0, 1000])
+def test_bm25_best_of_blocks(spark, monkeypatch, held):
+    """Each task's best, summed in small blocks, are the best of all scores, ties by id; nulls and filters included."""
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(12)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(150)] + [None, "", "w1", "w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tokens = bm25.tokenised(docs, F.col("text"))
+    asked = spark.createDataFrame([(q, " ".join(rng.sample(words, 3))) for q in range(9)] + [(9, "none of these"), (10, "!")], "query_id long, text string")
+    asked = bm25.query_terms(asked, F.col("text"), "query_id")
+    monkeypatch.setattr(bm25, "HELD_ROWS", held)
+    monkeypatch.setattr(bm25, "CELLS", 40)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    for keep in (None, F.col("doc_id") % 3 == 1):
+        found = bm25.best(tokens, asked, 7, keep=keep)
+        assert rows(found) == rows(bm25.top_k(bm25.scores(tokens, asked, keep=keep), 7))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("MapInArrow" in plan and "Generate" not in plan) == bool(held)
+
+
 def test_bm25_edges(spark):
     assert [d for d, _ in ranked(spark, ["Café", "tea"], "Café")] == [0]
     assert ranked(spark, ["a b", "c"], "!!!") == []
