@@ -158,7 +158,7 @@ h AS (SELECT query_id, doc_id, k, (60 * k)::INT AS s, least(60 * k + 100, length
 
 def _hits(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    best = _bm25(spark, sf, 5).select("query_id", "doc_id", "rank").join(docs, "doc_id")
+    best = F.broadcast(_bm25(spark, sf, 5).select("query_id", "doc_id", "rank")).join(docs, "doc_id")  # five rows a query
     n = F.floor((F.length("text") + 59) / 60).cast("long")
     rows = best.where(n > 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).where((F.col("k") + F.col("doc_id")) % 5 != 4)
     rows = rows.withColumn("copy", F.explode(F.when(F.col("k") % 7 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
