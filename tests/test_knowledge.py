@@ -483,3 +483,17 @@ def test_a_source_filter_opens_one_file(spark, tmp_path):
     assert engine.match("body", source="what?.md").count() == 1  # the broken file is not opened
     with pytest.raises(Exception, match="decode"):
         engine.match("body").collect()
+
+
+def test_lossless_sorts_no_text(spark):
+    """A note's text is not carried into the sort of its chunks, and faults are still found."""
+    from tarn.operators import chunking
+
+    notes = spark.createDataFrame([("a", "abcdef"), ("b", "abc")], "source string, content string")
+    chunks = spark.createDataFrame([("a", 0, 0, 3, "abc"), ("a", 1, 4, 5, "x"), ("b", 0, 0, 3, "abc")], "source string, chunk_index int, start_char int, end_char int, content string")
+    out = chunking.lossless(chunks, notes)
+    assert sorted(map(tuple, out.collect())) == [("a", 2, 1), ("b", 0, 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.split("\n") if "Window [" in line)
+    below = plan.split(window)[1].lstrip("\n").split("\n")[0]
+    assert "Project [" in below and "_len" in below and "_body" not in below.split("AS _len")[1]
