@@ -7,7 +7,7 @@ letters beyond ASCII, other separators, IPv6, numbers without a country code. Tr
 boosted on format and context score each proposal; a kind's threshold is set so that
 held-out proposals above it are right; of overlapping spans that pass, the better stays.
 
-The trees learn from the corpus itself. Of a bounded sample of rows, base spans are
+The trees learn from the corpus itself. Of every row, base spans are
 positive, and so are their rewritings into the forms that the base cannot see;
 negative are all other proposals, numbers that fail their check, and rewritings of
 those and of spoilt positives. Format features are taken after disguises are undone,
@@ -100,9 +100,9 @@ _SPOILS = {
 
 @dataclass(frozen=True)
 class TrainingBound:
-    """What a fit may read and how far it may go."""
+    """What a fit may read and how far it may go; without ``sample_rows`` it reads every row."""
 
-    sample_rows: int = 6_000
+    sample_rows: int | None = None
     trees: int = 12
     depth: int = 3
     #: Share of held-out examples above a threshold that must be right, and how many at least.
@@ -351,11 +351,13 @@ def selected(model: Model, kind: str, found: Column, base: Column) -> Column:
 
 
 def _training_rows(docs: DataFrame, bound: TrainingBound) -> DataFrame:
-    """``kind, features, label, fold`` of the sample's spans and their rewritings."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    chosen = docs.select(key.alias("key")).distinct().orderBy("key").limit(bound.sample_rows)  # at most so many ids
-    sample = docs.withColumn("key", key).join(F.broadcast(chosen), "key", "left_semi")
-    sample = sample.groupBy("key").agg(F.min("text").alias("text")).select(clean(F.col("text")).alias("text"))
+    """``kind, features, label, fold`` of all spans of the rows and their rewritings, and how many are alike (``n``)."""
+    sample = docs
+    if bound.sample_rows is not None:
+        key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        chosen = docs.select(key.alias("key")).distinct().orderBy("key").limit(bound.sample_rows)  # at most so many ids
+        sample = docs.withColumn("key", key).join(F.broadcast(chosen), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    sample = sample.select(clean(F.col("text")).alias("text"))
 
     made = "array<struct<kind:string,x:struct<start:int,end:int,value:string,before:string,after:string>,label:double>>"
 
@@ -381,11 +383,15 @@ def _training_rows(docs: DataFrame, bound: TrainingBound) -> DataFrame:
     by_kind = lambda make: functools.reduce(lambda c, k: c.when(F.col("kind") == k, make(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], make(KINDS[0])))
     rows = held.select("kind", "x", F.explode(by_kind(lambda k: rewritten(k, F.col("x.value"), F.col("label")))).alias("w"))
     rows = rows.select("kind", F.col("x").withField("value", F.col("w.value")).alias("x"), "w.label")
-    return rows.select("kind", by_kind(lambda k: features(k, F.col("x"))).alias("features"), "label", F.pmod(F.xxhash64("x.value"), F.lit(3)).alias("fold"))
+    rows = rows.select("kind", by_kind(lambda k: features(k, F.col("x"))).alias("features"), "label", F.pmod(F.xxhash64("x.value"), F.lit(3)).alias("fold"))
+    # small whole numbers, so there are far fewer kinds of examples than examples
+    return rows.groupBy("kind", "features", "label", "fold").agg(F.count("*").cast("double").alias("n"))
 
 
 def fit(docs: DataFrame, bound: TrainingBound | None = None) -> Model:
-    """Trees and thresholds from a bounded sample of rows: those with the least hashed ids.
+    """Trees and thresholds from every row; examples that are alike are one with a weight.
+
+    With ``sample_rows`` only rows with the least hashed ids are read.
 
     Without positive or without negative examples, or where no threshold of a kind is
     right often enough on held-out examples, that kind gets no further spans.
@@ -394,17 +400,18 @@ def fit(docs: DataFrame, bound: TrainingBound | None = None) -> Model:
     from pyspark.ml.functions import array_to_vector
 
     bound = bound or TrainingBound()
-    rows = _training_rows(docs, bound).repartition(1).persist()  # a bounded number of small rows
+    # in one order, so that the same rows give the same trees wherever they are read
+    rows = _training_rows(docs, bound).repartition(8, "features", "label", "fold").sortWithinPartitions("features", "label", "fold").persist()
     try:
-        n = rows.where("fold > 0").agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
+        n = rows.where("fold > 0").agg(F.sum(F.col("label") * F.col("n")).alias("p"), F.sum("n").alias("n")).first()
         if not n["p"] or n["p"] == n["n"]:
             return Model()
-        booster = GBTClassifier(labelCol="label", featuresCol="v", maxIter=bound.trees, maxDepth=bound.depth, stepSize=0.3, seed=7, checkpointInterval=-1, maxBins=64)
-        fitted = booster.fit(rows.where("fold > 0").select("label", array_to_vector("features").alias("v")))
+        booster = GBTClassifier(labelCol="label", featuresCol="v", weightCol="n", maxIter=bound.trees, maxDepth=bound.depth, stepSize=0.3, seed=7, checkpointInterval=-1, maxBins=64)
+        fitted = booster.fit(rows.where("fold > 0").select("label", "n", array_to_vector("features").alias("v")))
         trees = tuple(_tree(t.toDebugString) for t in fitted.trees)
         model = Model(trees, tuple(fitted.treeWeights))
-        held = rows.where("fold = 0").select("kind", "label", F.round(model.margin(F.col("features")), 9).alias("m"))
-        steps = held.groupBy("kind", "m").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()  # a leaf's combinations
+        held = rows.where("fold = 0").select("kind", "label", "n", F.round(model.margin(F.col("features")), 9).alias("m"))
+        steps = held.groupBy("kind", "m").agg(F.sum(F.col("label") * F.col("n")).alias("p"), F.sum("n").alias("n")).collect()  # a leaf's combinations
         return Model(model.trees, model.weights, _thresholds(steps, bound))
     finally:
         rows.unpersist()
@@ -456,7 +463,7 @@ def personal_data(docs: DataFrame, model: Model | None = None, id_col: str = "do
     ``kind:start:end`` by kind and start: ``base``, and ``spans``, which holds those
     and the ones that the trees add. Places are code points, ends exclusive. Added spans
     never overlap a base span, nor another one of their kind. Without ``model`` one is
-    fitted on a sample of the table (``bound``).
+    fitted on the whole table, or as ``bound`` says.
 
     Null and empty texts have no spans; whole texts are searched, however long; of equal
     scores the earlier span stays; repeated rows stay repeated; a null id stays null;

@@ -57,6 +57,18 @@ def fitted(spark):
     return docs, fit(docs, TrainingBound(sample_rows=400))
 
 
+def test_every_row_is_learnt_from(spark):
+    """What stands in more rows than the sample once held is counted whole, alike examples as one with a weight."""
+    from pyspark.sql import functions as F
+
+    from tarn.llm.pii import _training_rows
+
+    docs = spark.range(7000).select(F.col("id").alias("doc_id"), F.lit("mail ann@example.com now").alias("text"))
+    rows = _training_rows(docs, TrainingBound())
+    found = rows.agg(F.max("n").alias("most"), F.count("*").alias("n")).first()
+    assert found["most"] >= 7000 and found["n"] < 50
+
+
 def test_added_spans(spark, fitted):
     _, model = fitted
     assert set(model.thresholds) == set(KINDS) and len(model.trees) == TrainingBound().trees
