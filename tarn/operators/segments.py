@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from tarn.operators.bm25 import STEPS, Bm25
 from tarn.sources.files import Files
 
-#: Postings of a block, documents of a shard, and folders that a segment's terms are dealt into at most.
-BLOCK, SHARD, BUCKETS = 128, 50_000, 16
+#: Postings of a block, and folders that a segment's terms are dealt into at most.
+BLOCK, BUCKETS = 128, 16
+#: Documents and postings of a shard, about: a search holds one in memory. Segments that don't say how many shards they have were written with the older number.
+SHARD, SHARD_POSTINGS, OLDER_SHARD = 10_240, 4_000_000, 50_000
 #: Documents that a search scores at a time.
 WINDOW = 1024
 #: Queries that one call answers.
@@ -161,12 +163,12 @@ class Segments:
             self.files.remove(f"docs/segment={name}")
             return None
         buckets = max(1, min(BUCKETS, size["postings"] // 500_000))
-        shards = -(-size["n"] // SHARD)
+        shards = max(-(-size["n"] // SHARD), -(-size["postings"] // SHARD_POSTINGS))
         place = F.row_number().over(Window.partitionBy("shard").orderBy("chunk_id")) - 1
         numbered = stored.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")).withColumn("doc", place)
         _blocks(numbered, buckets).write.partitionBy("bucket").parquet(self.files.path(f"blocks/segment={name}"))
         found = self.files.folders(f"blocks/segment={name}")
-        return {"segment": name, "level": level, "n_docs": size["n"], "total_terms": size["terms"], "buckets": buckets, "parts": sorted(int(x.partition("=")[2]) for x in found if x.startswith("bucket="))}
+        return {"segment": name, "level": level, "n_docs": size["n"], "total_terms": size["terms"], "shards": shards, "buckets": buckets, "parts": sorted(int(x.partition("=")[2]) for x in found if x.startswith("bucket="))}
 
     def update(self, state: dict | None, added: DataFrame, removed: DataFrame | None = None) -> dict:
         """The state after an update. ``added``: :func:`counted` documents; ``removed``: the ``chunk_id`` of others that are live.
@@ -284,7 +286,7 @@ class Segments:
             return self.spark.createDataFrame([], schema)
         n, average = state["n_docs"], state["total_terms"] / state["n_docs"]
         weight = lambda d: math.log1p((n - d + 0.5) / (d + 0.5))
-        if len(state["segments"]) == 1 and n <= SHARD and not state["gone"]:
+        if [_shards(s) for s in state["segments"]] == [1] and not state["gone"]:
             return self.blocks(state, terms).drop("bucket").coalesce(1).mapInArrow(_one_shard(asked, weight, average, params, k, source), schema)
         df = self.frequencies(state, terms)
         idf = {t: weight(d) for t, d in df.items()}
@@ -298,7 +300,7 @@ class Segments:
         rows = self.blocks(state, sorted(idf)).drop("bucket").withColumn("lost", F.lit(None).cast("string"))
         if state["gone"]:
             lost = self._gone(state).where(F.col("segment").isin([s["segment"] for s in state["segments"]])).select("segment", "chunk_id")
-            shards = {s["segment"]: -(-s["n_docs"] // SHARD) for s in state["segments"]}
+            shards = {s["segment"]: _shards(s) for s in state["segments"]}
             of = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair])
             lost = lost.select("segment", F.pmod(F.xxhash64("chunk_id"), of[F.col("segment")]).cast("int").alias("shard"), F.col("chunk_id").alias("lost"))
             rows = rows.unionByName(lost, allowMissingColumns=True)
@@ -322,7 +324,11 @@ class Segments:
                 self.files.remove(f"gone/{name}")
 
 
-def _parts(tf, length, idf: float, average: float, params: Bm25):
+def _shards(segment: dict) -> int:
+    return segment.get("shards", -(-segment["n_docs"] // OLDER_SHARD))
+
+
+def _parts(tf, length, idf, average: float, params: Bm25):
     """Steps of a score that postings add, as :func:`tarn.operators.bm25.scores` rounds them."""
     norm = params.k1 * (1 - params.b + params.b * length / average)
     return np.floor(idf * tf * (params.k1 + 1) / (tf + norm) * STEPS + 0.5).astype(np.int64)
@@ -358,15 +364,16 @@ def _one_shard(asked: dict[int, list[str]], weight, average: float, params: Bm25
 def _searched(table: pa.Table, queries: dict[int, list[str]], idf: dict[str, float], average: float, params: Bm25, k: int, source: str | None) -> pa.Table:
     """Each query's best ``k`` of one shard."""
     lost = set(x for x in table.column("lost").to_pylist() if x is not None)
-    rows = [r for r in table.drop_columns(["lost"]).to_pylist() if r["term"] is not None]
-    names = {r["block"]: r for r in rows if r["term"] == ""}
-    ids = [i for b in sorted(names) for i in names[b]["ids"]]
+    names = table.select(["block", "ids", "sources"]).filter(pc.equal(table.column("term"), "")).sort_by("block")
+    ids = [i for x in names.column("ids").to_pylist() for i in x]
     allowed = np.array([i not in lost for i in ids], bool)
     if source is not None:
-        allowed &= np.array([s == source for b in sorted(names) for s in names[b]["sources"]], bool)
+        allowed &= np.array([s == source for x in names.column("sources").to_pylist() for s in x], bool)
+    own = table.filter(pc.not_equal(table.column("term"), ""))
+    bounds = _bounds(own, idf, average, params)
     by_term: dict[str, list[dict]] = {}
-    for r in sorted((r for r in rows if r["term"] != ""), key=lambda r: r["block"]):
-        r["bound"] = max(int(_parts(p["tf"], p["length"], idf[r["term"]], average, params)) for p in r["best"])
+    for r, bound in sorted(zip(own.select(["term", "block", "n", "first", "last", "postings"]).to_pylist(), bounds, strict=True), key=lambda x: x[0]["block"]):
+        r["bound"] = bound
         by_term.setdefault(r["term"], []).append(r)
     opened: dict[int, tuple] = {}
     out = []
@@ -378,6 +385,17 @@ def _searched(table: pa.Table, queries: dict[int, list[str]], idf: dict[str, flo
     return pa.table([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(types)], schema=pa.schema(types))
 
 
+def _bounds(blocks: pa.Table, idf: dict[str, float], average: float, params: Bm25) -> list[int]:
+    """The highest steps that a posting of each block has, from its pairs, without an object for each."""
+    if not blocks.num_rows:
+        return []
+    best = pa.concat_arrays(blocks.column("best").chunks)
+    sizes = pc.list_value_length(best).to_numpy()
+    tf, length = (c.to_numpy() for c in best.flatten().flatten())
+    weight = np.repeat([idf[t] for t in blocks.column("term").to_pylist()], sizes)
+    return np.maximum.reduceat(_parts(tf, length, weight, average, params), np.cumsum(sizes) - sizes).tolist()
+
+
 def _best(lists: list[list[dict]], allowed: np.ndarray, idf, average, params, k: int, opened: dict) -> tuple[list[tuple[int, int]], int, int]:
     """(steps, document) of the best ``k``; how many blocks were unpacked, and of how many.
 
@@ -405,7 +423,7 @@ def _best(lists: list[list[dict]], allowed: np.ndarray, idf, average, params, k:
         for b in inside[w]:
             if id(b) not in opened:
                 doc, tf, length = _unpacked(b["postings"], b["n"])
-                opened[id(b)] = doc, _parts(tf, length, idf[b["term"]], average, params)
+                opened[id(b)] = doc.astype(np.int32), _parts(tf, length, idf[b["term"]], average, params)  # no view of what was unpacked
             touched.add(id(b))
             doc, parts = opened[id(b)]
             i, m = np.searchsorted(doc, (low, low + WINDOW))

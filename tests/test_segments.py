@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.operators import segments
 from tarn.operators.bm25 import Bm25
 from tarn.operators.segments import BLOCK, Segments, counted
 from tarn.plans import retrieval
@@ -108,6 +109,33 @@ def test_edges(spark, tmp_path):
         Bm25(k1=0)
 
 
+def test_a_shard_holds_few_documents_and_postings(spark, tmp_path, monkeypatch):
+    """What a search holds at once doesn't grow with the table or with its texts; older states are read as they were written."""
+    rng = random.Random(3)
+    docs = made(rng, range(300))
+    postings = sum(len(set(t.split())) for _, t in docs.values())
+    monkeypatch.setattr(segments, "SHARD_POSTINGS", 500)
+    for most, shards in ((1000, -(-postings // 500)), (20, 15)):
+        monkeypatch.setattr(segments, "SHARD", most)
+        index = Segments(spark, str(tmp_path / str(most)))
+        state = index.update(None, counted(frame(spark, docs)))
+        assert state["segments"][0]["shards"] == max(shards, -(-postings // 500)) > 1
+        gone = list(range(0, 300, 7))
+        state = index.update(state, counted(frame(spark, docs).limit(0)), frame(spark, {i: docs[i] for i in gone}).select("chunk_id"))
+        left = {i: x for i, x in docs.items() if i not in gone}
+        for source in (None, "s1"):
+            assert ranks(index.top_k(state, {0: ["a", "bx", "cyy", "nothing"]}, 12, source)) == brute(left, ["a", "bx", "cyy"], 12, source)
+    monkeypatch.setattr(segments, "SHARD_POSTINGS", 1 << 30)
+    monkeypatch.setattr(segments, "SHARD", 1000)
+    index = Segments(spark, str(tmp_path / "older"))
+    older = index.update(None, counted(frame(spark, docs)))
+    assert older["segments"][0].pop("shards") == 1
+    monkeypatch.setattr(segments, "SHARD", 20)
+    assert ranks(index.top_k(older, {0: ["a", "bx"]}, 12)) == brute(docs, ["a", "bx"], 12)
+    later = index.update(older, counted(frame(spark, docs).limit(0)), frame(spark, {i: docs[i] for i in gone}).select("chunk_id"))
+    assert ranks(index.top_k(later, {0: ["a", "bx"]}, 12)) == brute(left, ["a", "bx"], 12)
+
+
 @pytest.mark.parametrize("name", ["bm25_blocks", "segments_edited"])
 def test_equals_sql(name, spark, sf, duck):
     same(getattr(retrieval, name)(spark, sf), duck, ORACLES[name])
