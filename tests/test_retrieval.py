@@ -229,3 +229,18 @@ def test_lists_meet_queries_as_matrices(spark):
     rows = lambda found: {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()}
     assert rows(near) == rows(vector.cosine_top_k(asked, df, 10))
     assert "zip_with(q#" not in near._jdf.queryExecution().optimizedPlan().toString() and "MapInArrow" in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_task_looks_up_a_bounded_number_of_terms(spark, monkeypatch):
+    """Slices cover each batch once, in order, and hold ``TERMS`` terms at most, but for one document of more; null and empty lists are rows too."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25, "TERMS", 5)
+    rows = [["a"] * 3, [], ["b"] * 2, ["c"], None, ["d"] * 9, ["e"] * 5, []]
+    batch = pa.record_batch([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "terms"])
+    pieces = list(bm25._pieces([batch, batch.slice(2, 3), batch.slice(0, 0)]))
+    assert [p.column("doc_id").to_pylist() for p in pieces] == [[0, 1, 2], [3, 4], [5], [6, 7], [2, 3, 4]]
+    docs = spark.createDataFrame([(i, [f"w{(i * j) % 11}" for j in range(i % 9)]) for i in range(60)], "doc_id long, terms array<string>").withColumn("length", F.size("terms").cast("long"))
+    asked = spark.createDataFrame([(q, f"w{(q + j) % 11}") for q in range(6) for j in range(3)], "query_id long, term string")
+    hits = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    assert hits(bm25.best(docs, asked, 4)) == hits(bm25.top_k(bm25.scores(docs, asked), 4))
