@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.text import exact_terms, python_terms, terms
 from tarn.operators import bm25, exact, fusion, vector
+from tarn.plans.registry import QUERIES
 
 
 def ranked(spark, texts, query, tokenizer=exact_terms, **more):
@@ -244,3 +245,10 @@ def test_a_task_looks_up_a_bounded_number_of_terms(spark, monkeypatch):
     asked = spark.createDataFrame([(q, f"w{(q + j) % 11}") for q in range(6) for j in range(3)], "query_id long, term string")
     hits = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
     assert hits(bm25.best(docs, asked, 4)) == hits(bm25.top_k(bm25.scores(docs, asked), 4))
+
+
+@pytest.mark.parametrize("name", ["hybrid_topk"])
+def test_queries_rank_without_a_row_for_each_posting(spark, sf, name):
+    """A query that needs few documents makes no row for each term of all: the memory of a task would grow with its documents."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow scored" in plan and "explode(terms" not in plan
