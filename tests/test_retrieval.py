@@ -247,7 +247,7 @@ def test_a_task_looks_up_a_bounded_number_of_terms(spark, monkeypatch):
     assert hits(bm25.best(docs, asked, 4)) == hits(bm25.top_k(bm25.scores(docs, asked), 4))
 
 
-@pytest.mark.parametrize("name", ["hybrid_topk", "evidence_merged", "rank_movement", "rerank_splice", "evidence_origins", "pack_budget", "rerank_input_ties"])
+@pytest.mark.parametrize("name", ["hybrid_topk", "evidence_merged", "rank_movement", "rerank_splice", "evidence_origins", "pack_budget", "rerank_input_ties", "rerank_overlap"])
 def test_queries_rank_without_a_row_for_each_posting(spark, sf, name):
     """A query that needs few documents makes no row for each term of all: the memory of a task would grow with its documents."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
