@@ -252,3 +252,39 @@ def test_queries_rank_without_a_row_for_each_posting(spark, sf, name):
     """A query that needs few documents makes no row for each term of all: the memory of a task would grow with its documents."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow scored" in plan and "explode(terms" not in plan
+
+
+def rows_from_python(df):
+    """Rows that each Python stage of a query gave to Spark, once it is run."""
+    df.collect()
+    plans, found = [df._jdf.queryExecution().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        elif name == "MapInArrowExec":
+            found.append(plan.metrics().apply("pythonNumRowsReceived").value())
+        plans += [plan.children().apply(n) for n in range(plan.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("held", [1 << 20, 60, 0])
+def test_a_task_passes_on_k_hits_a_query(spark, monkeypatch, held):
+    """However many blocks of vectors a task has, what it passes on to be sorted is k rows a query; fewer held, more passed on, the same hits."""
+    monkeypatch.setattr(vector, "HELD_HITS", held, raising=False)
+    rng = random.Random(11)
+    # four blocks of up to 4,096 vectors in one task, few distinct ones, so that most scores are ties
+    rows = [(n, [float(rng.randint(-2, 2)) for _ in range(3)]) for n in rng.sample(range(50_000), 12_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([(q, [1.0, float(q), -0.5]) for q in range(6)] + [(6, [0.0, 0.0, 0.0])], "query_id long, query_vector array<double>")
+    found = vector.cosine_top_k(asked, df, 5)
+    blocks, passed_on = sorted(rows_from_python(found))
+    assert blocks == 4
+    assert passed_on == 30 if held else passed_on >= 30
+    q, x = F.col("query_vector"), F.col("embedding")
+    pairs = df.crossJoin(asked).where((vector.norm(q) > 0) & (vector.norm(x) > 0)).select("query_id", "vec_id", F.round(vector.cosine(q, x), 12).alias("score"))
+    hits = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in df.collect())
+    assert hits(found) == hits(bm25.top_k(pairs, 5, id_col="vec_id"))
